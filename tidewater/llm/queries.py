@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixture, repeats, shared, sharding
+from . import jaccard, mixture, repeats, shared, sharding
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,10 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(shared.documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir).select(
         "doc_id",
@@ -36,5 +40,5 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op4_sharding": op4_sharding, "op6_repeats": op6_repeats}
+QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op4_sharding": op4_sharding, "op6_repeats": op6_repeats}
 SQL: dict[str, str] = {}
