@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixture, repeats, shared, sharding
+from . import jaccard, mixture, quality, repeats, shared, sharding
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = quality.describe(shared.documents(spark, sf_dir).select("doc_id", "text", "lang", "source")).drop("text")
+    return quality.judge(shared.save(described, "quality")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir).select("doc_id", "text")
     return repeats.remove_repeats(docs).select(
@@ -40,5 +47,5 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op4_sharding": op4_sharding, "op6_repeats": op6_repeats}
+QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats}
 SQL: dict[str, str] = {}
