@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixture, quality, repeats, shared, sharding
+from . import jaccard, mixture, private, quality, repeats, shared, sharding
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +47,13 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats}
+def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find_private(shared.documents(spark, sf_dir).select("doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, private.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private}
 SQL: dict[str, str] = {}
