@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixture, private, quality, repeats, shared, sharding
+from . import decontaminate, jaccard, mixture, private, quality, repeats, shared, sharding
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +55,12 @@ def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, private.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private}
+def op8_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds; clean documents have none."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontaminate.contaminated(shared.documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+    return found.select("doc_id", "item_id", "n_windows", "n_item_windows", "exact")
+
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark}
 SQL: dict[str, str] = {}
