@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixture, private, quality, repeats, shared, sharding
+from . import decontaminate, huffman, jaccard, mixture, private, quality, repeats, shared, sharding
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +64,18 @@ def op8_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_windows", "n_item_windows", "exact")
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark}
+def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared.shared_folder(spark)}/token-files/{uuid.uuid4().hex}"
+    tokens = huffman.tokenize(shared.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    held = shared.save(tokens, "tokens", compression="zstd")
+    huffman.write(held, path)
+    shared.drop(held)
+    return huffman.read(spark, path).select(
+        "doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark, "op9_huffman": op9_huffman}
 SQL: dict[str, str] = {}
