@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, jaccard, mixture, private, quality, repeats, shared, sharding
+from . import decontaminate, huffman, jaccard, lattice, mixture, private, quality, repeats, shared, sharding
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(shared.documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    docs = shared.documents(spark, sf_dir).select("doc_id", "text", "lang", held_out.alias("held_out"))
+    return lattice.score(docs, "held_out", public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir).select(
         "doc_id",
@@ -77,5 +85,5 @@ def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark, "op9_huffman": op9_huffman}
+QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op3_lattice": op3_lattice, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark, "op9_huffman": op9_huffman}
 SQL: dict[str, str] = {}
