@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, jaccard, lattice, mixture, private, quality, repeats, shared, sharding
+from . import decontaminate, huffman, jaccard, lattice, mixture, private, quality, repeats, shared, sharding, wrappers
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +85,11 @@ def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op3_lattice": op3_lattice, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark, "op9_huffman": op9_huffman}
+def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared.ship_package(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return wrappers.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op3_lattice": op3_lattice, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark, "op9_huffman": op9_huffman, "op10_wrappers": op10_wrappers}
 SQL: dict[str, str] = {}
