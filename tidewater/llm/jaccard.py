@@ -96,7 +96,7 @@ def _describe(batches: Iterator[pd.DataFrame], n: int, threshold: Fraction) -> I
     for batch in batches:
         sets = [shingles(t, n) for t in batch["_text"]]
         yield pd.DataFrame({
-            "_id": batch["_id"], "n_shingles": [len(s) for s in sets],
+            "_id": batch["_id"], "_uid": batch["_uid"], "n_shingles": [len(s) for s in sets],
             "node": pd.array([set_id(s) if len(s) else None for s in sets], dtype="Int64"),
             "_signatures": [signatures(s, threshold).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64) for s in sets],
         })
@@ -175,20 +175,13 @@ def _join(batch: pd.DataFrame, n: int, threshold: Fraction) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[linked], "b": nodes[label[linked]]})
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, block: int = 500) -> DataFrame:
-    """key, n_shingles, component_id: documents linked where 100 * intersection >= percent * union of their n-word sets.
-
-    component_id is the least key that links reach. Documents with equal sets are one node. Nodes that share a
-    signature are candidates; candidates' components are families, which no link leaves. Families are joined by tries,
-    each of `block` nodes or of two blocks of a larger family, whose pairs of blocks are tasks of their own.
-    A text without words, empty or null, is linked with nothing. Rows with a repeated key are documents of
-    their own; a null key takes part but is never the least. An empty table gives an empty result.
-    """
+def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block: int) -> DataFrame:
+    """_id, _uid (hash of the text), n_shingles, _root (null without words) of each row."""
     threshold = Fraction(percent, 100)
-    given = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    given = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_uid"), F.col(text).alias("_text"))
     id_type = given.schema["_id"].dataType.simpleString()
     described = shared.save(
-        given.mapInPandas(lambda it: _describe(it, n, threshold), f"_id {id_type}, n_shingles long, node long, _signatures array<long>"), "shingles"
+        given.mapInPandas(lambda it: _describe(it, n, threshold), f"_id {id_type}, _uid long, n_shingles long, node long, _signatures array<long>"), "shingles"
     )
     signed = described.select("node", F.explode("_signatures").alias("_signature"))
     hubs = signed.withColumn("_hub", F.min("node").over(Window.partitionBy("_signature"))).filter("node != _hub")
@@ -200,13 +193,37 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select("node", "root", F.least("_own", "_with").alias("_one"), F.greatest("_own", "_with").alias("_two")).distinct()
     )
-    held = described.filter("node IS NOT NULL").join(families.select("node"), "node", "left_semi").groupBy("node").agg(F.min("_id").alias("_held"))
-    texts = given.join(held, given["_id"].eqNullSafe(held["_held"])).select("node", "_text")
+    held = described.filter("node IS NOT NULL").join(families.select("node"), "node", "left_semi").groupBy("node").agg(F.min("_uid").alias("_held"))
+    texts = given.join(held, given["_uid"] == held["_held"]).select("node", "_text").dropDuplicates(["node"])
     links = shared.save(
         texts.join(placed, "node").groupBy("root", "_one", "_two").applyInPandas(lambda batch: _join(batch, n, threshold), "a long, b long"), "links"
     )
     roots = graph.components(links)
     members = described.drop("_signatures").join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
-    members = shared.save(members.select(F.col("_id").alias(key), "n_shingles", "_root"), "members")
-    least = members.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(key).alias("component_id"))
-    return members.join(least, "_root", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    return shared.save(members.select("_id", "_uid", "n_shingles", "_root"), "members")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, block: int = 500) -> DataFrame:
+    """key, n_shingles, component_id: documents linked where 100 * intersection >= percent * union of their n-word sets.
+
+    component_id is the least key that links reach. Documents with equal sets are one node. Nodes that share a
+    signature are candidates; candidates' components are families, which no link leaves. Families are joined by tries,
+    each of `block` nodes or of two blocks of a larger family, whose pairs of blocks are tasks of their own.
+    A text without words, empty or null, is linked with nothing. Rows with a repeated key are documents of
+    their own; a null key takes part but is never the least. An empty table gives an empty result.
+    """
+    members = _members(docs, key, text, n, percent, block)
+    least = members.filter("_root IS NOT NULL").groupBy("_root").agg(F.min("_id").alias("component_id"))
+    return members.join(least, "_root", "left").select(F.col("_id").alias(key), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block: int = 500) -> DataFrame:
+    """The rows of docs without near copies: of each component the row with the least key stays, and all rows without words."""
+    members = _members(docs, key, text, n, percent, block)
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    first = members.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(F.struct("_id", "_uid")).alias("_first")).select("_first.*", F.lit(True).alias("_one"))
+    none = members.filter("_root IS NULL").select("_id", "_uid", F.lit(False).alias("_one")).distinct()
+    stay = first.unionByName(none).select(name("_id").alias("_name"), "_uid", "_one")
+    joined = docs.withColumn("_name", name(key)).withColumn("_uid", F.xxhash64(text)).join(stay, ["_name", "_uid"])
+    copy = F.row_number().over(Window.partitionBy("_name", "_uid").orderBy("_name"))
+    return joined.withColumn("_copy", copy).filter("_copy = 1 OR NOT _one").select(*docs.columns)

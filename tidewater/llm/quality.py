@@ -14,6 +14,8 @@ FLOORS = (1.0, 0.15, 1.0, 0.8, 0.2)
 D = len(FLOORS)
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 BINS_PER_LOG = 16
+#: Estimates of so many languages and sources are broadcast (about 200 bytes each); more are joined by a shuffle.
+BROADCAST_GROUPS = 50_000
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -164,10 +166,12 @@ def judge(described: DataFrame, lang: str = "lang", source: str = "source", shar
     marked = marked.withColumns({f"_x{i}": c for i, c in enumerate(vector())})
     sizes = marked.filter("NOT base_failed").groupBy("_lang", "_source").agg(F.count("*").alias("_rows"))
     large = shared.save(sizes.filter(F.col("_rows") >= least_rows).drop("_rows").withColumn("_large", F.lit("+")), "quality-groups")
-    marked = marked.join(large, ["_lang", "_source"], "left").withColumn("_group", F.when(F.col("_large").isNull(), F.col("_lang")).otherwise(F.concat_ws("\x1f", "_lang", "_source")))
+    few = large.count() <= BROADCAST_GROUPS
+    hint = F.broadcast if few else lambda x: x
+    marked = marked.join(hint(large), ["_lang", "_source"], "left").withColumn("_group", F.when(F.col("_large").isNull(), F.col("_lang")).otherwise(F.concat_ws("\x1f", "_lang", "_source")))
     rows = marked.filter("NOT base_failed").select("_group", *(f"_x{i}" for i in range(D)))
     enough = rows.groupBy("_group").agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= least_rows).select("_group")
     found = estimates(rows, share, steps).join(enough, "_group")
-    out = _distance(marked, found).withColumnRenamed("_d2", "distance")
+    out = _distance(marked, hint(found)).withColumnRenamed("_d2", "distance")
     verdict = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi2_quantile(level, D))
     return out.withColumn("kept", verdict).drop("_group", "_lang", "_source", "_large", *(f"_x{i}" for i in range(D)))
