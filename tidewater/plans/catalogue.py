@@ -1,4 +1,425 @@
 """Named queries over the driver tables, with DuckDB counterparts."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..cluster import ship_package
+from ..functions import laws
+from ..functions.model import example_model, is_open_loop, nearest_open_loop, reversed_model
+from ..operators import fuzzy, learn, metrics, prepare, recursions, simulate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+LOW, HIGH = 5.0, 110.0
+OPEN = nearest_open_loop(example_model())
+LAWS = {"1": "1:0.2:0.05", "2": "2:0.07:0.24:0.09", "2bis": "2bis:0.1:0.2:0.1:0.5", "2ter": "2ter:0.1356:0.1177:0.05", "3": "3:0.2:0.3", "4": "4:0.15:0.6:0.2", "4bis": "4bis:0.1:0.1:0.3:0.5"}
+
+EVENTS = """SELECT user_id, ts, event_id, value AS y, CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END AS r,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events"""
+DAYS = """SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice) AS x, avg(l_quantity) AS y,
+    CASE WHEN avg(l_quantity) > 25.5 THEN 1 ELSE 0 END AS r FROM lineitem GROUP BY 1, 2"""
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, ts, event_id, y, r, n: a series for each user; a purchase or an error is regime 1."""
+    rows = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").alias("y"), F.col("event_type").isin("purchase", "error").cast("int").alias("r"))
+    return prepare.indexed(rows, ["user_id"], ["ts", "event_id"])
+
+
+def day_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flag, day, x, y, r: a daily series for each return flag."""
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("day"))
+    days = rows.agg(F.avg("l_extendedprice").alias("x"), F.avg("l_quantity").alias("y"))
+    return days.withColumn("r", (F.col("y") > 25.5).cast("int"))
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# Preparation
+
+
+@query(f"SELECT user_id, event_id, CAST(n AS INTEGER) AS n FROM ({EVENTS})")
+def series_index(spark, sf_dir):
+    return event_series(spark, sf_dir).select("user_id", "event_id", "n")
+
+
+@query(f"SELECT user_id, event_id, CAST(n AS INTEGER) AS n FROM ({EVENTS}) WHERE n >= 10 AND n < 20")
+def series_slice(spark, sf_dir):
+    return prepare.positions(event_series(spark, sf_dir), 10, 20).select("user_id", "event_id", "n")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'")
+def time_range_filter(spark, sf_dir):
+    return prepare.between(read(spark, sf_dir, "events"), "ts", "2024-01-05", "2024-01-12").select("event_id", "user_id", "value")
+
+
+@query("SELECT ts >= TIMESTAMP '2024-01-20' AS test, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def time_split_train_test(spark, sf_dir):
+    train, test = prepare.split_at(read(spark, sf_dir, "events"), "ts", "2024-01-20")
+    both = train.withColumn("test", F.lit(False)).unionByName(test.withColumn("test", F.lit(True)))
+    return both.groupBy("test").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"SELECT user_id, event_id, CAST(max(n) OVER (PARTITION BY user_id) - n AS INTEGER) AS n FROM ({EVENTS})")
+def reverse_series(spark, sf_dir):
+    return prepare.reversed_order(event_series(spark, sf_dir), ["user_id"]).select("user_id", "event_id", "n")
+
+
+_DAILY = """WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY 1, 2),
+    e AS (SELECT user_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1),
+    f AS (SELECT e.user_id, e.day, d.value, row_number() OVER (PARTITION BY e.user_id ORDER BY e.day) AS n FROM e LEFT JOIN d ON e.user_id = d.user_id AND e.day = d.day)"""
+
+
+@query(_DAILY + " SELECT user_id, CAST(day AS VARCHAR) AS day, round(value, 6) AS value FROM f")
+def resample_day_mean(spark, sf_dir):
+    return rounded(prepare.daily_mean(read(spark, sf_dir, "events"), ["user_id"], "ts", "value"), 6, "value").withColumn("day", F.col("day").cast("string"))
+
+
+@query(_DAILY + """, g AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN n END IGNORE NULLS) OVER p AS pn, last_value(value IGNORE NULLS) OVER p AS pv,
+    first_value(CASE WHEN value IS NOT NULL THEN n END IGNORE NULLS) OVER q AS qn, first_value(value IGNORE NULLS) OVER q AS qv FROM f
+    WINDOW p AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT user_id, CAST(day AS VARCHAR) AS day, round(coalesce(value, CASE WHEN qv IS NULL THEN pv ELSE pv + (qv - pv) * (n - pn) / (qn - pn) END), 6) AS value FROM g""")
+def resample_fill_linear(spark, sf_dir):
+    days = prepare.daily_mean(read(spark, sf_dir, "events"), ["user_id"], "ts", "value")
+    return rounded(prepare.interpolated(days, ["user_id"], "day", "value"), 6, "value").withColumn("day", F.col("day").cast("string"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders), b AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events)
+    SELECT o_orderkey, event_id FROM a JOIN b USING (n)""")
+def positional_zip(spark, sf_dir):
+    return prepare.zipped(read(spark, sf_dir, "orders").select("o_orderkey"), read(spark, sf_dir, "events").select("event_id"), ["o_orderkey"], ["event_id"])
+
+
+@query(f"""WITH s AS (SELECT *, isodow(ts) >= 6 AS f FROM ({EVENTS})), t AS (SELECT *, sum(CASE WHEN f AND NOT coalesce(p, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n) AS g
+    FROM (SELECT *, lag(f) OVER (PARTITION BY user_id ORDER BY n) AS p FROM s)) SELECT user_id, CAST(min(n) AS INTEGER) AS start, CAST(max(n) AS INTEGER) AS "end", count(*) AS size FROM t WHERE f GROUP BY user_id, g""")
+def weekend_runs(spark, sf_dir):
+    return prepare.runs(event_series(spark, sf_dir), ["user_id"], "n", prepare.weekend("ts"))
+
+
+@query(f"SELECT user_id, event_id, round(CASE WHEN n <= 5 THEN 0.0 WHEN n < 15 THEN (n - 5) * 0.1 WHEN n < 30 THEN 1.0 WHEN n < 50 THEN 1.0 + (n - 30) * (-0.05) ELSE 0.0 END, 6) AS label FROM ({EVENTS})")
+def piecewise_ramp_labels(spark, sf_dir):
+    label = prepare.ramp(F.col("n"), [(5, 0.0), (15, 1.0), (30, 1.0), (50, 0.0)])
+    return event_series(spark, sf_dir).select("user_id", "event_id", F.round(label, 6).alias("label"))
+
+
+@query("SELECT count(DISTINCT event_type) AS kinds, min(ts) AS first, max(ts) AS last, count(value) AS n FROM events WHERE regexp_matches(event_type, 'p|e')")
+def span_and_distinct(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").filter(F.col("event_type").rlike("p|e"))
+    return rows.agg(F.countDistinct("event_type").alias("kinds"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("value").alias("n"))
+
+
+# Learning and metrics
+
+
+@query(f"""WITH p AS (SELECT r AS j, lead(r) OVER (PARTITION BY user_id ORDER BY n) AS k FROM ({EVENTS})), c AS (SELECT j, k, count(*) AS n FROM p WHERE k IS NOT NULL GROUP BY 1, 2)
+    SELECT j, k, n, round(n / sum(n) OVER (), 8) AS p FROM c""")
+def transition_counts(spark, sf_dir):
+    return rounded(learn.transition_counts(event_series(spark, sf_dir), ["user_id"], "n", "r"), 8, "p")
+
+
+@query(f"""WITH p AS (SELECT r AS j, lead(r) OVER (PARTITION BY user_id ORDER BY n) AS k FROM ({EVENTS})), c AS (SELECT j, k, count(*) AS n FROM p WHERE k IS NOT NULL GROUP BY 1, 2)
+    SELECT j, k, round(n / sum(n) OVER (PARTITION BY j), 8) AS p_cond, round(sum(n) OVER (PARTITION BY j) / sum(n) OVER (), 8) AS p_marginal FROM c""")
+def transition_matrix(spark, sf_dir):
+    from pyspark.sql import Window
+
+    counts = learn.transition_counts(event_series(spark, sf_dir), ["user_id"], "n", "r")
+    row = F.sum("n").over(Window.partitionBy("j"))
+    return counts.select("j", "k", F.round(F.col("n") / row, 8).alias("p_cond"), F.round(row / F.sum("n").over(Window.partitionBy()), 8).alias("p_marginal"))
+
+
+@query(f"""SELECT r, count(*) AS n, round(avg(x), 4) AS mean_x, round(avg(y), 6) AS mean_y, round(var_pop(x), 2) AS var_x, round(var_pop(y), 5) AS var_y, round(covar_pop(x, y), 3) AS cov_xy
+    FROM ({DAYS}) GROUP BY 1""")
+def regime_moments(spark, sf_dir):
+    found = learn.regime_moments(day_series(spark, sf_dir), "r", "x", "y")
+    for column, digits in (("mean_x", 4), ("mean_y", 6), ("var_x", 2), ("var_y", 5), ("cov_xy", 3)):
+        found = rounded(found, digits, column)
+    return found
+
+
+@query(f"""WITH s AS MATERIALIZED ({DAYS}), m AS (SELECT r, avg(x) AS mx, avg(y) AS my FROM s GROUP BY 1), p AS (SELECT r AS j, x, y, lead(r) OVER w AS k, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM s WINDOW w AS (PARTITION BY flag ORDER BY day))
+    SELECT j, k, count(*) AS n, round(avg((x - a.mx) * (x2 - b.mx)), 1) AS xx, round(avg((x - a.mx) * (y2 - b.my)), 3) AS xy, round(avg((y - a.my) * (x2 - b.mx)), 3) AS yx, round(avg((y - a.my) * (y2 - b.my)), 5) AS yy
+    FROM p JOIN m a ON a.r = p.j JOIN m b ON b.r = p.k GROUP BY 1, 2""")
+def pair_moments(spark, sf_dir):
+    found = learn.pair_moments(day_series(spark, sf_dir), ["flag"], "day", "r", "x", "y")
+    return rounded(rounded(rounded(found, 1, "xx"), 3, "xy", "yx"), 5, "yy")
+
+
+@query(f"""WITH p AS (SELECT r AS j, y, lead(r) OVER w AS k, lead(y) OVER w AS y2 FROM ({DAYS}) WINDOW w AS (PARTITION BY flag ORDER BY day))
+    SELECT j, k, count(*) AS n, round(regr_slope(y2, y), 6) AS p0, round(regr_intercept(y2, y), 5) AS p1, round(regr_syy(y2, y) / count(*) * (1 - regr_r2(y2, y)), 4) AS pi2 FROM p WHERE k IS NOT NULL GROUP BY 1, 2""")
+def regression_by_pair(spark, sf_dir):
+    found = learn.regression_sums(day_series(spark, sf_dir), ["flag"], "day", "r", "x", "y")
+    return rounded(rounded(rounded(found, 6, "p0"), 5, "p1"), 4, "pi2")
+
+
+_FUZZY = f"SELECT user_id, n, y, r AS hard, least(1.0, greatest(0.0, (y - {LOW}) / ({HIGH} - {LOW}))) AS r FROM ({EVENTS})"
+
+
+def fuzzy_series(spark, sf_dir):
+    rows = event_series(spark, sf_dir).withColumn("hard", F.col("r"))
+    return rows.withColumn("r", prepare.fuzzy_label(F.col("y"), LOW, HIGH))
+
+
+@query(f"""WITH p AS (SELECT r, lead(r) OVER (PARTITION BY user_id ORDER BY n) AS s FROM ({_FUZZY})) SELECT round(avg(CASE WHEN r = 0 AND s = 0 THEN 1.0 ELSE 0.0 END), 8) AS alpha0,
+    round(avg(CASE WHEN r = 1 AND s = 1 THEN 1.0 ELSE 0.0 END), 8) AS alpha1, round((avg(CASE WHEN r = 0 AND s = 1 THEN 1.0 ELSE 0.0 END) + avg(CASE WHEN r = 1 AND s = 0 THEN 1.0 ELSE 0.0 END)) / 2, 8) AS beta FROM p WHERE s IS NOT NULL""")
+def law_fit_2ter(spark, sf_dir):
+    return rounded(laws.fit_2ter(fuzzy_series(spark, sf_dir), ["user_id"], "n", "r"), 8, "alpha0", "alpha1", "beta")
+
+
+@query(f"SELECT user_id, round(avg(CASE WHEN r IN (0, 1) THEN 1.0 ELSE 0.0 END), 8) AS hard_share FROM ({_FUZZY}) GROUP BY 1")
+def hard_share(spark, sf_dir):
+    return fuzzy_series(spark, sf_dir).groupBy("user_id").agg(F.round(metrics.hard_share("r"), 8).alias("hard_share"))
+
+
+@query(f"SELECT user_id, round(avg(pow(r - hard, 2)), 6) AS mse, round(avg(abs(round_even(r, 0) - hard)), 6) AS errors FROM ({_FUZZY}) GROUP BY 1")
+def label_errors(spark, sf_dir):
+    rows = fuzzy_series(spark, sf_dir).withColumn("near", metrics.hardened("r"))
+    return rows.groupBy("user_id").agg(F.round(metrics.mse("r", "hard"), 6).alias("mse"), F.round(metrics.error_ratio("near", "hard"), 6).alias("errors"))
+
+
+@query(f"""WITH t AS (SELECT *, max(n) OVER (PARTITION BY user_id) AS m FROM ({_FUZZY})) SELECT user_id, round(avg(pow(r - hard, 2)), 6) AS mse FROM t WHERE n >= 3 AND n <= m - 3 GROUP BY 1""")
+def mse_trimmed(spark, sf_dir):
+    return rounded(metrics.trimmed_mse(fuzzy_series(spark, sf_dir), ["user_id"], "n", "r", "hard"), 6, "mse")
+
+
+@query(f"WITH e AS (SELECT user_id, avg(pow(r - hard, 2)) AS mse FROM ({_FUZZY}) GROUP BY 1) SELECT round(avg(mse), 8) AS mean, round(var_pop(mse), 8) AS variance, count(*) AS n FROM e")
+def mse_over_experiments(spark, sf_dir):
+    each = fuzzy_series(spark, sf_dir).groupBy("user_id").agg(metrics.mse("r", "hard").alias("mse"))
+    return rounded(metrics.over_experiments(each), 8, "mean", "variance")
+
+
+# Laws of fuzzy regimes
+
+
+def _joint_sql(family: str) -> str:
+    p = laws.law(LAWS[family]).p
+    gap, inner, near0 = "abs(r - s)", "(CASE WHEN r IN (0, 1) THEN s ELSE r END)", "(r = 0 OR s = 0)"
+    if family in ("3", "4", "4bis"):
+        inside = f"CASE WHEN {gap} <= {p['delta']!r} THEN {p['gamma']!r} ELSE 0.0 END"
+        edge = inside if p["lambda"] is None else f"CASE WHEN {gap} <= {p['delta']!r} THEN {p['lambda'] * p['gamma']!r} * (CASE WHEN {near0} THEN 1 - {inner} / {p['delta']!r} ELSE {inner} / {p['delta']!r} + {1 - 1 / p['delta']!r} END) ELSE 0.0 END"
+    elif family == "1":
+        inside = edge = repr(p["gamma"])
+    elif family == "2ter":
+        inside = edge = f"{p['eta']!r} * (1 - {gap})"
+    else:
+        inside = f"{p['eta']!r} + ({p['delta'] - p['eta']!r}) * {gap}"
+        edge = inside if family == "2" else f"{p['lambda'] * p['eta']!r} * (CASE WHEN {near0} THEN 1 - {inner} ELSE {inner} END)"
+    diagonal = f"CASE WHEN r = 0 THEN {p['alpha0']!r} ELSE {p['alpha1']!r} END" if family == "2ter" else repr(p["alpha"])
+    return f"CASE WHEN r IN (0, 1) AND s IN (0, 1) THEN CASE WHEN r = s THEN {diagonal} ELSE {p['beta']!r} END WHEN r IN (0, 1) OR s IN (0, 1) THEN {edge} ELSE {inside} END"
+
+
+def _grid_sql(family: str, cells: int) -> str:
+    g = f"SELECT CASE WHEN i = 0 THEN 0.0::DOUBLE WHEN i = {cells + 1} THEN 1.0 ELSE (i - 0.5) / {cells} END AS v, CASE WHEN i IN (0, {cells + 1}) THEN 1.0::DOUBLE ELSE 1.0 / {cells} END AS w FROM range({cells + 2}) t(i)"
+    return f"SELECT r, s, w, {_joint_sql(family)} AS p FROM (SELECT a.v AS r, b.v AS s, a.w * b.w AS w FROM ({g}) a CROSS JOIN ({g}) b)"
+
+
+def _law_query(family: str) -> None:
+    def grid(spark, sf_dir):
+        return rounded(laws.table(spark, laws.law(LAWS[family]), 20), 8, "r", "s", "w", "p")
+
+    QUERIES[f"law_joint_grid_{family}"] = grid
+    SQL[f"law_joint_grid_{family}"] = f"SELECT round(r, 8) AS r, round(s, 8) AS s, round(w, 8) AS w, round(p, 8) AS p FROM ({_grid_sql(family, 20)})"
+
+
+for _family in LAWS:
+    _law_query(_family)
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS family, CAST(r >= 0.5 AS INTEGER) AS j, CAST(s >= 0.5 AS INTEGER) AS k, round(sum(w * p), 5) AS p FROM ({_grid_sql(k, 100)}) GROUP BY 2, 3" for k in LAWS))
+def law_hard_transition(spark, sf_dir):
+    out = None
+    for family, text in LAWS.items():
+        part = laws.hard_transition(laws.table(spark, laws.law(text), 100)).select(F.lit(family).alias("family"), "j", "k", F.round("p", 5).alias("p"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS family, round(sum(w * p), 3) AS total FROM ({_grid_sql(k, 200)})" for k in LAWS))
+def law_sum_to_one(spark, sf_dir):
+    parts = [laws.table(spark, laws.law(t), 200).agg(F.round(F.sum(F.col("w") * F.col("p")), 3).alias("total")).select(F.lit(k).alias("family"), "total") for k, t in LAWS.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+# Filters
+
+
+def _pair_values(model) -> str:
+    """(j, k, fxx, fxy, fyx, fyy, qxx, qxy, qyy, cx, cy, t) of each pair, as SQL rows."""
+    f, q, c = model.regression()
+    rows = [(j, k, *f[j, k].ravel(), q[j, k][0, 0], q[j, k][0, 1], q[j, k][1, 1], *c[j, k], model.transition[j, k]) for j, k in np.ndindex(model.joint.shape)]
+    return "VALUES " + ", ".join("(" + ", ".join(f"{float(v)!r}::DOUBLE" if i > 1 else str(v) for i, v in enumerate(r)) + ")" for r in rows)
+
+
+def _own(model) -> list[tuple[float, ...]]:
+    """(mean x, mean y, gain, rest of Var X, Var Y, weight) of each regime."""
+    return [(m[0], m[1], g[0, 1] / g[1, 1], g[0, 0] - g[0, 1] ** 2 / g[1, 1], g[1, 1], p) for m, g, p in zip(model.mean, model.gamma, model.marginal, strict=True)]
+
+
+def _known_sql(model) -> str:
+    (a, b) = _own(model)
+    pick = lambda i: f"CASE WHEN r = 1 THEN {float(b[i])!r} ELSE {float(a[i])!r} END"
+    return f"""WITH RECURSIVE s AS MATERIALIZED ({EVENTS}), p(j, k, fxx, fxy, fyx, fyy, qxx, qxy, qyy, cx, cy, t) AS ({_pair_values(model)}),
+    f AS (SELECT user_id, n, y, r, {pick(0)} + ({pick(2)}) * (y - ({pick(1)})) AS e, {pick(3)} AS v, CAST(NULL AS DOUBLE) AS ahead FROM s WHERE n = 0 UNION ALL
+    SELECT user_id, n, y, r, (fxx - qxy / qyy * fyx) * (e + kg * d) + qxy / qyy * y + (fxy - qxy / qyy * fyy) * y0 + cx - qxy / qyy * cy, qxx - qxy * qxy / qyy + (fxx - qxy / qyy * fyx) * (fxx - qxy / qyy * fyx) * (v - kg * kg * sv), fxx * e + fxy * y0 + cx
+    FROM (SELECT s.user_id, s.n, s.y, s.r, f.e, f.v, f.y AS y0, p.*, qyy + fyx * fyx * f.v AS sv, f.v * fyx / (qyy + fyx * fyx * f.v) AS kg, s.y - (fyx * f.e + fyy * f.y + cy) AS d
+    FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1 JOIN p ON p.j = f.r AND p.k = s.r))"""
+
+
+@query(_known_sql(example_model()) + " SELECT user_id, CAST(n AS INTEGER) AS n, round(e, 6) AS filter, round(v, 6) AS filter_var, round(ahead, 6) AS predict FROM f")
+def kalman_known_jumps(spark, sf_dir):
+    found = recursions.kalman(event_series(spark, sf_dir).select("user_id", "n", "y", "r"), example_model(), ["user_id"])
+    found = found.withColumn("predict", F.when(~F.isnan("predict"), F.col("predict")))
+    return rounded(found.select("user_id", "n", "filter", "filter_var", "predict"), 6, "filter", "filter_var", "predict")
+
+
+@query(_known_sql(example_model()) + " SELECT user_id, count(*) AS n, round(avg(pow(e - y, 2)), 4) AS mse FROM f GROUP BY 1")
+def kalman_mse_by_user(spark, sf_dir):
+    found = recursions.kalman(event_series(spark, sf_dir).select("user_id", "n", "y", "r"), example_model(), ["user_id"])
+    return found.groupBy("user_id").agg(F.count("*").alias("n"), F.round(metrics.mse("filter", "y"), 4).alias("mse"))
+
+
+@query()
+def kalman_smoother(spark, sf_dir):
+    found = recursions.kalman(event_series(spark, sf_dir).select("user_id", "n", "y", "r"), example_model(), ["user_id"])
+    return rounded(found.select("user_id", "n", "smooth", "smooth_var", "log_likelihood"), 6, "smooth", "smooth_var", "log_likelihood")
+
+
+@query()
+def kalman_fuzzy_jumps(spark, sf_dir):
+    rows = fuzzy_series(spark, sf_dir).select("user_id", "n", "y", "r")
+    return rounded(recursions.kalman(rows, example_model(), ["user_id"]).select("user_id", "n", "filter", "smooth"), 6, "filter", "smooth")
+
+
+def _unknown_sql(model) -> str:
+    own = _own(model)
+    w0 = [f"{float(o[5])!r} / sqrt({float(o[4])!r}) * exp(-0.5 * pow(y - {float(o[1])!r}, 2) / {float(o[4])!r})" for o in own]
+    e0 = [f"{float(o[0])!r} + {float(o[2])!r} * (y - {float(o[1])!r})" for o in own]
+    f, q, c = model.regression()
+    cols = []
+    for j, k in np.ndindex(2, 2):
+        v = lambda x: repr(float(x))
+        qyy, g = q[j, k][1, 1], q[j, k][0, 1] / q[j, k][1, 1]
+        d = f"(s.y - {v(f[j, k][1, 1])} * f.y - {v(c[j, k][1])})"
+        cols += [f"f.p{j} * {v(model.transition[j, k])} / sqrt({v(qyy)}) * exp(-0.5 * {d} * {d} / {v(qyy)}) AS u{j}{k}", f"{v(f[j, k][0, 0])} * f.e{j} + {v(g)} * {d} + {v(f[j, k][0, 1])} * f.y + {v(c[j, k][0])} AS h{j}{k}"]
+    return f"""WITH RECURSIVE s AS MATERIALIZED ({EVENTS}), f AS (SELECT user_id, n, y, ({w0[0]}) / ({w0[0]} + {w0[1]}) AS p0, ({w0[1]}) / ({w0[0]} + {w0[1]}) AS p1, {e0[0]} AS e0, {e0[1]} AS e1 FROM s WHERE n = 0 UNION ALL
+    SELECT user_id, n, y, (u00 + u10) / (u00 + u10 + u01 + u11), (u01 + u11) / (u00 + u10 + u01 + u11), (u00 * h00 + u10 * h10) / (u00 + u10), (u01 * h01 + u11 * h11) / (u01 + u11)
+    FROM (SELECT s.user_id, s.n, s.y, {', '.join(cols)} FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1))"""
+
+
+@query(_unknown_sql(OPEN) + " SELECT user_id, CAST(n AS INTEGER) AS n, round(p1, 6) AS p1, round(p0 * e0 + p1 * e1, 5) AS filter, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS r_filter FROM f")
+def switching_filter(spark, sf_dir):
+    found = recursions.switching(event_series(spark, sf_dir).select("user_id", "n", "y"), OPEN, ["user_id"])
+    return found.select("user_id", "n", F.round(F.col("p_filter")[1], 6).alias("p1"), F.round("filter", 5).alias("filter"), "r_filter")
+
+
+@query()
+def switching_smoother(spark, sf_dir):
+    found = recursions.switching(event_series(spark, sf_dir).select("user_id", "n", "y"), OPEN, ["user_id"])
+    return found.select("user_id", "n", F.round(F.col("p_smooth")[1], 6).alias("p1"), F.round("smooth", 5).alias("smooth"), "r_smooth")
+
+
+@query()
+def double_filter_smoother(spark, sf_dir):
+    return rounded(recursions.double_filter_smoother(event_series(spark, sf_dir).select("user_id", "n", "y"), OPEN, ["user_id"]), 5, "dfb_smooth")
+
+
+@query(f"SELECT user_id, CAST(n AS INTEGER) AS n, k AS regime, round(m + g * (y - my), 6) AS e, round(v, 6) AS v FROM ({EVENTS}) CROSS JOIN (VALUES " + ", ".join(f"({k}, {float(o[0])!r}, {float(o[1])!r}, {float(o[2])!r}, {float(o[3])!r})" for k, o in enumerate(_own(OPEN))) + ") p(k, m, my, g, v)")
+def single_observation_posterior(spark, sf_dir):
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("regime"), (float(o[0]) + float(o[2]) * (F.col("y") - float(o[1]))).alias("e"), F.lit(float(o[3])).alias("v")) for k, o in enumerate(_own(OPEN)))))
+    return rounded(event_series(spark, sf_dir).select("user_id", "n", each.alias("o")).select("user_id", "n", "o.*"), 6, "e", "v")
+
+
+def _fuzzy_query(cells: int) -> None:
+    def run(spark, sf_dir):
+        rows = event_series(spark, sf_dir).select("user_id", "n", "y")
+        found = fuzzy.fuzzy(rows, OPEN, laws.law(LAWS["2ter"]), cells, ["user_id"])
+        return rounded(found.select("user_id", "n", "filter", "smooth", "r_mean", "r_filter", "r_smooth"), 5, "filter", "smooth", "r_mean")
+
+    QUERIES[f"fuzzy_filter_s{cells}"] = run
+
+
+for _cells in (0, 1, 3):
+    _fuzzy_query(_cells)
+
+
+@query()
+def simulate_hard(spark, sf_dir):
+    return simulate.simulate(spark, example_model(), 20, 100, seed=3)
+
+
+@query()
+def simulate_fuzzy(spark, sf_dir):
+    return simulate.simulate_fuzzy(spark, OPEN, laws.law(LAWS["4"]), 4, 20, 100, seed=3)
+
+
+@query()
+def kmeans_labels(spark, sf_dir):
+    return learn.kmeans_labels(day_series(spark, sf_dir), ["x", "y"], "y", 2).select("flag", "day", "label")
+
+
+@query()
+def iterated_fit(spark, sf_dir):
+    model, _ = learn.iterate_fit(day_series(spark, sf_dir).drop("r"), ["flag"], "day", "x", "y", 2, 2)
+    rows = [(k, *map(float, model.mean[k]), *map(float, model.gamma[k].ravel()), float(model.marginal[k])) for k in range(2)]
+    return spark.createDataFrame(rows, "regime int, mean_x double, mean_y double, var_x double, cov_xy double, cov_yx double, var_y double, weight double")
+
+
+# Model algebra on literal parameters
+
+
+def _model_rows(spark: SparkSession, model) -> DataFrame:
+    rows = [(j, k, *map(float, model.gamma[j].ravel()), *map(float, model.sigma[j, k].ravel()), *map(float, model.gamma[k].ravel())) for j, k in np.ndindex(model.joint.shape)]
+    return spark.createDataFrame(rows, "j int, k int, gxx double, gxy double, gyx double, gyy double, sxx double, sxy double, syx double, syy double, hxx double, hxy double, hyx double, hyy double")
+
+
+def _model_sql(model) -> str:
+    rows = [(j, k, *model.gamma[j].ravel(), *model.sigma[j, k].ravel(), *model.gamma[k].ravel()) for j, k in np.ndindex(model.joint.shape)]
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(float(v)) if i > 1 else str(v) for i, v in enumerate(r)) + ")" for r in rows) + ") m(j, k, gxx, gxy, gyx, gyy, sxx, sxy, syx, syy, hxx, hxy, hyx, hyy)"
+
+
+_FQ = "round((sxx * gyy - syx * gxy) / det, 8) AS fxx, round((syx * gxx - sxx * gxy) / det, 8) AS fxy, round((sxy * gyy - syy * gxy) / det, 8) AS fyx, round((syy * gxx - sxy * gxy) / det, 8) AS fyy"
+
+
+@query(f"SELECT j, k, {_FQ} FROM (SELECT *, gxx * gyy - gxy * gyx AS det FROM ({_model_sql(example_model())}))")
+def cov_to_fq(spark, sf_dir):
+    rows = _model_rows(spark, example_model()).withColumn("det", F.expr("gxx * gyy - gxy * gyx"))
+    return rows.selectExpr("j", "k", *_FQ.replace(", round", "|round").split("|"))
+
+
+@query(f"SELECT j, k, round(sxx, 8) AS sxx, round(gxy / gyy * syy, 8) AS sxy, round(syx, 8) AS syx, round(syy, 8) AS syy FROM ({_model_sql(example_model())})")
+def nearest_open_loop_model(spark, sf_dir):
+    return rounded(_model_rows(spark, nearest_open_loop(example_model())).select("j", "k", "sxx", "sxy", "syx", "syy"), 8, "sxx", "sxy", "syx", "syy")
+
+
+@query(f"SELECT k AS j, j AS k, round(sxx, 8) AS sxx, round(syx, 8) AS sxy, round(sxy, 8) AS syx, round(syy, 8) AS syy FROM ({_model_sql(example_model())})")
+def reverse_model(spark, sf_dir):
+    return rounded(_model_rows(spark, reversed_model(example_model())).select("j", "k", "sxx", "sxy", "syx", "syy"), 8, "sxx", "sxy", "syx", "syy")
+
+
+@query("SELECT 'given' AS model, false AS open_loop UNION ALL SELECT 'nearest', true")
+def open_loop_check(spark, sf_dir):
+    return spark.createDataFrame([("given", is_open_loop(example_model())), ("nearest", is_open_loop(OPEN))], "model string, open_loop boolean")
