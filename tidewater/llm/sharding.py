@@ -84,4 +84,4 @@ def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", seed: int = 17
         .drop("_partition", "_cuts", "_place")
         .withColumn("_second", F.xxhash64(F.lit(seed + 2), "_mix")).withColumn("_one", F.lit(1))
     )
-    return shared.offsets(sent, "shard", "_second", F.shiftright("_second", 54), "_one", ["_mix", key], "slot").drop("_second", "_one", "_mix")
+    return shared.offsets(sent, "shard", "_second", F.shiftright("_second", 54), "_one", ["_mix", key], "slot").select(*docs.columns, "shard", "slot")
