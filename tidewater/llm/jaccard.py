@@ -22,6 +22,9 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 TEXT_PIECE = 1 << 20
 CHUNK = 48
+#: So many rows of ids (about 40 bytes each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+KNOWN = 1_000_000
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -93,13 +96,21 @@ def signatures(tokens: np.ndarray, threshold: Fraction) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pd.DataFrame], n: int, threshold: Fraction) -> Iterator[pd.DataFrame]:
+    """A set that this task has met before (it forgets after KNOWN sets) needs no signatures again."""
+    known: set[int] = set()
+    none = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        sets = [shingles(t, n) for t in batch["_text"]]
-        yield pd.DataFrame({
-            "_id": batch["_id"], "_uid": batch["_uid"], "n_shingles": [len(s) for s in sets],
-            "node": pd.array([set_id(s) if len(s) else None for s in sets], dtype="Int64"),
-            "_signatures": [signatures(s, threshold).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64) for s in sets],
-        })
+        rows = []
+        for text in batch["_text"]:
+            tokens = shingles(text, n)
+            node = set_id(tokens) if len(tokens) else None
+            rows.append((len(tokens), node, none if node is None or node in known else signatures(tokens, threshold).view(np.int64)))
+            if node is not None:
+                known.add(node)
+        if len(known) > KNOWN:
+            known.clear()
+        sizes, nodes, signed = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pd.DataFrame({"_id": batch["_id"], "_uid": batch["_uid"], "n_shingles": list(sizes), "node": pd.array(list(nodes), dtype="Int64"), "_signatures": list(signed)})
 
 
 def trie_join(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
@@ -186,7 +197,11 @@ def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block:
     signed = described.select("node", F.explode("_signatures").alias("_signature"))
     hubs = signed.withColumn("_hub", F.min("node").over(Window.partitionBy("_signature"))).filter("node != _hub")
     candidates = shared.save(hubs.select(F.col("node").alias("a"), F.col("_hub").alias("b")).distinct(), "candidates")
+    signed_rows, described = described, shared.save(described.drop("_signatures"), "shingled")
+    shared.drop(signed_rows)
     families = shared.save(graph.components(candidates), "families")
+    shared.drop(candidates)
+    hint = F.broadcast if families.count() <= BROADCAST_ROWS else lambda x: x
     sizes = families.groupBy("root").agg(F.count("*").alias("_size")).withColumn("_blocks", F.ceil(F.col("_size") / block).cast("int"))
     placed = (
         families.join(sizes, "root").withColumn("_own", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
@@ -194,12 +209,12 @@ def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block:
         .select("node", "root", F.least("_own", "_with").alias("_one"), F.greatest("_own", "_with").alias("_two")).distinct()
     )
     held = described.filter("node IS NOT NULL").join(families.select("node"), "node", "left_semi").groupBy("node").agg(F.min("_uid").alias("_held"))
-    texts = given.join(held, given["_uid"] == held["_held"]).select("node", "_text").dropDuplicates(["node"])
+    texts = given.join(hint(held), F.col("_uid") == F.col("_held")).select("node", "_text").dropDuplicates(["node"])
     links = shared.save(
         texts.join(placed, "node").groupBy("root", "_one", "_two").applyInPandas(lambda batch: _join(batch, n, threshold), "a long, b long"), "links"
     )
     roots = graph.components(links)
-    members = described.drop("_signatures").join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
+    members = described.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
     return shared.save(members.select("_id", "_uid", "n_shingles", "_root"), "members")
 
 
@@ -221,9 +236,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """The rows of docs without near copies: of each component the row with the least key stays, and all rows without words."""
     members = _members(docs, key, text, n, percent, block)
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    first = members.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(F.struct("_id", "_uid")).alias("_first")).select("_first.*", F.lit(True).alias("_one"))
-    none = members.filter("_root IS NULL").select("_id", "_uid", F.lit(False).alias("_one")).distinct()
-    stay = first.unionByName(none).select(name("_id").alias("_name"), "_uid", "_one")
-    joined = docs.withColumn("_name", name(key)).withColumn("_uid", F.xxhash64(text)).join(stay, ["_name", "_uid"])
+    groups = members.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(F.struct("_id", "_uid")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    marked = members.join(groups, "_root").select(name("_id").alias("_name"), "_uid", F.struct("_id", "_uid").eqNullSafe(F.col("_first")).alias("_one")).distinct()
+    marks = shared.save(marked, "marks")
+    hint = F.broadcast if marks.count() <= BROADCAST_ROWS else lambda x: x
+    joined = docs.withColumn("_name", name(key)).withColumn("_uid", F.xxhash64(text)).join(hint(marks), ["_name", "_uid"], "left")
     copy = F.row_number().over(Window.partitionBy("_name", "_uid").orderBy("_name"))
-    return joined.withColumn("_copy", copy).filter("_copy = 1 OR NOT _one").select(*docs.columns)
+    first = joined.filter("_one").withColumn("_copy", copy).filter("_copy = 1")
+    return joined.filter("_one IS NULL").select(*docs.columns).unionByName(first.select(*docs.columns))
