@@ -281,7 +281,7 @@ def _own(model) -> list[tuple[float, ...]]:
 
 def _known_sql(model) -> str:
     (a, b) = _own(model)
-    pick = lambda i: f"CASE WHEN r = 1 THEN {float(b[i])!r} ELSE {float(a[i])!r} END"
+    pick = lambda i: f"CASE WHEN r = 1 THEN {float(b[i])!r}::DOUBLE ELSE {float(a[i])!r}::DOUBLE END"  # noqa: E731  else the recursion keeps a literal's two decimals
     return f"""WITH RECURSIVE s AS MATERIALIZED ({EVENTS}), p(j, k, fxx, fxy, fyx, fyy, qxx, qxy, qyy, cx, cy, t) AS ({_pair_values(model)}),
     f AS (SELECT user_id, n, y, r, {pick(0)} + ({pick(2)}) * (y - ({pick(1)})) AS e, {pick(3)} AS v, CAST(NULL AS DOUBLE) AS ahead FROM s WHERE n = 0 UNION ALL
     SELECT user_id, n, y, r, (fxx - qxy / qyy * fyx) * (e + kg * d) + qxy / qyy * y + (fxy - qxy / qyy * fyy) * y0 + cx - qxy / qyy * cy, qxx - qxy * qxy / qyy + (fxx - qxy / qyy * fyx) * (fxx - qxy / qyy * fyx) * (v - kg * kg * sv), fxx * e + fxy * y0 + cx
