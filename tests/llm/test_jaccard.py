@@ -51,18 +51,44 @@ def made(seed):
     return out
 
 
-def check(spark, texts, **more):
+def check(spark, texts, n=3, percent=90, **more):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = jaccard.jaccard_components(docs, **more).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts)
+    rows = jaccard.jaccard_components(docs, n=n, percent=percent, **more).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, percent, n)
 
 
 def test_against_brute_force(spark):
     check(spark, made(1) + made(2))
 
 
-def test_families_in_blocks(spark):
-    check(spark, made(3), block=4)
+def test_lower_threshold_and_stars_in_blocks(spark):
+    check(spark, made(3) + made(4), n=5, percent=80, block=4)
+
+
+def test_linked_sets_share_a_signature():
+    """At every size and both thresholds, however many parts are empty and on whatever level a set stops."""
+    rng = np.random.default_rng(7)
+    for threshold in (Fraction(9, 10), Fraction(4, 5)):
+        for n in [*range(1, 60), 200, 1000]:
+            base = rng.choice(2**62, 2 * n, replace=False).astype(np.uint64)
+            one = np.sort(base[:n])
+            for keep in range(n, 0, -1):
+                add = int(n / threshold) - 2 * n + keep + int((n - keep) / threshold)
+                other = np.unique(np.concatenate([base[:keep], base[n : n + max(0, min(n, add))]]))
+                both = keep / len(np.union1d(one, other))
+                if both < threshold or n - keep > 40:
+                    break
+                if len(np.setxor1d(one, other)):
+                    assert np.isin(jaccard.signatures(one, threshold), jaccard.signatures(other, threshold)).any()
+
+
+def test_ordinary_texts_make_no_hub():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**62, n).astype(np.uint64)) for n in rng.integers(20, 400, 400)]
+    signed = np.concatenate([np.unique(jaccard.signatures(s, Fraction(4, 5))) for s in sets])
+    assert np.unique(signed, return_counts=True)[1].max() <= 2
+    words = [bytes(b"ab"[c] for c in bits) for bits in rng.integers(0, 2, (50, 1024))]
+    assert len(set(jaccard.word_hashes(b" ".join(words).decode()).tolist())) == 50
 
 
 def test_trie_alone():

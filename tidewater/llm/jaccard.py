@@ -5,41 +5,46 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, shared
-from .repeats import Slices, mixed
+from .repeats import mixed
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-TEXT_PIECE = 1 << 20
 CHUNK = 48
 #: So many rows of ids (about 40 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 KNOWN = 1_000_000
+#: Words whose hashes a task keeps, and shingles (8 bytes each) that a block of a trie join holds.
+KNOWN_WORDS = 1_000_000
+BLOCK_SHINGLES = 2_000_000
+#: Partitions of the token space that a set tries in turn (see signatures()).
+LEVELS = 12
+
+
+class WordHashes(dict):
+    """64-bit keyed hashes of words; a word met before costs a look-up."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"word").digest(), "little")
+        return found
+
+
+_hashes = WordHashes()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words of a text, A-Z lower-cased."""
-    data = _LOWER[np.frombuffer((text or "").encode(), dtype=np.uint8)]
-    blank = _BLANK[data]
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(data) else np.zeros(0, dtype=np.int64)
-    ends = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1 if len(data) else starts
-    out, a = [], 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + TEXT_PIECE)))
-        base = starts[a]
-        out.append(Slices(data[base : ends[b - 1]]).of(starts[a:b] - base, ends[a:b] - base))
-        a = b
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+    words = (text or "").encode().lower().split()
+    if len(_hashes) > KNOWN_WORDS:
+        _hashes.clear()
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -73,11 +78,31 @@ def _band_plan(band: int, threshold: Fraction) -> int:
     return int(2 * int(_band_starts(threshold)[band] / threshold) * (1 - threshold) / (1 + threshold))
 
 
+@functools.lru_cache(maxsize=4096)
+def _band_slack(band: int, threshold: Fraction) -> int:
+    """Empty parts that a set may have at a level and still stop there: four of five of the band's smallest sets have no more."""
+    k, n = _band_plan(band, threshold), _band_starts(threshold)[max(0, band - 1)]
+    slack = 0
+    while True:
+        parts = k + 1 + slack
+        mean = parts * (1 - 1 / parts) ** n
+        term = total = math.exp(-mean)
+        for i in range(1, slack + 1):
+            term *= mean / i
+            total += term
+        if total >= 0.8:
+            return slack
+        slack += 1
+
+
 def signatures(tokens: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Two sets above the threshold share a signature.
+    """Two different sets above the threshold share a signature.
 
-    In a band of sizes the two differ in k tokens at most, so of k + 1 parts of the token space one holds the same
-    tokens in both. A signature is the hash of one part. Each set has those of its band and of the next.
+    In a band of sizes the two differ in k tokens at most, so of k + 1 + s parts of the token space s + 1 hold the same
+    tokens in both. If one of the sets has at most s empty parts, one of these is not empty, and its hash is a
+    signature; empty parts, which most sets of a band would share, are none. A set with more of them also has the
+    signatures of the next level, which deals tokens into parts anew, so of two such sets one must stop, or both go on.
+    The rare sets that stop at no level share one signature for each band. Each set has those of its band and of the next.
     """
     own = bisect.bisect_right(_band_starts(threshold), len(tokens)) - 1
     out = []
@@ -85,45 +110,74 @@ def signatures(tokens: np.ndarray, threshold: Fraction) -> np.ndarray:
         k = _band_plan(band, threshold)
         if k < 1:
             continue
-        part = (tokens % np.uint64(k + 1)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
-        np.cumsum(mixed(tokens + np.uint64(band))[order], out=sums[1:])
-        edges = np.zeros(k + 2, dtype=np.int64)
-        np.cumsum(np.bincount(part, minlength=k + 1), out=edges[1:])
-        out.append(mixed((sums[edges[1:]] - sums[edges[:-1]]) + np.arange(k + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(band)))
+        slack = _band_slack(band, threshold)
+        parts = k + 1 + slack
+        hashed = mixed(tokens + np.uint64(band))
+        for level in range(LEVELS):
+            part = ((mixed(tokens + np.uint64(level << 32)) if level else tokens) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
+            np.cumsum(hashed[order], out=sums[1:])
+            edges = np.zeros(parts + 1, dtype=np.int64)
+            np.cumsum(np.bincount(part, minlength=parts), out=edges[1:])
+            some = np.flatnonzero(np.diff(edges))
+            salt = some.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(band + (level << 20))
+            out.append(mixed((sums[edges[some + 1]] - sums[edges[some]]) + salt))
+            if parts - len(some) <= slack:
+                break
+        else:
+            out.append(mixed(np.array([band], dtype=np.uint64)))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _describe(batches: Iterator[pd.DataFrame], n: int, threshold: Fraction) -> Iterator[pd.DataFrame]:
-    """A set that this task has met before (it forgets after KNOWN sets) needs no signatures again."""
+def _describe(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sizes, nodes = [], []
+        for text in batch["_text"]:
+            tokens = shingles(text, n)
+            sizes.append(len(tokens))
+            nodes.append(set_id(tokens) if len(tokens) else None)
+        yield pd.DataFrame({"_id": batch["_id"], "_uid": batch["_uid"], "n_shingles": sizes, "node": pd.array(nodes, dtype="Int64")})
+
+
+def _sign(batches: Iterator[pd.DataFrame], n: int, threshold: Fraction) -> Iterator[pd.DataFrame]:
+    """node and signature; a set that this task has met before (it forgets after KNOWN sets) needs none again."""
     known: set[int] = set()
-    none = np.zeros(0, dtype=np.int64)
+    nodes, signed, room = [], [], 0
+    table = lambda: pd.DataFrame({"node": np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in signed]), "signature": np.concatenate(signed)})
     for batch in batches:
-        rows = []
         for text in batch["_text"]:
             tokens = shingles(text, n)
-            node = set_id(tokens) if len(tokens) else None
-            rows.append((len(tokens), node, none if node is None or node in known else signatures(tokens, threshold).view(np.int64)))
-            if node is not None:
-                known.add(node)
+            node = set_id(tokens)
+            if not len(tokens) or node in known:
+                continue
+            known.add(node)
+            nodes.append(node)
+            signed.append(signatures(tokens, threshold).view(np.int64))
+            room += len(signed[-1])
+            if room > 100_000:
+                yield table()
+                nodes, signed, room = [], [], 0
         if len(known) > KNOWN:
             known.clear()
-        sizes, nodes, signed = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pd.DataFrame({"_id": batch["_id"], "_uid": batch["_uid"], "n_shingles": list(sizes), "node": pd.array(list(nodes), dtype="Int64"), "_signatures": list(signed)})
+    if signed:
+        yield table()
 
 
 def trie_join(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
     """Component labels of distinct sets, linked where their Jaccard similarity reaches the threshold.
 
-    The sets, in one token order and sorted, are the paths of a trie. It is walked once; the overlap of a shared path
+    The sets, sorted by one order of tokens (the most frequent first, so that paths are shared for long), are the paths of a trie. It is walked once; the overlap of a shared path
     with all sets is counted once for the whole subtree, and a set is dropped from a subtree when, with all tokens that
     it or the subtree's longest path has left, it could not reach the threshold with the shortest one.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    vocabulary, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(vocabulary), dtype=np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(vocabulary))
     owner = np.repeat(np.arange(m), sizes)
+    flat = rank[flat][np.lexsort((rank[flat], owner))]
     begin = np.concatenate([[0], np.cumsum(sizes)])
     ids = [flat[begin[i] : begin[i + 1]] for i in range(m)]
     by_token = np.argsort(flat, kind="stable")
@@ -186,61 +240,109 @@ def _join(batch: pd.DataFrame, n: int, threshold: Fraction) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[linked], "b": nodes[label[linked]]})
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _id_name(column: str) -> Column:
+    """An id as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
+
+
+def _linked(texts: DataFrame, held: DataFrame, placed: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """Links (a, b) found by trie joins of the nodes of each _hub, _one, _two in `placed`."""
+    wanted = _small(shared.save(held.join(placed, "node"), "placed"))
+    rows = texts.join(wanted, ["_uid", "_name"]).select("_hub", "_one", "_two", "node", "_text")
+    return rows.groupBy("_hub", "_one", "_two").applyInPandas(lambda batch: _join(batch, n, threshold), "a long, b long")
+
+
 def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block: int) -> DataFrame:
     """_id, _uid (hash of the text), n_shingles, _root (null without words) of each row."""
     threshold = Fraction(percent, 100)
     given = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_uid"), F.col(text).alias("_text"))
     id_type = given.schema["_id"].dataType.simpleString()
-    described = shared.save(
-        given.mapInPandas(lambda it: _describe(it, n, threshold), f"_id {id_type}, _uid long, n_shingles long, node long, _signatures array<long>"), "shingles"
+    described = shared.save(given.mapInPandas(lambda it: _describe(it, n), f"_id {id_type}, _uid long, n_shingles long, node long"), "shingled")
+    signed = given.select("_text").mapInPandas(lambda it: _sign(it, n, threshold), "node long, signature long")
+    upto = Window.partitionBy("signature").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stars = shared.save(signed.withColumn("_hub", F.first("node").over(upto)).filter("node != _hub").select("node", "_hub").distinct(), "stars")
+    stars_all = stars.unionByName(stars.select(F.col("_hub").alias("node"), "_hub").distinct())
+    held = (
+        described.join(_small(stars_all.select("node").distinct()), "node", "left_semi").groupBy("node", "n_shingles")
+        .agg(F.min(F.struct("_uid", _id_name("_id").alias("_name"))).alias("_held")).select("node", "n_shingles", "_held.*")
+    )
+    held = shared.save(held, "held")
+    sizes = (
+        stars.join(_small(held.select("node", "n_shingles")), "node").groupBy("_hub").agg(F.count("*").alias("_size"), F.sum("n_shingles").alias("_room"))
+        .select("_hub", F.greatest(F.ceil(F.col("_size") / block), F.ceil(F.col("_room") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
     )
-    signed = described.select("node", F.explode("_signatures").alias("_signature"))
-    hubs = signed.withColumn("_hub", F.min("node").over(Window.partitionBy("_signature"))).filter("node != _hub")
-    candidates = shared.save(hubs.select(F.col("node").alias("a"), F.col("_hub").alias("b")).distinct(), "candidates")
-    signed_rows, described = described, shared.save(described.drop("_signatures"), "shingled")
-    shared.drop(signed_rows)
-    families = shared.save(graph.components(candidates), "families")
-    shared.drop(candidates)
-    hint = F.broadcast if families.count() <= BROADCAST_ROWS else lambda x: x
-    sizes = families.groupBy("root").agg(F.count("*").alias("_size")).withColumn("_blocks", F.ceil(F.col("_size") / block).cast("int"))
+    texts = given.withColumn("_name", _id_name("_id")).drop("_id")
+    dealt = stars.join(sizes, "_hub").withColumn("_own", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
+    with_hub = dealt.unionByName(dealt.select(F.col("_hub").alias("node"), "_hub", "_blocks", "_own").distinct())
+    links = shared.save(_linked(texts, held.drop("n_shingles"), with_hub.select("node", "_hub", F.col("_own").alias("_one"), F.col("_own").alias("_two")), n, threshold), "links")
+    open_ = sizes.filter("_blocks > 1")
+    if not open_.isEmpty():
+        more = _across(stars.join(open_, "_hub"), graph.components(links), block)
+        more = _linked(texts, held.drop("n_shingles"), more, n, threshold)
+        links = shared.save(links.unionByName(more), "links")
+    roots = graph.components(links)
+    for done in (stars, held):
+        shared.drop(done)
+    wordless = described.filter("node IS NULL").select("_id", "_uid", "n_shingles", F.col("node").alias("_root"))
+    members = described.filter("node IS NOT NULL").join(_small(roots), "node", "left").select("_id", "_uid", "n_shingles", F.coalesce("root", "node").alias("_root"))
+    found = shared.save(members.unionByName(wordless), "members")
+    shared.drop(described)
+    shared.drop(links)
+    return found
+
+
+def _across(stars: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """node, _hub, _one, _two: pairs of blocks of stars that were joined in several, but for those that links already connect.
+
+    A block holds nodes of one component (so far) only, or of small ones; two blocks of one component need no join.
+    """
+    named = stars.join(_small(roots.withColumnRenamed("root", "_so_far")), "node", "left").withColumn("_so_far", F.coalesce("_so_far", "node"))
+    counts = named.groupBy("_hub", "_so_far").agg(F.count("*").alias("_n"))
+    several = counts.groupBy("_hub").agg(F.count("*").alias("_parts"), F.sum(F.when(F.col("_n") < block // 2, F.col("_n")).otherwise(0)).alias("_few")).filter("_parts > 1").drop("_parts")
+    kind = F.when(F.col("_n") < block // 2, F.lit(None)).otherwise(F.col("_so_far"))
+    pieces = F.greatest(F.ceil(F.when(F.col("_n") < block // 2, F.col("_few")).otherwise(F.col("_n")) * F.col("_blocks") / F.col("_all")), F.lit(1)).cast("int")
     placed = (
-        families.join(sizes, "root").withColumn("_own", F.pmod(F.xxhash64("node"), "_blocks").cast("int"))
-        .withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("node", "root", F.least("_own", "_with").alias("_one"), F.greatest("_own", "_with").alias("_two")).distinct()
+        named.join(counts, ["_hub", "_so_far"]).join(several, "_hub").join(counts.groupBy("_hub").agg(F.sum("_n").alias("_all")), "_hub")
+        .withColumn("_kind", kind).withColumn("_own", F.xxhash64("_kind", F.pmod(F.xxhash64("node"), pieces)))
+        .select("node", "_hub", "_kind", "_own")
     )
-    held = described.filter("node IS NOT NULL").join(families.select("node"), "node", "left_semi").groupBy("node").agg(F.min("_uid").alias("_held"))
-    texts = given.join(hint(held), F.col("_uid") == F.col("_held")).select("node", "_text").dropDuplicates(["node"])
-    links = shared.save(
-        texts.join(placed, "node").groupBy("root", "_one", "_two").applyInPandas(lambda batch: _join(batch, n, threshold), "a long, b long"), "links"
+    blocks = placed.select("_hub", "_kind", "_own").distinct()
+    other = blocks.select("_hub", F.col("_kind").alias("_other_kind"), F.col("_own").alias("_other"))
+    pairs = (
+        placed.join(other, "_hub").filter("_kind IS NULL OR _other_kind IS NULL OR _kind != _other_kind")
+        .select("node", "_hub", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"))
     )
-    roots = graph.components(links)
-    members = described.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node"))
-    return shared.save(members.select("_id", "_uid", "n_shingles", "_root"), "members")
+    return pairs.distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, block: int = 500) -> DataFrame:
     """key, n_shingles, component_id: documents linked where 100 * intersection >= percent * union of their n-word sets.
 
     component_id is the least key that links reach. Documents with equal sets are one node. Nodes that share a
-    signature are candidates; candidates' components are families, which no link leaves. Families are joined by tries,
-    each of `block` nodes or of two blocks of a larger family, whose pairs of blocks are tasks of their own.
+    signature are candidates and belong to the star of the least of them. A star is joined by tries of `block` nodes
+    (or BLOCK_SHINGLES) each; then pairs of blocks of a larger star that links don't connect yet are tasks of their own.
     A text without words, empty or null, is linked with nothing. Rows with a repeated key are documents of
     their own; a null key takes part but is never the least. An empty table gives an empty result.
     """
     members = _members(docs, key, text, n, percent, block)
-    least = members.filter("_root IS NOT NULL").groupBy("_root").agg(F.min("_id").alias("component_id"))
-    return members.join(least, "_root", "left").select(F.col("_id").alias(key), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+    worded = members.filter("_root IS NOT NULL")
+    least = worded.groupBy("_root").agg(F.min("_id").alias("component_id"))
+    wordless = members.filter("_root IS NULL").withColumn("component_id", F.col("_id"))
+    return worded.join(least, "_root").unionByName(wordless).select(F.col("_id").alias(key), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block: int = 500) -> DataFrame:
     """The rows of docs without near copies: of each component the row with the least key stays, and all rows without words."""
     members = _members(docs, key, text, n, percent, block)
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     groups = members.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(F.struct("_id", "_uid")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    marked = members.join(groups, "_root").select(name("_id").alias("_name"), "_uid", F.struct("_id", "_uid").eqNullSafe(F.col("_first")).alias("_one")).distinct()
+    marked = members.join(groups, "_root").select(_id_name("_id").alias("_name"), "_uid", F.struct("_id", "_uid").eqNullSafe(F.col("_first")).alias("_one")).distinct()
     marks = shared.save(marked, "marks")
-    hint = F.broadcast if marks.count() <= BROADCAST_ROWS else lambda x: x
-    joined = docs.withColumn("_name", name(key)).withColumn("_uid", F.xxhash64(text)).join(hint(marks), ["_name", "_uid"], "left")
+    joined = docs.withColumn("_name", _id_name(key)).withColumn("_uid", F.xxhash64(text)).join(_small(marks), ["_name", "_uid"], "left")
     copy = F.row_number().over(Window.partitionBy("_name", "_uid").orderBy("_name"))
     first = joined.filter("_one").withColumn("_copy", copy).filter("_copy = 1")
     return joined.filter("_one IS NULL").select(*docs.columns).unionByName(first.select(*docs.columns))
