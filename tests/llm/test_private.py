@@ -38,10 +38,10 @@ def run(spark, texts, **more):
 def test_base_spans(spark):
     rng = random.Random(5)
     texts = [
-        None, "", "plain", "a@b.c_x@d.e", "a@b.c-x@d.e.", "x@y a@b. é𝔸 q.w+e@mail-1.example.org", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255 1.2.3.0256",
+        None, "", "plain", "a@b.c_x@d.e", "a@b.c-x@d.e.", "x@y a@b. é𝔸 q.w+e@mail-1.example.org", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255 1.2.3.0256", "127.0.0.1 10.0.0.1 0.0.0.0 000.00.0.0255 1.0.0.256",
         "4111 1111 1111 1111 and 4111-1111-1111-1112, 41111111111111114111", "+1 (171) 555-2028 +49.30.1234567, +12", "7" * 5000 + " " + "a" * 5000 + " @ " + "1." * 3000,
     ]
-    pieces = ["a", "Zé", "@", ".", "1", "25", "255", "4111111111111111", "+", "-", " ", "  ", "(", ")", "%", "\n", "𝔸", "8.8.8.8", "x@y.z"]
+    pieces = ["a", "Zé", "@", ".", "0", "1", "25", "255", "10.0.0.1", "4111111111111111", "+", "-", " ", "  ", "(", ")", "%", "\n", "𝔸", "8.8.8.8", "x@y.z"]
     texts += ["".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(300)]
     got = run(spark, texts)
     for i, text in enumerate(texts):

@@ -18,7 +18,7 @@ PATTERNS = {
 }
 #: A word with a digit or an @ in it.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
 def _matches(text: Column, name: str, pattern: str) -> Column:
