@@ -18,8 +18,6 @@ from . import graph, shared
 from .repeats import mixed
 
 CHUNK = 48
-#: So many rows of ids (about 40 bytes each) are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 KNOWN = 1_000_000
 #: Words whose hashes a task keeps, and shingles (8 bytes each) that a block of a trie join holds.
 KNOWN_WORDS = 1_000_000
@@ -240,11 +238,6 @@ def _join(batch: pd.DataFrame, n: int, threshold: Fraction) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[linked], "b": nodes[label[linked]]})
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _id_name(column: str) -> Column:
     """An id as a join key that is never null."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))
@@ -252,7 +245,7 @@ def _id_name(column: str) -> Column:
 
 def _linked(texts: DataFrame, held: DataFrame, placed: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """Links (a, b) found by trie joins of the nodes of each _hub, _one, _two in `placed`."""
-    wanted = _small(shared.save(held.join(placed, "node"), "placed"))
+    wanted = shared.small(shared.save(held.join(placed, "node"), "placed"))
     rows = texts.join(wanted, ["_uid", "_name"]).select("_hub", "_one", "_two", "node", "_text")
     return rows.groupBy("_hub", "_one", "_two").applyInPandas(lambda batch: _join(batch, n, threshold), "a long, b long")
 
@@ -268,12 +261,12 @@ def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block:
     stars = shared.save(signed.withColumn("_hub", F.first("node").over(upto)).filter("node != _hub").select("node", "_hub").distinct(), "stars")
     stars_all = stars.unionByName(stars.select(F.col("_hub").alias("node"), "_hub").distinct())
     held = (
-        described.join(_small(stars_all.select("node").distinct()), "node", "left_semi").groupBy("node", "n_shingles")
+        described.join(shared.small(stars_all.select("node").distinct()), "node", "left_semi").groupBy("node", "n_shingles")
         .agg(F.min(F.struct("_uid", _id_name("_id").alias("_name"))).alias("_held")).select("node", "n_shingles", "_held.*")
     )
     held = shared.save(held, "held")
     sizes = (
-        stars.join(_small(held.select("node", "n_shingles")), "node").groupBy("_hub").agg(F.count("*").alias("_size"), F.sum("n_shingles").alias("_room"))
+        stars.join(shared.small(held.select("node", "n_shingles")), "node").groupBy("_hub").agg(F.count("*").alias("_size"), F.sum("n_shingles").alias("_room"))
         .select("_hub", F.greatest(F.ceil(F.col("_size") / block), F.ceil(F.col("_room") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
     )
     texts = given.withColumn("_name", _id_name("_id")).drop("_id")
@@ -289,7 +282,7 @@ def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block:
     for done in (stars, held):
         shared.drop(done)
     wordless = described.filter("node IS NULL").select("_id", "_uid", "n_shingles", F.col("node").alias("_root"))
-    members = described.filter("node IS NOT NULL").join(_small(roots), "node", "left").select("_id", "_uid", "n_shingles", F.coalesce("root", "node").alias("_root"))
+    members = described.filter("node IS NOT NULL").join(shared.small(roots), "node", "left").select("_id", "_uid", "n_shingles", F.coalesce("root", "node").alias("_root"))
     found = shared.save(members.unionByName(wordless), "members")
     shared.drop(described)
     shared.drop(links)
@@ -301,7 +294,7 @@ def _across(stars: DataFrame, roots: DataFrame, block: int) -> DataFrame:
 
     A block holds nodes of one component (so far) only, or of small ones; two blocks of one component need no join.
     """
-    named = stars.join(_small(roots.withColumnRenamed("root", "_so_far")), "node", "left").withColumn("_so_far", F.coalesce("_so_far", "node"))
+    named = stars.join(shared.small(roots.withColumnRenamed("root", "_so_far")), "node", "left").withColumn("_so_far", F.coalesce("_so_far", "node"))
     counts = named.groupBy("_hub", "_so_far").agg(F.count("*").alias("_n"))
     several = counts.groupBy("_hub").agg(F.count("*").alias("_parts"), F.sum(F.when(F.col("_n") < block // 2, F.col("_n")).otherwise(0)).alias("_few")).filter("_parts > 1").drop("_parts")
     kind = F.when(F.col("_n") < block // 2, F.lit(None)).otherwise(F.col("_so_far"))
@@ -342,7 +335,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     groups = members.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(F.struct("_id", "_uid")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     marked = members.join(groups, "_root").select(_id_name("_id").alias("_name"), "_uid", F.struct("_id", "_uid").eqNullSafe(F.col("_first")).alias("_one")).distinct()
     marks = shared.save(marked, "marks")
-    joined = docs.withColumn("_name", _id_name(key)).withColumn("_uid", F.xxhash64(text)).join(_small(marks), ["_name", "_uid"], "left")
+    joined = docs.withColumn("_name", _id_name(key)).withColumn("_uid", F.xxhash64(text)).join(shared.small(marks), ["_name", "_uid"], "left")
     copy = F.row_number().over(Window.partitionBy("_name", "_uid").orderBy("_name"))
     first = joined.filter("_one").withColumn("_copy", copy).filter("_copy = 1")
     return joined.filter("_one IS NULL").select(*docs.columns).unionByName(first.select(*docs.columns))

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from . import shared
 
+#: Equal rows that a task numbers at once.
+COPIES = 10_000
+
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
     """Number of good ones among `drawn` of good + bad, by inversion outward from the mode; fits any size of table."""
@@ -55,20 +58,35 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list
     return matrix
 
 
-def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", seed: int = 17, partitions: int = 2048) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, seed: int = 17, partitions: int = 2048) -> DataFrame:
     """Adds shard (0 to shards - 1) and slot (gapless from 0 in its shard): a uniform shuffle of all rows.
 
-    Shard sizes differ by one row at most. Rows are dealt by a hash of `key` into `partitions` virtual partitions, so
-    that reruns and lost executors give the same result. The driver draws the matrix from the partitions' counts
+    Shard sizes differ by one row at most. A row is known by two hashes of all its columns and, among equal rows, a
+    number, so reruns and lost executors give the same result and equal rows are placed independently. Rows are dealt
+    into `partitions` virtual partitions by these. The driver draws the matrix from the partitions' counts
     (partitions x shards numbers, a bound that does not grow with the table); each partition permutes its rows and
-    cuts them by its row of the matrix, and each shard permutes what it gets. Rows with a null or repeated key
-    are rows like any other; equal rows are interchangeable. An empty table gives an empty result.
+    cuts them by its row of the matrix, and each shard permutes what it gets. Only ids are placed; the rows themselves
+    join them once. Nulls and empty texts are values like any other; columns `shard` and `slot` of docs are
+    replaced, all other names may be used; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    extra = [c for c in docs.columns if c != key]
-    tie = F.xxhash64(F.lit(seed + 1), key, *extra)
-    dealt = docs.withColumn("_partition", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(partitions)).cast("int")).withColumn("_mix", tie)
-    counted = {r[0]: r[1] for r in dealt.groupBy("_partition").count().collect()}
+    rows = shared.packed(docs, "shard", "slot")
+    own = [F.col(f"_row.`{f.name}`") for f in rows.schema["_row"].dataType.fields]
+    rows = rows.withColumn("_one", shared.row_hash(seed, own)).withColumn("_two", shared.row_hash(~seed, own))
+    counts = rows.groupBy("_one", "_two").agg(F.count("*").alias("_copies"))
+    first = F.explode(F.expr(f"sequence(0L, _copies - 1, {COPIES}L)"))
+    chunks = counts.filter("_copies = 1").withColumn("_first", F.lit(0).cast("long")).unionByName(
+        counts.filter("_copies > 1").withColumn("_first", first).repartition("_one", "_first")
+    )
+    copies = chunks.withColumn("_copy", F.explode(F.expr(f"sequence(_first, least(_first + {COPIES - 1}, _copies - 1))")))
+    name = ["_one", "_two", "_copy"]
+    ids = shared.save(
+        copies.select(
+            *name, "_copies", F.pmod(F.xxhash64(F.lit(seed), *name), F.lit(partitions)).cast("int").alias("_partition"), F.xxhash64(F.lit(seed + 1), *name).alias("_mix"),
+        ),
+        "shard-ids",
+    )
+    counted = {r[0]: r[1] for r in ids.groupBy("_partition").count().collect()}
     total = sum(counted.values())
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     numbers = sorted(counted)
@@ -76,12 +94,21 @@ def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", seed: int = 17
     cuts = [(p, np.cumsum(row).tolist()) for p, row in zip(numbers, matrix, strict=True)]
     schema = T.StructType([T.StructField("_partition", T.IntegerType()), T.StructField("_cuts", T.ArrayType(T.LongType(), False))])
     cut = spark.createDataFrame(cuts, schema)
-    local = Window.partitionBy("_partition").orderBy("_mix", key)
-    sent = (
-        dealt.withColumn("_place", F.row_number().over(local) - 1)
+    local = Window.partitionBy("_partition").orderBy("_mix", *name)
+    sent = shared.save(
+        ids.withColumn("_place", F.row_number().over(local) - 1)
         .join(F.broadcast(cut), "_partition")
-        .withColumn("shard", F.size(F.filter("_cuts", lambda c: c <= F.col("_place"))))
-        .drop("_partition", "_cuts", "_place")
-        .withColumn("_second", F.xxhash64(F.lit(seed + 2), "_mix")).withColumn("_one", F.lit(1))
+        .select(
+            *name, "_copies", F.size(F.filter("_cuts", lambda c: c <= F.col("_place"))).alias("shard"), F.xxhash64(F.lit(seed + 2), *name).alias("_second"),
+            F.lit(1).alias("_each"),
+        ),
+        "shard-sent",
     )
-    return shared.offsets(sent, "shard", "_second", F.shiftright("_second", 54), "_one", ["_mix", key], "slot").select(*docs.columns, "shard", "slot")
+    shared.drop(ids)
+    slots = shared.offsets(sent, "shard", "_second", F.shiftright("_second", 54), "_each", name, "slot")
+    placed = shared.save(slots.select("_one", "_two", "_copies", "shard", F.col("slot").cast("long").alias("slot")), "shard-slots")
+    shared.drop(sent)
+    single = rows.join(shared.small(placed.filter("_copies = 1").drop("_copies")), ["_one", "_two"])
+    repeated = placed.filter("_copies > 1").drop("_copies")
+    one_each = rows.join(shared.small(repeated.select("_one", "_two").distinct()), ["_one", "_two"], "left_semi").groupBy("_one", "_two").agg(F.first("_row").alias("_row"))
+    return shared.unpacked(single.select("_row", "shard", "slot").unionByName(one_each.join(repeated, ["_one", "_two"]).select("_row", "shard", "slot")), "shard", "slot")

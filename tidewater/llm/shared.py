@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,11 @@ from tidewater.cluster import ship_package
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: So many small rows (ids and numbers, about 40 bytes each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
 _own_folder: list[str] = []
+_scratch: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +43,8 @@ def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.saved_path = path
+    for held in _scratch[-1:]:
+        held.append(back)
     return back
 
 
@@ -47,6 +55,45 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that save() writes inside are dropped at the end; what is needed later is saved outside or with keep()."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for df in _scratch.pop():
+            drop(df)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Takes a saved table out of the present scratch()."""
+    for held in _scratch[-1:]:
+        held[:] = [x for x in held if x is not df]
+    return df
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has BROADCAST_ROWS at most. df should be a saved table, as it is counted."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def packed(df: DataFrame, *replaced: str) -> DataFrame:
+    """One column `_row`, a struct of df's columns but `replaced`: no column that an operator adds can clash with them."""
+    kept = df.drop(*replaced)
+    return kept.select(F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("_row"))
+
+
+def unpacked(df: DataFrame, *more: str | Column) -> DataFrame:
+    """The columns that packed() put away, and `more`."""
+    return df.select("_row.*", *more)
+
+
+def row_hash(seed: int, columns: list[Column]) -> Column:
+    """A hash of some columns that tells a null from a missing place."""
+    return F.xxhash64(F.lit(seed), *(x for c in columns for x in (c, c.isNull())))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
