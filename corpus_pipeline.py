@@ -28,14 +28,20 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number of times."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    taken = mixture.mix(keyed.select(F.col("_row").alias("doc_id"), "source", shared.n_words(F.col("text")).alias("size")))
+    """Each document as often as the mix takes its words, to the nearest whole number of times.
+
+    Only the documents at the end of a source's last pass are taken in part, so rounding moves a source's words by a
+    document or two. Documents without words, which the mix has no say in, stay once. Equal rows share what is taken.
+    """
+    rows = shared.packed(docs)
+    rows = rows.withColumn("_one", shared.row_hash(0, [F.col("_row.doc_id"), F.col("_row.text"), F.col("_row.source")]))
+    taken = mixture.mix(rows.select(F.col("_one").alias("doc_id"), F.col("_row.source").alias("source"), shared.n_words(F.col("_row.text")).alias("size")))
     times = (
-        taken.groupBy(F.col("doc_id").alias("_row")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-        .select("_row", F.round(F.col("_taken") / F.greatest("_size", F.lit(1))).cast("int").alias("_times")).filter("_times > 0")
+        taken.groupBy(F.col("doc_id").alias("_one")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+        .select("_one", F.when(F.col("_size") == 0, 1).otherwise(F.round(F.col("_taken") / F.greatest("_size", F.lit(1)))).cast("int").alias("_times")).filter("_times > 0")
     )
-    return keyed.join(times, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    times = shared.small(shared.save(times, "pipeline-times"))
+    return shared.unpacked(rows.join(times, "_one").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
     for number, (_, stage) in enumerate(STAGES):
-        docs = shared.save(stage(spark, docs, sf_dir), f"pipeline-{number}")
+        with shared.scratch():
+            after = shared.keep(shared.save(stage(spark, docs, sf_dir), f"pipeline-{number}"))
+        if number:
+            shared.drop(docs)
+        docs = after
     return docs
