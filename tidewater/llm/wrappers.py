@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -12,13 +13,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe)\b[^<>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"""
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*+)(?P<attrs>(?:"[^"]*+"|'[^']*+'|[^'"<>])*+)>|<[!?][^<>]*+>""",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
-#: HTML's elements without content, its blocks, and elements and class names that hold no main text.
+#: HTML's elements without content, its blocks, elements that hold no main text, and class names that say
+#: so inside the main element (what alignment cannot tell: their texts differ from page to page).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
@@ -33,18 +37,21 @@ NO_TEXT_NAMES = set(
     "sponsors subscribe subscription toolbar widget".split()
 )
 MAIN = ("article", "main")
+#: An element is the host's own if its text is the same on so many pages that have it.
+LEAST_PAGES = 3
 
 
 class Node:
-    """An element: its key (tag and class names), children (nodes and texts), and whether its text can be main text."""
+    """An element: its key (tag and class names), children (nodes and texts), and whether its tag and names allow main text."""
 
-    __slots__ = ("children", "key", "plain", "tag")
+    __slots__ = ("allowed", "children", "key", "named", "tag")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         names = [n for m in ATTRIBUTE.finditer(attrs) for n in (m[2] or m[3] or m[4] or "").lower().split()] if attrs else []
         self.tag = tag
         self.key = ".".join([tag, *sorted({re.sub("[0-9]+", "", n) for n in names})])
-        self.plain = tag not in NO_TEXT and (tag in MAIN or not any(part in NO_TEXT_NAMES for n in names for part in re.split("[-_]+", n)))
+        self.allowed = tag not in NO_TEXT
+        self.named = tag not in MAIN and any(part in NO_TEXT_NAMES for n in names for part in re.split("[-_]+", n))
         self.children: list[Node | str] = []
 
 
@@ -107,23 +114,37 @@ def squash(keys: list[str]) -> list[tuple[str, ...]]:
     return out
 
 
-def template(node: Node) -> dict:
-    """The wrapper of one page. order: groups of child keys; kids: their wrappers; n: pages; chars: main text; text: constant text, or null for a slot."""
-    text = " ".join(" ".join(c.split()) for c in node.children if isinstance(c, str)).strip()
-    kids: dict[str, dict] = {}
-    for c in node.children:
-        if isinstance(c, Node):
-            own = template(c)
-            kids[c.key] = merge(kids[c.key], own, False) if c.key in kids else own
-    return {
-        "order": [[list(g), 0] for g in squash([c.key for c in node.children if isinstance(c, Node)])], "kids": kids, "n": 1, "plain": node.plain,
-        "chars": len(text), "text": text[:80] if text else "",
-    }
+class Ids(dict):
+    """A number for each element of a host: a hash of its parent's and its key, the same in every task."""
+
+    def __missing__(self, at: tuple[int, str]) -> int:
+        found = self[at] = int.from_bytes(hashlib.blake2b(f"{at[0]} {at[1]}".encode(), digest_size=8).digest(), "big")
+        return found
+
+
+def template(root: Node) -> dict[int, list]:
+    """The wrapper of one page: parent, key, pages, characters of own text, hash of that text (null for a slot), order, and if it is allowed and named, by element.
+
+    order has the groups of children's keys, each with 1 if it is optional. Elements of one place with one key are
+    one element, repeated.
+    """
+    ids, out = Ids(), {}
+    stack = [(root, 0)]
+    while stack:
+        node, parent = stack.pop()
+        own = ids[parent, node.key]
+        kids = [c for c in node.children if isinstance(c, Node)]
+        text = " ".join(" ".join(c.split()) for c in node.children if isinstance(c, str)).strip()
+        mark = hashlib.blake2b(text.encode(errors="replace"), digest_size=8).hexdigest()
+        record = [parent, node.key, 1, len(text), mark, [[list(g), 0] for g in squash([c.key for c in kids])], int(node.allowed), int(node.named)]
+        out[own] = align(out[own], record, 0) if own in out else record
+        stack.extend((c, own) for c in kids)
+    return out
 
 
-def merge(a: dict, b: dict, pages: bool = True) -> dict:
-    """Aligns two wrappers. Groups in both stay; a mismatch makes a group optional (1); texts that differ become a slot."""
-    left, right = [g for g, _ in a["order"]], [g for g, _ in b["order"]]
+def align(a: list, b: list, pages: int) -> list:
+    """Aligns two records of an element. Groups in both stay; a mismatch makes a group optional; texts that differ become a slot."""
+    left, right = [g for g, _ in a[5]], [g for g, _ in b[5]]
     rows = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     if left != right:
         for i in range(len(left) - 1, -1, -1):
@@ -132,7 +153,7 @@ def merge(a: dict, b: dict, pages: bool = True) -> dict:
     order, i, j = [], 0, 0
     while i < len(left) or j < len(right):
         if i < len(left) and j < len(right) and left[i] == right[j]:
-            order.append([left[i], a["order"][i][1] | b["order"][j][1]])
+            order.append([left[i], a[5][i][1] | b[5][j][1]])
             i, j = i + 1, j + 1
         elif j == len(right) or (i < len(left) and rows[i + 1][j] >= rows[i][j + 1]):
             order.append([left[i], 1])
@@ -145,54 +166,101 @@ def merge(a: dict, b: dict, pages: bool = True) -> dict:
         if tuple(group) not in seen:
             seen.add(tuple(group))
             unique.append([group, optional])
-    kids = dict(a["kids"])
-    for key, own in b["kids"].items():
-        kids[key] = merge(kids[key], own, pages) if key in kids else own
-    return {
-        "order": unique, "kids": kids, "n": a["n"] + b["n"] if pages else a["n"], "plain": a["plain"] and b["plain"],
-        "chars": a["chars"] + b["chars"], "text": a["text"] if a["text"] == b["text"] else None,
-    }
-
-
-def mass(node: dict) -> int:
-    """Characters of main text in the slots of a wrapper: constant texts of several pages are the host's, not a page's."""
-    if not node["plain"]:
-        return 0
-    constant = node["text"] is not None and node["n"] > 1
-    return (0 if constant else node["chars"]) + sum(mass(k) for k in node["kids"].values())
-
-
-def main_path(wrapper: dict) -> list[str]:
-    """Keys that lead to the element with the main text: the largest article or main, else as deep as most text goes."""
-    best: tuple[int, list[str]] = (0, [])
-
-    def search(node: dict, path: list[str]) -> None:
-        nonlocal best
-        for key, kid in node["kids"].items():
-            if kid["plain"]:
-                if key.split(".")[0] in MAIN and mass(kid) > best[0]:
-                    best = (mass(kid), [*path, key])
-                search(kid, [*path, key])
-
-    search(wrapper, [])
-    if best[1]:
-        return best[1]
-    path, node = [], wrapper
-    while node["kids"]:
-        key, kid = max(node["kids"].items(), key=lambda x: (mass(x[1]), x[0]))
-        if mass(kid) < 0.8 * mass(node) or key.split(".")[0] in ("p", "ul", "ol", "table", "pre", "blockquote"):
-            break
-        path, node = [*path, key], kid
-    return path
-
-
-def main_text(root: Node, path: list[str]) -> str:
+    return [a[0], a[1], a[2] + pages * b[2], a[3] + b[3], a[4] if a[4] == b[4] else None, unique, a[6], a[7]]
+
+
+def merge(a: dict[int, list], b: dict[int, list]) -> dict[int, list]:
+    """One wrapper of two wrappers of several pages."""
+    out = dict(a)
+    for own, record in b.items():
+        out[own] = align(out[own], record, 1) if own in out else record
+    return out
+
+
+class Wrapper:
+    """What a host's wrapper says: where the main text is, which elements are the host's own, and which names to heed."""
+
+    def __init__(self, records: dict[int, list]) -> None:
+        self.records = records
+        self.kids: dict[int, list[int]] = {}
+        for own, record in records.items():
+            self.kids.setdefault(record[0], []).append(own)
+        order, stack = [], [0]
+        while stack:
+            own = stack.pop()
+            order.append(own)
+            stack.extend(self.kids.get(own, []))
+        self.slots, self.texts = dict.fromkeys(order, 0), dict.fromkeys(order, 0)
+        for own in reversed(order[1:]):
+            parent, _, pages, chars, mark, _, allowed, _ = records[own]
+            self.slots[own] += 0 if mark is not None and pages >= LEAST_PAGES else chars
+            self.texts[own] += chars
+            if allowed:
+                self.slots[parent] += self.slots[own]
+                self.texts[parent] += self.texts[own]
+        self.mass = self.slots if self.slots[0] else self.texts
+        self.inside = {own for own in order[1:] if records[own][1].split(".")[0] in MAIN}
+        for own in reversed(order[1:]):
+            if own in self.inside:
+                self.inside.add(records[own][0])
+
+    def heeded(self, own: int) -> bool:
+        """Whether an element's names count: not if it has an article or main, or most of the page's text, inside."""
+        return bool(self.records[own][7]) and own not in self.inside and 2 * self.mass[own] <= self.mass[0]
+
+    def path(self) -> list[int]:
+        """Elements that lead to the one with the main text: the largest article or main, else as deep as most text goes."""
+        best, stack = 0, [0]
+        while stack:
+            own = stack.pop()
+            for kid in self.kids.get(own, []):
+                if self.records[kid][6] and not self.heeded(kid):
+                    if self.records[kid][1].split(".")[0] in MAIN and (not best or self.mass[kid] > self.mass[best]):
+                        best = kid
+                    stack.append(kid)
+        if best and self.mass[best]:
+            found = [best]
+            while self.records[found[0]][0]:
+                found.insert(0, self.records[found[0]][0])
+            return found
+        found, own = [], 0
+        while self.kids.get(own):
+            open_ = [k for k in self.kids[own] if self.records[k][6] and not self.heeded(k)]
+            kid = max(open_, key=lambda k: (self.mass[k], self.records[k][1]), default=0)
+            stop = not kid or self.records[kid][1].split(".")[0] in ("p", "ul", "ol", "table", "pre", "blockquote")
+            if stop or self.mass[kid] < 0.8 * self.mass[own]:
+                break
+            found.append(kid)
+            own = kid
+        return found
+
+    def dropped(self, at: list[int]) -> list[int]:
+        """Elements below the main one that hold no main text: those of the host itself, and by their names."""
+        out, stack = [], list(self.kids.get(at[-1] if at else 0, []))
+        while stack:
+            own = stack.pop()
+            parent, key, pages, _, _, _, _, _ = self.records[own]
+            fixed = self.texts[own] > 0 and self.slots[own] == 0 and self.slots[0] > 0 and pages >= LEAST_PAGES and key.split(".")[0] in BLOCKS
+            if fixed or self.heeded(own):
+                out.append(own)
+            else:
+                stack.extend(self.kids.get(own, []))
+        return out
+
+
+def main_text(root: Node, path: list[int], dropped: set[int]) -> str:
     """The blocks of the elements at the path; of the page's own article, main or body where it has none."""
-    found = [root]
-    for key in path:
-        found = [c for n in found for c in n.children if isinstance(c, Node) and c.key == key and c.plain]
-    if not found or not path:
-        found = [*tagged(root, MAIN)] or [*tagged(root, ("body",))] or [root]
+    ids = Ids()
+    top = ids[0, root.key]
+    found = [(root, top)]
+    for own in path[1:]:
+        found = [(c, own) for n, at in found for c in n.children if isinstance(c, Node) and ids[at, c.key] == own]
+    if not found or len(path) < 2:
+        every = [(root, top)]
+        for tags in (MAIN, ("body",)):
+            if found := [*tagged(root, tags, ids, dropped)]:
+                break
+        found = found or every
     blocks, open_ = [], []
 
     def close() -> None:
@@ -200,37 +268,37 @@ def main_text(root: Node, path: list[str]) -> str:
             blocks.append(line)
         open_.clear()
 
-    stack: list = [c for n in reversed(found) for c in (None, *reversed(n.children), None)]
+    stack: list = [(c, at) for n, at in reversed(found) for c in (None, *reversed(n.children), None)]
     while stack:
-        c = stack.pop()
+        c, at = stack.pop()
         if c is None:
             close()
         elif isinstance(c, str):
             open_.append(c)
         elif c.tag == "br":
             open_.append(" ")
-        elif not c.plain:
+        elif not c.allowed or (own := ids[at, c.key]) in dropped:
             if c.tag in BLOCKS:
                 close()
         elif c.tag in BLOCKS:
             close()
-            stack.append(None)
-            stack.extend(reversed(c.children))
+            stack.append((None, own))
+            stack.extend((x, own) for x in reversed(c.children))
         else:
-            stack.extend(reversed(c.children))
+            stack.extend((x, own) for x in reversed(c.children))
     close()
     return "\n".join(blocks)
 
 
-def tagged(root: Node, tags: tuple[str, ...]) -> Iterator[Node]:
+def tagged(root: Node, tags: tuple[str, ...], ids: Ids, dropped: set[int]) -> Iterator[tuple[Node, int]]:
     """Outermost elements with one of the tags that can hold main text."""
-    stack = [root]
+    stack = [(root, ids[0, root.key])]
     while stack:
-        node = stack.pop()
-        if node.tag in tags and node.plain:
-            yield node
-        elif node.plain:
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        node, own = stack.pop()
+        if node.tag in tags and node.allowed:
+            yield node, own
+        elif node.allowed and own not in dropped:
+            stack.extend((c, ids[own, c.key]) for c in reversed(node.children) if isinstance(c, Node))
 
 
 def host(url: str) -> Column:
@@ -245,6 +313,10 @@ def _fold(rows: Iterator[tuple[str, dict]]) -> dict[str, dict]:
     return out
 
 
+def _load(text: str) -> dict[int, list]:
+    return {int(k): v for k, v in json.loads(text).items()}
+
+
 def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pages = ((name, template(parse(page))) for batch in batches for name, page in zip(batch["_host"], batch["_html"], strict=True))
     found = _fold(pages)
@@ -254,37 +326,53 @@ def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _combine(batch: pd.DataFrame) -> pd.DataFrame:
-    found = _fold((h, json.loads(w)) for h, w in zip(batch["_host"], batch["_wrapper"], strict=True))
-    return pd.DataFrame({"_host": list(found), "_wrapper": [json.dumps(w) for w in found.values()], "_path": ["\x1f".join(main_path(w)) for w in found.values()]})
+    found = _fold((h, _load(w)) for h, w in zip(batch["_host"], batch["_wrapper"], strict=True))
+    paths = {h: (w := Wrapper(x), w.path()) for h, x in found.items()}
+    return pd.DataFrame({
+        "_host": list(found), "_wrapper": [json.dumps(w) for w in found.values()],
+        "_path": [json.dumps(p) for _, p in paths.values()], "_dropped": [json.dumps(w.dropped(p)) for w, p in paths.values()],
+    })
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """_host, _wrapper (JSON), _path (keys that lead to the main text): one union-free expression for each host.
+    """_host, _wrapper, _path, _dropped (JSON): one union-free expression for each host, and what it says of the main text.
 
     Pages of one host are aligned one after the other; a mismatch of tags makes the groups in question optional,
-    repeated neighbours are one group, and texts that differ are slots. Each task folds its pages, then 64 parts of
-    each host, then these are merged, so a hot host is no task's alone.
+    repeated neighbours are one group, and texts that differ are slots. Texts that are the same on all pages that have
+    them are the host's own. Each task folds its pages, then 64 parts of each host, then these are merged, so a hot
+    host is no task's alone. A wrapper's size is bounded by the host's distinct elements, not its pages.
     """
+    kinds = "_host string, _wrapper string, _path string, _dropped string"
     parts = pages.select(host(url).alias("_host"), F.col(page).alias("_html")).mapInPandas(_infer, "_host string, _salt int, _wrapper string")
-    half = parts.groupBy("_host", "_salt").applyInPandas(_combine, "_host string, _wrapper string, _path string").select("_host", "_wrapper")
-    return half.groupBy("_host").applyInPandas(_combine, "_host string, _wrapper string, _path string")
+    half = parts.groupBy("_host", "_salt").applyInPandas(_combine, kinds).select("_host", "_wrapper")
+    return half.groupBy("_host").applyInPandas(_combine, kinds)
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text") -> DataFrame:
-    """Adds `out`, the main text, to the rows of pages; a column of that name is replaced.
+    """Adds `out`, the main text, to the rows of pages; a column of that name is replaced, all other names may be used.
 
-    Blocks of the element that the host's wrapper leads to, without menus, headers, footers, sidebars, notices, adverts,
-    forms, scripts, styles and comments; white space inside a block is one space. A null url is a host of its own;
-    a null or empty page has no text; repeated rows are pages of their own.
+    The text is what the host's wrapper has in the element that holds most of its slots: elements that are the same on
+    all pages go with the template. Inside it, tags such as nav, aside, form and script hold no text, nor do elements
+    whose names say so (unless most of the page, an article or main is in them). White space inside a block is one
+    space. Nesting of any depth is walked without recursion. A null url is a host of its own; a null or empty page
+    has no text; repeated rows are pages of their own; an empty table gives an empty result.
     """
-    paths = infer_wrappers(pages, url, page).select("_host", "_path")
+    found = shared.save(infer_wrappers(pages, url, page).select("_host", "_path", "_dropped"), "wrappers")
     kept = [c for c in pages.columns if c != out]
-    named = pages.select(*kept).withColumn("_host", host(url)).join(paths, "_host", "left").drop("_host")
+    given = pages.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)), F.col(page).alias("_html"), host(url).alias("_host"))
+    named = given.join(shared.small(found), "_host", "left").drop("_host")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded: dict[tuple, tuple] = {}
         for batch in batches:
-            found = [main_text(parse(p), path.split("\x1f") if path else []) for p, path in zip(batch[page], batch["_path"], strict=True)]
-            yield batch.drop(columns="_path").assign(**{out: found})
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema)
-    return named.mapInPandas(texts, f"{kinds}, `{out}` string")
+            lines = []
+            for html_, *says in zip(batch["_html"], batch["_path"], batch["_dropped"], strict=True):
+                says = tuple(says)
+                if says not in loaded:
+                    loaded.clear() if len(loaded) > 1000 else None
+                    loaded[says] = (json.loads(says[0] or "[]"), set(json.loads(says[1] or "[]")))
+                lines.append(main_text(parse(html_), *loaded[says]))
+            yield batch.drop(columns=["_html", "_path", "_dropped"]).assign(_text=lines)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("_html", "_host").schema)
+    return named.mapInPandas(texts, f"{kinds}, _text string").toDF(*kept, out)
