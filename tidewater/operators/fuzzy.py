@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.laws import Law, matrix
 from ..functions.model import RegimeModel, interpolate
-from .recursions import _grouped, _vectors, unknown_regimes
+from .recursions import by_series, unknown_regimes, vectors
 
 
 def grid_model(model: RegimeModel, law: Law, cells: int) -> tuple[RegimeModel, np.ndarray, np.ndarray]:
@@ -39,12 +39,12 @@ def fuzzy(df: DataFrame, model: RegimeModel, law: Law, cells: int, key: list[str
     own, r, w = grid_model(model, law, cells)
     added = "filter double, smooth double, predict double, p_filter array<double>, p_smooth array<double>, r_mean double, r_filter double, r_smooth double"
 
-    def one(rows: pd.DataFrame) -> dict:
-        found = unknown_regimes(_vectors(rows, y), own)
+    def some(rows: pd.DataFrame, sizes: np.ndarray) -> dict:
+        found = unknown_regimes(vectors(rows, y), sizes, own)
         pf, ps = found["p_filter"], found["p_smooth"]
         return {
             "filter": found["filter"][:, 0], "smooth": found["smooth"][:, 0], "predict": found["predict"][:, 0], "p_filter": list(pf), "p_smooth": list(ps),
             "r_mean": ps @ r, "r_filter": most_probable(pf, w, r), "r_smooth": most_probable(ps, w, r),
         }
 
-    return _grouped(df, key, order, added, one)
+    return by_series(df, key, order, added, some)

@@ -1,13 +1,15 @@
-"""Filters, smoothers and predictors of the hidden state, one task per series.
+"""Filters, smoothers and predictors of the hidden state.
 
 Each operator takes a table of series (key columns, an order column n, observation y, and where known the regime r) and
-returns its rows with estimates. A series is one group: the table is shuffled once by its key.
+returns its rows with estimates. The table is shuffled once by its key and sorted; a task works on many whole series at
+once, one step of all of them in each array operation. A single series is inherently sequential, so a very long one is
+one task, which holds its rows and about 200 bytes a row; FilterStream in streaming/ carries a state instead.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,179 +20,264 @@ from ..cluster import ship_package
 from ..functions.model import RegimeModel, interpolate, reversed_model
 
 FLOOR = 1e-300
+#: Rows of whole series that are worked on at once, if there are so many.
+ROWS = 50_000
+STATES = ("filter", "filter_var", "smooth", "smooth_var", "predict")
 
 
-def _grouped(df: DataFrame, key: list[str], order: str, added: str, one: Callable[[pd.DataFrame], dict]) -> DataFrame:
+def series_starts(rows: pd.DataFrame, key: list[str]) -> np.ndarray:
+    """Where series start in rows that are sorted by key (a null is a value of its own)."""
+    new = np.zeros(len(rows), dtype=bool)
+    new[:1] = True
+    for c in key:
+        codes = pd.factorize(rows[c], use_na_sentinel=False)[0]
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def by_series(df: DataFrame, key: list[str], order: str, added: str, some: Callable[[pd.DataFrame, np.ndarray], dict]) -> DataFrame:
+    """Adds the columns that `some` gives for a table of whole, ordered series and the sizes of these."""
     ship_package(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        return rows.assign(**one(rows))
+    def table(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(**some(rows, np.diff([*series_starts(rows, key), len(rows)])))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= ROWS:
+                rows = pd.concat(held, ignore_index=True)
+                last = series_starts(rows, key)[-1]
+                if last:
+                    yield table(rows.iloc[:last].reset_index(drop=True))
+                held = [rows.iloc[last:].reset_index(drop=True)]
+        if sum(map(len, held)):
+            yield table(pd.concat(held, ignore_index=True))
 
-    return df.groupBy(*key).applyInPandas(run, schema)
+    return df.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
 
 
-def _vectors(rows: pd.DataFrame, column: str) -> np.ndarray:
+def vectors(rows: pd.DataFrame, column: str) -> np.ndarray:
     """Observations as (N, n_y), of a double or an array column."""
     first = rows[column].iloc[0]
     return np.stack(rows[column].to_numpy()).astype(float) if isinstance(first, (list, np.ndarray)) else rows[column].to_numpy(dtype=float)[:, None]
 
 
-def _given(model: RegimeModel, r: np.ndarray) -> Callable[[int], tuple]:
-    """Parameters of step n for known regimes: integers pick a pair, fractions in [0, 1] interpolate the corners."""
-    fractions = not np.all(np.mod(r, 1) == 0)
-    k_all = len(model.mean)
+def steps(sizes: np.ndarray) -> list[np.ndarray]:
+    """Rows at each place of their series, the longest series first: step n + 1 has a part of the series of step n."""
+    order = np.argsort(-sizes, kind="stable")
+    first, left = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    return [first[: np.searchsorted(-left, -n, side="left")] + n for n in range(int(sizes.max(initial=0)))]
+
+
+def last_rows(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - 1
+
+
+def reversed_rows(sizes: np.ndarray) -> np.ndarray:
+    """For each row the one that stands in its place when each series is reversed."""
+    ends = np.cumsum(sizes)
+    return np.repeat(2 * ends - sizes - 1, sizes) - np.arange(ends[-1] if len(ends) else 0)
+
+
+def _dot(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (m @ v[..., None])[..., 0]
+
+
+def _t(m: np.ndarray) -> np.ndarray:
+    return np.swapaxes(m, -1, -2)
+
+
+def _quadratic(v: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    return (v * _dot(inverse, v)).sum(axis=-1)
+
+
+def _given(model: RegimeModel, r: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Own mean and covariance of each row, and F, Q and constant of the step to the next row.
+
+    Whole regimes pick a pair; if any is a fraction in [0, 1], the corners are interpolated.
+    """
+    after = np.append(r[1:], r[-1:])
+    if np.all(np.mod(r, 1) == 0):
+        j, k = r.astype(int), after.astype(int)
+        return model.mean[j], model.gamma[j], *(m[j, k] for m in model.regression())
+    k_all, h = len(model.mean), model.gamma.shape[-1]
     pairs = np.array([[model.pair_cov(j, k) for k in range(k_all)] for j in range(k_all)])
-    f, q, c = model.regression()
+    wide = lambda x: x[:, None, None]
+    mean = (1 - r)[:, None] * model.mean[0] + r[:, None] * model.mean[1]
+    own = interpolate(pairs, wide(r), wide(r))[:, :h, :h]
+    cov = interpolate(pairs, wide(r), wide(after))
+    f = _t(np.linalg.solve(_t(cov[:, :h, :h]), cov[:, :h, h:]))
+    next_mean = (1 - after)[:, None] * model.mean[0] + after[:, None] * model.mean[1]
+    return mean, own, f, cov[:, h:, h:] - f @ cov[:, :h, h:], next_mean - _dot(f, mean)
 
-    def own(v: float) -> tuple[np.ndarray, np.ndarray]:
-        if not fractions:
-            return model.mean[int(v)], model.gamma[int(v)]
-        cov = interpolate(pairs, v, v)
-        return (1 - v) * model.mean[0] + v * model.mean[1], cov[: len(cov) // 2, : len(cov) // 2]
-
-    def step(n: int) -> tuple:
-        if not fractions:
-            j, k = int(r[n]), int(r[n + 1])
-            return f[j, k], q[j, k], c[j, k]
-        cov = interpolate(pairs, r[n], r[n + 1])
-        h = len(cov) // 2
-        ff = np.linalg.solve(cov[:h, :h].T, cov[:h, h:]).T
-        return ff, cov[h:, h:] - ff @ cov[:h, h:], own(r[n + 1])[0] - ff @ own(r[n])[0]
-
-    return own, step
-
-
-def known_regimes(y: np.ndarray, r: np.ndarray, model: RegimeModel) -> dict[str, np.ndarray]:
-    """Pairwise Kalman filter, fixed-interval smoother, one-step predictor and log-likelihood of one series."""
-    n_all, x = len(y), model.n_x
-    own, step = _given(model, r)
-    mean, gamma = own(r[0])
-    gain = np.linalg.solve(gamma[x:, x:].T, gamma[:x, x:].T).T
-    e, p = mean[:x] + gain @ (y[0] - mean[x:]), gamma[:x, :x] - gain @ gamma[x:, :x]
-    est, cov, ahead = np.zeros((n_all, x)), np.zeros((n_all, x, x)), np.full((n_all, x), np.nan)
-    back = []
-    d = y[0] - mean[x:]
-    log_l = -0.5 * (np.linalg.slogdet(gamma[x:, x:])[1] + d @ np.linalg.solve(gamma[x:, x:], d) + len(d) * math.log(2 * math.pi))
-    est[0], cov[0] = e, p
-    for n in range(n_all - 1):
-        f, q, c = step(n)
-        fyx, fyy, fxx, fxy = f[x:, :x], f[x:, x:], f[:x, :x], f[:x, x:]
-        g = np.linalg.solve(q[x:, x:].T, q[:x, x:].T).T
-        a, q2 = fxx - g @ fyx, q[:x, :x] - g @ q[x:, :x]
-        s = q[x:, x:] + fyx @ p @ fyx.T
-        k = np.linalg.solve(s.T, (p @ fyx.T).T).T
-        d = y[n + 1] - (fyx @ e + fyy @ y[n] + c[x:])
-        log_l += -0.5 * (np.linalg.slogdet(s)[1] + d @ np.linalg.solve(s, d) + len(d) * math.log(2 * math.pi))
-        ahead[n + 1] = fxx @ e + fxy @ y[n] + c[:x]
-        e2, p2 = e + k @ d, p - k @ s @ k.T
-        b = g @ y[n + 1] + (fxy - g @ fyy) @ y[n] + c[:x] - g @ c[x:]
-        back.append((e2, p2, a))
-        e, p = a @ e2 + b, q2 + a @ p2 @ a.T
-        est[n + 1], cov[n + 1] = e, p
-    smooth, smooth_cov = est.copy(), cov.copy()
-    for n in range(n_all - 2, -1, -1):
-        e2, p2, a = back[n]
-        gain = np.linalg.solve(cov[n + 1].T, (p2 @ a.T).T).T
-        smooth[n] = e2 + gain @ (smooth[n + 1] - est[n + 1])
-        smooth_cov[n] = p2 + gain @ (smooth_cov[n + 1] - cov[n + 1]) @ gain.T
-    return {"filter": est, "filter_var": cov, "smooth": smooth, "smooth_var": smooth_cov, "predict": ahead, "log_likelihood": np.full(n_all, log_l)}
-
-
-def unknown_regimes(y: np.ndarray, model: RegimeModel) -> dict[str, np.ndarray]:
-    """Exact filter and smoother of state and regime for F_yx = 0; moments per regime, then their mixtures."""
-    n_all, x, k_all = len(y), model.n_x, len(model.mean)
+
+def known_regimes(y: np.ndarray, r: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth: bool = True) -> dict[str, np.ndarray]:
+    """Pairwise Kalman filter, one-step predictor, log-likelihood and, if wanted, fixed-interval smoother of series."""
+    x = model.n_x
+    mean, own, f, q, c = _given(model, r)
+    fyx, fyy, fxx, fxy = f[:, x:, :x], f[:, x:, x:], f[:, :x, :x], f[:, :x, x:]
+    g = _t(np.linalg.solve(_t(q[:, x:, x:]), _t(q[:, :x, x:])))
+    a, q2 = fxx - g @ fyx, q[:, :x, :x] - g @ q[:, x:, :x]
+    est, cov, ahead, log_l = np.zeros((len(y), x)), np.zeros((len(y), x, x)), np.full((len(y), x), np.nan), np.zeros(len(y))
+    e2s, p2s = np.zeros_like(est), np.zeros_like(cov)
+    at = steps(sizes)
+    gauss = lambda d, s, inverse: -0.5 * (np.linalg.slogdet(s)[1] + _quadratic(d, inverse) + d.shape[-1] * math.log(2 * math.pi))
+    for n, rows in enumerate(at):
+        if n == 0:
+            s = own[rows, x:, x:]
+            inverse, d = np.linalg.inv(s), y[rows] - mean[rows, x:]
+            gain = own[rows, :x, x:] @ inverse
+            est[rows], cov[rows] = mean[rows, :x] + _dot(gain, d), own[rows, :x, :x] - gain @ own[rows, x:, :x]
+        else:
+            b = rows - 1
+            e, p, to = est[b], cov[b], _t(fyx[b])
+            s = q[b, x:, x:] + fyx[b] @ p @ to
+            inverse, d = np.linalg.inv(s), y[rows] - (_dot(fyx[b], e) + _dot(fyy[b], y[b]) + c[b, x:])
+            k = p @ to @ inverse
+            ahead[rows] = _dot(fxx[b], e) + _dot(fxy[b], y[b]) + c[b, :x]
+            e2, p2 = e + _dot(k, d), p - k @ s @ _t(k)
+            est[rows] = _dot(a[b], e2) + _dot(g[b], y[rows]) + _dot(fxy[b] - g[b] @ fyy[b], y[b]) + c[b, :x] - _dot(g[b], c[b, x:])
+            cov[rows] = q2[b] + a[b] @ p2 @ _t(a[b])
+            e2s[b], p2s[b] = e2, p2
+        log_l[rows] = gauss(d, s, inverse)
+    total = np.add.reduceat(log_l, np.cumsum(sizes) - sizes) if len(sizes) else log_l
+    out = {"filter": est, "filter_var": cov, "predict": ahead, "log_likelihood": np.repeat(total, sizes)}
+    if smooth:
+        se, sv = est.copy(), cov.copy()
+        for rows in at[:0:-1]:
+            b = rows - 1
+            gain = p2s[b] @ _t(a[b]) @ np.linalg.inv(cov[rows])
+            se[b] = e2s[b] + _dot(gain, se[rows] - est[rows])
+            sv[b] = p2s[b] + gain @ (sv[rows] - cov[rows]) @ _t(gain)
+        out |= {"smooth": se, "smooth_var": sv}
+    return out
+
+
+def unknown_regimes(y: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth: bool = True) -> dict[str, np.ndarray]:
+    """Exact filter and, if wanted, smoother of state and regime for F_yx = 0; moments per regime, then their mixtures.
+
+    link holds, for the step to a row, p(r', y' | r) over p(y' | past): its backward products are the smoother, and
+    its rows, reweighted, the regimes' posterior transition.
+    """
+    x, k_all = model.n_x, len(model.mean)
     f, q, c = model.regression()
-    fxx, fxy, fyy = f[:, :, :x, :x], f[:, :, :x, x:], f[:, :, x:, x:]
-    qyy = q[:, :, x:, x:]
-    g = np.einsum("jkab,jkbc->jkac", q[:, :, :x, x:], np.linalg.inv(qyy))
-    own_cov = q[:, :, :x, :x] - np.einsum("jkab,jkbc->jkac", g, q[:, :, x:, :x])
-    inverse, norm = np.linalg.inv(qyy), np.linalg.slogdet(qyy)[1] + qyy.shape[-1] * math.log(2 * math.pi)
-
-    def pdf(d: np.ndarray, inv: np.ndarray, log_norm: np.ndarray) -> np.ndarray:
-        return np.exp(-0.5 * (np.einsum("...a,...ab,...b->...", d, inv, d) + log_norm))
-
-    gain = np.einsum("jab,jbc->jac", model.gamma[:, :x, x:], np.linalg.inv(model.gamma[:, x:, x:]))
-    d = y[0] - model.mean[:, x:]
-    p = model.marginal * pdf(d, np.linalg.inv(model.gamma[:, x:, x:]), np.linalg.slogdet(model.gamma[:, x:, x:])[1] + d.shape[-1] * math.log(2 * math.pi)) + FLOOR
-    p /= p.sum()
-    e = model.mean[:, :x] + np.einsum("jab,jb->ja", gain, d)
-    v = model.gamma[:, :x, :x] - np.einsum("jab,jbc->jac", gain, model.gamma[:, x:, :x]) + np.einsum("ja,jb->jab", e, e)
-    ps, es, vs, us, ahead = [p], [e], [v], [], [np.full(x, np.nan)]
-    for n in range(n_all - 1):
-        d = y[n + 1] - np.einsum("jkab,b->jka", fyy, y[n]) - c[:, :, x:]
-        u = model.transition * pdf(d, inverse, norm) + FLOOR
-        joint = p[:, None] * u
-        ahead.append(np.einsum("j,jk,jka->a", p, model.transition, np.einsum("jkab,jb->jka", fxx, e) + fxy @ y[n] + c[:, :, :x]))
-        p = joint.sum(axis=0)
-        w = joint / p
-        total = p.sum()
-        us.append(u / total)
-        p = p / total
-        h = np.einsum("jkab,jkb->jka", g, d) + np.einsum("jkab,b->jka", fxy, y[n]) + c[:, :, :x]
-        fe = np.einsum("jkab,jb->jka", fxx, e)
-        m2 = np.einsum("jkab,jbc,jkdc->jkad", fxx, v, fxx) + np.einsum("jka,jkb->jkab", fe, h) + np.einsum("jka,jkb->jkab", h, fe) + own_cov + np.einsum("jka,jkb->jkab", h, h)
-        e, v = np.einsum("jk,jka->ka", w, fe + h), np.einsum("jk,jkab->kab", w, m2)
-        ps.append(p)
-        es.append(e)
-        vs.append(v)
-    ps, es, vs = map(np.stack, (ps, es, vs))
-    beta = np.ones((n_all, k_all))
-    for n in range(n_all - 2, -1, -1):
-        beta[n] = us[n] @ beta[n + 1]
-    smooth_p = ps * beta
-    smooth_p /= smooth_p.sum(axis=1, keepdims=True)
+    fxx, fxy, fyy, qyy = f[:, :, :x, :x], f[:, :, :x, x:], f[:, :, x:, x:], q[:, :, x:, x:]
+    inverse, constant = np.linalg.inv(qyy), qyy.shape[-1] * math.log(2 * math.pi)
+    g = q[:, :, :x, x:] @ inverse
+    own_cov = q[:, :, :x, :x] - g @ q[:, :, x:, :x]
+    at = steps(sizes)
+    after = np.concatenate(at[1:]) if len(at) > 1 else np.zeros(0, dtype=int)
+    d, u, h = np.zeros((len(y), k_all, k_all, y.shape[1])), np.zeros((len(y), k_all, k_all)), np.zeros((len(y), k_all, k_all, x))
+    before = y[after - 1][:, None, None, :]
+    d[after] = y[after][:, None, None, :] - _dot(fyy, before) - c[:, :, x:]
+    u[after] = model.transition * np.exp(-0.5 * (_quadratic(d[after], inverse) + np.linalg.slogdet(qyy)[1] + constant)) + FLOOR
+    h[after] = _dot(g, d[after]) + _dot(fxy, before) + c[:, :, :x]
+    ps, es, vs = np.zeros((len(y), k_all)), np.zeros((len(y), k_all, x)), np.zeros((len(y), k_all, x, x))
+    ahead, link = np.full((len(y), x), np.nan), np.zeros((len(y), k_all, k_all))
+    for n, rows in enumerate(at):
+        if n == 0:
+            inv0 = np.linalg.inv(model.gamma[:, x:, x:])
+            d0 = y[rows][:, None, :] - model.mean[:, x:]
+            p = model.marginal * np.exp(-0.5 * (_quadratic(d0, inv0) + np.linalg.slogdet(model.gamma[:, x:, x:])[1] + constant)) + FLOOR
+            ps[rows] = p / p.sum(axis=1, keepdims=True)
+            gain = model.gamma[:, :x, x:] @ inv0
+            es[rows] = e = model.mean[:, :x] + _dot(gain, d0)
+            vs[rows] = model.gamma[:, :x, :x] - gain @ model.gamma[:, x:, :x] + e[..., :, None] * e[..., None, :]
+            continue
+        b = rows - 1
+        p, e, v = ps[b], es[b], vs[b]
+        joint = p[:, :, None] * u[rows]
+        column = joint.sum(axis=1)
+        total = column.sum(axis=1)
+        w, link[rows] = joint / column[:, None, :], u[rows] / total[:, None, None]
+        ps[rows] = column / total[:, None]
+        fe, hh = _dot(fxx, e[:, :, None, :]), h[rows]
+        ahead[rows] = np.einsum("sj,jk,sjka->sa", p, model.transition, fe + _dot(fxy, y[b][:, None, None, :]) + c[:, :, :x])
+        cross = fe[..., :, None] * hh[..., None, :]
+        m2 = fxx @ v[:, :, None] @ _t(fxx) + cross + _t(cross) + own_cov + hh[..., :, None] * hh[..., None, :]
+        es[rows], vs[rows] = np.einsum("sjk,sjka->ska", w, fe + hh), np.einsum("sjk,sjkab->skab", w, m2)
 
     def mixture(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = np.einsum("nj,nja->na", weights, es)
-        return m, np.einsum("nj,njab->nab", weights, vs) - np.einsum("na,nb->nab", m, m)
-
-    (fe, fv), (se, sv) = mixture(ps), mixture(smooth_p)
-    return {"filter": fe, "filter_var": fv, "smooth": se, "smooth_var": sv, "predict": np.stack(ahead), "p_filter": ps, "p_smooth": smooth_p, "e_regime": es, "v_regime": vs}
+        return m, np.einsum("nj,njab->nab", weights, vs) - m[:, :, None] * m[:, None, :]
+
+    fe, fv = mixture(ps)
+    out = {"filter": fe, "filter_var": fv, "predict": ahead, "p_filter": ps, "e_regime": es, "v_regime": vs, "link": link}
+    if smooth:
+        beta = np.ones((len(y), k_all))
+        for rows in at[:0:-1]:
+            beta[rows - 1] = (link[rows] * beta[rows][:, None, :]).sum(axis=2)
+        p = ps * beta
+        p /= p.sum(axis=1, keepdims=True)
+        se, sv = mixture(p)
+        out |= {"smooth": se, "smooth_var": sv, "p_smooth": p, "beta": beta}
+    return out
 
 
-def _columns(found: dict[str, np.ndarray], x: int) -> dict:
+def _columns(found: dict[str, np.ndarray], x: int, wanted: tuple[str, ...]) -> dict:
     """One-dimensional states as doubles, others as arrays."""
     out = {}
-    for name, value in found.items():
+    for name in wanted:
+        value = found[name]
         if name.startswith("p_"):
             out[name] = list(value)
-        elif name == "log_likelihood":
-            out[name] = value
-        elif name.startswith(("filter", "smooth", "predict")):
+        elif name in STATES:
             out[name] = value.reshape(len(value), -1)[:, 0] if x == 1 else list(value.reshape(len(value), -1))
+        else:
+            out[name] = value
     return out
 
 
-def kalman(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y", r: str = "r") -> DataFrame:
-    """Adds filter, filter_var, smooth, smooth_var, predict and log_likelihood for known regimes r (integers, or fractions in [0, 1])."""
-    kind = "double" if model.n_x == 1 else "array<double>"
-    added = ", ".join(f"{c} {kind}" for c in ("filter", "filter_var", "smooth", "smooth_var", "predict")) + ", log_likelihood double"
-    return _grouped(df, key, order, added, lambda rows: _columns(known_regimes(_vectors(rows, y), rows[r].to_numpy(dtype=float), model), model.n_x))
+def _kinds(wanted: tuple[str, ...], x: int) -> str:
+    state = "double" if x == 1 else "array<double>"
+    kind = lambda name: state if name in STATES else "array<double>" if name.startswith("p_") else "int" if name.startswith("r_") else "double"
+    return ", ".join(f"{name} {kind(name)}" for name in wanted)
+
+
+def kalman(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y", r: str = "r", outputs: tuple[str, ...] = (*STATES, "log_likelihood")) -> DataFrame:
+    """Adds `outputs` (of filter, filter_var, smooth, smooth_var, predict, log_likelihood) for known regimes r (integers, or fractions in [0, 1]).
+
+    Nothing is smoothed unless asked for.
+    """
+    smooth = any(c.startswith("smooth") for c in outputs)
+    some = lambda rows, sizes: _columns(known_regimes(vectors(rows, y), rows[r].to_numpy(dtype=float), sizes, model, smooth), model.n_x, outputs)
+    return by_series(df, key, order, _kinds(outputs, model.n_x), some)
 
 
-def switching(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y") -> DataFrame:
-    """Adds estimates for unknown regimes: those of kalman(), p_filter and p_smooth, and the most probable regimes (first one wins)."""
-    kind = "double" if model.n_x == 1 else "array<double>"
-    added = ", ".join(f"{c} {kind}" for c in ("filter", "filter_var", "smooth", "smooth_var", "predict")) + ", p_filter array<double>, p_smooth array<double>, r_filter int, r_smooth int"
+def switching(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y", outputs: tuple[str, ...] = (*STATES, "p_filter", "p_smooth", "r_filter", "r_smooth")) -> DataFrame:
+    """Adds `outputs` for unknown regimes: those of kalman() but the likelihood, p_filter and p_smooth, and the most probable regimes (first one wins)."""
+    smooth = any("smooth" in c for c in outputs)
 
-    def one(rows: pd.DataFrame) -> dict:
-        found = unknown_regimes(_vectors(rows, y), model)
-        return _columns(found, model.n_x) | {"r_filter": found["p_filter"].argmax(axis=1), "r_smooth": found["p_smooth"].argmax(axis=1)}
+    def some(rows: pd.DataFrame, sizes: np.ndarray) -> dict:
+        found = unknown_regimes(vectors(rows, y), sizes, model, smooth)
+        found |= {f"r_{c[2:]}": found[c].argmax(axis=1) for c in ("p_filter", "p_smooth") if c in found}
+        return _columns(found, model.n_x, outputs)
 
-    return _grouped(df, key, order, added, one)
+    return by_series(df, key, order, _kinds(outputs, model.n_x), some)
 
 
-def double_filter(y: np.ndarray, model: RegimeModel) -> np.ndarray:
+def double_filter(y: np.ndarray, sizes: np.ndarray, model: RegimeModel) -> np.ndarray:
     """Smoothed state from a filter forward, one backward and single observations: sum_r p(r | all) (E_fwd + E_bwd - E_one)."""
-    x = model.n_x
-    forward, backward = unknown_regimes(y, model), unknown_regimes(y[::-1], reversed_model(model))
-    gain = np.einsum("jab,jbc->jac", model.gamma[:, :x, x:], np.linalg.inv(model.gamma[:, x:, x:]))
-    one = model.mean[None, :, :x] + np.einsum("jab,njb->nja", gain, y[:, None, :] - model.mean[None, :, x:])
-    return np.einsum("nj,nja->na", forward["p_smooth"], forward["e_regime"] + backward["e_regime"][::-1] - one)
+    x, back = model.n_x, reversed_rows(sizes)
+    forward, backward = unknown_regimes(y, sizes, model), unknown_regimes(y[back], sizes, reversed_model(model), smooth=False)
+    gain = model.gamma[:, :x, x:] @ np.linalg.inv(model.gamma[:, x:, x:])
+    one = model.mean[:, :x] + _dot(gain, y[:, None, :] - model.mean[:, x:])
+    return np.einsum("nj,nja->na", forward["p_smooth"], forward["e_regime"] + backward["e_regime"][back] - one)
 
 
 def double_filter_smoother(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y") -> DataFrame:
     """Adds dfb_smooth, the double-filter-based smoother (scalar state)."""
-    return _grouped(df, key, order, "dfb_smooth double", lambda rows: {"dfb_smooth": double_filter(_vectors(rows, y), model)[:, 0]})
+    return by_series(df, key, order, "dfb_smooth double", lambda rows, sizes: {"dfb_smooth": double_filter(vectors(rows, y), sizes, model)[:, 0]})
+
+
+def path_sample(links: np.ndarray, p_smooth: np.ndarray, beta: np.ndarray, sizes: np.ndarray, uniforms: np.ndarray) -> np.ndarray:
+    """One draw of each series' regimes from their posterior chain: the first from its smoothed law, each next one given the one before."""
+    out = np.zeros(len(p_smooth), dtype=int)
+    for n, rows in enumerate(steps(sizes)):
+        p = p_smooth[rows] if n == 0 else links[rows, out[rows - 1]] * beta[rows]
+        upto = np.cumsum(p, axis=1)
+        out[rows] = ((uniforms[rows] * upto[:, -1])[:, None] > upto).sum(axis=1).clip(max=p.shape[1] - 1)
+    return out

@@ -283,66 +283,100 @@ def _known_sql(model) -> str:
     (a, b) = _own(model)
     pick = lambda i: f"CASE WHEN r = 1 THEN {float(b[i])!r}::DOUBLE ELSE {float(a[i])!r}::DOUBLE END"  # noqa: E731  else the recursion keeps a literal's two decimals
     return f"""WITH RECURSIVE s AS MATERIALIZED ({EVENTS}), p(j, k, fxx, fxy, fyx, fyy, qxx, qxy, qyy, cx, cy, t) AS ({_pair_values(model)}),
-    f AS (SELECT user_id, n, y, r, {pick(0)} + ({pick(2)}) * (y - ({pick(1)})) AS e, {pick(3)} AS v, CAST(NULL AS DOUBLE) AS ahead FROM s WHERE n = 0 UNION ALL
-    SELECT user_id, n, y, r, (fxx - qxy / qyy * fyx) * (e + kg * d) + qxy / qyy * y + (fxy - qxy / qyy * fyy) * y0 + cx - qxy / qyy * cy, qxx - qxy * qxy / qyy + (fxx - qxy / qyy * fyx) * (fxx - qxy / qyy * fyx) * (v - kg * kg * sv), fxx * e + fxy * y0 + cx
+    f AS (SELECT user_id, n, y, r, {pick(0)} + ({pick(2)}) * (y - ({pick(1)})) AS e, {pick(3)} AS v, CAST(NULL AS DOUBLE) AS ahead,
+    {pick(4)} AS s, y - ({pick(1)}) AS d, CAST(NULL AS DOUBLE) AS e2, CAST(NULL AS DOUBLE) AS p2, CAST(NULL AS DOUBLE) AS a FROM s WHERE n = 0 UNION ALL
+    SELECT user_id, n, y, r, (fxx - qxy / qyy * fyx) * (e + kg * d) + qxy / qyy * y + (fxy - qxy / qyy * fyy) * y0 + cx - qxy / qyy * cy, qxx - qxy * qxy / qyy + (fxx - qxy / qyy * fyx) * (fxx - qxy / qyy * fyx) * (v - kg * kg * sv), fxx * e + fxy * y0 + cx,
+    sv, d, e + kg * d, v - kg * kg * sv, fxx - qxy / qyy * fyx
     FROM (SELECT s.user_id, s.n, s.y, s.r, f.e, f.v, f.y AS y0, p.*, qyy + fyx * fyx * f.v AS sv, f.v * fyx / (qyy + fyx * fyx * f.v) AS kg, s.y - (fyx * f.e + fyy * f.y + cy) AS d
     FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1 JOIN p ON p.j = f.r AND p.k = s.r))"""
 
 
 @query(_known_sql(example_model()) + " SELECT user_id, CAST(n AS INTEGER) AS n, round(e, 6) AS filter, round(v, 6) AS filter_var, round(ahead, 6) AS predict FROM f")
 def kalman_known_jumps(spark, sf_dir):
-    found = recursions.kalman(event_series(spark, sf_dir).select("user_id", "n", "y", "r"), example_model(), ["user_id"])
+    found = recursions.kalman(event_series(spark, sf_dir).select("user_id", "n", "y", "r"), example_model(), ["user_id"], outputs=("filter", "filter_var", "predict"))
     found = found.withColumn("predict", F.when(~F.isnan("predict"), F.col("predict")))
     return rounded(found.select("user_id", "n", "filter", "filter_var", "predict"), 6, "filter", "filter_var", "predict")
 
 
 @query(_known_sql(example_model()) + " SELECT user_id, count(*) AS n, round(avg(pow(e - y, 2)), 4) AS mse FROM f GROUP BY 1")
 def kalman_mse_by_user(spark, sf_dir):
-    found = recursions.kalman(event_series(spark, sf_dir).select("user_id", "n", "y", "r"), example_model(), ["user_id"])
+    found = recursions.kalman(event_series(spark, sf_dir).select("user_id", "n", "y", "r"), example_model(), ["user_id"], outputs=("filter",))
     return found.groupBy("user_id").agg(F.count("*").alias("n"), F.round(metrics.mse("filter", "y"), 4).alias("mse"))
 
 
-@query()
+@query(_known_sql(example_model()) + """, l AS MATERIALIZED (SELECT user_id, max(n) AS last, sum(-0.5 * (ln(s) + d * d / s + ln(2 * pi()))) AS log_likelihood FROM f GROUP BY 1),
+    b AS (SELECT f.user_id, f.n, f.e AS sm, f.v AS sv FROM f JOIN l ON f.user_id = l.user_id AND f.n = l.last UNION ALL
+    SELECT p.user_id, p.n, q.e2 + q.p2 * q.a / q.v * (b.sm - q.e), q.p2 + pow(q.p2 * q.a / q.v, 2) * (b.sv - q.v) FROM b JOIN f q ON q.user_id = b.user_id AND q.n = b.n JOIN f p ON p.user_id = b.user_id AND p.n = b.n - 1)
+    SELECT user_id, CAST(n AS INTEGER) AS n, round(sm, 6) AS smooth, round(sv, 6) AS smooth_var, round(log_likelihood, 5) AS log_likelihood FROM b JOIN l USING (user_id)""")
 def kalman_smoother(spark, sf_dir):
-    found = recursions.kalman(event_series(spark, sf_dir).select("user_id", "n", "y", "r"), example_model(), ["user_id"])
-    return rounded(found.select("user_id", "n", "smooth", "smooth_var", "log_likelihood"), 6, "smooth", "smooth_var", "log_likelihood")
+    found = recursions.kalman(event_series(spark, sf_dir).select("user_id", "n", "y", "r"), example_model(), ["user_id"], outputs=("smooth", "smooth_var", "log_likelihood"))
+    return rounded(rounded(found.select("user_id", "n", "smooth", "smooth_var", "log_likelihood"), 6, "smooth", "smooth_var"), 5, "log_likelihood")
 
 
 @query()
 def kalman_fuzzy_jumps(spark, sf_dir):
     rows = fuzzy_series(spark, sf_dir).select("user_id", "n", "y", "r")
-    return rounded(recursions.kalman(rows, example_model(), ["user_id"]).select("user_id", "n", "filter", "smooth"), 6, "filter", "smooth")
+    return rounded(recursions.kalman(rows, example_model(), ["user_id"], outputs=("filter", "smooth")).select("user_id", "n", "filter", "smooth"), 6, "filter", "smooth")
 
 
-def _unknown_sql(model) -> str:
-    own = _own(model)
-    w0 = [f"{float(o[5])!r} / sqrt({float(o[4])!r}) * exp(-0.5 * pow(y - {float(o[1])!r}, 2) / {float(o[4])!r})" for o in own]
-    e0 = [f"{float(o[0])!r} + {float(o[2])!r} * (y - {float(o[1])!r})" for o in own]
+def _unknown_sql(model, rows: str = EVENTS, name: str = "f") -> str:
+    """A recursive table `name`: user_id, n, y, p_k, e_k and l_j_k (the step's link) for each regime, from `rows` with place n."""
+    own, ks = _own(model), range(len(model.mean))
+    w0 = [f"{float(o[5])!r}::DOUBLE / sqrt({float(o[4])!r}::DOUBLE) * exp(-0.5 * pow(y - {float(o[1])!r}, 2) / {float(o[4])!r}::DOUBLE)" for o in own]
+    e0 = [f"{float(o[0])!r}::DOUBLE + {float(o[2])!r}::DOUBLE * (y - {float(o[1])!r}::DOUBLE)" for o in own]
     f, q, c = model.regression()
+    v = lambda x: f"{float(x)!r}::DOUBLE"
     cols = []
-    for j, k in np.ndindex(2, 2):
-        v = lambda x: repr(float(x))
+    for j, k in np.ndindex(model.joint.shape):
         qyy, g = q[j, k][1, 1], q[j, k][0, 1] / q[j, k][1, 1]
-        d = f"(s.y - {v(f[j, k][1, 1])} * f.y - {v(c[j, k][1])})"
-        cols += [f"f.p{j} * {v(model.transition[j, k])} / sqrt({v(qyy)}) * exp(-0.5 * {d} * {d} / {v(qyy)}) AS u{j}{k}", f"{v(f[j, k][0, 0])} * f.e{j} + {v(g)} * {d} + {v(f[j, k][0, 1])} * f.y + {v(c[j, k][0])} AS h{j}{k}"]
-    return f"""WITH RECURSIVE s AS MATERIALIZED ({EVENTS}), f AS (SELECT user_id, n, y, ({w0[0]}) / ({w0[0]} + {w0[1]}) AS p0, ({w0[1]}) / ({w0[0]} + {w0[1]}) AS p1, {e0[0]} AS e0, {e0[1]} AS e1 FROM s WHERE n = 0 UNION ALL
-    SELECT user_id, n, y, (u00 + u10) / (u00 + u10 + u01 + u11), (u01 + u11) / (u00 + u10 + u01 + u11), (u00 * h00 + u10 * h10) / (u00 + u10), (u01 * h01 + u11 * h11) / (u01 + u11)
-    FROM (SELECT s.user_id, s.n, s.y, {', '.join(cols)} FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1))"""
+        d = f"(s.y - {v(f[j, k][1, 1])} * {name}.y - {v(c[j, k][1])})"
+        cols += [f"{v(model.transition[j, k])} / sqrt({v(qyy)}) * exp(-0.5 * {d} * {d} / {v(qyy)}) AS u_{j}_{k}", f"{v(f[j, k][0, 0])} * {name}.e_{j} + {v(g)} * {d} + {v(f[j, k][0, 1])} * {name}.y + {v(c[j, k][0])} AS h_{j}_{k}"]
+    column = {k: " + ".join(f"p_{j} * u_{j}_{k}" for j in ks) for k in ks}
+    total = " + ".join(f"({column[k]})" for k in ks)
+    first = ", ".join([f"({w0[k]}) / ({' + '.join(w0)}) AS p_{k}" for k in ks] + [f"{e0[k]} AS e_{k}" for k in ks] + [f"CAST(NULL AS DOUBLE) AS l_{j}_{k}" for j, k in np.ndindex(model.joint.shape)])
+    then = ", ".join([f"({column[k]}) / ({total})" for k in ks] + [f"({' + '.join(f'p_{j} * u_{j}_{k} * h_{j}_{k}' for j in ks)}) / ({column[k]})" for k in ks] + [f"u_{j}_{k} / ({total})" for j, k in np.ndindex(model.joint.shape)])
+    before = ", ".join(f"{name}.p_{k}" for k in ks)
+    return f"""{name}_s AS MATERIALIZED ({rows}), {name} AS (SELECT user_id, n, y, {first} FROM {name}_s WHERE n = 0 UNION ALL
+    SELECT user_id, n, y, {then} FROM (SELECT s.user_id, s.n, s.y, {before}, {', '.join(cols)} FROM {name} JOIN {name}_s s ON s.user_id = {name}.user_id AND s.n = {name}.n + 1))"""
+
+
+def _smooth_sql(model) -> str:
+    """Adds a recursive table g to f: user_id, n, and g_k, the smoothed probability of each regime."""
+    ks = range(len(model.mean))
+    beta = ", ".join(f"{' + '.join(f'q.l_{j}_{k} * b.b_{k}' for k in ks)} AS b_{j}" for j in ks)
+    total = " + ".join(f"p_{k} * b_{k}" for k in ks)
+    return f""", b AS (SELECT user_id, n, {', '.join(f'1.0::DOUBLE AS b_{k}' for k in ks)} FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS last FROM f) WHERE n = last UNION ALL
+    SELECT b.user_id, b.n - 1, {beta} FROM b JOIN f q ON q.user_id = b.user_id AND q.n = b.n WHERE b.n > 0),
+    g AS MATERIALIZED (SELECT user_id, n, {', '.join(f'p_{k} * b_{k} / ({total}) AS g_{k}' for k in ks)} FROM f JOIN b USING (user_id, n))"""
+
+
+def _mixture_sql(weight: str, regimes: int, value: str = "f.e") -> str:
+    return " + ".join(f"{weight}_{k} * {value}_{k}" for k in range(regimes))
 
 
-@query(_unknown_sql(OPEN) + " SELECT user_id, CAST(n AS INTEGER) AS n, round(p1, 6) AS p1, round(p0 * e0 + p1 * e1, 5) AS filter, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS r_filter FROM f")
+@query("WITH RECURSIVE " + _unknown_sql(OPEN) + " SELECT user_id, CAST(n AS INTEGER) AS n, round(p_1, 6) AS p1, round(p_0 * e_0 + p_1 * e_1, 5) AS filter, CASE WHEN p_1 > p_0 THEN 1 ELSE 0 END AS r_filter FROM f")
 def switching_filter(spark, sf_dir):
-    found = recursions.switching(event_series(spark, sf_dir).select("user_id", "n", "y"), OPEN, ["user_id"])
+    found = recursions.switching(event_series(spark, sf_dir).select("user_id", "n", "y"), OPEN, ["user_id"], outputs=("filter", "p_filter", "r_filter"))
     return found.select("user_id", "n", F.round(F.col("p_filter")[1], 6).alias("p1"), F.round("filter", 5).alias("filter"), "r_filter")
 
 
-@query()
+@query("WITH RECURSIVE " + _unknown_sql(OPEN) + _smooth_sql(OPEN) + f""" SELECT user_id, CAST(n AS INTEGER) AS n, round(g_1, 6) AS p1, round({_mixture_sql("g", 2)}, 5) AS smooth,
+    CASE WHEN g_1 > g_0 THEN 1 ELSE 0 END AS r_smooth FROM f JOIN g USING (user_id, n)""")
 def switching_smoother(spark, sf_dir):
-    found = recursions.switching(event_series(spark, sf_dir).select("user_id", "n", "y"), OPEN, ["user_id"])
+    found = recursions.switching(event_series(spark, sf_dir).select("user_id", "n", "y"), OPEN, ["user_id"], outputs=("smooth", "p_smooth", "r_smooth"))
     return found.select("user_id", "n", F.round(F.col("p_smooth")[1], 6).alias("p1"), F.round("smooth", 5).alias("smooth"), "r_smooth")
 
 
-@query()
+def _double_sql() -> str:
+    """Forward filter f and smoothed regimes g, backward filter h on the reversed series, and the estimate from each observation alone."""
+    alone = [f"({float(o[0])!r} + {float(o[2])!r}::DOUBLE * (f.y - {float(o[1])!r}))" for o in _own(OPEN)]
+    total = " + ".join(f"g_{k} * (f.e_{k} + h.e_{k} - {alone[k]})" for k in (0, 1))
+    turned = f"SELECT user_id, y, max(n) OVER (PARTITION BY user_id) - n AS n, n AS place FROM ({EVENTS})"
+    return f"""WITH RECURSIVE {_unknown_sql(OPEN)} {_smooth_sql(OPEN)}, {_unknown_sql(reversed_model(OPEN), turned, "h")}
+    SELECT f.user_id, CAST(f.n AS INTEGER) AS n, f.y, round({total}, 5) AS dfb_smooth FROM f JOIN g USING (user_id, n) JOIN h_s t ON t.user_id = f.user_id AND t.place = f.n JOIN h ON h.user_id = t.user_id AND h.n = t.n"""
+
+
+@query(_double_sql())
 def double_filter_smoother(spark, sf_dir):
     return rounded(recursions.double_filter_smoother(event_series(spark, sf_dir).select("user_id", "n", "y"), OPEN, ["user_id"]), 5, "dfb_smooth")
 
@@ -354,12 +388,22 @@ def single_observation_posterior(spark, sf_dir):
 
 
 def _fuzzy_query(cells: int) -> None:
+    """Filter and smoother on a grid; the SQL has the same grid's regimes, and the tie order of the most probable value."""
+
     def run(spark, sf_dir):
         rows = event_series(spark, sf_dir).select("user_id", "n", "y")
         found = fuzzy.fuzzy(rows, OPEN, laws.law(LAWS["2ter"]), cells, ["user_id"])
         return rounded(found.select("user_id", "n", "filter", "smooth", "r_mean", "r_filter", "r_smooth"), 5, "filter", "smooth", "r_mean")
 
+    own, r, w = fuzzy.grid_model(OPEN, laws.law(LAWS["2ter"]), cells)
+    ks = range(len(r))
+    value = lambda k: f"{float(r[k])!r}::DOUBLE"
+    order = [*ks[1:-1], ks[0], ks[-1]]
+    density = lambda p, k: f"{p}_{k} / {float(w[k])!r}::DOUBLE"
+    most = lambda p: "CASE " + " ".join(f"WHEN {density(p, k)} >= greatest({', '.join(density(p, j) for j in ks)}) THEN {value(k)}" for k in order) + " END"
     QUERIES[f"fuzzy_filter_s{cells}"] = run
+    SQL[f"fuzzy_filter_s{cells}"] = f"""WITH RECURSIVE {_unknown_sql(own)} {_smooth_sql(own)} SELECT user_id, CAST(n AS INTEGER) AS n, round({_mixture_sql("f.p", len(r))}, 5) AS filter,
+        round({_mixture_sql("g", len(r))}, 5) AS smooth, round({" + ".join(f"g_{k} * {value(k)}" for k in ks)}, 5) AS r_mean, {most("f.p")} AS r_filter, {most("g")} AS r_smooth FROM f JOIN g USING (user_id, n)"""
 
 
 for _cells in (0, 1, 3):
