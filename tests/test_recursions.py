@@ -8,6 +8,7 @@ import pytest
 from tidewater.functions import laws
 from tidewater.functions.model import RegimeModel, example_model, nearest_open_loop, reversed_model
 from tidewater.operators import fuzzy, recursions
+from tidewater.operators.dense import conditioned
 
 MODEL, OPEN = example_model(), nearest_open_loop(example_model())
 
@@ -26,35 +27,6 @@ def wide_model() -> RegimeModel:
     return RegimeModel(mean, gamma, sigma, joint, 2)
 
 
-def dense(model, r):
-    """Mean and covariance of all z_1 .. z_N given the regimes."""
-    n, h = len(r), model.mean.shape[1]
-    f, q, c = model.regression()
-    mean, cov = np.zeros(n * h), np.zeros((n * h, n * h))
-    mean[:h], cov[:h, :h] = model.mean[r[0]], model.gamma[r[0]]
-    for i in range(1, n):
-        j, k = r[i - 1], r[i]
-        a, b = slice((i - 1) * h, i * h), slice(i * h, (i + 1) * h)
-        mean[b] = f[j, k] @ mean[a] + c[j, k]
-        cov[b, : i * h] = f[j, k] @ cov[a, : i * h]
-        cov[: i * h, b] = cov[b, : i * h].T
-        cov[b, b] = f[j, k] @ cov[a, a] @ f[j, k].T + q[j, k]
-    return mean, cov
-
-
-def given(model, r, y, upto):
-    """E and Cov of each x given the first `upto` observations, and the log density of these."""
-    n, x, h = len(r), model.n_x, model.mean.shape[1]
-    mean, cov = dense(model, r)
-    seen = [i * h + d for i in range(upto) for d in range(x, h)]
-    d, s = y[:upto].ravel() - mean[seen], cov[np.ix_(seen, seen)]
-    gain = cov[:, seen] @ np.linalg.inv(s)
-    e, v = mean + gain @ d, cov - gain @ cov[seen]
-    at = [[i * h + d for d in range(x)] for i in range(n)]
-    log = -0.5 * (np.linalg.slogdet(s)[1] + d @ np.linalg.solve(s, d) + len(d) * np.log(2 * np.pi))
-    return np.array([e[i] for i in at]), np.array([v[np.ix_(i, i)] for i in at]), log
-
-
 def series(model, sizes, seed):
     rng = np.random.default_rng(seed)
     y = rng.normal(model.mean[:, model.n_x :].mean(), 15 if model.n_x == 1 else 2, (sum(sizes), model.mean.shape[1] - model.n_x))
@@ -69,12 +41,12 @@ def test_known_regimes(model):
     for n in sizes:
         own = slice(at, at + n)
         for i in range(n):
-            e, v, _ = given(model, r[own], y[own], i + 1)
+            e, v, _ = conditioned(model, r[own], y[own], i + 1)
             assert got["filter"][at + i] == pytest.approx(e[i]) and got["filter_var"][at + i] == pytest.approx(v[i])
             if i:
-                e, _, _ = given(model, r[own], y[own], i)
+                e, _, _ = conditioned(model, r[own], y[own], i)
                 assert got["predict"][at + i] == pytest.approx(e[i])
-        e, v, log = given(model, r[own], y[own], n)
+        e, v, log = conditioned(model, r[own], y[own], n)
         assert got["smooth"][own] == pytest.approx(e) and got["smooth_var"][own] == pytest.approx(v)
         assert got["log_likelihood"][own] == pytest.approx(log)
         at += n
@@ -92,7 +64,7 @@ def paths(model, y, upto):
     out = []
     for r in itertools.product(range(len(model.mean)), repeat=len(y)):
         p = model.marginal[r[0]] * np.prod([model.transition[j, k] for j, k in zip(r, r[1:], strict=False)])
-        e, v, log = given(model, list(r), y, upto)
+        e, v, log = conditioned(model, list(r), y, upto)
         out.append((r, p * np.exp(log), e, v))
     total = sum(p for _, p, _, _ in out)
     return [(r, p / total, e, v) for r, p, e, v in out]
@@ -164,6 +136,6 @@ def test_tables_with_ties_of_size_nulls_and_chunks(spark, monkeypatch):
     for u in (None, 1, 2, 3):
         own = sorted((g.n, g.smooth) for g in got if g.user_id == u)
         y = np.array([[x[2]] for x in rows if x[0] == u])
-        e, _, log = given(MODEL, [i % 2 for i in range(len(y))], y, len(y))
+        e, _, log = conditioned(MODEL, [i % 2 for i in range(len(y))], y, len(y))
         assert [s for _, s in own] == pytest.approx(e[:, 0]) and {round(g.log_likelihood, 6) for g in got if g.user_id == u} == {round(log, 6)}
     assert recursions.kalman(df.limit(0), MODEL, ["user_id"]).count() == 0

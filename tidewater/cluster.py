@@ -6,7 +6,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -20,3 +20,14 @@ def ship_package(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='ship-')}/{root.name}", "zip", root.parent, root.name)
     spark.sparkContext.addPyFile(archive)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df from a reliable checkpoint in spark.checkpoint.dir; only a local session may go without that setting."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

@@ -80,6 +80,17 @@ def feedback(model: RegimeModel) -> np.ndarray:
     return model.regression()[0][:, :, model.n_x :, : model.n_x]
 
 
+def feedback_from_cov(model: RegimeModel) -> np.ndarray:
+    """The same zero test from covariances alone: Cov(X_n, Y_n+1) less what Y_n explains of it, for each pair."""
+    x = model.n_x
+    gain = np.linalg.solve(np.swapaxes(model.gamma[:, x:, x:], 1, 2), np.swapaxes(model.gamma[:, :x, x:], 1, 2))
+    return model.sigma[:, :, :x, x:] - np.swapaxes(gain, 1, 2)[:, None] @ model.sigma[:, :, x:, x:]
+
+
+def is_open_loop_from_cov(model: RegimeModel, tol: float = TOL) -> bool:
+    return bool(np.abs(feedback_from_cov(model)).max() <= tol)
+
+
 def is_open_loop(model: RegimeModel, tol: float = TOL) -> bool:
     return bool(np.abs(feedback(model)).max() <= tol)
 
@@ -119,6 +130,26 @@ def repaired(gamma: np.ndarray, bound: float = 0.5) -> np.ndarray:
     return rho * np.outer(sd, sd)
 
 
+def repaired_model(model: RegimeModel, bound: float = 0.5) -> RegimeModel:
+    """Correlations of each pair repaired, then the nearest open loop: what one pair's repair says of gamma must agree, so the first one stands."""
+    h = model.gamma.shape[-1]
+    gamma, sigma = model.gamma.copy(), model.sigma.copy()
+    for j, k in np.ndindex(model.joint.shape):
+        cov = repaired(model.pair_cov(j, k), bound)
+        sigma[j, k] = cov[:h, h:]
+        gamma[j] = cov[:h, :h] if k == 0 else gamma[j]
+    return nearest_open_loop(RegimeModel(model.mean, gamma, sigma, model.joint, model.n_x))
+
+
+def is_admissible(model: RegimeModel) -> bool:
+    """Whether the model, its reverse, and the open loops nearest to both have positive covariances for each pair."""
+    for own in (model, reversed_model(model)):
+        for each in (own, nearest_open_loop(own)):
+            if not all(is_positive(each.pair_cov(j, k)) for j, k in np.ndindex(each.joint.shape)):
+                return False
+    return True
+
+
 def steady_state(transition: np.ndarray) -> np.ndarray:
     values, vectors = np.linalg.eig(transition.T)
     v = np.real(vectors[:, np.argmin(np.abs(values - 1))])
@@ -144,6 +175,17 @@ def from_regression(m: np.ndarray, lambda2: float, p: np.ndarray, pi2: float) ->
     return f, q, np.array([(m[3] + mean_y * (m[1] + m[2])) / (1 - m[0]), mean_y])
 
 
+def model_from_regression(m: np.ndarray, lambda2: np.ndarray, p: np.ndarray, pi2: np.ndarray, joint: np.ndarray) -> RegimeModel:
+    """A model from regressions of all pairs: M (K, K, 4), Lambda2, P (K, K, 2), Pi2. Own moments are those of the pairs (j, j)."""
+    k_all = len(joint)
+    f, q, mean = np.zeros((k_all, k_all, 2, 2)), np.zeros((k_all, k_all, 2, 2)), np.zeros((k_all, 2))
+    for j, k in np.ndindex(k_all, k_all):
+        f[j, k], q[j, k], own = from_regression(m[j, k], lambda2[j, k], p[j, k], pi2[j, k])
+        mean[j] = own if j == k else mean[j]
+    gamma = np.array([fq_to_cov(f[j, j], q[j, j])[0] for j in range(k_all)])
+    return RegimeModel(mean, gamma, np.einsum("jab,jkcb->jkac", gamma, f), joint)
+
+
 def interpolate(corners: np.ndarray, a: float, b: float) -> np.ndarray:
     """Bilinear mean of corners (2, 2, ...) at (a, b)."""
     return (1 - a) * (1 - b) * corners[0, 0] + (1 - a) * b * corners[0, 1] + a * (1 - b) * corners[1, 0] + a * b * corners[1, 1]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import checkpointed
 from ..functions.model import RegimeModel
 
 
@@ -79,16 +81,19 @@ def kmeans_labels(df: DataFrame, columns: list[str], by: str, k: int, seed: int
 
 
 def iterate_fit(df: DataFrame, key: list[str], order: str, x: str, y: str, regimes: int, rounds: int, seed: int = 1) -> tuple[RegimeModel, DataFrame]:
-    """Stochastic learning without labels: k-means labels, then rounds of fit, smoothing on y and sampling of new labels."""
+    """Stochastic learning without labels: k-means labels, then rounds of fit, smoothing on y alone and a draw of the posterior chain."""
     from ..functions.model import nearest_open_loop
-    from .recursions import switching
+    from .recursions import by_series, path_sample, unknown_regimes, vectors
 
-    labels = kmeans_labels(df, [x, y], y, regimes, seed).withColumnRenamed("label", "r")
+    labels = checkpointed(kmeans_labels(df, [x, y], y, regimes, seed).withColumnRenamed("label", "r").select(*key, order, x, y, "r"))
     model = nearest_open_loop(fit_model(labels, key, order, "r", x, y, regimes))
     for step in range(rounds):
-        smoothed = switching(df.select(*key, order, x, y), model, key, order, y)
         u = (F.pmod(F.xxhash64(F.lit(seed + step), *key, order), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        cumulative = F.aggregate("p_smooth", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("r")), lambda acc, p: F.struct((acc["s"] + p).alias("s"), (acc["r"] + (acc["s"] + p < u).cast("int")).alias("r")))["r"]
-        labels = smoothed.select(*key, order, x, y, F.least(cumulative, F.lit(regimes - 1)).alias("r"))
+
+        def draw(rows: pd.DataFrame, sizes: np.ndarray, model=model) -> dict:
+            found = unknown_regimes(vectors(rows, y), sizes, model)
+            return {"r": path_sample(found["link"], found["p_smooth"], found["beta"], sizes, rows["_u"].to_numpy())}
+
+        labels = checkpointed(by_series(labels.drop("r").withColumn("_u", u), key, order, "r int", draw).drop("_u"))
         model = nearest_open_loop(fit_model(labels, key, order, "r", x, y, regimes))
     return model, labels

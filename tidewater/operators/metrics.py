@@ -10,6 +10,29 @@ def mse(estimate: str, truth: str) -> Column:
     return F.avg(F.pow(F.col(estimate) - F.col(truth), 2))
 
 
+def square_error(estimate: str, truth: str) -> Column:
+    return F.pow(F.col(estimate) - F.col(truth), 2)
+
+
+def mse_by_place(df: DataFrame, n: str, truth: str, estimates: list[str]) -> DataFrame:
+    """n, method, mse, variance: mean square error of each estimate at each place, over the series that have it, and how it varies."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("method"), square_error(c, truth).alias("_e")) for c in estimates))).alias("_each")
+    return df.select(n, each).select(n, "_each.*").groupBy(n, "method").agg(F.avg("_e").alias("mse"), F.var_pop("_e").alias("variance"))
+
+
+def mean_covariances(df: DataFrame, n: str, columns: list[str]) -> DataFrame:
+    """n, method, mean of each of the columns (state variances of several methods) at each place, over all series."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("method"), F.col(c).alias("_v")) for c in columns))).alias("_each")
+    return df.select(n, each).select(n, "_each.*").groupBy(n, "method").agg(F.avg("_v").alias("mean"))
+
+
+def report(df: DataFrame, key: list[str], truth: str, estimates: list[str], labels: tuple[str, str] | None = None, digits: int = 4) -> DataFrame:
+    """One rounded row for each key: mean square errors of estimates and, of a pair of label columns, the share of errors."""
+    columns = [F.round(mse(c, truth), digits).alias(f"mse_{c}") for c in estimates]
+    more = [F.round(error_ratio(*labels), digits).alias("label_errors")] if labels else []
+    return df.groupBy(*key).agg(F.count("*").alias("n"), *columns, *more)
+
+
 def error_ratio(estimate: str, truth: str) -> Column:
     """Mean absolute difference; the share of errors for labels 0 and 1."""
     return F.avg(F.abs(F.col(estimate) - F.col(truth)))

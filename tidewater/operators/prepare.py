@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import checkpointed
+
 
 def indexed(df: DataFrame, key: list[str], order: list[str], name: str = "n") -> DataFrame:
     """Adds the 0-based place of each row in its series."""
@@ -52,10 +54,50 @@ def interpolated(df: DataFrame, key: list[str], order: str, value: str) -> DataF
     return out.withColumn(value, filled).drop("_n", "_p", "_q")
 
 
+def stretched(df: DataFrame, key: list[str], order: str, columns: list[str], length: int) -> DataFrame:
+    """key, n (0 to length - 1) and columns: each series on `length` equally spaced places from its first row to its last, by straight lines.
+
+    A series of one row is constant. Each pair of neighbours gives the places between them, so no range join is needed.
+    """
+    w = Window.partitionBy(*key).orderBy(order)
+    place = F.row_number().over(w) - 1
+    rows = df.select(*key, *columns, place.alias("_i"), F.count("*").over(Window.partitionBy(*key)).alias("_n"), *(F.lead(c).over(w).alias(f"_{c}") for c in columns))
+    scale = F.when(F.col("_n") > 1, (F.col("_n") - 1) / F.lit(float(max(length - 1, 1)))).otherwise(0.0)
+    first = F.when(F.col("_i") == 0, 0).otherwise(F.floor(F.col("_i") / scale) + 1)
+    last = F.when(F.col("_n") == 1, length - 1).when(F.col("_i") == F.col("_n") - 1, -1).otherwise(F.floor((F.col("_i") + 1) / scale))
+    last = F.when((F.col("_n") > 1) & (F.col("_i") == F.col("_n") - 2), length - 1).otherwise(last)
+    every = rows.withColumn("_scale", scale).withColumn("n", F.explode(F.when(last >= first, F.sequence(first.cast("long"), last.cast("long")))))
+    t = F.col("n") * F.col("_scale") - F.col("_i")
+    return every.select(*key, F.col("n").cast("int").alias("n"), *(F.when(t == 0, F.col(c)).otherwise(F.coalesce(F.col(c) + (F.col(f"_{c}") - F.col(c)) * t, F.col(c))).alias(c) for c in columns))
+
+
+def timestamp_of(date: str, time: str, pattern: str | None = None) -> Column:
+    """A timestamp from a text column with a date and one with a time; null if they don't parse."""
+    both = F.concat_ws(" ", date, time)
+    return F.try_to_timestamp(both, F.lit(pattern)) if pattern else F.try_to_timestamp(both)
+
+
+def regular_times(n: Column, start: str, seconds: int = 3600) -> Column:
+    """Timestamps of constant frequency: `start` at n = 0."""
+    return F.timestamp_seconds(F.unix_timestamp(F.lit(start).cast("timestamp")) + n * seconds)
+
+
+def constant_runs(at: Column, starts: list[tuple[float, float]], before: float) -> Column:
+    """Piecewise constant labels: `before` up to the first start (place, value), then each value from its start on."""
+    out = F.lit(before)
+    for place, value in starts:
+        out = F.when(at >= place, value).otherwise(out)
+    return out
+
+
 def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
-    """Columns of both tables side by side, by place; both are numbered by range partition, not in one task."""
+    """Columns of both tables side by side, by place; both are numbered by range partition, not in one task.
+
+    The ranges are checkpointed before they are counted: their bounds are sampled, and would differ from plan to plan.
+    """
     def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-        dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        dealt = checkpointed(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
         sizes = dealt.groupBy("_part").count()
         base = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
         return dealt.join(F.broadcast(base), "_part").withColumn("_place", F.col("_base") + F.col("_row").bitwiseAND(2**33 - 1)).drop("_part", "_row", "_base")

@@ -3,7 +3,7 @@
 Each operator takes a table of series (key columns, an order column n, observation y, and where known the regime r) and
 returns its rows with estimates. The table is shuffled once by its key and sorted; a task works on many whole series at
 once, one step of all of them in each array operation. A single series is inherently sequential, so a very long one is
-one task, which holds its rows and about 200 bytes a row; FilterStream in streaming/ carries a state instead.
+one task, which holds its rows and about 200 bytes a row; streaming/filters.py carries a state instead.
 """
 
 from __future__ import annotations
@@ -156,9 +156,10 @@ def known_regimes(y: np.ndarray, r: np.ndarray, sizes: np.ndarray, model: Regime
     return out
 
 
-def unknown_regimes(y: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth: bool = True) -> dict[str, np.ndarray]:
+def unknown_regimes(y: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth: bool = True, start: tuple | None = None) -> dict[str, np.ndarray]:
     """Exact filter and, if wanted, smoother of state and regime for F_yx = 0; moments per regime, then their mixtures.
 
+    `start` has weights, means and second moments of the regimes at each first row, where these are known already.
     link holds, for the step to a row, p(r', y' | r) over p(y' | past): its backward products are the smoother, and
     its rows, reweighted, the regimes' posterior transition.
     """
@@ -178,6 +179,9 @@ def unknown_regimes(y: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth
     ps, es, vs = np.zeros((len(y), k_all)), np.zeros((len(y), k_all, x)), np.zeros((len(y), k_all, x, x))
     ahead, link = np.full((len(y), x), np.nan), np.zeros((len(y), k_all, k_all))
     for n, rows in enumerate(at):
+        if n == 0 and start:
+            ps[rows], es[rows], vs[rows] = start
+            continue
         if n == 0:
             inv0 = np.linalg.inv(model.gamma[:, x:, x:])
             d0 = y[rows][:, None, :] - model.mean[:, x:]
@@ -273,6 +277,27 @@ def double_filter_smoother(df: DataFrame, model: RegimeModel, key: list[str], or
     return by_series(df, key, order, "dfb_smooth double", lambda rows, sizes: {"dfb_smooth": double_filter(vectors(rows, y), sizes, model)[:, 0]})
 
 
+def regime_transitions(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y") -> DataFrame:
+    """Adds laws of the step to each row as arrays of K*K (j the regime before, k the row's; null at a series' first row).
+
+    t_predict: p(j, k | y before). t_back: p(j | k, y up to the row). t_forward: p(k | j, all y). t_smooth: p(j, k | all y).
+    """
+
+    def some(rows: pd.DataFrame, sizes: np.ndarray) -> dict:
+        found = unknown_regimes(vectors(rows, y), sizes, model)
+        first = np.cumsum(sizes) - sizes
+        p = np.roll(found["p_filter"], 1, axis=0)[:, :, None]
+        predict, joint, onward = p * model.transition, p * found["link"], found["link"] * found["beta"][:, None, :]
+        out = {
+            "t_predict": predict, "t_back": joint / np.maximum(joint.sum(axis=1, keepdims=True), FLOOR), "t_forward": onward / np.maximum(onward.sum(axis=2, keepdims=True), FLOOR),
+            "t_smooth": p * onward / np.maximum((p * onward).sum(axis=(1, 2), keepdims=True), FLOOR),
+        }
+        none = np.isin(np.arange(len(rows)), first)
+        return {name: [None if n else v for n, v in zip(none, value.reshape(len(rows), -1), strict=True)] for name, value in out.items()}
+
+    return by_series(df, key, order, ", ".join(f"{c} array<double>" for c in ("t_predict", "t_back", "t_forward", "t_smooth")), some)
+
+
 def path_sample(links: np.ndarray, p_smooth: np.ndarray, beta: np.ndarray, sizes: np.ndarray, uniforms: np.ndarray) -> np.ndarray:
     """One draw of each series' regimes from their posterior chain: the first from its smoothed law, each next one given the one before."""
     out = np.zeros(len(p_smooth), dtype=int)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.model import RegimeModel, checked_joint, fq_to_cov
@@ -17,17 +17,60 @@ def read_csv(spark: SparkSession, path: str, schema: str, ts: str | None = None,
     return rows.withColumn(ts, F.to_timestamp(ts, ts_format) if ts_format else F.to_timestamp(ts)) if ts else rows
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """_file, _n, _line of text files whose lines end in LF, CR LF or CR alone.
+
+    A file is a row, as only its own start numbers its lines; for files of up to some hundred MB.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), "value")
+    return rows.select("_file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("_n", "_line"))
+
+
 def read_csv_after(spark: SparkSession, path: str, schema: str, preamble: int) -> DataFrame:
     """A CSV file with `preamble` lines and a header before its rows."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("_n", "_line"))
-    rows = lines.filter((F.col("_n") > preamble) & (F.trim("_line") != ""))
+    rows = _lines(spark, path).filter((F.col("_n") > preamble) & (F.trim("_line") != ""))
     return rows.select(F.from_csv("_line", F.lit(schema), {"ignoreLeadingWhiteSpace": "true"}).alias("_row")).select("_row.*")
 
 
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """n, value of a file with one number on each line, which may end in LF, CR LF or CR."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.filter(F.split("value", r"\r\n|\n|\r"), lambda x: F.trim(x) != "").alias("_lines"))
-    return lines.select(F.posexplode("_lines").alias("n", "_line")).select("n", F.trim("_line").cast("double").alias("value"))
+    """n, value of a file with one number on each line; blank lines don't count."""
+    w = Window.partitionBy("_file").orderBy("_n")
+    rows = _lines(spark, path).filter(F.trim("_line") != "")
+    return rows.select((F.row_number().over(w) - 1).alias("n"), F.trim("_line").cast("double").alias("value"))
+
+
+def read_matrix(spark: SparkSession, path: str, skip: int = 1, sep: str = ",") -> DataFrame:
+    """n, values (array) of a text matrix whose first `skip` lines are dropped."""
+    rows = _lines(spark, path).filter((F.col("_n") >= skip) & (F.trim("_line") != ""))
+    w = Window.partitionBy("_file").orderBy("_n")
+    values = F.transform(F.split(F.trim("_line"), f"\\s*{sep}\\s*" if sep.strip() else r"\s+"), lambda x: x.cast("double"))
+    return rows.select((F.row_number().over(w) - 1).alias("n"), values.alias("values"))
+
+
+def read_sections(spark: SparkSession, path: str, names: tuple[str, ...] = ("x", "r", "y")) -> DataFrame:
+    """n and one column for each section of a dump: lines of numbers between # lines, a matrix with a row for each dimension.
+
+    Sections of one row are doubles, others arrays; n is the place in a row. Works for hard and fuzzy regimes alike.
+    """
+    marked = _lines(spark, path).filter(F.trim("_line") != "").withColumn("_head", F.trim("_line").startswith("#"))
+    w = Window.partitionBy("_file").orderBy("_n")
+    opened = marked.withColumn("_new", (~F.col("_head") & F.coalesce(F.lag("_head").over(w), F.lit(True))).cast("int"))
+    body = opened.withColumn("_section", F.sum("_new").over(w)).filter("NOT _head")
+    values = body.select("_section", "_n", F.posexplode(F.split(F.trim("_line"), r"\s+")).alias("n", "_value"))
+    lists = values.groupBy("n", "_section").agg(F.sort_array(F.collect_list(F.struct("_n", F.col("_value").cast("double").alias("v")))).alias("_v"))
+    wide = lists.groupBy("n").agg(*(F.first(F.when(F.col("_section") == i + 1, F.transform("_v", lambda z: z["v"])), ignorenulls=True).alias(c) for i, c in enumerate(names)))
+    sizes = wide.agg(*(F.max(F.size(c)).alias(c) for c in names)).first()
+    return wide.select("n", *((F.get(c, F.lit(0)) if sizes[c] == 1 else F.col(c)).alias(c) for c in names))
+
+
+def sections_text(sections: dict[str, np.ndarray], title: str = "x r y", digits: int = 4) -> str:
+    """The text form of a dump that read_sections() reads: whole numbers as such, others with `digits` decimals."""
+    parts = [f"# {title}\n#\n"]
+    for name, rows in sections.items():
+        rows = np.atleast_2d(rows)
+        whole = np.issubdtype(rows.dtype, np.integer)
+        parts.append(f"# {name}\n" + "\n".join(" ".join(str(int(v)) if whole else f"{v:.{digits}f}" for v in row) for row in rows) + "\n\n")
+    return "".join(parts)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, header: bool = True) -> None:
@@ -95,3 +138,43 @@ def model_text(model: RegimeModel, law: str | None = None) -> str:
     parts = [f"# Cov {i} {j}\n{show(model.pair_cov(i, j))}" for i in range(k) for j in range(k)]
     parts += [f"# mean of X\n{show(model.mean[:, : model.n_x])}", f"# mean of Y\n{show(model.mean[:, model.n_x :])}", f"# joint jump matrix\n{show(model.joint)}"]
     return "\n".join([*parts, *([f"# fuzzy parameters\n{law}"] if law else []), ""])
+
+
+def corners_text(model: RegimeModel, law: str, cells: int) -> str:
+    """The text form of a fuzzy model by its four corners, to be interpolated: law string, cells, covariances of the hard pairs and means."""
+    show = lambda m: "\n".join(" ".join(f"{float(x):.4f}" for x in row) for row in np.atleast_2d(m))
+    parts = [f"# fuzzy parameters\n{law}\n# cells {cells}"]
+    parts += [f"# Cov {i} {j}\n{show(model.pair_cov(i, j))}" for i in (0, -1) for j in (0, -1)]
+    ends = [0, len(model.mean) - 1]
+    return "\n".join([*parts, f"# mean of X\n{show(model.mean[ends, : model.n_x])}", f"# mean of Y\n{show(model.mean[ends, model.n_x :])}", ""])
+
+
+def regression_text(m: np.ndarray, lambda2: np.ndarray, p: np.ndarray, pi2: np.ndarray, law: str) -> str:
+    """The text form of regressions of all pairs: law string, then M, Lambda2, P and Pi2 of each pair in a line of its own."""
+    parts = [f"# fuzzy parameters\n{law}"]
+    for name, value in (("M", m), ("Lambda2", lambda2), ("P", p), ("Pi2", pi2)):
+        rows = value.reshape(value.shape[0] * value.shape[1], -1)
+        parts.append(f"# {name}\n" + "\n".join(" ".join(f"{float(x):.4f}" for x in row) for row in rows))
+    return "\n".join([*parts, ""])
+
+
+def read_regression(spark: SparkSession, path: str) -> tuple[str | None, dict[str, np.ndarray]]:
+    """Law string and the arrays of regression_text(), by pair."""
+    text = "\n".join(r[0] for r in spark.read.text(path).collect())
+    found = _sections(text)
+    law = next((t[4:] for t, _ in found if t.startswith("law ")), None)
+    out = {}
+    for name in ("m", "lambda2", "p", "pi2"):
+        rows = next(b for t, b in found if t.split(" ")[-1] == name)
+        k = round(len(rows) ** 0.5)
+        out[name] = rows.reshape(k, k, -1)
+    return law, {n: v[..., 0] if n in ("lambda2", "pi2") else v for n, v in out.items()}
+
+
+def latex_matrix(m: np.ndarray, digits: int = 2) -> str:
+    rows = " \\\\ ".join(" & ".join(f"{float(x):.{digits}f}" for x in row) for row in np.atleast_2d(m))
+    return f"\\begin{{pmatrix}} {rows} \\end{{pmatrix}}"
+
+
+def plain_matrix(m: np.ndarray, digits: int = 4) -> str:
+    return "\n".join(" ".join(f"{float(x):.{digits}f}" for x in row) for row in np.atleast_2d(m))
