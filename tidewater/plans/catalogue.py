@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship_package
-from ..functions import laws
-from ..functions.model import example_model, is_open_loop, nearest_open_loop, reversed_model
-from ..operators import fuzzy, learn, metrics, prepare, recursions, simulate
+from ..functions import grid, laws
+from ..functions.model import (
+    example_model, fq_to_cov, from_regression, is_open_loop, is_open_loop_from_cov, linear_state_space, nearest_open_loop, reversed_model, square_root, steady_state,
+)
+from ..operators import bounds, dense, fuzzy, learn, metrics, prepare, recursions, sem, simulate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -212,21 +214,65 @@ def mse_over_experiments(spark, sf_dir):
 # Laws of fuzzy regimes
 
 
+def _law_parameters(family: str) -> dict[str, str]:
+    """A law's parameters as SQL, those that normalisation fixes as formulas of the given ones."""
+    v = [f"{float(x)!r}::DOUBLE" for x in LAWS[family].split(":")[1:]]
+    if family == "1":
+        return {"alpha": v[0], "gamma": v[1], "beta": f"((1 - 5 * {v[1]}) / 2 - {v[0]})"}
+    if family == "2":
+        a, e, d = v
+        return {"alpha": a, "eta": e, "delta": d, "beta": f"((1 - 2.5 * ({d} + {e}) + ({d} - {e}) / 6) / 2 - {a})"}
+    if family == "2bis":
+        a, e, d, lam = v
+        return {"alpha": a, "eta": e, "delta": d, "lambda": lam, "beta": f"((1 - ({e} + ({d} - {e}) / 3) - 2 * {lam} * {e}) / 2 - {a})"}
+    if family == "2ter":
+        a0, a1, b = v
+        return {"alpha0": a0, "alpha1": a1, "beta": b, "eta": f"greatest(0.0, 0.375 * (1 - {a0} - {a1} - 2 * {b}))"}
+    if family == "3":
+        a, d = v
+        return {"alpha": a, "delta": d, "beta": "0.0::DOUBLE", "gamma": f"((1 - 2 * {a}) / ({d} * (6 - {d})))"}
+    if family == "4":
+        a, g, d = v
+        g = f"least({g}, (1 - 2 * {a}) / ({d} * (6 - {d})) - 1e-10)"
+        return {"alpha": a, "gamma": g, "delta": d, "beta": f"((1 - {g} * {d} * (6 - {d})) / 2 - {a})"}
+    a, b, d, lam = v
+    return {"alpha": a, "beta": b, "delta": d, "lambda": lam, "gamma": f"((1 - 2 * ({a} + {b})) / ({d} * (2 - {d}) + 2 * {lam} * {d}))"}
+
+
 def _joint_sql(family: str) -> str:
-    p = laws.law(LAWS[family]).p
+    p = _law_parameters(family)
     gap, inner, near0 = "abs(r - s)", "(CASE WHEN r IN (0, 1) THEN s ELSE r END)", "(r = 0 OR s = 0)"
     if family in ("3", "4", "4bis"):
-        inside = f"CASE WHEN {gap} <= {p['delta']!r} THEN {p['gamma']!r} ELSE 0.0 END"
-        edge = inside if p["lambda"] is None else f"CASE WHEN {gap} <= {p['delta']!r} THEN {p['lambda'] * p['gamma']!r} * (CASE WHEN {near0} THEN 1 - {inner} / {p['delta']!r} ELSE {inner} / {p['delta']!r} + {1 - 1 / p['delta']!r} END) ELSE 0.0 END"
+        inside = f"CASE WHEN {gap} <= {p['delta']} THEN {p['gamma']} ELSE 0.0 END"
+        ramp = f"(CASE WHEN {near0} THEN 1 - {inner} / {p['delta']} ELSE {inner} / {p['delta']} + 1 - 1 / {p['delta']} END)"
+        edge = inside if family != "4bis" else f"CASE WHEN {gap} <= {p['delta']} THEN {p['lambda']} * {p['gamma']} * {ramp} ELSE 0.0 END"
     elif family == "1":
-        inside = edge = repr(p["gamma"])
+        inside = edge = p["gamma"]
+    elif family == "2ter":
+        inside = edge = f"{p['eta']} * (1 - {gap})"
+    else:
+        inside = f"({p['eta']} + ({p['delta']} - {p['eta']}) * {gap})"
+        edge = inside if family == "2" else f"{p['lambda']} * {p['eta']} * (CASE WHEN {near0} THEN 1 - {inner} ELSE {inner} END)"
+    diagonal = f"CASE WHEN r = 0 THEN {p['alpha0']} ELSE {p['alpha1']} END" if family == "2ter" else p["alpha"]
+    return f"CASE WHEN r IN (0, 1) AND s IN (0, 1) THEN CASE WHEN r = s THEN {diagonal} ELSE {p['beta']} END WHEN r IN (0, 1) OR s IN (0, 1) THEN {edge} ELSE {inside} END"
+
+
+def _marginal_sql(family: str) -> str:
+    p = _law_parameters(family)
+    if family == "1":
+        atom, inside = f"{p['alpha']} + {p['beta']} + {p['gamma']}", f"3 * {p['gamma']}"
+    elif family == "2":
+        atom, inside = f"{p['alpha']} + {p['beta']} + ({p['eta']} + {p['delta']}) / 2", f"({p['delta']} - {p['eta']}) * (r * r - r) + 1.5 * ({p['eta']} + {p['delta']})"
+    elif family == "2bis":
+        atom, inside = f"{p['alpha']} + {p['beta']} + {p['eta']} * {p['lambda']} / 2", f"{p['eta']} * ({p['lambda']} + 1) + ({p['delta']} - {p['eta']}) * (0.5 + r * r - r)"
     elif family == "2ter":
-        inside = edge = f"{p['eta']!r} * (1 - {gap})"
+        atom, inside = f"CASE WHEN r = 0 THEN {p['alpha0']} ELSE {p['alpha1']} END + {p['beta']} + {p['eta']} / 2", f"{p['eta']} * (1.5 + r - r * r)"
     else:
-        inside = f"{p['eta']!r} + ({p['delta'] - p['eta']!r}) * {gap}"
-        edge = inside if family == "2" else f"{p['lambda'] * p['eta']!r} * (CASE WHEN {near0} THEN 1 - {inner} ELSE {inner} END)"
-    diagonal = f"CASE WHEN r = 0 THEN {p['alpha0']!r} ELSE {p['alpha1']!r} END" if family == "2ter" else repr(p["alpha"])
-    return f"CASE WHEN r IN (0, 1) AND s IN (0, 1) THEN CASE WHEN r = s THEN {diagonal} ELSE {p['beta']!r} END WHEN r IN (0, 1) OR s IN (0, 1) THEN {edge} ELSE {inside} END"
+        d, bis = p["delta"], family == "4bis"
+        atom = f"{p['alpha']} + {p['beta']} + {p['gamma']} * {d}" + (f" * {p['lambda']} / 2" if bis else "")
+        low, high = (f"{p['lambda']} * (1 - r / {d})", f"{p['lambda']} * (r / {d} + 1 - 1 / {d})") if bis else ("1", "1")
+        inside = f"{p['gamma']} * (least(1.0, r + {d}) - greatest(0.0, r - {d}) + CASE WHEN r <= {d} THEN {low} ELSE 0 END + CASE WHEN 1 - r <= {d} THEN {high} ELSE 0 END)"
+    return f"CASE WHEN r IN (0, 1) THEN {atom} ELSE {inside} END"
 
 
 def _grid_sql(family: str, cells: int) -> str:
@@ -264,6 +310,155 @@ def law_sum_to_one(spark, sf_dir):
     return out
 
 
+def _by_family(rows: Callable[[str], DataFrame]) -> DataFrame:
+    out = None
+    for family in LAWS:
+        part = rows(family)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS family, 1.0::DOUBLE AS joint, 1.0::DOUBLE AS marginal, 1.0::DOUBLE AS conditional" for k in LAWS))
+def law_totals(spark, sf_dir):
+    """Integrals of the joint law, its marginal and its conditional given 0.1, on a fine grid: all are 1."""
+
+    def one(family):
+        own = laws.law(LAWS[family])
+        joint = laws.table(spark, own, 400).agg(F.sum(F.col("w") * F.col("p")).alias("joint"))
+        line = laws.grid(spark, 2000).agg(F.sum(F.col("w") * laws.marginal(own, F.col("r"))).alias("marginal"), F.sum(F.col("w") * laws.conditional(own, F.lit(0.1), F.col("r"))).alias("conditional"))
+        return rounded(joint.join(F.broadcast(line)), 2, "joint", "marginal", "conditional").withColumn("family", F.lit(family))
+
+    return _by_family(one)
+
+
+def _line_sql(cells: int) -> str:
+    return f"SELECT CASE WHEN i = 0 THEN 0.0::DOUBLE WHEN i = {cells + 1} THEN 1.0 ELSE (i - 0.5) / {cells} END AS r, CASE WHEN i IN (0, {cells + 1}) THEN 1.0::DOUBLE ELSE 1.0 / {cells} END AS w FROM range({cells + 2}) t(i)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS family, round(r, 8) AS r, round({_marginal_sql(k)}, 8) AS m FROM ({_line_sql(20)})" for k in LAWS))
+def law_marginal(spark, sf_dir):
+    return _by_family(lambda k: rounded(laws.grid(spark, 20).select("r", laws.marginal(laws.law(LAWS[k]), F.col("r")).alias("m")), 8, "r", "m").withColumn("family", F.lit(k)))
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS family, round(r, 8) AS r, round(s, 8) AS s, round(p / m, 8) AS c FROM (SELECT *, {_marginal_sql(k)} AS m FROM ({_grid_sql(k, 10)}))" for k in LAWS))
+def law_conditional(spark, sf_dir):
+    def one(family):
+        own = laws.law(LAWS[family])
+        return rounded(laws.table(spark, own, 10).select("r", "s", laws.conditional(own, F.col("r"), F.col("s")).alias("c")), 8, "r", "s", "c").withColumn("family", F.lit(family))
+
+    return _by_family(one)
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS family, round(sum({_marginal_sql(k)}), 8) AS hard FROM (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) t(r)" for k in LAWS))
+def law_hard_weight(spark, sf_dir):
+    return spark.createDataFrame([(k, laws.hard_weight(laws.law(t))) for k, t in LAWS.items()], "family string, hard double").withColumn("hard", F.round("hard", 8))
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS family, CAST(r >= 0.5 AS INTEGER) AS j, CAST(s >= 0.5 AS INTEGER) AS k, round(sum(w * p), 2) AS p FROM ({_grid_sql(k, 400)}) GROUP BY 2, 3" for k in ("2", "2ter", "3", "4")))
+def law_hard_transition_closed(spark, sf_dir):
+    """Closed forms; the SQL integrates the joint law over the quadrants."""
+    rows = [(f, j, k, float(laws.hard_transition_closed(laws.law(LAWS[f]))[j, k])) for f in ("2", "2ter", "3", "4") for j in (0, 1) for k in (0, 1)]
+    return spark.createDataFrame(rows, "family string, j int, k int, p double").withColumn("p", F.round("p", 2))
+
+
+_STEPS = f"SELECT r, lead(r) OVER (PARTITION BY user_id ORDER BY n) AS s FROM ({_FUZZY})"
+
+
+@query(f"""WITH p AS (SELECT avg(CASE WHEN r = s AND r IN (0, 1) THEN 1.0 ELSE 0.0 END) / 2 AS alpha, avg(CASE WHEN r + s = 1 AND r IN (0, 1) THEN 1.0 ELSE 0.0 END) / 2 AS beta,
+    avg(CASE WHEN s IN (0, 1) THEN 1.0 ELSE 0.0 END) AS hard FROM ({_STEPS}) WHERE s IS NOT NULL)
+    SELECT round(alpha, 8) AS alpha, round(beta, 8) AS beta, 0.1::DOUBLE AS delta, round(1.9 * (hard - 2 * (alpha + beta)) / (1 - 2 * hard + 2 * (alpha + beta)), 6) AS lambda FROM p""")
+def law_fit_4bis(spark, sf_dir):
+    return rounded(rounded(laws.fit_4bis(fuzzy_series(spark, sf_dir), ["user_id"], "n", "r"), 8, "alpha", "beta"), 6, "lambda")
+
+
+@query(f"""WITH p AS (SELECT 0.9 * avg(CASE WHEN r IN (0, 1) THEN 1.0 ELSE 0.0 END) AS h FROM ({_FUZZY})) SELECT round((h - 0.6 * (1 - h)) / 2, 8) AS alpha, 0.0::DOUBLE AS beta, 0.0::DOUBLE AS delta, round(0.6 * (1 - h), 8) AS eta FROM p""")
+def law_fit_fmc1(spark, sf_dir):
+    return rounded(laws.fmc1(fuzzy_series(spark, sf_dir), "r", 0.9), 8, "alpha", "eta")
+
+
+@query(f"""WITH d AS (SELECT 0.5 * greatest(0.0, max(CASE WHEN r NOT IN (0, 1) THEN s - r END)) AS delta FROM ({_STEPS}) WHERE s IS NOT NULL), a AS (SELECT 0.9 * avg(CASE WHEN r IN (0, 1) THEN 1.0 ELSE 0.0 END) / 2 AS alpha FROM ({_FUZZY}))
+    SELECT round(alpha, 8) AS alpha, 0.0::DOUBLE AS beta, round((1 - 2 * alpha) / (6 * delta - delta * delta), 8) AS gamma, round(delta, 8) AS delta FROM a, d""")
+def law_fit_fmc2(spark, sf_dir):
+    return rounded(laws.fmc2(fuzzy_series(spark, sf_dir), ["user_id"], "n", "r", 0.9, 0.5), 8, "alpha", "gamma", "delta")
+
+
+# Grids
+
+
+@query(f"SELECT user_id, CAST(n AS INTEGER) AS n, i AS entry, CASE WHEN i = 0 THEN 0.0::DOUBLE WHEN i = 5 THEN 1.0 ELSE (i - 0.5) / 4 END AS value FROM (SELECT *, CAST(CASE WHEN r = 0 THEN 0 WHEN r = 1 THEN 5 ELSE floor(r * 4) + 1 END AS INTEGER) AS i FROM ({_FUZZY}))")
+def grid_lookup(spark, sf_dir):
+    entry = grid.index_of(F.col("r"), 4)
+    return fuzzy_series(spark, sf_dir).select("user_id", "n", entry.alias("entry"), grid.value_of(entry, 4).alias("value"))
+
+
+def _histograms(spark, sf_dir):
+    counts = fuzzy_series(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("_n"), *(F.sum((grid.index_of(F.col("r"), 4) == i).cast("double")).alias(f"_{i}") for i in range(6)))
+    return counts.select("user_id", F.array(*(F.col(f"_{i}") / F.col("_n") * (1.0 if i in (0, 5) else 4.0) for i in range(6))).alias("p"))
+
+
+_HISTOGRAM = "SELECT user_id, " + ", ".join(f"sum(CASE WHEN i = {i} THEN {1.0 if i in (0, 5) else 4.0} ELSE 0.0 END) / count(*) AS d{i}" for i in range(6)) + f" FROM (SELECT user_id, CASE WHEN r = 0 THEN 0 WHEN r = 1 THEN 5 ELSE floor(r * 4) + 1 END AS i FROM ({_FUZZY})) GROUP BY 1"
+
+
+@query(f"""SELECT user_id, round(d0 + d5 + (d1 + d2 + d3 + d4) / 4, 8) AS total, round((d0 * d0 + d5 * d5 + (d1 * d1 + d2 * d2 + d3 * d3 + d4 * d4) / 4), 8) AS squared,
+    CASE WHEN greatest(d1, d2, d3, d4) >= greatest(d0, d5) THEN CASE greatest(d1, d2, d3, d4) WHEN d1 THEN 0.125::DOUBLE WHEN d2 THEN 0.375 WHEN d3 THEN 0.625 ELSE 0.875 END WHEN d0 >= d5 THEN 0.0 ELSE 1.0 END AS mpm,
+    CAST(CASE WHEN d0 > 0.4 THEN 0 WHEN d0 + d1 / 4 > 0.4 THEN 1 WHEN d0 + (d1 + d2) / 4 > 0.4 THEN 2 WHEN d0 + (d1 + d2 + d3) / 4 > 0.4 THEN 3 WHEN d0 + (d1 + d2 + d3 + d4) / 4 > 0.4 THEN 4 ELSE 5 END AS INTEGER) AS drawn,
+    round(d0 / (d0 + d5 + (d1 + d2 + d3 + d4) / 4), 8) AS first FROM ({_HISTOGRAM})""")
+def grid_histograms(spark, sf_dir):
+    """Integral, product with itself, most probable value, a draw and normalisation of each user's law of regimes."""
+    p = F.col("p")
+    return _histograms(spark, sf_dir).select(
+        "user_id", F.round(grid.integral(p, 4), 8).alias("total"), F.round(grid.integral(grid.product(p, p), 4), 8).alias("squared"), grid.most_probable(p, 4).alias("mpm"),
+        grid.sampled(p, F.lit(0.4 + 1e-12), 4).alias("drawn"), F.round(F.get(grid.normalised(p, 4), F.lit(0)), 8).alias("first"),
+    )
+
+
+@query(f"SELECT round(r, 8) AS r, round(sum(w / (CASE WHEN r IN (0, 1) THEN 1 ELSE 0.05 END) * p), 8) AS p FROM ({_grid_sql('4', 20)}) GROUP BY 1")
+def grid_marginal(spark, sf_dir):
+    pairs = laws.table(spark, laws.law(LAWS["4"]), 20).withColumn("w_other", F.col("w") / F.when(F.col("r").isin(0.0, 1.0), 1.0).otherwise(0.05))
+    return rounded(grid.marginal(pairs, "r"), 8, "r", "p")
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS family, round(sum(CASE WHEN r BETWEEN 0.0 AND 0.3 AND s BETWEEN 0.2 AND 1.0 THEN w * p ELSE 0 END), 8) AS p FROM ({_grid_sql(k, 20)})" for k in LAWS))
+def grid_rectangle(spark, sf_dir):
+    return _by_family(lambda k: rounded(grid.rectangle(laws.table(spark, laws.law(LAWS[k]), 20), (0.0, 0.3), (0.2, 1.0)), 8, "p").withColumn("family", F.lit(k)))
+
+
+# More preparation
+
+
+@query(f"""WITH s AS (SELECT user_id, n, y, count(*) OVER (PARTITION BY user_id) AS m FROM ({EVENTS})), t AS (SELECT user_id, m, i, i * (m - 1) / 49.0::DOUBLE AS place FROM (SELECT DISTINCT user_id, m FROM s), range(50) r(i))
+    SELECT t.user_id, CAST(i AS INTEGER) AS n, round(a.y + coalesce(b.y - a.y, 0) * (place - a.n), 5) AS y FROM t JOIN s a ON a.user_id = t.user_id AND a.n = least(floor(place + 1e-9), t.m - 1) LEFT JOIN s b ON b.user_id = t.user_id AND b.n = a.n + 1""")
+def stretched_series(spark, sf_dir):
+    return rounded(prepare.stretched(event_series(spark, sf_dir).select("user_id", "n", "y"), ["user_id"], "n", ["y"], 50), 5, "y")
+
+
+@query(f"SELECT user_id, event_id, TIMESTAMP '2013-12-12 00:00:00' + INTERVAL 1 HOUR * n AS ts, CASE WHEN n < 10 THEN 0.0::DOUBLE WHEN n < 20 THEN 0.5 ELSE 1.0 END AS label FROM ({EVENTS})")
+def regular_times(spark, sf_dir):
+    return event_series(spark, sf_dir).select("user_id", "event_id", prepare.regular_times(F.col("n"), "2013-12-12 00:00:00").alias("ts"), prepare.constant_runs(F.col("n"), [(10, 0.5), (20, 1.0)], 0.0).alias("label"))
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS ts FROM events")
+def date_and_time_text(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "dd/MM/yyyy").alias("d"), F.date_format("ts", "HH:mm:ss").alias("t"))
+    return rows.select("event_id", prepare.timestamp_of("d", "t", "dd/MM/yyyy HH:mm:ss").alias("ts"))
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")
+def equality_filter(spark, sf_dir):
+    return read(spark, sf_dir, "events").filter(F.col("event_type") == "purchase").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CAST(n AS INTEGER) AS n, 'r' AS method, round(avg(pow(r - hard, 2)), 8) AS mse, round(var_pop(pow(r - hard, 2)), 8) AS variance FROM ({_FUZZY}) GROUP BY 1 UNION ALL SELECT CAST(n AS INTEGER), 'half', round(avg(pow(0.5 - hard, 2)), 8), round(var_pop(pow(0.5 - hard, 2)), 8) FROM ({_FUZZY}) GROUP BY 1")
+def mse_by_place(spark, sf_dir):
+    return rounded(metrics.mse_by_place(fuzzy_series(spark, sf_dir).withColumn("half", F.lit(0.5)), "n", "hard", ["r", "half"]), 8, "mse", "variance")
+
+
+@query(f"SELECT user_id, count(*) AS n, round(avg(pow(r - hard, 2)), 4) AS mse_r, round(avg(abs(round_even(r, 0) - hard)), 4) AS label_errors FROM ({_FUZZY}) GROUP BY 1")
+def error_report(spark, sf_dir):
+    rows = fuzzy_series(spark, sf_dir).withColumn("near", metrics.hardened("r"))
+    return metrics.report(rows, ["user_id"], "hard", ["r"], ("near", "hard"))
+
+
 # Filters
 
 
@@ -420,6 +615,122 @@ def simulate_fuzzy(spark, sf_dir):
     return simulate.simulate_fuzzy(spark, OPEN, laws.law(LAWS["4"]), 4, 20, 100, seed=3)
 
 
+#: A regression of each pair of regimes at the scale of the daily series.
+PAIRS = sem.PairRegression(
+    np.array([[[0.3, 40.0, 900.0, 2000.0], [0.2, 30.0, 1000.0, 1500.0]], [[0.1, 50.0, 950.0, 1000.0], [0.25, 20.0, 1050.0, 500.0]]]), np.full((2, 2), 4.0e7),
+    np.array([[[0.2, 19.0], [0.1, 25.0]], [[0.15, 20.0], [0.3, 19.0]]]), np.full((2, 2), 9.0), np.array([[0.3, 0.2], [0.2, 0.3]]), np.array([[36000.0, 24.0], [38000.0, 27.0]]), np.array([np.diag([4.0e7, 9.0])] * 2),
+)
+
+
+def _likelihood_sql() -> str:
+    out = []
+    for j, k in np.ndindex(2, 2):
+        m, p, v, w = PAIRS.m[j, k], PAIRS.p[j, k], float(PAIRS.lambda2[j, k]), float(PAIRS.pi2[j, k])
+        dx, dy = f"(x2 - ({m[0]} * x + {m[1]} * y + {m[2]} * y2 + {m[3]}))", f"(y2 - ({p[0]} * y + {p[1]}))"
+        out.append(f"round(-0.5 * ({dx} * {dx} / {v!r}::DOUBLE + {dy} * {dy} / {w!r}::DOUBLE + ln(4 * pi() * pi() * {v * w!r}::DOUBLE)), 6) AS l_{j}_{k}")
+    return f"SELECT flag, CAST(day AS VARCHAR) AS day, {', '.join(out)} FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM ({DAYS}) WINDOW w AS (PARTITION BY flag ORDER BY day)) WHERE x2 IS NOT NULL"
+
+
+@query(_likelihood_sql())
+def pair_log_likelihood(spark, sf_dir):
+    found = sem.pair_likelihood(day_series(spark, sf_dir), ["flag"], "day", "x", "y", PAIRS)
+    return found.select("flag", F.col("day").cast("string").alias("day"), *(F.round(F.log(f"l_{j}_{k}"), 6).alias(f"l_{j}_{k}") for j, k in np.ndindex(2, 2)))
+
+
+@query(f"""SELECT j, k, round(sum(1.0), 3) AS one_one, round(sum(x), 3) AS x_one, round(sum(y * y2), 4) AS y_y_next, round(sum(x * x2), -2) AS x_x_next, round(sum(y2 * x2), 1) AS y_next_x_next
+    FROM (SELECT r AS j, lead(r) OVER w AS k, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM ({DAYS}) WINDOW w AS (PARTITION BY flag ORDER BY day)) WHERE k IS NOT NULL GROUP BY 1, 2""")
+def weighted_sums_of_labels(spark, sf_dir):
+    found = sem.weighted_sums(day_series(spark, sf_dir), ["flag"], "day", "x", "y", 2, "r")
+    return found.select("j", "k", F.round("one_one", 3).alias("one_one"), F.round("x_one", 3).alias("x_one"), F.round("y_y_next", 4).alias("y_y_next"), F.round("x_x_next", -2).alias("x_x_next"), F.round("y_next_x_next", 1).alias("y_next_x_next"))
+
+
+@query()
+def regime_posterior(spark, sf_dir):
+    """Forward, backward, pair posterior and a drawn chain with x and y known; tests hold it against all paths."""
+    found = sem.posterior(day_series(spark, sf_dir).drop("r"), ["flag"], "day", "x", "y", PAIRS, seed=5)
+    return found.select("flag", F.col("day").cast("string").alias("day"), F.round(F.get("gamma", F.lit(1)), 6).alias("gamma1"), F.round(F.get("psi", F.lit(3)), 6).alias("psi11"), "r")
+
+
+@query()
+def stochastic_learning(spark, sf_dir):
+    """Parameters of each round of learning without labels."""
+    _, _, trace = sem.learn(day_series(spark, sf_dir).drop("r"), ["flag"], "day", "x", "y", 2, 3)
+    rows = [(t["round"], j, k, float(t["joint"][j, k]), *map(float, t["m"][j, k]), float(t["lambda2"][j, k]), *map(float, t["p"][j, k]), float(t["pi2"][j, k])) for t in trace for j, k in np.ndindex(2, 2)]
+    return spark.createDataFrame(rows, "round int, j int, k int, joint double, m0 double, m1 double, m2 double, m3 double, lambda2 double, p0 double, p1 double, pi2 double")
+
+
+@query()
+def whitened_kmeans(spark, sf_dir):
+    return sem.whitened_kmeans(day_series(spark, sf_dir), ["x", "y"], "y", 2).select("flag", "day", "label")
+
+
+def _transitions_sql() -> str:
+    each = " UNION ALL ".join(
+        f"""SELECT user_id, n, {j} AS j, {k} AS k, q_{j} * {float(OPEN.transition[j, k])!r}::DOUBLE AS p, q_{j} * l_{j}_{k} / p_{k} AS b, l_{j}_{k} * b_{k} / ({' + '.join(f'l_{j}_{i} * b_{i}' for i in (0, 1))}) AS f,
+        q_{j} * l_{j}_{k} * b_{k} / ({' + '.join(f'q_{i} * l_{i}_{h} * b_{h}' for i in (0, 1) for h in (0, 1))}) AS s FROM t WHERE n > 0""" for j, k in np.ndindex(2, 2)
+    )
+    return f"""WITH RECURSIVE {_unknown_sql(OPEN)} {_smooth_sql(OPEN)}, t AS (SELECT f.*, b_0, b_1, lag(p_0) OVER w AS q_0, lag(p_1) OVER w AS q_1 FROM f JOIN b USING (user_id, n) WINDOW w AS (PARTITION BY f.user_id ORDER BY f.n))
+    SELECT user_id, CAST(n AS INTEGER) AS n, j, k, round(p, 6) AS predict, round(b, 6) AS back, round(f, 6) AS forward, round(s, 6) AS smooth FROM ({each})"""
+
+
+@query(_transitions_sql())
+def regime_transitions(spark, sf_dir):
+    """Laws of each step: predicted, given the regime after, given the one before, and given all."""
+    found = recursions.regime_transitions(event_series(spark, sf_dir).select("user_id", "n", "y"), OPEN, ["user_id"])
+    names = {"t_predict": "predict", "t_back": "back", "t_forward": "forward", "t_smooth": "smooth"}
+    each = F.posexplode(F.arrays_zip(*(F.col(c).alias(n) for c, n in names.items()))).alias("_at", "_law")
+    rows = found.filter("t_smooth IS NOT NULL").select("user_id", "n", each)
+    return rows.select("user_id", "n", F.expr("int(_at div 2)").alias("j"), F.expr("int(_at % 2)").alias("k"), *(F.round(f"_law.{n}", 6).alias(n) for n in names.values()))
+
+
+def _bounds_sql() -> str:
+    own, w = example_model(), example_model().marginal
+    d = lambda x: f"{float(x)!r}::DOUBLE"
+    known = " + ".join(f"{d(w[k])} * ({d(g[0, 0])} - {d(g[0, 1])} * {d(g[0, 1])} / {d(g[1, 1])})" for k, g in enumerate(own.gamma))
+    second = " + ".join(f"{d(w[k])} * ({d(g[0, 0])} + {d(own.mean[k][0])} * {d(own.mean[k][0])})" for k, g in enumerate(own.gamma))
+    p = [f"{d(w[k])} / sqrt(2 * pi() * {d(g[1, 1])}) * exp(-0.5 * pow(y - {d(own.mean[k][1])}, 2) / {d(g[1, 1])})" for k, g in enumerate(own.gamma)]
+    e = [f"({d(own.mean[k][0])} + {d(g[0, 1])} / {d(g[1, 1])} * (y - {d(own.mean[k][1])}))" for k, g in enumerate(own.gamma)]
+    return f"""SELECT round({known}, 6) AS known, round({second} - sum(step * CASE WHEN q > 0 THEN h * h / q ELSE 0 END), 5) AS unknown FROM (SELECT step, {p[0]} + {p[1]} AS q, {p[0]} * {e[0]} + {p[1]} * {e[1]} AS h
+    FROM (SELECT -250 + i * 0.03::DOUBLE AS y, CASE WHEN i IN (0, 20000) THEN 0.015 ELSE 0.03 END AS step FROM range(20001) t(i)))"""
+
+
+@query(_bounds_sql())
+def blind_bounds(spark, sf_dir):
+    return rounded(rounded(bounds.blind_bounds(spark, example_model(), -250.0, 350.0), 6, "known"), 5, "unknown")
+
+
+@query(_known_sql(example_model()) + """, l AS MATERIALIZED (SELECT user_id, max(n) AS last FROM f GROUP BY 1),
+    b AS (SELECT f.user_id, f.n, f.v AS sv FROM f JOIN l ON f.user_id = l.user_id AND f.n = l.last UNION ALL
+    SELECT p.user_id, p.n, q.p2 + pow(q.p2 * q.a / q.v, 2) * (b.sv - q.v) FROM b JOIN f q ON q.user_id = b.user_id AND q.n = b.n JOIN f p ON p.user_id = b.user_id AND p.n = b.n - 1)
+    SELECT CAST(n AS INTEGER) AS n, 'filter_var' AS method, round(avg(v), 6) AS mean FROM f GROUP BY 1 UNION ALL SELECT CAST(n AS INTEGER), 'smooth_var', round(avg(sv), 6) FROM b GROUP BY 1""")
+def mean_state_variances(spark, sf_dir):
+    found = recursions.kalman(event_series(spark, sf_dir).select("user_id", "n", "y", "r"), example_model(), ["user_id"], outputs=("filter_var", "smooth_var"))
+    return rounded(metrics.mean_covariances(found, "n", ["filter_var", "smooth_var"]), 6, "mean")
+
+
+@query()
+def dense_smoother(spark, sf_dir):
+    """Known regimes by whole covariance matrices, over the first 40 rows of each series (the operator is for short series)."""
+    rows = event_series(spark, sf_dir).select("user_id", "n", "y", "r").filter("n < 40")
+    return rounded(dense.dense_smoother(rows, example_model(), ["user_id"]).select("user_id", "n", "smooth", "smooth_var"), 6, "smooth", "smooth_var")
+
+
+@query()
+def experiments(spark, sf_dir):
+    return simulate.experiments(spark, OPEN, 50, 100, seed=3)
+
+
+@query()
+def simulated_quadrants(spark, sf_dir):
+    return simulate.quadrant_shares(simulate.simulate_fuzzy(spark, OPEN, laws.law(LAWS["4"]), 10, 50, 200, seed=4))
+
+
+@query()
+def admissible_models(spark, sf_dir):
+    own = example_model()
+    return simulate.random_models(spark, own.gamma, own.joint, 500, seed=2, span=0.6)
+
+
 @query()
 def kmeans_labels(spark, sf_dir):
     return learn.kmeans_labels(day_series(spark, sf_dir), ["x", "y"], "y", 2).select("flag", "day", "label")
@@ -450,8 +761,52 @@ _FQ = "round((sxx * gyy - syx * gxy) / det, 8) AS fxx, round((syx * gxx - sxx *
 
 @query(f"SELECT j, k, {_FQ} FROM (SELECT *, gxx * gyy - gxy * gyx AS det FROM ({_model_sql(example_model())}))")
 def cov_to_fq(spark, sf_dir):
-    rows = _model_rows(spark, example_model()).withColumn("det", F.expr("gxx * gyy - gxy * gyx"))
-    return rows.selectExpr("j", "k", *_FQ.replace(", round", "|round").split("|"))
+    f = example_model().regression()[0]
+    rows = [(j, k, *map(float, f[j, k].ravel())) for j, k in np.ndindex(2, 2)]
+    return rounded(spark.createDataFrame(rows, "j int, k int, fxx double, fxy double, fyx double, fyy double"), 8, "fxx", "fxy", "fyx", "fyy")
+
+
+@query(f"""SELECT j, round((gxx + d) / t, 8) AS xx, round(gxy / t, 8) AS xy, round((gyy + d) / t, 8) AS yy FROM (SELECT *, sqrt(det) AS d, sqrt(gxx + gyy + 2 * sqrt(det)) AS t FROM (SELECT *, gxx * gyy - gxy * gyx AS det FROM ({_model_sql(example_model())}) WHERE j = k))""")
+def matrix_square_root(spark, sf_dir):
+    """Roots of each regime's covariance; the SQL has the closed form of 2 x 2 matrices."""
+    rows = [(j, *map(float, square_root(g)[[0, 0, 1], [0, 1, 1]])) for j, g in enumerate(example_model().gamma)]
+    return rounded(spark.createDataFrame(rows, "j int, xx double, xy double, yy double"), 8, "xx", "xy", "yy")
+
+
+@query(f"SELECT j, round(gxx, 6) AS gxx, round(gxy, 6) AS gxy, round(gyy, 6) AS gyy, round(sxx, 6) AS sxx, round(sxy, 6) AS sxy, round(syx, 6) AS syx, round(syy, 6) AS syy FROM ({_model_sql(example_model())}) WHERE j = k")
+def fq_round_trip(spark, sf_dir):
+    """Covariances from F and Q from covariances: the SQL has those given."""
+    own, rows = example_model(), []
+    f, q, _ = own.regression()
+    for j in (0, 1):
+        gamma, sigma = fq_to_cov(f[j, j], q[j, j])
+        rows.append((j, *map(float, gamma[[0, 0, 1], [0, 1, 1]]), *map(float, sigma.ravel())))
+    names = ["gxx", "gxy", "gyy", "sxx", "sxy", "syx", "syy"]
+    return rounded(spark.createDataFrame(rows, "j int, " + ", ".join(f"{n} double" for n in names)), 6, *names)
+
+
+@query(f"""SELECT j, k, round(sxx, 6) AS sxx, round(sxx * hxy / hxx, 6) AS sxy, round(sxx * gxy / gxx, 6) AS syx, round(sxx * gxy / gxx * hxy / hxx, 6) AS syy FROM ({_model_sql(example_model())})""")
+def linear_state_space_model(spark, sf_dir):
+    return rounded(_model_rows(spark, linear_state_space(example_model())).select("j", "k", "sxx", "sxy", "syx", "syy"), 6, "sxx", "sxy", "syx", "syy")
+
+
+@query("""SELECT j, k, round(m0, 8) AS fxx, round(m1 + p0 * m2, 8) AS fxy, round(0.0::DOUBLE, 8) AS fyx, round(p0, 8) AS fyy, round(l + m2 * m2 * q, 6) AS qxx, round(m2 * q, 6) AS qxy, round(q, 6) AS qyy,
+    round((m3 + p1 / (1 - p0) * (m1 + m2)) / (1 - m0), 6) AS mean_x, round(p1 / (1 - p0), 6) AS mean_y FROM (VALUES """ + ", ".join(
+    "(" + ", ".join([str(j), str(k), *(f"{float(v)!r}::DOUBLE" for v in (*PAIRS.m[j, k], PAIRS.lambda2[j, k], *PAIRS.p[j, k], PAIRS.pi2[j, k]))]) + ")" for j, k in np.ndindex(2, 2)) + ") t(j, k, m0, m1, m2, m3, l, p0, p1, q)")
+def regression_to_fq(spark, sf_dir):
+    rows = []
+    for j, k in np.ndindex(2, 2):
+        f, q, mean = from_regression(PAIRS.m[j, k], PAIRS.lambda2[j, k], PAIRS.p[j, k], PAIRS.pi2[j, k])
+        rows.append((j, k, *map(float, f.ravel()), *map(float, q[[0, 0, 1], [0, 1, 1]]), *map(float, mean)))
+    names = ["fxx", "fxy", "fyx", "fyy", "qxx", "qxy", "qyy", "mean_x", "mean_y"]
+    found = spark.createDataFrame(rows, "j int, k int, " + ", ".join(f"{n} double" for n in names))
+    return rounded(rounded(found, 8, *names[:4]), 6, *names[4:])
+
+
+@query("SELECT k, round(CASE k WHEN 0 THEN b ELSE a END / (a + b), 8) AS p FROM (VALUES (0), (1)) t(k), (SELECT 0.1::DOUBLE / 0.65 AS a, 0.1::DOUBLE / 0.35 AS b)")
+def steady_state_law(spark, sf_dir):
+    found = steady_state(example_model().transition)
+    return spark.createDataFrame([(k, float(found[k])) for k in (0, 1)], "k int, p double").withColumn("p", F.round("p", 8))
 
 
 @query(f"SELECT j, k, round(sxx, 8) AS sxx, round(gxy / gyy * syy, 8) AS sxy, round(syx, 8) AS syx, round(syy, 8) AS syy FROM ({_model_sql(example_model())})")
@@ -464,6 +819,13 @@ def reverse_model(spark, sf_dir):
     return rounded(_model_rows(spark, reversed_model(example_model())).select("j", "k", "sxx", "sxy", "syx", "syy"), 8, "sxx", "sxy", "syx", "syy")
 
 
-@query("SELECT 'given' AS model, false AS open_loop UNION ALL SELECT 'nearest', true")
+def _open_sql(name: str, model) -> str:
+    feedback = "(sxy * gyy - syy * gxy) / (gxx * gyy - gxy * gyx)"
+    residual = "sxy - gxy / gyy * syy"
+    return f"SELECT '{name}' AS model, max(abs({feedback})) <= 1e-8 AS from_f, max(abs({residual})) <= 1e-8 AS from_cov FROM ({_model_sql(model)})"
+
+
+@query(_open_sql("given", example_model()) + " UNION ALL " + _open_sql("nearest", OPEN))
 def open_loop_check(spark, sf_dir):
-    return spark.createDataFrame([("given", is_open_loop(example_model())), ("nearest", is_open_loop(OPEN))], "model string, open_loop boolean")
+    rows = [(name, is_open_loop(m), is_open_loop_from_cov(m)) for name, m in (("given", example_model()), ("nearest", OPEN))]
+    return spark.createDataFrame(rows, "model string, from_f boolean, from_cov boolean")
