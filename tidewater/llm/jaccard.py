@@ -250,6 +250,23 @@ def _linked(texts: DataFrame, held: DataFrame, placed: DataFrame, n: int, thresh
     return rows.groupBy("_hub", "_one", "_two").applyInPandas(lambda batch: _join(batch, n, threshold), "a long, b long")
 
 
+def _stars(signed: DataFrame) -> DataFrame:
+    """node, _hub: all nodes of a signature meet under one of them, the one that shares most signatures (then the least).
+
+    So the copies of one text, each changed at other places, meet under few hubs: under the least changed ones.
+    """
+    upto = Window.partitionBy("signature").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = shared.save(signed.withColumn("_first", F.first("node").over(upto)).filter("node != _first").distinct(), "met")
+    every = met.select("signature", "node").unionByName(met.select("signature", F.col("_first").alias("node")).distinct())
+    often = shared.save(every.groupBy("node").agg(F.count("*").alias("_often")), "often")
+    first = Window.partitionBy("signature").orderBy(F.col("_often").desc(), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = every.join(shared.small(often), "node").withColumn("_hub", F.first("node").over(first)).filter("node != _hub").select("node", "_hub").distinct()
+    stars = shared.save(found, "stars")
+    shared.drop(met)
+    shared.drop(often)
+    return stars
+
+
 def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block: int) -> DataFrame:
     """_id, _uid (hash of the text), n_shingles, _root (null without words) of each row."""
     threshold = Fraction(percent, 100)
@@ -257,8 +274,7 @@ def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block:
     id_type = given.schema["_id"].dataType.simpleString()
     described = shared.save(given.mapInPandas(lambda it: _describe(it, n), f"_id {id_type}, _uid long, n_shingles long, node long"), "shingled")
     signed = given.select("_text").mapInPandas(lambda it: _sign(it, n, threshold), "node long, signature long")
-    upto = Window.partitionBy("signature").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = shared.save(signed.withColumn("_hub", F.first("node").over(upto)).filter("node != _hub").select("node", "_hub").distinct(), "stars")
+    stars = _stars(signed)
     stars_all = stars.unionByName(stars.select(F.col("_hub").alias("node"), "_hub").distinct())
     held = (
         described.join(shared.small(stars_all.select("node").distinct()), "node", "left_semi").groupBy("node", "n_shingles")
@@ -317,7 +333,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """key, n_shingles, component_id: documents linked where 100 * intersection >= percent * union of their n-word sets.
 
     component_id is the least key that links reach. Documents with equal sets are one node. Nodes that share a
-    signature are candidates and belong to the star of the least of them. A star is joined by tries of `block` nodes
+    signature are candidates and belong to the star of one of them. A star is joined by tries of `block` nodes
     (or BLOCK_SHINGLES) each; then pairs of blocks of a larger star that links don't connect yet are tasks of their own.
     A text without words, empty or null, is linked with nothing. Rows with a repeated key are documents of
     their own; a null key takes part but is never the least. An empty table gives an empty result.
