@@ -37,12 +37,41 @@ def test_unlimited_code_is_optimal():
 
 def test_round_trip_of_blocks():
     rng = np.random.default_rng(3)
-    for size in (1, 5, 127, 128, 129, 5000):
-        ids = rng.zipf(1.3, size).clip(max=40000).astype(np.int64)
+    for sizes in ([1], [5, 0, 127], [128, 129, 1], [5000, 3, 256, 7], [1] * 300):
+        counts = np.array(sizes)
+        ids = rng.zipf(1.3, counts.sum()).clip(max=40000).astype(np.int64)
         lengths = huffman.code_lengths(np.bincount(ids), huffman.MOST_BITS)
         codes, table, table_lengths = huffman.canonical(lengths)
-        bits, marks = huffman.pack(ids, codes, lengths)
-        assert (huffman.unpack(bits, marks, size, table, table_lengths) == ids).all()
+        bits, room, marks, lanes = huffman.pack(ids, counts, codes, lengths)
+        marks = marks + 8 * np.repeat(np.cumsum(room) - room, lanes)
+        assert (huffman.unpack(bits.tobytes(), marks, counts, table, table_lengths) == ids).all()
+        assert room.sum() == len(bits) and (lanes == -(-counts // huffman.LANE)).all()
+
+
+def test_long_codes():
+    """Vocabularies beyond 2**16 ids have longer codes."""
+    ids = np.random.default_rng(4).permutation(np.repeat(np.arange(90_000), 2))
+    lengths = huffman.code_lengths(np.bincount(ids), 18)
+    codes, table, table_lengths = huffman.canonical(lengths)
+    bits, _, marks, _ = huffman.pack(ids, np.array([len(ids)]), codes, lengths)
+    assert lengths.max() in (17, 18) and (huffman.unpack(bits.tobytes(), marks, np.array([len(ids)]), table, table_lengths) == ids).all()
+
+
+def test_units_against_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    encoder, plain = huffman.UnitEncoder(PATH), Tokenizer.from_file(PATH)
+    assert encoder.units is not None
+    latin = [chr(c) for c in range(1, 0x250)]
+    texts = ["".join(latin), "".join(latin[::-1]), "It's I'LL they'Re 'S''t --'s x'd", "İstanbul Σίσυφος ΟΔΟΣ e\u0301", "a<|endoftext|>b", ""]
+    texts += ["".join(rng.choice([*latin, "'", "s", "ll", " ", "Σ", "\u0301", "𝔸", "<|startoftext|>"]) for _ in range(40)) for _ in range(300)]
+    ids, counts = encoder.encode(texts)
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    other = huffman.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.words and other.encode(["Hello  the\nworld", "x"])[0].tolist() == whole.encode("Hello  the\nworld", add_special_tokens=False).ids + whole.encode("x", add_special_tokens=False).ids
 
 
 def test_files_against_whole_text_encoding(spark, tmp_path, monkeypatch):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +16,34 @@ from pyspark.sql import functions as F
 
 from . import shared
 
+#: Codes of up to 16 bits, or of one more than all used ids need; a decoding table has an entry for each such string.
 MOST_BITS = 16
 LANE = 128
 BLOCK = 1 << 17
-CACHED_WORDS = 600_000
+CACHED_UNITS = 1_000_000
+#: Where word_bpe_49k.json cuts lower-cased text. Below U+0250 characters have settled classes and are
+#: composed already; what lower-casing takes beyond is not cut by this pattern.
+_LATIN = 0x250
+_KINDS = {k: "".join(re.escape(chr(c)) for c in range(_LATIN) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+_UNITS = rf"'(?:s|t|re|ve|m|ll|d)|[{_KINDS['L']}]+|[{_KINDS['N']}]|[^{_KINDS['L']}{_KINDS['N']}\t-\r \x85\xa0]+"
+_OTHER = re.compile(f"[{chr(_LATIN)}-\U0010ffff]")
 
 
-class WordEncoder:
-    """Encodes texts word by word; exact for tokenizers to which ASCII white space is a boundary that leaves no token."""
+class Places(dict):
+    """Numbers for units; a new one gets the next."""
+
+    def __missing__(self, unit: str) -> int:
+        found = self[unit] = len(self)
+        return found
+
+
+class UnitEncoder:
+    """Encodes texts by the units that merges never cross, each unit once.
+
+    For the tokenizer that _UNITS describes, Latin texts without special tokens are cut by that pattern; all other
+    texts, and those of other tokenizers, are cut at ASCII white space if the tokenizer drops it (as it is tested on
+    start), and given to it whole if not.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -29,55 +52,88 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        self.special = [x["content"] for x in made["added_tokens"]]
+        norms, cuts = made["normalizer"] or {}, made["pre_tokenizer"] or {}
+        split = (cuts.get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        known = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+        self.units = re.compile(_UNITS) if split == known and [x["type"] for x in norms.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] else None
+        probe = "One twO, 3's\t<a> \n\x0b b_c  d"
+        self.words = self._ids([probe])[0] == [i for ids in self._ids(re.split("[\t-\r ]+", probe)) for i in ids]
         self.clear()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.starts, self.pool, self.fill, self.n = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 18, dtype=np.uint32), 0, 0
 
-    def add(self, words: list[str]) -> None:
-        for a in range(0, len(words), 5000):
-            some = words[a : a + 5000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+    def _learn(self) -> None:
+        """Encodes the units that got a number since the last time."""
+        units = list(itertools.islice(self.place, self.n, None))
+        for a in range(0, len(units), 5000):
+            ids = self._ids(units[a : a + 5000])
             flat = np.array([x for own in ids for x in own], dtype=np.uint32)
             while self.fill + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while self.n + len(some) + 1 > len(self.starts):
+            while self.n + len(ids) + 1 > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.pool[self.fill : self.fill + len(flat)] = flat
-            self.starts[self.n + 1 : self.n + len(some) + 1] = self.fill + np.cumsum([len(x) for x in ids])
-            self.place.update(zip(some, range(self.n, self.n + len(some)), strict=True))
+            self.starts[self.n + 1 : self.n + len(ids) + 1] = self.fill + np.cumsum([len(x) for x in ids])
             self.fill += len(flat)
-            self.n += len(some)
+            self.n += len(ids)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [re.split("[\t-\r ]+", t) for t in texts]
-        if self.n > CACHED_WORDS:
+    def _cut(self, text: str) -> list[str]:
+        if self.units and not any(x in text for x in self.special) and not _OTHER.search(low := text.lower()):
+            return self.units.findall(low)
+        return re.split("[\t-\r ]+", text) if self.words else [text]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each has."""
+        if len(self.place) > CACHED_UNITS:
             self.clear()
-        new = {w for words in split for w in words}.difference(self.place)
-        if new:
-            self.add(sorted(new))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
-            start = self.starts[at]
-            size = self.starts[at + 1] - start
-            ends = np.cumsum(size)
-            out.append(self.pool[np.arange(ends[-1]) + np.repeat(start - ends + size, size)])
-        return out
+        at, counts = [], []
+        for text in texts:
+            units = self._cut(text)
+            at.append(np.fromiter(map(self.place.__getitem__, units), dtype=np.int64, count=len(units)))
+            counts.append(len(units))
+        self._learn()
+        flat = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+        start = self.starts[flat]
+        size = self.starts[flat + 1] - start
+        ends = np.concatenate([[0], np.cumsum(size)])
+        edges = ends[np.cumsum([0, *counts])]
+        return self.pool[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)], np.diff(edges)
+
+
+_encoders: dict[str, UnitEncoder] = {}
+
+
+def _encoder(path: str) -> UnitEncoder:
+    """The encoder of this worker process, which keeps the units it has met from task to task."""
+    if path not in _encoders:
+        _encoders[path] = UnitEncoder(path)
+    return _encoders[path]
 
 
 def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
-    """key, ids (binary, little-endian unsigned 32-bit): the tokens of each whole text and the end id; a null text is empty."""
+    """key, ids (binary, little-endian unsigned 32-bit): the tokens of each whole text and the end id.
+
+    A null text is empty; repeated rows are documents of their own; other columns of docs are not read, whatever their
+    names; an empty table gives an empty result.
+    """
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(path)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encoder = _encoder(path)
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.iloc[a : a + 256]
-                ids = encoder.encode([t if isinstance(t, str) else "" for t in part[text]])
-                yield pd.DataFrame({key: part[key], "ids": [x.astype("<u4").tobytes() + end for x in ids]})
+                ids, counts = encoder.encode([t if isinstance(t, str) else "" for t in part[text]])
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, end_id).astype("<u4")
+                ends += np.arange(1, len(ends) + 1)
+                yield pd.DataFrame({key: part[key], "ids": [x.tobytes() for x in np.split(ids, ends[:-1])]})
 
     rows = docs.select(key, text)
     return rows.mapInPandas(encoded, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary")
@@ -110,49 +166,68 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
 
 
 def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes by id, and the table that gives id and length for each MOST_BITS bits."""
+    """Codes by id, and the table that gives id and length for each string of as many bits as the longest code has."""
     used = np.flatnonzero(lengths)
     used = used[np.lexsort((used, lengths[used]))]
-    span = np.left_shift(1, MOST_BITS - lengths[used])
+    most = int(lengths.max(initial=0))
+    span = np.left_shift(1, most - lengths[used])
     first = np.cumsum(span) - span
     codes = np.zeros(len(lengths), dtype=np.int64)
-    codes[used] = first >> (MOST_BITS - lengths[used])
-    table = np.zeros(1 << MOST_BITS, dtype=np.uint32)
+    codes[used] = first >> (most - lengths[used])
+    table = np.zeros(1 << most, dtype=np.uint32)
     table[: span.sum()] = np.repeat(used, span)
     return codes, table, lengths[table]
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes]:
-    """Bits of the ids' codes, and the bit offset of every LANE-th id."""
+def pack(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bits of the codes of several documents, each from a byte of its own; bytes of each; bit offsets (in its document) of every LANE-th id; how many each has."""
     size = lengths[ids]
-    at = np.cumsum(size) - size
-    shifted = codes[ids] << (24 - size - (at & 7))
-    total = int(at[-1] + size[-1]) if len(ids) else 0
-    out = np.zeros(total // 8 + 4)
-    for k in range(3):
-        out += np.bincount((at >> 3) + k, weights=(shifted >> (16 - 8 * k)) & 255, minlength=len(out))[: len(out)]
-    return out.astype(np.uint8).tobytes()[: -(-total // 8)], at[::LANE].astype("<u4").tobytes()
-
-
-def unpack(bits: bytes, marks: bytes, n: int, table: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The n ids; all lanes are decoded in step, each from its checkpoint."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    first = np.cumsum(counts) - counts
+    room = -(-(ends[first + counts] - ends[first]) // 8)
+    begin = np.cumsum(room) - room
+    at = ends[:-1] + np.repeat(8 * begin - ends[first], counts)
+    shifted = codes[ids] << (32 - size - (at & 7))
+    out = np.zeros(int(room.sum()) + 4)
+    for k in range(4):
+        out += np.bincount((at >> 3) + k, weights=(shifted >> (24 - 8 * k)) & 255, minlength=len(out))[: len(out)]
+    lanes = -(-counts // LANE)
+    lane = np.repeat(first, lanes) + LANE * (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+    return out.astype(np.uint8)[: int(room.sum())], room, at[lane] - np.repeat(8 * begin, lanes), lanes
+
+
+def unpack(bits: bytes, marks: np.ndarray, counts: np.ndarray, table: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids of all documents of a block; all lanes are decoded in step, each from its checkpoint."""
+    most = len(table).bit_length() - 1
     b = np.concatenate([np.frombuffer(bits, dtype=np.uint8), np.zeros(4, dtype=np.uint8)]).astype(np.int64)
     words = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
-    at = np.frombuffer(marks, dtype="<u4").astype(np.int64)
-    out = np.zeros((LANE, len(at)), dtype="<u4")
-    for step in range(min(LANE, n)):
-        window = (words[np.minimum(at >> 3, len(words) - 1)] >> (16 - (at & 7))) & 0xFFFF
-        out[step] = table[window]
-        at = at + lengths[window]
-    return out.T.ravel()[:n]
+    lanes = -(-counts // LANE)
+    last = np.cumsum(lanes)
+    n = np.full(len(marks), LANE)
+    n[last[lanes > 0] - 1] = (counts - LANE * (lanes - 1))[lanes > 0]
+    order = np.argsort(-n, kind="stable")
+    at, out = marks[order].astype(np.int64), np.zeros((LANE, len(marks)), dtype="<u4")
+    active = np.searchsorted(-n[order], -np.arange(LANE), side="left")
+    for step in range(LANE):
+        k = active[step]
+        if not k:
+            break
+        window = (words[at[:k] >> 3] >> (32 - most - (at[:k] & 7))) & ((1 << most) - 1)
+        out[step, :k] = table[window]
+        at[:k] += lengths[window]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out.T[back][np.arange(LANE) < n[:, None]]
 
 
 def write(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Writes key, ids (as tokenize() gives them) into `path`, in ascending order of key.
+    """Writes key, ids (as tokenize() gives them) into `path`, in ascending order of key (null first, ties by the ids' hash).
 
     path/code: id, bits, the lengths that define the canonical code. path/blocks: part, nr, start (ids of the part
-    before the block), keys, sizes (ids of each document), marks (checkpoints), bits. Blocks decode on their own;
-    a document is never split. Parts are ranges of keys.
+    before the block), keys, sizes (ids of each document), marks (checkpoints: bit offset in the block of each
+    LANE-th id of each document), bits. Blocks decode on their own; a document is never split and starts at a byte.
+    Parts are ranges of keys. Only packed documents are shuffled. The counts of ids on the driver are bounded by the
+    vocabulary. An empty table gives files without blocks. tokens is read several times and should be a saved table.
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,37 +244,58 @@ def write(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
     counts = tokens.select("ids").mapInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, dtype=np.int64)
     dense[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
-    lengths = code_lengths(dense, MOST_BITS)
+    lengths = code_lengths(dense, max(MOST_BITS, len(counts).bit_length() + 1))
     used = np.flatnonzero(lengths)
     spark.createDataFrame(pd.DataFrame({"id": used, "bits": lengths[used]}), "id long, bits long").coalesce(1).write.parquet(f"{path}/code")
     shipped = spark.sparkContext.broadcast((canonical(lengths)[0], lengths))
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, bits = shipped.value
-        part, nr, start, keys, held, room = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        for batch in batches:
+            each = [np.frombuffer(x, dtype="<u4") for x in batch["ids"]]
+            if not each:
+                continue
+            n = np.array([len(x) for x in each])
+            cut = np.flatnonzero(np.diff(np.cumsum(n) // BLOCK, prepend=0))
+            for part in np.split(np.arange(len(each)), cut):
+                if not len(part):
+                    continue
+                out, room, marks, lanes = pack(np.concatenate([each[i] for i in part]).astype(np.int64), n[part], codes, bits)
+                yield pd.DataFrame({
+                    "key": batch["key"].iloc[part], "tie": batch["tie"].iloc[part], "n": n[part],
+                    "marks": [x.astype("<u4").tobytes() for x in np.split(marks, np.cumsum(lanes)[:-1])],
+                    "bits": [x.tobytes() for x in np.split(out, np.cumsum(room)[:-1])],
+                })
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, nr, start, held, room = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def block() -> pd.DataFrame:
-            packed, marks = pack(np.concatenate(held).astype(np.int64), codes, bits)
-            return pd.DataFrame({"part": [part], "nr": [nr], "start": [start], "keys": [keys], "sizes": [[len(x) for x in held]], "marks": [marks], "bits": [packed]})
+            keys, sizes, marks, bits = zip(*held, strict=True)
+            base = 8 * np.cumsum([0, *map(len, bits[:-1])])
+            moved = np.concatenate([np.frombuffer(m, dtype="<u4") + b for m, b in zip(marks, base, strict=True)])
+            return pd.DataFrame({"part": [part], "nr": [nr], "start": [start], "keys": [list(keys)], "sizes": [list(sizes)], "marks": [moved.astype("<u4").tobytes()], "bits": [b"".join(bits)]})
 
         for batch in batches:
-            for one, ids in zip(batch[key].astype(object), batch["ids"], strict=True):
-                keys.append(None if pd.isna(one) else one)
-                held.append(np.frombuffer(ids, dtype="<u4"))
-                room += len(held[-1])
+            for one, n, marks, bits in zip(batch["key"].astype(object), batch["n"], batch["marks"], batch["bits"], strict=True):
+                held.append((None if pd.isna(one) else one, n, marks, bits))
+                room += n
                 if room >= BLOCK:
                     yield block()
-                    nr, start, keys, held, room = nr + 1, start + room, [], [], 0
+                    nr, start, held, room = nr + 1, start + room, [], 0
         if held:
             yield block()
 
     kind = tokens.schema[key].dataType.simpleString()
-    ordered = tokens.repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64("ids"))
-    ordered.select(key, "ids").mapInPandas(blocks, f"part int, nr int, start long, keys array<{kind}>, sizes array<int>, marks binary, bits binary").write.parquet(f"{path}/blocks")
+    named = tokens.select(F.col(key).alias("key"), F.xxhash64("ids").alias("tie"), "ids")
+    rows = named.mapInPandas(packed, f"key {kind}, tie long, n int, marks binary, bits binary")
+    first = F.col("key").asc_nulls_first()
+    ordered = rows.repartitionByRange(first).sortWithinPartitions(first, "tie").select("key", "n", "marks", "bits")
+    ordered.mapInPandas(blocks, f"part int, nr int, start long, keys array<{kind}>, sizes array<int>, marks binary, bits binary").write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """key, start (ids of all documents before it), ids (binary) of what write() wrote."""
+    """key, start (ids of all documents before it), ids (binary) of what write() wrote; nothing from empty files."""
     code = spark.read.parquet(f"{path}/code").toPandas()
     lengths = np.zeros(int(code["id"].max()) + 1 if len(code) else 1, dtype=np.int64)
     lengths[code["id"].to_numpy(dtype=np.int64)] = code["bits"].to_numpy(dtype=np.int64)
@@ -214,11 +310,12 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
         table, bits = shipped.value
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids = unpack(row.bits, row.marks, int(np.sum(row.sizes)), table, bits)
-                ends = np.cumsum(row.sizes)
+                sizes = np.asarray(row.sizes, dtype=np.int64)
+                ids = unpack(row.bits, np.frombuffer(row.marks, dtype="<u4"), sizes, table, bits)
+                ends = np.cumsum(sizes)
                 yield pd.DataFrame({
                     key: pd.Series(list(row.keys), dtype=object),
-                    "start": row.base + row.start + ends - row.sizes,
+                    "start": row.base + row.start + ends - sizes,
                     "ids": [x.tobytes() for x in np.split(ids, ends[:-1])],
                 })
 
