@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import json
 import re
@@ -10,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -226,7 +226,7 @@ def write(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
     path/code: id, bits, the lengths that define the canonical code. path/blocks: part, nr, start (ids of the part
     before the block), keys, sizes (ids of each document), marks (checkpoints: bit offset in the block of each
     LANE-th id of each document), bits. Blocks decode on their own; a document is never split and starts at a byte.
-    Parts are ranges of keys. Only packed documents are shuffled. The counts of ids on the driver are bounded by the
+    Parts are ranges of keys, whose bounds come from the keys alone. Only packed documents are shuffled. The counts of ids on the driver are bounded by the
     vocabulary. An empty table gives files without blocks. tokens is read several times and should be a saved table.
     """
 
@@ -247,6 +247,9 @@ def write(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
     lengths = code_lengths(dense, max(MOST_BITS, len(counts).bit_length() + 1))
     used = np.flatnonzero(lengths)
     spark.createDataFrame(pd.DataFrame({"id": used, "bits": lengths[used]}), "id long, bits long").coalesce(1).write.parquet(f"{path}/code")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = tokens.select(F.col(key).alias("_key")).filter("_key IS NOT NULL").repartitionByRange(parts, "_key")
+    bounds = sorted(r[0] for r in ranged.groupBy(F.spark_partition_id()).agg(F.min("_key")).collect())[1:]
     shipped = spark.sparkContext.broadcast((canonical(lengths)[0], lengths))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,36 +264,38 @@ def write(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
                 if not len(part):
                     continue
                 out, room, marks, lanes = pack(np.concatenate([each[i] for i in part]).astype(np.int64), n[part], codes, bits)
+                keys = batch["key"].iloc[part]
                 yield pd.DataFrame({
-                    "key": batch["key"].iloc[part], "tie": batch["tie"].iloc[part], "n": n[part],
+                    "part": [0 if pd.isna(k) else bisect.bisect_right(bounds, k) for k in keys], "key": keys, "tie": batch["tie"].iloc[part], "n": n[part],
                     "marks": [x.astype("<u4").tobytes() for x in np.split(marks, np.cumsum(lanes)[:-1])],
                     "bits": [x.tobytes() for x in np.split(out, np.cumsum(room)[:-1])],
                 })
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, nr, start, held, room = TaskContext.get().partitionId(), 0, 0, [], 0
+        at, nr, start, held, room = 0, 0, 0, [], 0
 
         def block() -> pd.DataFrame:
             keys, sizes, marks, bits = zip(*held, strict=True)
             base = 8 * np.cumsum([0, *map(len, bits[:-1])])
             moved = np.concatenate([np.frombuffer(m, dtype="<u4") + b for m, b in zip(marks, base, strict=True)])
-            return pd.DataFrame({"part": [part], "nr": [nr], "start": [start], "keys": [list(keys)], "sizes": [list(sizes)], "marks": [moved.astype("<u4").tobytes()], "bits": [b"".join(bits)]})
+            return pd.DataFrame({"part": [at], "nr": [nr], "start": [start], "keys": [list(keys)], "sizes": [list(sizes)], "marks": [moved.astype("<u4").tobytes()], "bits": [b"".join(bits)]})
 
         for batch in batches:
-            for one, n, marks, bits in zip(batch["key"].astype(object), batch["n"], batch["marks"], batch["bits"], strict=True):
-                held.append((None if pd.isna(one) else one, n, marks, bits))
-                room += n
-                if room >= BLOCK:
+            for part, one, n, marks, bits in zip(batch["part"], batch["key"].astype(object), batch["n"], batch["marks"], batch["bits"], strict=True):
+                if held and (part != at or room >= BLOCK):
                     yield block()
                     nr, start, held, room = nr + 1, start + room, [], 0
+                if part != at:
+                    at, nr, start = part, 0, 0
+                held.append((None if pd.isna(one) else one, n, marks, bits))
+                room += n
         if held:
             yield block()
 
     kind = tokens.schema[key].dataType.simpleString()
     named = tokens.select(F.col(key).alias("key"), F.xxhash64("ids").alias("tie"), "ids")
-    rows = named.mapInPandas(packed, f"key {kind}, tie long, n int, marks binary, bits binary")
-    first = F.col("key").asc_nulls_first()
-    ordered = rows.repartitionByRange(first).sortWithinPartitions(first, "tie").select("key", "n", "marks", "bits")
+    rows = named.mapInPandas(packed, f"part int, key {kind}, tie long, n int, marks binary, bits binary")
+    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first(), "tie").select("part", "key", "n", "marks", "bits")
     ordered.mapInPandas(blocks, f"part int, nr int, start long, keys array<{kind}>, sizes array<int>, marks binary, bits binary").write.parquet(f"{path}/blocks")
 
 
