@@ -59,6 +59,17 @@ def test_contexts_find_unseen_identifiers(spark):
     assert {i: v for i, v in new.items() if v} == {30 + i: [f"555-01{i:02d}"] for i in range(4)}
 
 
+def test_found_identifiers_induce_new_patterns(spark):
+    """No seed stands after "dial"; identifiers found after "call" do, and lead to others there."""
+    rng = random.Random(7)
+    prose = lambda: " ".join(rng.choice("red blue green grey pink".split()) for _ in range(8))
+    texts = [f"{prose()} please call me +1 (555) {100 + i}-{2000 + i} today {prose()}" for i in range(60)]
+    texts += [f"{prose()} please call me 555-02{i:02d} today {prose()} and then dial up 555-02{i:02d} later {prose()}" for i in range(12)]
+    texts += [f"{prose()} and then dial up 555-03{i:02d} later {prose()}" for i in range(3)]
+    got = run(spark, texts)
+    assert [[texts[i][s.start : s.end] for s in got[i] if not s.base] for i in range(72, 75)] == [[f"555-03{i:02d}"] for i in range(3)]
+
+
 def test_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a@b.cd", 1), (1, "a@b.cd", 1), (None, None, 2)], "doc_id long, text string, start int")
     rows = private.find_private(docs).collect()

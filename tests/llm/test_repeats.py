@@ -52,7 +52,7 @@ def test_long_text_in_pieces(spark, monkeypatch):
 
 def test_equal_rows_extra_columns_and_empty(spark):
     text = "".join(random.Random(4).choice("xyz ") for _ in range(450))
-    docs = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (None, None, None)], "doc_id long, text string, kept_from string")
+    docs = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (None, None, None)], "doc_id long, text string, kept_from string").selectExpr("*", "1 AS kept", "2 AS _text", "3 AS core")
     rows = repeats.remove_repeats(docs).collect()
     assert sorted(len(r.kept) for r in rows) == [0, 0, 0] and [r.kept_from for r in rows].count("a") == 2
     assert repeats.remove_repeats(docs.limit(0)).count() == 0

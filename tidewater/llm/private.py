@@ -65,16 +65,17 @@ def _discover(candidates: DataFrame, rounds: int, support: int, confidence: floa
     """instance, kind of strings that patterns with high confidence find.
 
     The graph links each distinct string to its contexts: the two words before it, and the word before with the word
-    after. In each round a context scores, for each kind, the share of its strings that bear the kind (one string more
-    in the divisor, `support` at least); a string without a kind takes a kind that its shape allows if contexts make it probable by
+    after; a place with no word there has no such context. In each round a context scores, for each kind, the share of its strings that bear the kind (one string more
+    in the divisor, `support` bearers at least, be they seeds or found since); a string without a kind takes a kind that its shape allows if contexts make it probable by
     1 - product(1 - score) >= `confidence`, and is a seed for the next round.
     """
+    contexts = F.array(F.when(F.col("left2") != "", F.concat_ws("\x1f", F.lit("2"), "left2")), F.when((F.col("left1") != "") & (F.col("right1") != ""), F.concat_ws("\x1f", F.lit("1"), "left1", "right1")))
     edges = shared.save(
-        candidates.select("instance", "core", "seed", F.explode(F.array(F.concat_ws("\x1f", F.lit("2"), "left2"), F.concat_ws("\x1f", F.lit("1"), "left1", "right1"))).alias("pattern"))
+        candidates.select("instance", "core", "seed", F.explode(F.array_compact(contexts)).alias("pattern"))
         .groupBy("instance", "pattern").agg(F.max("seed").alias("seed"), F.min("core").alias("core")),
         "pii-edges",
     )
-    totals = edges.groupBy("pattern").agg(F.count("*").alias("_all"), F.count("seed").alias("_seeds")).filter(F.col("_seeds") >= support)
+    totals = shared.save(edges.groupBy("pattern").agg(F.count("*").alias("_all")).filter(F.col("_all") >= support), "pii-totals")
     found = shared.save(edges.filter("seed IS NOT NULL").select("instance", F.col("seed").alias("kind")).distinct(), "pii-found")
     open_ = edges.filter("seed IS NULL").select("instance", "core", "pattern")
     for _ in range(rounds):

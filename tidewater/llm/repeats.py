@@ -157,10 +157,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
     the bytes that all suffixes of a cell share, for cells of fewer and fewer suffixes around the anchor, down to one.
     After each pass groups of one leave; a cell all of whose bytes repeat as a whole is settled; groups that are equal
     after the last pass are exactly the repeated windows. A null text is empty; equal rows repeat each other; texts
-    shorter than `length` are kept whole; an empty table gives an empty one.
+    shorter than `length` are kept whole; an empty table gives an empty one. Columns named kept and spans are
+    replaced. That bytes are equal is known by 64-bit hashes of them.
     """
-    carry = carry if carry is not None else [c for c in docs.columns if c != text]
-    keyed = docs.select(*carry, F.col(text).alias("_text"), F.coalesce(F.xxhash64(*[F.col(c) for c in carry]), F.lit(0)).alias("_doc"), F.xxhash64(F.lit(7), text).alias("_uid"))
+    names = carry if carry is not None else [c for c in docs.columns if c not in (text, "kept", "spans")]
+    carry = [f"_c{i}" for i in range(len(names))]
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(names, carry, strict=True)), F.col(text).alias("_text"), F.coalesce(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(0)).alias("_doc"), F.xxhash64(F.lit(7), text).alias("_uid"))
     ids = ["_doc", "_uid"]
     kinds = "core long, hull long, _doc long, _uid long, at int, first int, last int"
     texts = keyed.select(*ids, "_text")
@@ -178,7 +180,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
     spans = removed.groupBy(*ids).agg(F.collect_list("first").alias("_lows"), F.collect_list("end").alias("_highs"))
     joined = keyed.join(spans, ids, "left").select(*carry, "_text", "_lows", "_highs")
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*carry, "_text").schema)
-    return joined.mapInPandas(_cut, f"{given}, kept binary, spans array<struct<start: int, end: int>>").withColumnRenamed("_text", text)
+    return joined.mapInPandas(_cut, f"{given}, kept binary, spans array<struct<start: int, end: int>>").toDF(*names, text, "kept", "spans")
 
 
 def _judge(cells: DataFrame) -> DataFrame:
