@@ -4,7 +4,7 @@ import pytest
 from test_jaccard import brute
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from tidewater.llm import jaccard, shared  # noqa: E402
+from tidewater.llm import decontaminate, jaccard, shared  # noqa: E402
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -14,7 +14,12 @@ def test_one_of_each_group(spark):
     texts = [" ".join(base), " ".join([*base, "x"]), " ".join(base[::-1]), " ".join(base), None, None, "", " ".join([*base[1:], "y"])]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 1), (3, "something else", "en", "s", 1), (None, texts[2], "en", "s", 1)]
     docs = spark.createDataFrame(rows, COLUMNS)
-    got = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()), key=str)
+    docs = docs.selectExpr("*", "1 AS _name", "2 AS _uid", "3 AS node", "4 AS _found", "5 AS _one")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    found = docs.filter("doc_id = 6").selectExpr("doc_id", "xxhash64(text) AS _uid")
+    assert decontaminate.without(docs, found).count() == docs.count() - 1
     assert Counter(t for _, t in got if t) == Counter([texts[0], texts[2], "something else"])
     assert [t for _, t in got if not t].count(None) == 2 and (6, "") in got
     assert jaccard.one_of_each(docs.limit(0)).count() == 0

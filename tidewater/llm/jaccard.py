@@ -346,12 +346,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block: int = 500) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the least key stays, and all rows without words."""
+    """The rows of docs without near copies: of each component the row with the least key stays, and all rows without words.
+
+    Of equal rows one stays; of several texts under one key those go that are in another's component. Columns may
+    have any name; an empty table gives an empty result.
+    """
     members = _members(docs, key, text, n, percent, block)
     groups = members.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(F.struct("_id", "_uid")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     marked = members.join(groups, "_root").select(_id_name("_id").alias("_name"), "_uid", F.struct("_id", "_uid").eqNullSafe(F.col("_first")).alias("_one")).distinct()
     marks = shared.save(marked, "marks")
-    joined = docs.withColumn("_name", _id_name(key)).withColumn("_uid", F.xxhash64(text)).join(shared.small(marks), ["_name", "_uid"], "left")
+    shared.drop(members)
+    rows = shared.packed(docs).withColumn("_name", _id_name(f"_row.`{key}`")).withColumn("_uid", F.xxhash64(f"_row.`{text}`"))
+    joined = rows.join(shared.small(marks), ["_name", "_uid"], "left")
     copy = F.row_number().over(Window.partitionBy("_name", "_uid").orderBy("_name"))
     first = joined.filter("_one").withColumn("_copy", copy).filter("_copy = 1")
-    return joined.filter("_one IS NULL").select(*docs.columns).unionByName(first.select(*docs.columns))
+    return shared.unpacked(joined.filter("_one IS NULL").select("_row").unionByName(first.select("_row")))
