@@ -38,6 +38,24 @@ def test_sums_over_all_segmentations():
     assert model.expected(words, np.full(len(words), 3.0)) == pytest.approx([uses[p] for p in pieces])
 
 
+def test_words_of_a_lattice_make_a_law():
+    """All words sum to 1: START begins each, and ends the one before."""
+    import itertools
+
+    pieces = [b" ", b"a", b"b", b"ab", b" a", b"bba", b" ba"]
+    p = np.array([0.2, 0.1, 0.1, 0.05, 0.25, 0.05, 0.25])
+    words = [b" " + "".join(w).encode() for n in range(13) for w in itertools.product("ab", repeat=n)]
+    total = np.exp(lattice.Lattice(pieces, np.log(p)).score(words)).sum()
+    assert 0.98 < total <= 1 + 1e-9
+
+
+def test_long_pieces_count():
+    pieces, log_p = lattice.vocabulary(PATH)
+    assert b" professional" in pieces and max(map(len, pieces)) > 12
+    model = lattice.Lattice(pieces, log_p)
+    assert model.score([b" professional"])[0] >= log_p[pieces.index(b" professional")]
+
+
 def brute_base(texts, held):
     own = [[*lattice.tokens(t), "end"] for t in texts]
     count = Counter(w for words, h in zip(own, held, strict=True) if not h for w in words)

@@ -18,14 +18,13 @@ from .repeats import Slices
 
 #: Stands for the start of a word: white space is in no word.
 START = b" "
-LONGEST = 12
 FREQUENT = 1 << 16
 #: Share of the freed weight for words of other parts; the rest is for segmentations.
 ELSEWHERE = 0.05
 
 
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
-    """Pieces of a sentencepiece model up to LONGEST bytes and all single bytes, with their scores.
+    """Pieces of a sentencepiece model and all single bytes, with their scores.
 
     The model's scores order the pieces; the weight of a piece falls as one over its place in that order.
     """
@@ -36,7 +35,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).replace("▁", " ").encode()
         plain = not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
-        if plain and len(piece) <= LONGEST and b" " not in piece[1:]:
+        if plain and b" " not in piece[1:]:
             found[piece] = max(found.get(piece, -math.inf), model.get_score(i))
     last = min(found.values(), default=0.0) - 1000
     for b in range(256):
@@ -54,7 +53,7 @@ class Lattice:
     def __init__(self, pieces: list[bytes], log_p: np.ndarray) -> None:
         self.log_p = self._open(log_p)
         self.size = len(pieces)
-        self.bits = 19
+        self.longest = max(map(len, pieces))
         self.slots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_length: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
@@ -78,9 +77,10 @@ class Lattice:
         return other
 
     def _table(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Open addressing, filled in rounds: hash and piece of each slot, and how far an entry can lie from its own."""
-        mask = (1 << self.bits) - 1
-        keys, held = np.zeros(1 << self.bits, dtype=np.uint64), np.full(1 << self.bits, self.size)
+        """Open addressing in eight slots for each piece or more, filled in rounds: hash and piece of each slot, and how far an entry can lie from its own."""
+        room = 1 << (8 * len(hashes)).bit_length()
+        mask = room - 1
+        keys, held = np.zeros(room, dtype=np.uint64), np.full(room, self.size)
         steps = 0
         while len(hashes):
             slot = ((hashes & np.uint64(mask)).astype(np.int64) + steps) & mask
@@ -96,7 +96,6 @@ class Lattice:
     def _pieces(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Groups of words of one length: their places in `words`, and the piece from each place for each length."""
         lengths = np.array([len(w) for w in words])
-        mask = np.int64((1 << self.bits) - 1)
         for length in np.unique(lengths):
             every = np.flatnonzero(lengths == length)
             room = max(1, (1 << 18) // int(length))
@@ -104,12 +103,13 @@ class Lattice:
                 rows = every[a : a + room]
                 data = np.frombuffer(b"".join(words[i] for i in rows), dtype=np.uint8)
                 slices = Slices(data)
-                most = min(LONGEST, int(length))
+                most = min(self.longest, int(length))
                 found = np.full((most + 1, len(data)), self.size)
                 for m in range(1, most + 1):
                     if m not in self.tables:
                         continue
                     keys, held, steps = self.tables[m]
+                    mask = np.int64(len(keys) - 1)
                     h = slices.each(m, 0, len(data) - m + 1)
                     for step in range(steps):
                         slot = ((h & np.uint64(mask)).astype(np.int64) + step) & mask
@@ -202,11 +202,12 @@ def score(
 
     Rows whose `held_out` is false are the training texts. A word's probability is a sum over all its segmentations
     into pieces of the existing vocabulary, whose weights start from the vocabulary's scores and are refined by
-    `rounds` of expectation-maximisation over all training words (with `prior` uses spread as at the start); a
+    `rounds` of expectation-maximisation over all distinct training words, each once (with `prior` uses spread as at the start); a
     training word is a further piece on its own, weighted by its count less a discount, and what the discounts free
     weighs the segmentations: as much as the rate of new words in a fifth of the training texts against the others. Weights are kept per value of `part` in the training texts (the `most_parts` - 1 most
     frequent, the rest together); each text's probability is the mean over the parts, by their shares, of the product over its
-    words and its end. So it is marginal over segmentations and parts and needs no `part` of the text. base_score is that of
+    words and its end. Discounted counts, what they free and the end make a whole, and so do a part's segmentations, as
+    the next word's START is what ends a word: probabilities of all texts sum to 1 at most. So it is marginal over segmentations and parts and needs no `part` of the text. base_score is that of
     whole words with half a count added.
 
     The most frequent words, FREQUENT at most (a fixed bound), are looked up in memory; the others by a join. How
@@ -270,7 +271,7 @@ def score(
         total[uses["k"].to_numpy(dtype=int), uses["piece"].to_numpy(dtype=int)] += uses["uses"].to_numpy()
         log_p = np.log(total / total.sum(axis=1, keepdims=True))
     model = spark.sparkContext.broadcast((pieces, log_p))
-    free = (discount * v_k + 1) / (n_k + 1)
+    free = (discount * v_k + 0.5) / (n_k + 1)
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(*model.value)
