@@ -183,10 +183,11 @@ def fuzzy_series(spark, sf_dir):
     return rows.withColumn("r", prepare.fuzzy_label(F.col("y"), LOW, HIGH))
 
 
-@query(f"""WITH p AS (SELECT r, lead(r) OVER (PARTITION BY user_id ORDER BY n) AS s FROM ({_FUZZY})) SELECT round(avg(CASE WHEN r = 0 AND s = 0 THEN 1.0 ELSE 0.0 END), 8) AS alpha0,
-    round(avg(CASE WHEN r = 1 AND s = 1 THEN 1.0 ELSE 0.0 END), 8) AS alpha1, round((avg(CASE WHEN r = 0 AND s = 1 THEN 1.0 ELSE 0.0 END) + avg(CASE WHEN r = 1 AND s = 0 THEN 1.0 ELSE 0.0 END)) / 2, 8) AS beta FROM p WHERE s IS NOT NULL""")
+@query(f"""WITH p AS (SELECT r, lead(r) OVER (PARTITION BY user_id ORDER BY n) AS s FROM ({_FUZZY})), c AS (SELECT avg(CASE WHEN r = 0 AND s = 0 THEN 1.0 ELSE 0.0 END) AS alpha0,
+    avg(CASE WHEN r = 1 AND s = 1 THEN 1.0 ELSE 0.0 END) AS alpha1, avg(CASE WHEN r + s = 1 AND r IN (0, 1) THEN 1.0 ELSE 0.0 END) / 2 AS beta FROM p WHERE s IS NOT NULL)
+    SELECT round(alpha0, 8) AS alpha0, round(alpha1, 8) AS alpha1, round(beta, 8) AS beta, round(greatest(0.0, 0.375 * (1 - alpha0 - alpha1 - 2 * beta)), 8) AS eta FROM c""")
 def law_fit_2ter(spark, sf_dir):
-    return rounded(laws.fit_2ter(fuzzy_series(spark, sf_dir), ["user_id"], "n", "r"), 8, "alpha0", "alpha1", "beta")
+    return rounded(laws.fit_2ter(fuzzy_series(spark, sf_dir), ["user_id"], "n", "r"), 8, "alpha0", "alpha1", "beta", "eta")
 
 
 @query(f"SELECT user_id, round(avg(CASE WHEN r IN (0, 1) THEN 1.0 ELSE 0.0 END), 8) AS hard_share FROM ({_FUZZY}) GROUP BY 1")
