@@ -57,7 +57,7 @@ def test_long_codes():
     assert lengths.max() in (17, 18) and (huffman.unpack(bits.tobytes(), marks, np.array([len(ids)]), table, table_lengths) == ids).all()
 
 
-def test_units_against_the_tokenizer():
+def test_units_against_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     rng = random.Random(5)
@@ -66,6 +66,9 @@ def test_units_against_the_tokenizer():
     latin = [chr(c) for c in range(1, 0x250)]
     texts = ["".join(latin), "".join(latin[::-1]), "It's I'LL they'Re 'S''t --'s x'd", "İstanbul Σίσυφος ΟΔΟΣ e\u0301", "a<|endoftext|>b", ""]
     texts += ["".join(rng.choice([*latin, "'", "s", "ll", " ", "Σ", "\u0301", "𝔸", "<|startoftext|>"]) for _ in range(40)) for _ in range(300)]
+    monkeypatch.setattr(huffman, "CACHED_UNITS", 40)
+    for a in range(0, len(texts), 10):
+        encoder.encode(texts[a : a + 10])
     ids, counts = encoder.encode(texts)
     for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
         assert own.tolist() == plain.encode(text, add_special_tokens=False).ids, text

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ from . import shared
 MOST_BITS = 16
 LANE = 128
 BLOCK = 1 << 17
-CACHED_UNITS = 1_000_000
+#: Units of a generation of the cache: with the one before, about 100 MB in a worker.
+CACHED_UNITS = 300_000
 #: Where word_bpe_49k.json cuts lower-cased text. Below U+0250 characters have settled classes and are
 #: composed already; what lower-casing takes beyond is not cut by this pattern.
 _LATIN = 0x250
@@ -37,6 +39,12 @@ class Places(dict):
         return found
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the elements of spans, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
 class UnitEncoder:
     """Encodes texts by the units that merges never cross, each unit once.
 
@@ -66,23 +74,34 @@ class UnitEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def clear(self) -> None:
+        """Starts a generation: units of the one before are taken over as they are met again, so frequent ones stay."""
+        self.before = (self.place, self.starts, self.pool) if hasattr(self, "place") else (Places(), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint32))
         self.place = Places()
         self.starts, self.pool, self.fill, self.n = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 18, dtype=np.uint32), 0, 0
 
     def _learn(self) -> None:
-        """Encodes the units that got a number since the last time."""
+        """Ids of the units that got a number since the last time."""
+        old, old_starts, old_pool = self.before
         units = list(itertools.islice(self.place, self.n, None))
         for a in range(0, len(units), 5000):
-            ids = self._ids(units[a : a + 5000])
-            flat = np.array([x for own in ids for x in own], dtype=np.uint32)
+            part = units[a : a + 5000]
+            met = np.array([dict.get(old, u, -1) for u in part])
+            known, new = np.flatnonzero(met >= 0), np.flatnonzero(met < 0)
+            lists = self._ids([part[i] for i in new]) if len(new) else []
+            size = np.zeros(len(part), dtype=np.int64)
+            size[known], size[new] = old_starts[met[known] + 1] - old_starts[met[known]], [len(x) for x in lists]
+            begin = np.cumsum(size) - size
+            flat = np.zeros(int(size.sum()), dtype=np.uint32)
+            flat[_spans(begin[known], size[known])] = old_pool[_spans(old_starts[met[known]], size[known])]
+            flat[_spans(begin[new], size[new])] = [x for own in lists for x in own]
             while self.fill + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while self.n + len(ids) + 1 > len(self.starts):
+            while self.n + len(part) + 1 > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.pool[self.fill : self.fill + len(flat)] = flat
-            self.starts[self.n + 1 : self.n + len(ids) + 1] = self.fill + np.cumsum([len(x) for x in ids])
+            self.starts[self.n + 1 : self.n + len(part) + 1] = self.fill + begin + size
             self.fill += len(flat)
-            self.n += len(ids)
+            self.n += len(part)
 
     def _cut(self, text: str) -> list[str]:
         if self.units and not any(x in text for x in self.special) and not _OTHER.search(low := text.lower()):
@@ -102,9 +121,8 @@ class UnitEncoder:
         flat = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
         start = self.starts[flat]
         size = self.starts[flat + 1] - start
-        ends = np.concatenate([[0], np.cumsum(size)])
-        edges = ends[np.cumsum([0, *counts])]
-        return self.pool[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)], np.diff(edges)
+        edges = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *counts])]
+        return self.pool[_spans(start, size)], np.diff(edges)
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -124,19 +142,19 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     names; an empty table gives an empty result.
     """
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.iloc[a : a + 256]
-                ids, counts = encoder.encode([t if isinstance(t, str) else "" for t in part[text]])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                ids, counts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end_id).astype("<u4")
                 ends += np.arange(1, len(ends) + 1)
-                yield pd.DataFrame({key: part[key], "ids": [x.tobytes() for x in np.split(ids, ends[:-1])]})
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in np.split(ids, ends[:-1])], pa.binary())], names=[key, "ids"])
 
     rows = docs.select(key, text)
-    return rows.mapInPandas(encoded, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(encoded, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary")
 
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
