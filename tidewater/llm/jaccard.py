@@ -267,6 +267,26 @@ def _stars(signed: DataFrame) -> DataFrame:
     return stars
 
 
+def _merged(stars: DataFrame, block: int) -> DataFrame:
+    """The same stars, but large ones that overlap so much that all their nodes together make fewer pairs are one."""
+    large = stars.groupBy("_hub").agg(F.count("*").alias("_size")).filter(F.col("_size") > block)
+    large = shared.save(stars.join(shared.small(shared.save(large, "large")), "_hub"), "large-stars")
+    if large.isEmpty():
+        return stars
+    roots = graph.components(large.select(F.col("node").alias("a"), F.col("_hub").alias("b")))
+    hubs = shared.save(large.select("_hub", "_size").distinct().join(shared.small(roots), F.col("_hub") == F.col("node")).select("_hub", "_size", "root"), "large-hubs")
+    together = roots.groupBy("root").agg(F.count("*").alias("_all"))
+    apart = hubs.groupBy("root").agg(F.sum(F.col("_size").cast("double") * F.col("_size")).alias("_apart"))
+    chosen = apart.join(together, "root").filter(F.col("_all").cast("double") * F.col("_all") <= F.col("_apart")).select("root")
+    moved = shared.save(hubs.join(chosen, "root").select("_hub", "root"), "moved")
+    to = F.coalesce("root", "_hub").alias("_hub")
+    every = stars.join(shared.small(moved), "_hub", "left").select("node", to).unionByName(moved.select(F.col("_hub").alias("node"), F.col("root").alias("_hub")))
+    found = shared.save(every.filter("node != _hub").distinct(), "stars")
+    for done in (stars, large, hubs, moved):
+        shared.drop(done)
+    return found
+
+
 def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block: int) -> DataFrame:
     """_id, _uid (hash of the text), n_shingles, _root (null without words) of each row."""
     threshold = Fraction(percent, 100)
@@ -281,6 +301,7 @@ def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block:
         .agg(F.min(F.struct("_uid", _id_name("_id").alias("_name"))).alias("_held")).select("node", "n_shingles", "_held.*")
     )
     held = shared.save(held, "held")
+    stars = _merged(stars, block)
     sizes = (
         stars.join(shared.small(held.select("node", "n_shingles")), "node").groupBy("_hub").agg(F.count("*").alias("_size"), F.sum("n_shingles").alias("_room"))
         .select("_hub", F.greatest(F.ceil(F.col("_size") / block), F.ceil(F.col("_room") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
@@ -329,11 +350,11 @@ def _across(stars: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     return pairs.distinct()
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, block: int = 500) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, block: int = 1000) -> DataFrame:
     """key, n_shingles, component_id: documents linked where 100 * intersection >= percent * union of their n-word sets.
 
     component_id is the least key that links reach. Documents with equal sets are one node. Nodes that share a
-    signature are candidates and belong to the star of one of them. A star is joined by tries of `block` nodes
+    signature are candidates and belong to the star of one of them; large stars that overlap are one. A star is joined by tries of `block` nodes
     (or BLOCK_SHINGLES) each; then pairs of blocks of a larger star that links don't connect yet are tasks of their own.
     A text without words, empty or null, is linked with nothing. Rows with a repeated key are documents of
     their own; a null key takes part but is never the least. An empty table gives an empty result.
@@ -345,7 +366,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return worded.join(least, "_root").unionByName(wordless).select(F.col("_id").alias(key), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block: int = 500) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block: int = 1000) -> DataFrame:
     """The rows of docs without near copies: of each component the row with the least key stays, and all rows without words.
 
     Of equal rows one stays; of several texts under one key those go that are in another's component. Columns may
