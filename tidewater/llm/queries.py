@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, jaccard, lattice, mixture, private, quality, repeats, shared, sharding, wrappers
+from . import decontaminate, huffman, jaccard, lattice, mixture, packing, phrases, private, quality, repeats, shared, sharding, variants, wrappers
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +91,22 @@ def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op3_lattice": op3_lattice, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark, "op9_huffman": op9_huffman, "op10_wrappers": op10_wrappers}
-SQL: dict[str, str] = {}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(shared.documents(spark, sf_dir).select("lang", "text"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.forms(variants.word_counts(shared.documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = shared.documents(spark, sf_dir).select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op3_lattice": op3_lattice, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark, "op9_huffman": op9_huffman, "op10_wrappers": op10_wrappers, "op11_phrases": op11_phrases, "op12_variants": op12_variants, "op13_packing": op13_packing}
+SQL: dict[str, str] = {"op11_phrases": phrases.SQL}
