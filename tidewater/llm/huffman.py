@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import shared
 
@@ -21,8 +23,11 @@ from . import shared
 MOST_BITS = 16
 LANE = 128
 BLOCK = 1 << 17
-#: Units of a generation of the cache: with the one before, about 100 MB in a worker.
-CACHED_UNITS = 300_000
+#: Units of a generation of the cache: with the one before, about 25 MB in a worker.
+CACHED_UNITS = 60_000
+#: Letters of a text that are cut into units at once, and of texts that are encoded together.
+PART = 1 << 16
+_SPACE = re.compile("[\t-\r ]")
 #: Where word_bpe_49k.json cuts lower-cased text. Below U+0250 characters have settled classes and are
 #: composed already; what lower-casing takes beyond is not cut by this pattern.
 _LATIN = 0x250
@@ -108,21 +113,44 @@ class UnitEncoder:
             return self.units.findall(low)
         return re.split("[\t-\r ]+", text) if self.words else [text]
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """A text in parts of about PART letters, cut at white space, where that changes no id."""
+        at = 0
+        while at < len(text):
+            cut = _SPACE.search(text, at + PART) if (self.units or self.words) and len(text) - at > PART else None
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each has."""
-        if len(self.place) > CACHED_UNITS:
-            self.clear()
-        at, counts = [], []
-        for text in texts:
-            units = self._cut(text)
-            at.append(np.fromiter(map(self.place.__getitem__, units), dtype=np.int64, count=len(units)))
-            counts.append(len(units))
-        self._learn()
-        flat = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
-        start = self.starts[flat]
-        size = self.starts[flat + 1] - start
-        edges = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *counts])]
-        return self.pool[_spans(start, size)], np.diff(edges)
+        at, owner, out, waiting = [], [], [np.zeros(0, dtype=np.uint32)], 0
+        counts = np.zeros(len(texts), dtype=np.int64)
+
+        def settle() -> None:
+            self._learn()
+            flat = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+            start = self.starts[flat]
+            size = self.starts[flat + 1] - start
+            out.append(self.pool[_spans(start, size)])
+            edges = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, at)])]
+            np.add.at(counts, owner, np.diff(edges))
+            at.clear()
+            owner.clear()
+            if len(self.place) > CACHED_UNITS:
+                self.clear()
+
+        for i, text in enumerate(texts):
+            for part in self._parts(text):
+                units = self._cut(part)
+                at.append(np.fromiter(map(self.place.__getitem__, units), dtype=np.int64, count=len(units)))
+                owner.append(i)
+                waiting += len(units)
+                if waiting > 8 * PART or len(self.place) > CACHED_UNITS:
+                    settle()
+                    waiting = 0
+        settle()
+        return np.concatenate(out), counts
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -135,6 +163,21 @@ def _encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
+def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows of a batch (key, text) with the ids of each text and the end id, some texts at a time."""
+    encoder, a = _encoder(path), 0
+    texts = batch.column(1)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    while a < batch.num_rows:
+        b = max(a + 1, min(a + 256, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 16 * PART, side="right"))))
+        part = batch.slice(a, b - a)
+        ids, counts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+        stops = np.cumsum(counts)
+        ids = np.insert(ids, stops, end_id).astype("<u4")
+        yield part, np.split(ids, (stops + np.arange(1, len(stops) + 1))[:-1])
+        a = b
+
+
 def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
     """key, ids (binary, little-endian unsigned 32-bit): the tokens of each whole text and the end id.
 
@@ -142,19 +185,13 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     names; an empty table gives an empty result.
     """
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                ids, counts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                ends = np.cumsum(counts)
-                ids = np.insert(ids, ends, end_id).astype("<u4")
-                ends += np.arange(1, len(ends) + 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in np.split(ids, ends[:-1])], pa.binary())], names=[key, "ids"])
+            for part, ids in encoded(batch, path, end_id):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], names=[key, "ids"])
 
     rows = docs.select(key, text)
-    return rows.mapInArrow(encoded, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary")
 
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
@@ -239,82 +276,84 @@ def unpack(bits: bytes, marks: np.ndarray, counts: np.ndarray, table: np.ndarray
 
 
 def write(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Writes key, ids (as tokenize() gives them) into `path`, in ascending order of key (null first, ties by the ids' hash).
+    """Writes key, ids (as tokenize() gives them) into `path`, in ascending order of key (null first; equal ones as they stand in the table).
 
     path/code: id, bits, the lengths that define the canonical code. path/blocks: part, nr, start (ids of the part
     before the block), keys, sizes (ids of each document), marks (checkpoints: bit offset in the block of each
     LANE-th id of each document), bits. Blocks decode on their own; a document is never split and starts at a byte.
-    Parts are ranges of keys, whose bounds come from the keys alone. Only packed documents are shuffled. The counts of ids on the driver are bounded by the
-    vocabulary. An empty table gives files without blocks. tokens is read several times and should be a saved table.
+    Parts are ranges of keys and of places in the table, so that rows of one key (or null) spread over parts; their
+    bounds come from the keys alone. Only packed documents are shuffled. The counts of ids on the driver are bounded by
+    the vocabulary. An empty table gives files without blocks. tokens is read several times: a saved table.
     """
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                own = np.bincount(np.frombuffer(ids, dtype="<u4"), minlength=len(total))
+            for ids in batch.column(0):
+                own = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "n": total[used]})
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
     spark = tokens.sparkSession
-    counts = tokens.select("ids").mapInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = tokens.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, dtype=np.int64)
     dense[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
     lengths = code_lengths(dense, max(MOST_BITS, len(counts).bit_length() + 1))
     used = np.flatnonzero(lengths)
     spark.createDataFrame(pd.DataFrame({"id": used, "bits": lengths[used]}), "id long, bits long").coalesce(1).write.parquet(f"{path}/code")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = tokens.select(F.col(key).alias("_key")).filter("_key IS NOT NULL").repartitionByRange(parts, "_key")
-    bounds = sorted(r[0] for r in ranged.groupBy(F.spark_partition_id()).agg(F.min("_key")).collect())[1:]
+    placed = tokens.select(F.col(key).alias("key"), "ids").withColumn("tie", F.monotonically_increasing_id())
+    order = [F.col("key").asc_nulls_first(), F.col("tie").asc()]
+    ranged = placed.select("key", "tie").repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(F.col("key").isNotNull(), "key", "tie")).alias("least"))
+    bounds = sorted((r.least[0], 0 if r.least[1] is None else r.least[1], r.least[2]) for r in ranged.collect())[1:]
     shipped = spark.sparkContext.broadcast((canonical(lengths)[0], lengths))
+    kind = to_arrow_schema(placed.schema).field("key").type
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, bits = shipped.value
         for batch in batches:
-            each = [np.frombuffer(x, dtype="<u4") for x in batch["ids"]]
-            if not each:
-                continue
-            n = np.array([len(x) for x in each])
-            cut = np.flatnonzero(np.diff(np.cumsum(n) // BLOCK, prepend=0))
-            for part in np.split(np.arange(len(each)), cut):
-                if not len(part):
+            keys, ties, n = batch.column(0).to_pylist(), batch.column(2).to_pylist(), pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 4
+            for some in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // BLOCK, prepend=0))):
+                if not len(some):
                     continue
-                out, room, marks, lanes = pack(np.concatenate([each[i] for i in part]).astype(np.int64), n[part], codes, bits)
-                keys = batch["key"].iloc[part]
-                yield pd.DataFrame({
-                    "part": [0 if pd.isna(k) else bisect.bisect_right(bounds, k) for k in keys], "key": keys, "tie": batch["tie"].iloc[part], "n": n[part],
-                    "marks": [x.astype("<u4").tobytes() for x in np.split(marks, np.cumsum(lanes)[:-1])],
-                    "bits": [x.tobytes() for x in np.split(out, np.cumsum(room)[:-1])],
-                })
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                a, b = int(some[0]), int(some[-1]) + 1
+                ids = np.concatenate([np.frombuffer(x.as_buffer(), dtype="<u4") for x in batch.column(1)[a:b]])
+                out, room, marks, lanes = pack(ids.astype(np.int64), n[a:b].astype(np.int64), codes, bits)
+                at = [bisect.bisect_right(bounds, (k is not None, 0 if k is None else k, tie)) for k, tie in zip(keys[a:b], ties[a:b], strict=True)]
+                cells = [pa.array(at, pa.int32()), batch.column(0)[a:b], batch.column(2)[a:b], pa.array(n[a:b].astype(np.int32))]
+                cells += [pa.array([x.tobytes() for x in np.split(data, np.cumsum(size)[:-1])], pa.binary()) for data, size in ((marks.astype("<u4"), lanes), (out, room))]
+                yield pa.RecordBatch.from_arrays(cells, names=["part", "key", "tie", "n", "marks", "bits"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, nr, start, held, room = 0, 0, 0, [], 0
 
-        def block() -> pd.DataFrame:
+        def block() -> pa.RecordBatch:
             keys, sizes, marks, bits = zip(*held, strict=True)
             base = 8 * np.cumsum([0, *map(len, bits[:-1])])
             moved = np.concatenate([np.frombuffer(m, dtype="<u4") + b for m, b in zip(marks, base, strict=True)])
-            return pd.DataFrame({"part": [at], "nr": [nr], "start": [start], "keys": [list(keys)], "sizes": [list(sizes)], "marks": [moved.astype("<u4").tobytes()], "bits": [b"".join(bits)]})
+            cells = [pa.array([at], pa.int32()), pa.array([nr], pa.int32()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int32()))]
+            cells += [pa.array([x], pa.binary()) for x in (moved.astype("<u4").tobytes(), b"".join(bits))]
+            return pa.RecordBatch.from_arrays(cells, names=["part", "nr", "start", "keys", "sizes", "marks", "bits"])
 
         for batch in batches:
-            for part, one, n, marks, bits in zip(batch["part"], batch["key"].astype(object), batch["n"], batch["marks"], batch["bits"], strict=True):
+            for i in range(batch.num_rows):
+                part, one, n, marks, bits = (c[i].as_py() for c in batch.columns)
                 if held and (part != at or room >= BLOCK):
                     yield block()
                     nr, start, held, room = nr + 1, start + room, [], 0
                 if part != at:
                     at, nr, start = part, 0, 0
-                held.append((None if pd.isna(one) else one, n, marks, bits))
+                held.append((one, n, marks, bits))
                 room += n
         if held:
             yield block()
 
-    kind = tokens.schema[key].dataType.simpleString()
-    named = tokens.select(F.col(key).alias("key"), F.xxhash64("ids").alias("tie"), "ids")
-    rows = named.mapInPandas(packed, f"part int, key {kind}, tie long, n int, marks binary, bits binary")
-    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first(), "tie").select("part", "key", "n", "marks", "bits")
-    ordered.mapInPandas(blocks, f"part int, nr int, start long, keys array<{kind}>, sizes array<int>, marks binary, bits binary").write.parquet(f"{path}/blocks")
+    name = tokens.schema[key].dataType.simpleString()
+    rows = placed.select("key", "ids", "tie").mapInArrow(packed, f"part int, key {name}, tie long, n int, marks binary, bits binary")
+    ordered = rows.repartition(parts, "part").sortWithinPartitions("part", *order).select("part", "key", "n", "marks", "bits")
+    ordered.mapInArrow(blocks, f"part int, nr int, start long, keys array<{name}>, sizes array<int>, marks binary, bits binary").write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -329,19 +368,17 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = blocks.join(parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "part")
 
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = shipped.value
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                sizes = np.asarray(row.sizes, dtype=np.int64)
-                ids = unpack(row.bits, np.frombuffer(row.marks, dtype="<u4"), sizes, table, bits)
+            for i in range(batch.num_rows):
+                keys, sizes, marks, data, start, base = (c[i] for c in batch.columns)
+                sizes = sizes.values.to_numpy().astype(np.int64)
+                ids = unpack(data.as_py(), np.frombuffer(marks.as_buffer(), dtype="<u4"), sizes, table, bits)
                 ends = np.cumsum(sizes)
-                yield pd.DataFrame({
-                    key: pd.Series(list(row.keys), dtype=object),
-                    "start": row.base + row.start + ends - sizes,
-                    "ids": [x.tobytes() for x in np.split(ids, ends[:-1])],
-                })
+                out = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((4 * np.append(0, ends)).astype("<i4").tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array(base.as_py() + start.as_py() + ends - sizes), out], names=[key, "start", "ids"])
 
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
     chosen = based.select("keys", "sizes", "marks", "bits", "start", F.col("_base").alias("base"))
-    return chosen.mapInPandas(decoded, f"`{key}` {kind}, start long, ids binary")
+    return chosen.mapInArrow(decoded, f"`{key}` {kind}, start long, ids binary")
