@@ -103,12 +103,26 @@ def test_bitmaps_and_growth_of_one_shard(spark, roots):
     """Whatever roots go together, and wherever texts are sliced, a shard counts the phrases that start in it."""
     rows = texts(8, 40)
     docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
-    want = {tuple(r) for r in phrases.bitmaps(docs).collect()}
-    words = phrases.bitmaps(docs, step=9).collect()
-    assert {tuple(r) for r in words} == want and len({r.shard for r in words}) == 1
-    cells = [np.arange(len(words)), np.array([len(r.blocks) // 4 for r in words]), *(np.frombuffer(b"".join(r[c] for r in words), dtype=t) for c, t in (("blocks", "<u4"), ("masks", "<u2")))]
+    (want,), (row,) = phrases.bitmaps(docs).collect(), phrases.bitmaps(docs, step=9).collect()
+    assert row == want
+    cells = [np.arange(len(row.words)), *(np.frombuffer(row[c], dtype=t) for c, t in (("sizes", "<i4"), ("blocks", "<u4"), ("masks", "<u2")))]
     got = Counter()
-    for ids, n in phrases.grown(words[0].own, *cells, (2, 3, 4, 5), {}, roots):
+    for ids, n in phrases.grown(row.own, cells[0], cells[1].astype(np.int64), *cells[2:], (2, 3, 4, 5), {}, roots):
         for w, k in zip(ids.tolist(), n.tolist(), strict=True):
-            got[words[w[0]].lang, " ".join(words[i].word for i in w)] += k
+            got[row.langs[w[0]], " ".join(row.words[i] for i in w)] += k
     assert got == {(lang, phrase): a for lang, _, phrase, a, *_ in brute(rows, 1, 101, 10**9)}
+
+
+def test_words_that_share_a_number(spark, monkeypatch):
+    """Numbers that collide are taken anew with another seed."""
+    plain, seeds = phrases.bitmaps, []
+
+    def colliding(docs, lang, text, seed, places):
+        seeds.append(seed)
+        found = plain(docs, lang, text, seed, places)
+        return found.withColumn("numbers", phrases.F.transform("numbers", lambda x: x * 0)) if seed == 0 else found
+
+    monkeypatch.setattr(phrases, "bitmaps", colliding)
+    rows = texts(9, 60)
+    got = [tuple(r) for r in phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), 4).orderBy("lang", "rank").collect()]
+    assert got == brute(rows, 4) and seeds == [0, 1]

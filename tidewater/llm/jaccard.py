@@ -128,14 +128,13 @@ def signatures(tokens: np.ndarray, threshold: Fraction) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _describe(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sizes, nodes = [], []
-        for text in batch["_text"]:
-            tokens = shingles(text, n)
-            sizes.append(len(tokens))
-            nodes.append(set_id(tokens) if len(tokens) else None)
-        yield pd.DataFrame({"_id": batch["_id"], "_uid": batch["_uid"], "n_shingles": sizes, "node": pd.array(nodes, dtype="Int64")})
+def _describe(batch: pd.DataFrame, n: int) -> Iterator[tuple[pd.DataFrame, None]]:
+    sizes, nodes = [], []
+    for text in batch["_text"]:
+        tokens = shingles(text, n)
+        sizes.append(len(tokens))
+        nodes.append(set_id(tokens) if len(tokens) else None)
+    yield pd.DataFrame({"n_shingles": sizes, "node": pd.array(nodes, dtype="Int64")}), None
 
 
 def _sign(batches: Iterator[pd.DataFrame], n: int, threshold: Fraction) -> Iterator[pd.DataFrame]:
@@ -291,8 +290,7 @@ def _members(docs: DataFrame, key: str, text: str, n: int, percent: int, block:
     """_id, _uid (hash of the text), n_shingles, _root (null without words) of each row."""
     threshold = Fraction(percent, 100)
     given = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_uid"), F.col(text).alias("_text"))
-    id_type = given.schema["_id"].dataType.simpleString()
-    described = shared.save(given.mapInPandas(lambda it: _describe(it, n), f"_id {id_type}, _uid long, n_shingles long, node long"), "shingled")
+    described = shared.save(shared.beside(given, ["_id", "_uid"], "n_shingles long, node long", lambda: lambda batch: _describe(batch, n)), "shingled")
     signed = given.select("_text").mapInPandas(lambda it: _sign(it, n, threshold), "node long, signature long")
     stars = _stars(signed)
     stars_all = stars.unionByName(stars.select(F.col("_hub").alias("node"), "_hub").distinct())

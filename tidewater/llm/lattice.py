@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import copy
+import itertools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -299,32 +300,32 @@ def score(
     top = weighed.filter(step >= F.lit(float(least_step))).select("word", *sums).toPandas()
     frequent = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(top["word"])}, top[sums].to_numpy(dtype=float).reshape(-1, len(sums))))
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look_up() -> Callable[[pd.DataFrame], Iterator[tuple[pd.DataFrame, np.ndarray]]]:
         """One row a document (word: none) and one for each of its words that isn't frequent."""
-        (place_of, values), part_id, row = frequent.value, TaskContext.get().partitionId(), 0
-        for batch in batches:
+        (place_of, values), part_id, rows = frequent.value, TaskContext.get().partitionId(), itertools.count(1)
+
+        def work(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
             document, found, rest = [], [], []
             for text_ in batch["_text"]:
-                row += 1
+                row = part_id << 40 | next(rows)
                 counts = Counter(tokens(text_))
                 at = np.array([place_of.get(w, -1) for w in counts], dtype=np.int64)
                 n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
                 inside = at >= 0
-                document.append((part_id << 40 | row, int(n[inside].sum())))
+                document.append((row, int(n[inside].sum())))
                 found.append(n[inside] @ values[at[inside]] if inside.any() else np.zeros(len(sums)))
-                rest += [(part_id << 40 | row, w, k) for w, k, i in zip(counts, n.tolist(), inside.tolist(), strict=True) if not i]
-            out = batch.drop(columns="_text").reset_index(drop=True)
-            out[["_row", "n"]] = document
+                rest += [(row, w, k) for w, k, i in zip(counts, n.tolist(), inside.tolist(), strict=True) if not i]
+            out = pd.DataFrame(document, columns=["_row", "n"])
             out["word"] = None
             out[sums] = np.array(found).reshape(-1, len(sums))
-            yield out.astype({"known": "int64"})
+            yield out.astype({"known": "int64"}), np.arange(len(batch))
             for a in range(0, len(rest), 50_000):
-                tail = pd.DataFrame(rest[a : a + 50_000], columns=["_row", "word", "n"])
-                tail = tail.reindex(columns=[*own_names, *tail.columns, *sums]).astype(dict.fromkeys([*own_names, "known"], object))
-                yield tail.where(tail.notna(), None)
+                tail = pd.DataFrame(rest[a : a + 50_000], columns=["_row", "word", "n"]).reindex(columns=["_row", "word", "n", *sums])
+                yield tail.astype({"known": "Int64"}), np.full(len(tail), -1)
+
+        return work
 
-    given_kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select(*own_names).schema)
-    parts = shared.save(given.select(*own_names, "_text").mapInPandas(look_up, f"{given_kinds}, _row long, n long, word binary, {kinds}"), "word-rows")
+    parts = shared.save(shared.beside(given.select(*own_names, "_text"), own_names, f"_row long, n long, word binary, {kinds}", look_up), "word-rows")
     rest = (
         parts.filter("word IS NOT NULL").select("_row", "word", "n").join(weighed.select("word", *sums), "word")
         .groupBy("_row").agg(F.sum("n").alias("_n"), *(F.sum(F.col("n") * F.col(c)).alias(f"_more_{c}") for c in sums))

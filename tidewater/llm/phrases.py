@@ -7,14 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 #: Places of a shard; a bitmap keeps its blocks of 16 places that are not zero.
-SHARD = 1 << 18
+SHARD = 1 << 19
 BITS = 16
 #: Blocks of bitmaps of root words that are extended together, to their full depth, before the next ones.
 ROOTS = 1 << 15
@@ -28,6 +28,7 @@ LONGEST = 5
 _TABLE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _CUT = re.compile(rb"[ \n]")
 _NONE, _GAP = 0, 1
+_SHARD = ["own", "langs", "words", "numbers", "counts", "ids", "sizes", "blocks", "masks"]
 
 
 class _Words(dict):
@@ -52,37 +53,31 @@ def _slices(text: bytes, step: int) -> Iterator[bytes]:
         at = end
 
 
-def _rows(shard: int, seq: np.ndarray, own: int, names: list) -> pa.RecordBatch:
-    """One row per word of a shard: occurrences that start in it, and the bitmap of its places."""
+def _row(seq: np.ndarray, own: int, names: list, seed: int) -> pa.RecordBatch:
+    """A shard: its words, how often each starts in it, and the bitmaps of their places."""
     at = np.flatnonzero(seq > _GAP)
     order = np.argsort(seq[at], kind="stable")
     at = at[order]
     word, block = seq[at], at // BITS
     new = np.flatnonzero(np.diff(word * (len(seq) + 1) + block, prepend=-1))
-    masks = np.bitwise_or.reduceat(1 << (at % BITS), new).astype("<u2") if len(new) else np.zeros(0, dtype="<u2")
+    masks = np.bitwise_or.reduceat(1 << (at % BITS), new) if len(new) else new
     first = np.flatnonzero(np.diff(word[new], prepend=-1))
-    which = word[new][first]
-    ends = np.append(first, len(new))
-    binary = lambda data, width: pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, pa.py_buffer((ends * width).astype("<i4").tobytes()), pa.py_buffer(data.tobytes())])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(which), shard, dtype=np.int64)), pa.array(np.full(len(which), own, dtype=np.int32)), pa.array([names[w][0] for w in which], pa.string()),
-            pa.array([names[w][1].decode() for w in which], pa.string()), pa.array(np.bincount(word[at < own], minlength=len(names))[which].astype(np.int64)),
-            binary(block[new].astype("<u4"), 4), binary(masks, 2),
-        ],
-        names=["shard", "own", "lang", "word", "n", "blocks", "masks"],
-    )
-
-
-def bitmaps(docs: DataFrame, lang: str = "lang", text: str = "text", places: int = SHARD, step: int = SLICE) -> DataFrame:
-    """shard, own, lang, word, n, blocks, masks: where each word stands in each shard.
+    which = word[new][first].tolist()
+    ids = np.array([xxhash.xxh3_64_intdigest(names[w][0].encode() + b" " + names[w][1], seed) >> 1 for w in which], dtype="<i8")
+    n = np.bincount(word[at < own], minlength=len(names))[which] if which else np.zeros(0, dtype=np.int64)
+    cells = [ids.tobytes(), np.diff(np.append(first, len(new))).astype("<i4").tobytes(), block[new].astype("<u4").tobytes(), masks.astype("<u2").tobytes()]
+    lists = [([names[w][0] for w in which], pa.string()), ([names[w][1].decode() for w in which], pa.string()), (ids, pa.int64()), (n, pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), *(pa.array([x], pa.list_(t)) for x, t in lists), *(pa.array([c], pa.binary()) for c in cells)], names=_SHARD)
+
+
+def bitmaps(docs: DataFrame, lang: str = "lang", text: str = "text", seed: int = 0, places: int = SHARD, step: int = SLICE) -> DataFrame:
+    """One row a shard: own (places), langs, words, numbers and counts of its words, and ids, sizes, blocks, masks: the bitmaps.
 
     A shard has `places` places of its own, and the LONGEST - 1 places after them, in which its last phrases end; ends of
-    pieces are places without a bit, so no phrase crosses them.
+    pieces are places without a bit, so no phrase crosses them. A word's number is a hash of language and word.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 32
         names, words, held, n = [None, None], {}, [], 0
 
         def number(one: str, tokens: list) -> np.ndarray:
@@ -101,38 +96,17 @@ def bitmaps(docs: DataFrame, lang: str = "lang", text: str = "text", places: int
                 n += 1
                 while n >= places + LONGEST:
                     seq = np.concatenate(held)
-                    yield _rows(shard, seq[: places + LONGEST - 1], places, names)
-                    shard += 1
+                    yield _row(seq[: places + LONGEST - 1], places, names, seed)
                     old, rest = names, seq[places:]
                     names, words = [None, None], {}
                     used, back = np.unique(rest, return_inverse=True)
                     fresh = [w if w <= _GAP else int(number(old[w][0], [old[w][1]])[0]) for w in used.tolist()]
                     held, n = [np.array(fresh, dtype=np.int64)[back]], len(rest)
         if n:
-            yield _rows(shard, np.concatenate(held), n, names)
+            yield _row(np.concatenate(held), n, names, seed)
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")), F.coalesce(F.col(text), F.lit("")))
-    return rows.mapInArrow(cut, "shard long, own int, lang string, word string, n long, blocks binary, masks binary")
-
-
-def _vertical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of words, sorted by shard, to one row for each shard."""
-    at, own, held = None, 0, []
-
-    def one() -> pa.RecordBatch:
-        ids, blocks, masks = zip(*held, strict=True)
-        cells = [np.array(ids, dtype="<i8").tobytes(), np.array([len(b) // 4 for b in blocks], dtype="<i4").tobytes(), b"".join(blocks), b"".join(masks)]
-        return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["own", "ids", "sizes", "blocks", "masks"])
-
-    for batch in batches:
-        for shard, size, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and shard != at:
-                yield one()
-                held = []
-            at, own = shard, size
-            held.append(cells)
-    if held:
-        yield one()
+    return rows.mapInArrow(cut, "own int, langs array<string>, words array<string>, numbers array<long>, counts array<long>, ids binary, sizes binary, blocks binary, masks binary")
 
 
 def _hashes(words: np.ndarray) -> np.ndarray:
@@ -172,6 +146,10 @@ def grown(own: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, mask
     `known` has sets of phrases by length; only phrases that these may have, as a whole and in their last words, are
     extended.
     """
+    if 1 in known:
+        used = _held(known[1], ids[:, None])
+        inside = np.repeat(used, sizes)
+        ids, sizes, blocks, masks = ids[used], sizes[used], blocks[inside], masks[inside]
     word, blocks, masks = np.repeat(np.arange(len(ids)), sizes), blocks.astype(np.int64), masks.astype(np.int64)
     order = np.argsort(blocks, kind="stable")
     by_word, by_mask = word[order], masks[order]
@@ -189,7 +167,7 @@ def grown(own: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, mask
             counts = np.bincount(phrase, weights=np.bitwise_count(mask), minlength=len(found)).astype(np.int64)
             good, whole = np.ones(len(found), dtype=bool), ids[names]
             for n, bits in known.items():
-                if n == size or n < size and n + 1 not in known:
+                if n > 1 and (n == size or n < size and n + 1 not in known):
                     good &= _held(bits, whole[:, size - n :])
             if size in levels and good.any():
                 yield whole[good], counts[good]
@@ -200,9 +178,9 @@ def grown(own: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, mask
             names = names[good]
 
 
-def _counted(vertical: DataFrame, levels: tuple[int, ...], known: dict[int, np.ndarray], least: int) -> DataFrame:
+def _counted(shards: DataFrame, levels: tuple[int, ...], known: dict[int, np.ndarray], least: int) -> DataFrame:
     """ids (array), n of all phrases of these lengths with n >= least."""
-    spark = vertical.sparkSession
+    spark = shards.sparkSession
     shipped = spark.sparkContext.broadcast(known)
     names = [f"w{i}" for i in range(max(levels))]
 
@@ -215,7 +193,7 @@ def _counted(vertical: DataFrame, levels: tuple[int, ...], known: dict[int, np.n
                     wide[:, : words.shape[1]] = words
                     yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in np.ascontiguousarray(wide.T)), pa.array(n)], names=[*names, "n"])
 
-    counts = vertical.select("own", "ids", "sizes", "blocks", "masks").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+    counts = shards.select("own", "ids", "sizes", "blocks", "masks").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
     sums = counts.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return sums.select(F.filter(F.array(*names), lambda w: w >= 0).alias("ids"), "n")
 
@@ -243,27 +221,33 @@ def collocations(docs: DataFrame, least: int = 100, covered: int = 100, top: int
     phrases do not cross pieces. score is the least over the cuts of floor(1000 a n / (l r)), the first such cut counts,
     in decimals of 38 digits. A phrase inside a longer one that occurs `covered` percent as often goes.
 
-    Four passes over the bitmaps: pairs, triples, then four and five words. Each pass extends only what the one before
+    Words are numbered by a hash, taken anew if two of all words share one. Three passes over the bitmaps: pairs, triples,
+    then four and five words. Each pass extends only what the one before
     found to be frequent over all shards; the sums of popcounts are exact, and the sets between passes may only let too
     much through. Nothing grows in one task: a shard has a bounded number of places, wherever a piece is cut. A null
     language is `und`, a null or empty text has no words, repeated rows count each time, an empty table gives no rows,
     other columns are not read.
     """
-    shards = shared.save(bitmaps(docs, lang, text, places), "phrase-words", compression="zstd")
-    counts = shards.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.monotonically_increasing_id()
-    words = shared.save(counts.filter(F.col("n") >= least).select("lang", "word", "n", (place % (1 << 33) * (8 * parts) + F.floor(place / (1 << 33))).alias("id")), "phrase-ids")
-    totals = shared.save(shards.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
-    rows = shards.join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "own", "id", "blocks", "masks")
-    vertical = shared.save(rows.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_vertical, "own int, ids binary, sizes binary, blocks binary, masks binary"), "phrase-shards", compression="zstd")
-    shared.drop(shards)
-    known, found = {}, [words.select(F.array("id").alias("ids"), "n")]
+    seed = 0
+    while True:
+        shards = shared.save(bitmaps(docs, lang, text, seed, places), "phrase-shards", compression="zstd")
+        each = shards.select(F.explode(F.arrays_zip("langs", "words", "numbers", "counts")).alias("_w")).groupBy(F.col("_w.langs").alias("lang"), F.col("_w.words").alias("word"), F.col("_w.numbers").alias("id"))
+        counts = shared.save(each.agg(F.sum("_w.counts").alias("n")), "phrase-words")
+        one = counts.agg(F.count("*"), F.count_distinct("id")).first()
+        if one[0] == one[1]:
+            break
+        shared.drop(shards)
+        seed += 1
+    words = shared.save(counts.filter(F.col("n") >= least), "phrase-frequent")
+    totals = shared.save(counts.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
+    shared.drop(counts)
+    found = [words.select(F.array("id").alias("ids"), "n")]
+    known = {1: _as_set(found[0], 1)}
     for levels in ((2,), (3,), (4, 5)):
-        found.append(shared.save(_counted(vertical, levels, known, least), f"phrases-{levels[0]}"))
+        found.append(shared.save(_counted(shards, levels, known, least), f"phrases-{levels[0]}"))
         if len(levels) == 1:
             known[levels[0]] = _as_set(found[-1], levels[0])
-    shared.drop(vertical)
+    shared.drop(shards)
     every = found[0]
     for df in found[1:]:
         every = every.unionByName(df)

@@ -130,23 +130,22 @@ def _split(batches: Iterator[pd.DataFrame], length: int, width: int) -> Iterator
                 yield pd.DataFrame({"core": core.view(np.int64), "hull": slices.of(low - base, high + length - base).view(np.int64), "_doc": doc, "_uid": uid, "at": at, "first": low, "last": high})
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        kept, spans = [], []
-        for text, lows, highs in zip(batch["_text"], batch["_lows"], batch["_highs"], strict=True):
-            raw = text.encode() if isinstance(text, str) else b""
-            if lows is None or not len(lows):
-                kept.append(raw)
-                spans.append([])
-                continue
-            change = np.zeros(len(raw) + 1, dtype=np.int64)
-            np.add.at(change, np.asarray(lows), 1)
-            np.add.at(change, np.asarray(highs), -1)
-            gone = (np.cumsum(change[:-1]) > 0).astype(np.int8)
-            kept.append(np.frombuffer(raw, dtype=np.uint8)[gone == 0].tobytes())
-            edges = np.flatnonzero(np.diff(gone, prepend=0, append=0))
-            spans.append([{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)])
-        yield batch.drop(columns=["_lows", "_highs"]).assign(kept=kept, spans=spans)
+def _cut(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, None]]:
+    kept, spans = [], []
+    for text, lows, highs in zip(batch["_bytes"], batch["_lows"], batch["_highs"], strict=True):
+        raw = text.encode() if isinstance(text, str) else b""
+        if lows is None or not len(lows):
+            kept.append(raw)
+            spans.append([])
+            continue
+        change = np.zeros(len(raw) + 1, dtype=np.int64)
+        np.add.at(change, np.asarray(lows), 1)
+        np.add.at(change, np.asarray(highs), -1)
+        gone = (np.cumsum(change[:-1]) > 0).astype(np.int8)
+        kept.append(np.frombuffer(raw, dtype=np.uint8)[gone == 0].tobytes())
+        edges = np.flatnonzero(np.diff(gone, prepend=0, append=0))
+        spans.append([{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)])
+    yield pd.DataFrame({"kept": pd.Series(kept, dtype=object), "spans": pd.Series(spans, dtype=object)}), None
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram: int = 50, carry: list[str] | None = None) -> DataFrame:
@@ -178,9 +177,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, gram:
         cells = texts.join(lists, ids).mapInPandas(lambda it, width=width: _split(it, length, width), kinds)
     removed = functools.reduce(DataFrame.unionByName, settled)
     spans = removed.groupBy(*ids).agg(F.collect_list("first").alias("_lows"), F.collect_list("end").alias("_highs"))
-    joined = keyed.join(spans, ids, "left").select(*carry, "_text", "_lows", "_highs")
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*carry, "_text").schema)
-    return joined.mapInPandas(_cut, f"{given}, kept binary, spans array<struct<start: int, end: int>>").toDF(*names, text, "kept", "spans")
+    joined = keyed.join(spans, ids, "left").select(*carry, "_text", F.col("_text").alias("_bytes"), "_lows", "_highs")
+    return shared.beside(joined, [*carry, "_text"], "kept binary, spans array<struct<start: int, end: int>>", lambda: _cut).toDF(*names, text, "kept", "spans")
 
 
 def _judge(cells: DataFrame) -> DataFrame:

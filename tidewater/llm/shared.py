@@ -6,10 +6,15 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewater.cluster import ship_package
 
@@ -91,6 +96,30 @@ def unpacked(df: DataFrame, *more: str | Column) -> DataFrame:
     return df.select("_row.*", *more)
 
 
+def beside(df: DataFrame, carry: list[str], added: str, start: Callable[[], Callable[[pd.DataFrame], Iterable[tuple[pd.DataFrame, np.ndarray | None]]]]) -> DataFrame:
+    """The columns `carry` of df beside the columns `added` (as DDL) that a function makes from the others.
+
+    What is carried stays in Arrow: pandas would make doubles of integers beside a null. start() gives, once a task,
+    the function from a batch of the other columns to tables, each with the batch's rows that its rows belong to
+    (None: all of them in order; a negative one: none, and what is carried is null).
+    """
+    fields = T._parse_datatype_string(added)
+    kinds = to_arrow_schema(fields)
+    others = [c for c in df.columns if c not in carry]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for out, at in work(batch.select(others).to_pandas()):
+                held = batch.select(carry)
+                if at is not None:
+                    held = held.take(pa.array(np.maximum(at, 0), mask=np.asarray(at) < 0))
+                made = [pa.array(out[f.name], f.type, from_pandas=True) for f in kinds]
+                yield pa.RecordBatch.from_arrays([*held.columns, *made], names=[*carry, *kinds.names])
+
+    return df.select(*carry, *others).mapInArrow(run, T.StructType([*df.select(*carry).schema.fields, *fields.fields]))
+
+
 def row_hash(seed: int, columns: list[Column]) -> Column:
     """A hash of some columns that tells a null from a missing place."""
     return F.xxhash64(F.lit(seed), *(x for c in columns for x in (c, c.isNull())))

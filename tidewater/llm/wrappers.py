@@ -6,7 +6,7 @@ import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import TaskContext
@@ -362,9 +362,10 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
     given = pages.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)), F.col(page).alias("_html"), host(url).alias("_host"))
     named = given.join(shared.small(found), "_host", "left").drop("_host")
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def texts() -> Callable[[pd.DataFrame], Iterator[tuple[pd.DataFrame, None]]]:
         loaded: dict[tuple, tuple] = {}
-        for batch in batches:
+
+        def work(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, None]]:
             lines = []
             for html_, *says in zip(batch["_html"], batch["_path"], batch["_dropped"], strict=True):
                 says = tuple(says)
@@ -372,7 +373,8 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
                     loaded.clear() if len(loaded) > 1000 else None
                     loaded[says] = (json.loads(says[0] or "[]"), set(json.loads(says[1] or "[]")))
                 lines.append(main_text(parse(html_), *loaded[says]))
-            yield batch.drop(columns=["_html", "_path", "_dropped"]).assign(_text=lines)
+            yield pd.DataFrame({"_text": pd.Series(lines, dtype=object)}), None
+
+        return work
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("_html", "_host").schema)
-    return named.mapInPandas(texts, f"{kinds}, _text string").toDF(*kept, out)
+    return shared.beside(named, [f"_c{i}" for i in range(len(kept))], "_text string", texts).toDF(*kept, out)
