@@ -1,9 +1,9 @@
 """Filters, smoothers and predictors of the hidden state.
 
 Each operator takes a table of series (key columns, an order column n, observation y, and where known the regime r) and
-returns its rows with estimates. The table is shuffled once by its key and sorted; a task works on many whole series at
-once, one step of all of them in each array operation. A single series is inherently sequential, so a very long one is
-one task, which holds its rows and about 200 bytes a row; streaming/filters.py carries a state instead.
+returns its rows with estimates. Where no series has more than LONG rows, the table is shuffled once by its key and
+sorted, and a task works on many whole series at once, one step of all of them in each array operation. Longer series
+are cut into chunks over many tasks (scan.py); the results are the same.
 """
 
 from __future__ import annotations
@@ -13,56 +13,75 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scan
 from ..cluster import ship_package
-from ..functions.model import RegimeModel, interpolate, reversed_model
+from ..functions.model import RegimeModel, reversed_model
+from .scan import beside, key_at, key_starts
 
 FLOOR = 1e-300
 #: Rows of whole series that are worked on at once, if there are so many.
 ROWS = 50_000
+#: Rows of a series from which on it is cut into chunks.
+LONG = 200_000
 STATES = ("filter", "filter_var", "smooth", "smooth_var", "predict")
 
 
-def series_starts(rows: pd.DataFrame, key: list[str]) -> np.ndarray:
-    """Where series start in rows that are sorted by key (a null is a value of its own)."""
-    new = np.zeros(len(rows), dtype=bool)
-    new[:1] = True
-    for c in key:
-        codes = pd.factorize(rows[c], use_na_sentinel=False)[0]
-        new[1:] |= codes[1:] != codes[:-1]
-    return np.flatnonzero(new)
+def longest(df: DataFrame, key: list[str]) -> int:
+    """Rows of the longest series."""
+    return df.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def by_series(df: DataFrame, key: list[str], order: str, added: str, some: Callable[[pd.DataFrame, np.ndarray], dict]) -> DataFrame:
-    """Adds the columns that `some` gives for a table of whole, ordered series and the sizes of these."""
+    """Adds the columns that `some` gives for a table of whole, ordered series and the sizes of these.
+
+    The table's own columns stay in Arrow, so that integers beside nulls come out as they were.
+    """
     ship_package(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
+    kinds = T._parse_datatype_string(added)
+    schema = T.StructType([*df.schema.fields, *kinds.fields])
 
-    def table(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(**some(rows, np.diff([*series_starts(rows, key), len(rows)])))
+    def worked(held: list[pa.RecordBatch], starts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        table, at = pa.Table.from_batches(held).combine_chunks(), np.flatnonzero(np.concatenate(starts))
+        yield from beside(table, some(table.to_pandas(), np.diff([*at, table.num_rows])), kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, starts, rows, before = [], [], 0, None
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= ROWS:
-                rows = pd.concat(held, ignore_index=True)
-                last = series_starts(rows, key)[-1]
-                if last:
-                    yield table(rows.iloc[:last].reset_index(drop=True))
-                held = [rows.iloc[last:].reset_index(drop=True)]
-        if sum(map(len, held)):
-            yield table(pd.concat(held, ignore_index=True))
-
-    return df.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
+            if not batch.num_rows:
+                continue
+            new = key_starts(batch, key, before)
+            before = key_at(batch, key, batch.num_rows - 1)
+            cut = int(np.flatnonzero(new)[-1]) if rows + batch.num_rows >= ROWS and new.any() else 0
+            if cut or (rows >= ROWS and new[0]):
+                if cut:
+                    held.append(batch.slice(0, cut))
+                    starts.append(new[:cut])
+                yield from worked(held, starts)
+                held, starts, rows = [], [], 0
+            held.append(batch.slice(cut))
+            starts.append(new[cut:])
+            rows += batch.num_rows - cut
+        if held:
+            yield from worked(held, starts)
+
+    return df.repartition(*key).sortWithinPartitions(*key, order).mapInArrow(run, schema)
 
 
 def vectors(rows: pd.DataFrame, column: str) -> np.ndarray:
-    """Observations as (N, n_y), of a double or an array column."""
-    first = rows[column].iloc[0]
-    return np.stack(rows[column].to_numpy()).astype(float) if isinstance(first, (list, np.ndarray)) else rows[column].to_numpy(dtype=float)[:, None]
+    """Observations as (N, n_y), of a numeric or an array column; null is NaN."""
+    values = rows[column]
+    if values.dtype != object:
+        return values.to_numpy(dtype=float)[:, None]
+    lists = [v for v in values if isinstance(v, (list, np.ndarray))]
+    if not lists:
+        return pd.to_numeric(values).to_numpy(dtype=float)[:, None]
+    none = np.full(len(lists[0]), np.nan)
+    return np.stack([np.asarray(v, dtype=float) if isinstance(v, (list, np.ndarray)) else none for v in values])
 
 
 def steps(sizes: np.ndarray) -> list[np.ndarray]:
@@ -94,75 +113,43 @@ def _quadratic(v: np.ndarray, inverse: np.ndarray) -> np.ndarray:
     return (v * _dot(inverse, v)).sum(axis=-1)
 
 
-def _given(model: RegimeModel, r: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Own mean and covariance of each row, and F, Q and constant of the step to the next row.
-
-    Whole regimes pick a pair; if any is a fraction in [0, 1], the corners are interpolated.
-    """
-    after = np.append(r[1:], r[-1:])
-    if np.all(np.mod(r, 1) == 0):
-        j, k = r.astype(int), after.astype(int)
-        return model.mean[j], model.gamma[j], *(m[j, k] for m in model.regression())
-    k_all, h = len(model.mean), model.gamma.shape[-1]
-    pairs = np.array([[model.pair_cov(j, k) for k in range(k_all)] for j in range(k_all)])
-    wide = lambda x: x[:, None, None]
-    mean = (1 - r)[:, None] * model.mean[0] + r[:, None] * model.mean[1]
-    own = interpolate(pairs, wide(r), wide(r))[:, :h, :h]
-    cov = interpolate(pairs, wide(r), wide(after))
-    f = _t(np.linalg.solve(_t(cov[:, :h, :h]), cov[:, :h, h:]))
-    next_mean = (1 - after)[:, None] * model.mean[0] + after[:, None] * model.mean[1]
-    return mean, own, f, cov[:, h:, h:] - f @ cov[:, :h, h:], next_mean - _dot(f, mean)
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    new = np.zeros(int(sizes.sum()), dtype=bool)
+    new[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return new
 
 
 def known_regimes(y: np.ndarray, r: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth: bool = True) -> dict[str, np.ndarray]:
-    """Pairwise Kalman filter, one-step predictor, log-likelihood and, if wanted, fixed-interval smoother of series."""
-    x = model.n_x
-    mean, own, f, q, c = _given(model, r)
-    fyx, fyy, fxx, fxy = f[:, x:, :x], f[:, x:, x:], f[:, :x, :x], f[:, :x, x:]
-    g = _t(np.linalg.solve(_t(q[:, x:, x:]), _t(q[:, :x, x:])))
-    a, q2 = fxx - g @ fyx, q[:, :x, :x] - g @ q[:, x:, :x]
-    est, cov, ahead, log_l = np.zeros((len(y), x)), np.zeros((len(y), x, x)), np.full((len(y), x), np.nan), np.zeros(len(y))
-    e2s, p2s = np.zeros_like(est), np.zeros_like(cov)
-    at = steps(sizes)
-    gauss = lambda d, s, inverse: -0.5 * (np.linalg.slogdet(s)[1] + _quadratic(d, inverse) + d.shape[-1] * math.log(2 * math.pi))
-    for n, rows in enumerate(at):
-        if n == 0:
-            s = own[rows, x:, x:]
-            inverse, d = np.linalg.inv(s), y[rows] - mean[rows, x:]
-            gain = own[rows, :x, x:] @ inverse
-            est[rows], cov[rows] = mean[rows, :x] + _dot(gain, d), own[rows, :x, :x] - gain @ own[rows, x:, :x]
-        else:
-            b = rows - 1
-            e, p, to = est[b], cov[b], _t(fyx[b])
-            s = q[b, x:, x:] + fyx[b] @ p @ to
-            inverse, d = np.linalg.inv(s), y[rows] - (_dot(fyx[b], e) + _dot(fyy[b], y[b]) + c[b, x:])
-            k = p @ to @ inverse
-            ahead[rows] = _dot(fxx[b], e) + _dot(fxy[b], y[b]) + c[b, :x]
-            e2, p2 = e + _dot(k, d), p - k @ s @ _t(k)
-            est[rows] = _dot(a[b], e2) + _dot(g[b], y[rows]) + _dot(fxy[b] - g[b] @ fyy[b], y[b]) + c[b, :x] - _dot(g[b], c[b, x:])
-            cov[rows] = q2[b] + a[b] @ p2 @ _t(a[b])
-            e2s[b], p2s[b] = e2, p2
-        log_l[rows] = gauss(d, s, inverse)
-    total = np.add.reduceat(log_l, np.cumsum(sizes) - sizes) if len(sizes) else log_l
-    out = {"filter": est, "filter_var": cov, "predict": ahead, "log_likelihood": np.repeat(total, sizes)}
-    if smooth:
-        se, sv = est.copy(), cov.copy()
-        for rows in at[:0:-1]:
-            b = rows - 1
-            gain = p2s[b] @ _t(a[b]) @ np.linalg.inv(cov[rows])
-            se[b] = e2s[b] + _dot(gain, se[rows] - est[rows])
-            sv[b] = p2s[b] + gain @ (sv[rows] - cov[rows]) @ _t(gain)
-        out |= {"smooth": se, "smooth_var": sv}
-    return out
+    """Pairwise Kalman filter, one-step predictor, log-likelihood and, if wanted, fixed-interval smoother of series.
+
+    r is a regime or a fraction between two neighbours in [0, K - 1], row by row. Rows without such an r have no
+    estimates and the next one begins anew; a row without y is a step without observation.
+    """
+    if not len(y):
+        none = np.zeros((0, model.n_x))
+        return dict.fromkeys(("filter", "filter_var", "predict", "smooth", "smooth_var"), none) | {"log_likelihood": np.zeros(0)}
+    work = scan.KnownRegimes(model)
+    out = work.passed(work.rows({"y": y, "r": r}, _starts(sizes), None), work.first(), work.last(), smooth)
+    total = np.add.reduceat(out.pop("log_l"), (np.cumsum(sizes) - sizes)[sizes > 0])
+    return out | {"log_likelihood": np.repeat(total, sizes[sizes > 0])}
 
 
 def unknown_regimes(y: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth: bool = True, start: tuple | None = None) -> dict[str, np.ndarray]:
     """Exact filter and, if wanted, smoother of state and regime for F_yx = 0; moments per regime, then their mixtures.
 
     `start` has weights, means and second moments of the regimes at each first row, where these are known already.
+    A row without y has no estimates (NaN), and the row after it begins anew, as what follows depends on it.
     link holds, for the step to a row, p(r', y' | r) over p(y' | past): its backward products are the smoother, and
     its rows, reweighted, the regimes' posterior transition.
     """
+    none = np.isnan(y).any(axis=1)
+    if none.any() and start is None:
+        piece = np.cumsum(_starts(sizes) | np.concatenate([[False], none[:-1]]))[~none]
+        found = unknown_regimes(y[~none], np.unique(piece, return_counts=True)[1], model, smooth)
+        out = {name: np.full((len(y), *value.shape[1:]), np.nan) for name, value in found.items()}
+        for name, value in found.items():
+            out[name][~none] = value
+        return out
     x, k_all = model.n_x, len(model.mean)
     f, q, c = model.regression()
     fxx, fxy, fyy, qyy = f[:, :, :x, :x], f[:, :, :x, x:], f[:, :, x:, x:], q[:, :, x:, x:]
@@ -221,15 +208,20 @@ def unknown_regimes(y: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth
     return out
 
 
+def _lists(value: np.ndarray) -> list:
+    """Rows of an array; null where there is no estimate."""
+    return [None if n else v for n, v in zip(np.isnan(value[:, 0]), value, strict=True)] if value.shape[1] else list(value)
+
+
 def _columns(found: dict[str, np.ndarray], x: int, wanted: tuple[str, ...]) -> dict:
     """One-dimensional states as doubles, others as arrays."""
     out = {}
     for name in wanted:
         value = found[name]
         if name.startswith("p_"):
-            out[name] = list(value)
+            out[name] = _lists(value)
         elif name in STATES:
-            out[name] = value.reshape(len(value), -1)[:, 0] if x == 1 else list(value.reshape(len(value), -1))
+            out[name] = value.reshape(len(value), -1)[:, 0] if x == 1 else _lists(value.reshape(len(value), -1))
         else:
             out[name] = value
     return out
@@ -241,26 +233,48 @@ def _kinds(wanted: tuple[str, ...], x: int) -> str:
     return ", ".join(f"{name} {kind(name)}" for name in wanted)
 
 
-def kalman(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y", r: str = "r", outputs: tuple[str, ...] = (*STATES, "log_likelihood")) -> DataFrame:
-    """Adds `outputs` (of filter, filter_var, smooth, smooth_var, predict, log_likelihood) for known regimes r (integers, or fractions in [0, 1]).
+def kalman(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y", r: str = "r", outputs: tuple[str, ...] = (*STATES, "log_likelihood"), long: int = LONG, chunk: int = scan.CHUNK) -> DataFrame:
+    """Adds `outputs` (of filter, filter_var, smooth, smooth_var, predict, log_likelihood) for known regimes r (integers, or fractions between neighbours).
 
-    Nothing is smoothed unless asked for.
+    Nothing is smoothed unless asked for. Rows without a regime in [0, K - 1] have null estimates and the next one begins
+    anew; a row without y is a step without observation; estimates that do not exist are null. Series of over `long` rows
+    are cut into chunks.
     """
     smooth = any(c.startswith("smooth") for c in outputs)
-    some = lambda rows, sizes: _columns(known_regimes(vectors(rows, y), rows[r].to_numpy(dtype=float), sizes, model, smooth), model.n_x, outputs)
-    return by_series(df, key, order, _kinds(outputs, model.n_x), some)
-
-
-def switching(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y", outputs: tuple[str, ...] = (*STATES, "p_filter", "p_smooth", "r_filter", "r_smooth")) -> DataFrame:
-    """Adds `outputs` for unknown regimes: those of kalman() but the likelihood, p_filter and p_smooth, and the most probable regimes (first one wins)."""
+    if longest(df, key) <= long:
+        some = lambda rows, sizes: _columns(known_regimes(vectors(rows, y), rows[r].to_numpy(dtype=float), sizes, model, smooth), model.n_x, outputs)
+        return by_series(df, key, order, _kinds(outputs, model.n_x), some)
+    own = tuple(c for c in outputs if c != "log_likelihood")
+    whole = scan.Scan(df, key, order, scan.KnownRegimes(model, y, r), chunk)
+    added = ", ".join(x for x in (_kinds(own, model.n_x), "_log double") if x)
+    rows = whole.columns(added, lambda table, found, rows, at: _columns(found, model.n_x, own) | {"_log": found["log_l"]}, smooth)
+    if "log_likelihood" not in outputs:
+        return rows.drop("_log")
+    named = [F.col(c).alias(f"_key{i}") for i, c in enumerate(key)]
+    totals = rows.groupBy(*named).agg(F.sum("_log").alias("log_likelihood"))
+    same = [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(key)]
+    return rows.join(totals, same).select(*df.columns, *outputs)
+
+
+def switching(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y", outputs: tuple[str, ...] = (*STATES, "p_filter", "p_smooth", "r_filter", "r_smooth"), long: int = LONG, chunk: int = scan.CHUNK) -> DataFrame:
+    """Adds `outputs` for unknown regimes: those of kalman() but the likelihood, p_filter and p_smooth, and the most probable regimes (first one wins).
+
+    A row without y has null estimates, and the row after it begins anew. Series of over `long` rows are cut into chunks.
+    """
     smooth = any("smooth" in c for c in outputs)
 
-    def some(rows: pd.DataFrame, sizes: np.ndarray) -> dict:
-        found = unknown_regimes(vectors(rows, y), sizes, model, smooth)
-        found |= {f"r_{c[2:]}": found[c].argmax(axis=1) for c in ("p_filter", "p_smooth") if c in found}
+    def columns(found: dict[str, np.ndarray]) -> dict:
+        for c in ("p_filter", "p_smooth"):
+            if c in found:
+                best = pd.array(np.nan_to_num(found[c]).argmax(axis=1), dtype="Int64")
+                best[np.isnan(found[c][:, 0])] = None
+                found[f"r_{c[2:]}"] = best
         return _columns(found, model.n_x, outputs)
 
-    return by_series(df, key, order, _kinds(outputs, model.n_x), some)
+    kinds = _kinds(outputs, model.n_x)
+    if longest(df, key) <= long:
+        return by_series(df, key, order, kinds, lambda rows, sizes: columns(unknown_regimes(vectors(rows, y), sizes, model, smooth)))
+    return scan.Scan(df, key, order, scan.UnknownRegimes(model, y), chunk).columns(kinds, lambda table, found, rows, at: columns(found), smooth)
 
 
 def double_filter(y: np.ndarray, sizes: np.ndarray, model: RegimeModel) -> np.ndarray:
