@@ -23,8 +23,8 @@ from . import shared
 MOST_BITS = 16
 LANE = 128
 BLOCK = 1 << 17
-#: Units of a generation of the cache: with the one before, about 25 MB in a worker.
-CACHED_UNITS = 60_000
+#: Units of a generation of the cache: with the one before, about 60 MB in a worker.
+CACHED_UNITS = 150_000
 #: Letters of a text that are cut into units at once, and of texts that are encoded together.
 PART = 1 << 16
 _SPACE = re.compile("[\t-\r ]")
@@ -72,12 +72,24 @@ class UnitEncoder:
         known = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
         self.units = re.compile(_UNITS) if split == known and [x["type"] for x in norms.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] else None
         probe = "One twO, 3's\t<a> \n\x0b b_c  d"
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.words = self._ids([probe])[0] == [i for ids in self._ids(re.split("[\t-\r ]+", probe)) for i in ids]
         self.clear()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units_ids(self, units: list[str], line: int = 100) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units in one array, and how many each has: a line of units at once where each unit ends in an end of a word."""
+        if self.units:
+            flat = np.fromiter(itertools.chain.from_iterable(self._ids([" ".join(units[a : a + line]) for a in range(0, len(units), line)])), dtype=np.int64)
+            ends = np.flatnonzero(self.ends[flat])
+            if len(ends) == len(units):
+                return flat, np.diff(ends, prepend=-1)
+        lists = self._ids(units)
+        return np.array([x for own in lists for x in own], dtype=np.int64), np.array([len(x) for x in lists], dtype=np.int64)
+
     def clear(self) -> None:
         """Starts a generation: units of the one before are taken over as they are met again, so frequent ones stay."""
         self.before = (self.place, self.starts, self.pool) if hasattr(self, "place") else (Places(), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint32))
@@ -92,13 +104,13 @@ class UnitEncoder:
             part = units[a : a + 5000]
             met = np.array([dict.get(old, u, -1) for u in part])
             known, new = np.flatnonzero(met >= 0), np.flatnonzero(met < 0)
-            lists = self._ids([part[i] for i in new]) if len(new) else []
+            fresh, fresh_size = self._units_ids([part[i] for i in new])
             size = np.zeros(len(part), dtype=np.int64)
-            size[known], size[new] = old_starts[met[known] + 1] - old_starts[met[known]], [len(x) for x in lists]
+            size[known], size[new] = old_starts[met[known] + 1] - old_starts[met[known]], fresh_size
             begin = np.cumsum(size) - size
             flat = np.zeros(int(size.sum()), dtype=np.uint32)
             flat[_spans(begin[known], size[known])] = old_pool[_spans(old_starts[met[known]], size[known])]
-            flat[_spans(begin[new], size[new])] = [x for own in lists for x in own]
+            flat[_spans(begin[new], size[new])] = fresh
             while self.fill + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             while self.n + len(part) + 1 > len(self.starts):
