@@ -213,10 +213,16 @@ def fmc2(labels: DataFrame, key: list[str], order: str, r: str, coefficient: flo
     return found.select("alpha", F.lit(0.0).alias("beta"), gamma.alias("gamma"), "delta")
 
 
-def matrix(own: Law, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grid r, weights w and joint densities on it, for the recursions (a cell's density is its centre's)."""
-    r = np.concatenate([[0.0], (np.arange(cells) + 0.5) / max(cells, 1), [1.0]])
-    w = np.concatenate([[1.0], np.full(cells, 1 / max(cells, 1)), [1.0]])
+def points(cells: int, nodes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Values and weights that integrate over [0, 1] with atoms at its ends: in each cell Gauss-Legendre nodes, one of them the centre."""
+    at, share = np.polynomial.legendre.leggauss(nodes)
+    inner = (np.arange(cells)[:, None] + (1 + at) / 2).ravel() / max(cells, 1)
+    return np.concatenate([[0.0], inner, [1.0]]), np.concatenate([[1.0], np.tile(share / 2, cells) / max(cells, 1), [1.0]])
+
+
+def matrix(own: Law, cells: int, nodes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grid r, weights w and joint densities on it, for the recursions."""
+    r, w = points(cells, nodes)
     a, b = np.meshgrid(r, r, indexing="ij")
     p, gap = own.p, np.abs(a - b)
     atom_a, atom_b = np.isin(a, (0, 1)), np.isin(b, (0, 1))

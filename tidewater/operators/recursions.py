@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -291,25 +291,105 @@ def double_filter_smoother(df: DataFrame, model: RegimeModel, key: list[str], or
     return by_series(df, key, order, "dfb_smooth double", lambda rows, sizes: {"dfb_smooth": double_filter(vectors(rows, y), sizes, model)[:, 0]})
 
 
-def regime_transitions(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y") -> DataFrame:
-    """Adds laws of the step to each row as arrays of K*K (j the regime before, k the row's; null at a series' first row).
+def _transitions(found: dict[str, np.ndarray], model: RegimeModel, before: np.ndarray, start: np.ndarray) -> dict:
+    p = before[:, :, None]
+    predict, joint, onward = p * model.transition, p * found["link"], found["link"] * found["beta"][:, None, :]
+    out = {
+        "t_predict": predict, "t_back": joint / np.maximum(joint.sum(axis=1, keepdims=True), FLOOR), "t_forward": onward / np.maximum(onward.sum(axis=2, keepdims=True), FLOOR),
+        "t_smooth": p * onward / np.maximum((p * onward).sum(axis=(1, 2), keepdims=True), FLOOR),
+    }
+    none = start | np.isnan(found["p_filter"][:, 0]) | np.isnan(before[:, 0])
+    return {name: [None if n else v for n, v in zip(none, value.reshape(len(value), -1), strict=True)] for name, value in out.items()}
+
+
+def regime_transitions(df: DataFrame, model: RegimeModel, key: list[str], order: str = "n", y: str = "y", long: int = LONG, chunk: int = scan.CHUNK) -> DataFrame:
+    """Adds laws of the step to each row as arrays of K*K (j the regime before, k the row's; null where no row before has a law).
 
     t_predict: p(j, k | y before). t_back: p(j | k, y up to the row). t_forward: p(k | j, all y). t_smooth: p(j, k | all y).
     """
+    kinds = ", ".join(f"{c} array<double>" for c in ("t_predict", "t_back", "t_forward", "t_smooth"))
+    if longest(df, key) > long:
+        return scan.Scan(df, key, order, scan.UnknownRegimes(model, y), chunk).columns(kinds, lambda table, found, rows, at: _transitions(found, model, found["p_before"], rows["start"]))
 
     def some(rows: pd.DataFrame, sizes: np.ndarray) -> dict:
         found = unknown_regimes(vectors(rows, y), sizes, model)
-        first = np.cumsum(sizes) - sizes
-        p = np.roll(found["p_filter"], 1, axis=0)[:, :, None]
-        predict, joint, onward = p * model.transition, p * found["link"], found["link"] * found["beta"][:, None, :]
-        out = {
-            "t_predict": predict, "t_back": joint / np.maximum(joint.sum(axis=1, keepdims=True), FLOOR), "t_forward": onward / np.maximum(onward.sum(axis=2, keepdims=True), FLOOR),
-            "t_smooth": p * onward / np.maximum((p * onward).sum(axis=(1, 2), keepdims=True), FLOOR),
-        }
-        none = np.isin(np.arange(len(rows)), first)
-        return {name: [None if n else v for n, v in zip(none, value.reshape(len(rows), -1), strict=True)] for name, value in out.items()}
-
-    return by_series(df, key, order, ", ".join(f"{c} array<double>" for c in ("t_predict", "t_back", "t_forward", "t_smooth")), some)
+        return _transitions(found, model, np.roll(found["p_filter"], 1, axis=0), _starts(sizes))
+
+    return by_series(df, key, order, kinds, some)
+
+
+def forecast_columns(found: dict[str, np.ndarray], y: np.ndarray, model: RegimeModel, horizon: int) -> dict:
+    """Law of the regime and moments of x and y, 1 .. horizon steps after each row, without further observations.
+
+    Given the regimes z is linear in the z before, so p_k, p_k E(z | k) and p_k E(z z' | k) move on exactly.
+    """
+    f, q, c = model.regression()
+    x, t = model.n_x, model.transition
+    p, n = found["p_filter"], len(y)
+    tall = np.repeat(y[:, None, :], p.shape[1], axis=1)
+    m = np.concatenate([found["e_regime"], tall], axis=2)
+    v = np.zeros((n, p.shape[1], m.shape[2], m.shape[2]))
+    v[..., :x, :x], cross = found["v_regime"], found["e_regime"][..., :, None] * tall[..., None, :]
+    v[..., :x, x:], v[..., x:, :x], v[..., x:, x:] = cross, _t(cross), tall[..., :, None] * tall[..., None, :]
+    names = ("x_ahead", "x_ahead_var", "y_ahead", "y_ahead_var")
+    out = {name: np.zeros((n, horizon)) for name in names}
+    laws = np.zeros((n, horizon, p.shape[1]))
+    for h in range(horizon):
+        fm = _dot(f, m[:, :, None, :])
+        cm = fm[..., :, None] * c[..., None, :]
+        second = f @ v[:, :, None] @ _t(f) + cm + _t(cm) + c[..., :, None] * c[..., None, :] + q
+        flow = p[:, :, None] * t
+        p = flow.sum(axis=1)
+        safe = np.maximum(p, FLOOR)
+        m, v = np.einsum("njk,njka->nka", flow, fm + c) / safe[..., None], np.einsum("njk,njkab->nkab", flow, second) / safe[..., None, None]
+        mean, every = np.einsum("nk,nka->na", p, m), np.einsum("nk,nkab->nab", p, v)
+        laws[:, h] = p
+        for name, at in (("x_ahead", 0), ("y_ahead", x)):
+            out[name][:, h], out[f"{name}_var"][:, h] = mean[:, at], every[:, at, at] - mean[:, at] ** 2
+    none = np.isnan(found["p_filter"][:, 0])
+    lists = lambda value: [None if n else v for n, v in zip(none, value, strict=True)]
+    return {name: lists(value) for name, value in out.items()} | {"p_ahead": lists([row.tolist() for row in laws])}
+
+
+def forecast(df: DataFrame, model: RegimeModel, key: list[str], horizon: int, order: str = "n", y: str = "y", long: int = LONG, chunk: int = scan.CHUNK) -> DataFrame:
+    """Adds x_ahead, x_ahead_var, y_ahead, y_ahead_var and p_ahead: what each row says of the rows 1 .. horizon after it.
+
+    The first dimension of x and of y; p_ahead has the regimes' law for each step. Null for a row without y.
+    """
+    kinds = "x_ahead array<double>, x_ahead_var array<double>, y_ahead array<double>, y_ahead_var array<double>, p_ahead array<array<double>>"
+    if longest(df, key) > long:
+        return scan.Scan(df, key, order, scan.UnknownRegimes(model, y), chunk).columns(kinds, lambda table, found, rows, at: forecast_columns(found, rows["y"], model, horizon), smooth=False)
+
+    def some(rows: pd.DataFrame, sizes: np.ndarray) -> dict:
+        values = vectors(rows, y)
+        return forecast_columns(unknown_regimes(values, sizes, model, smooth=False), np.nan_to_num(values), model, horizon)
+
+    return by_series(df, key, order, kinds, some)
+
+
+def prior_ahead(model: RegimeModel, horizon: int) -> list[tuple[float, float]]:
+    """E(x) and E(y) of the first `horizon` rows of a series before any is seen."""
+    f, _, c = model.regression()
+    p, m, out = model.marginal, model.mean, []
+    for _ in range(horizon):
+        mean = p @ m
+        out.append((float(mean[0]), float(mean[model.n_x])))
+        flow = p[:, None] * model.transition
+        p = flow.sum(axis=0)
+        m = np.einsum("jk,jka->ka", flow, _dot(f, m[:, None, :]) + c) / np.maximum(p, FLOOR)[:, None]
+    return out
+
+
+def predicted(df: DataFrame, model: RegimeModel, key: list[str], horizon: int, order: str = "n", y: str = "y", **more: int) -> DataFrame:
+    """Adds x_h and y_h for h = 1 .. horizon: what the row h before says of a row, and for a series' first h rows what the prior says."""
+    rows = forecast(df, model, key, horizon, order, y, **more)
+    w, prior = Window.partitionBy(*key).orderBy(order), prior_ahead(model, horizon)
+    rows = rows.withColumn("_place", F.row_number().over(w))
+    for h in range(1, horizon + 1):
+        for name, at in (("x", 0), ("y", 1)):
+            first = F.get(F.array(*(F.lit(v[at]) for v in prior)), F.col("_place") - 1)
+            rows = rows.withColumn(f"{name}_{h}", F.when(F.col("_place") <= h, first).otherwise(F.get(F.lag(f"{name}_ahead", h).over(w), F.lit(h - 1))))
+    return rows.drop("_place")
 
 
 def path_sample(links: np.ndarray, p_smooth: np.ndarray, beta: np.ndarray, sizes: np.ndarray, uniforms: np.ndarray) -> np.ndarray:

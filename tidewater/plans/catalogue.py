@@ -509,12 +509,6 @@ def kalman_smoother(spark, sf_dir):
     return rounded(rounded(found.select("user_id", "n", "smooth", "smooth_var", "log_likelihood"), 6, "smooth", "smooth_var"), 5, "log_likelihood")
 
 
-@query()
-def kalman_fuzzy_jumps(spark, sf_dir):
-    rows = fuzzy_series(spark, sf_dir).select("user_id", "n", "y", "r")
-    return rounded(recursions.kalman(rows, example_model(), ["user_id"], outputs=("filter", "smooth")).select("user_id", "n", "filter", "smooth"), 6, "filter", "smooth")
-
-
 def _unknown_sql(model, rows: str = EVENTS, name: str = "f") -> str:
     """A recursive table `name`: user_id, n, y, p_k, e_k and l_j_k (the step's link) for each regime, from `rows` with place n."""
     own, ks = _own(model), range(len(model.mean))
