@@ -51,13 +51,14 @@ def texts(seed, n):
     return rows + [("en", None), (None, ""), ("en", ",;:"), ("fr", "new york city of"), ("fr", "new york city of"), ("fr", "one " * 300)]
 
 
-@pytest.mark.parametrize("places", [1 << 18, 64])
-def test_against_brute_force(spark, places):
-    """Small shards cut pieces, also the piece of 300 words."""
+@pytest.mark.parametrize(("places", "dense", "gathered"), [(1 << 18, 1 << 20, 1 << 20), (64, 0, 40)])
+def test_against_brute_force(spark, monkeypatch, places, dense, gathered):
+    """Small shards cut pieces, also the piece of 300 words; phrases go by places or hashes, and are summed a few at a time."""
+    monkeypatch.setattr(phrases, "GATHERED", gathered)
     rows = texts(3, 300)
     docs = spark.createDataFrame([(i, *r, "x", 1) for i, r in enumerate(rows)], "doc_id long, lang string, text string, ids string, n int").repartition(3)
     for least, covered, top in ((5, 100, 2000), (12, 60, 9)):
-        got = [tuple(r) for r in phrases.collocations(docs, least, covered, top, places=places).orderBy("lang", "rank").collect()]
+        got = [tuple(r) for r in phrases.collocations(docs, least, covered, top, places=places, dense=dense).orderBy("lang", "rank").collect()]
         assert got == brute(rows, least, covered, top)
     assert got
 

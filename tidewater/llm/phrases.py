@@ -22,6 +22,10 @@ ROOTS = 1 << 15
 MOST_BITS = 27
 #: Bytes of text that are cut into words at once.
 SLICE = 1 << 18
+#: Frequent words up to which their places in order stand for them between tasks (32 MB of numbers); beyond, their hashes do.
+DENSE = 1 << 22
+#: Phrases that a task gathers before it sums equal ones, and occurrences of phrases in a bucket of the shuffle.
+GATHERED = 1 << 20
 LONGEST = 5
 
 #: A piece ends at each of . , ; : ! ? and line feed to carriage return; words are parted by space and tab.
@@ -140,16 +144,13 @@ def _extended(phrase: np.ndarray, block: np.ndarray, mask: np.ndarray, first: np
     return phrase[each], words[entry[hit]], block[each], both[hit]
 
 
-def grown(own: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, masks: np.ndarray, levels: tuple[int, ...], known: dict[int, np.ndarray], roots: int = ROOTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Phrases of a shard with as many words as `levels` say, as rows of ids, and how often each starts in the shard.
+def grown(own: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, masks: np.ndarray, levels: tuple[int, ...], known: dict[int, np.ndarray], roots: int = ROOTS, code: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Phrases of a shard with as many words as `levels` say, as rows of ids (or of what `code` has for them), and how often each starts in the shard.
 
     `known` has sets of phrases by length; only phrases that these may have, as a whole and in their last words, are
     extended.
     """
-    if 1 in known:
-        used = _held(known[1], ids[:, None])
-        inside = np.repeat(used, sizes)
-        ids, sizes, blocks, masks = ids[used], sizes[used], blocks[inside], masks[inside]
+    code = ids if code is None else code
     word, blocks, masks = np.repeat(np.arange(len(ids)), sizes), blocks.astype(np.int64), masks.astype(np.int64)
     order = np.argsort(blocks, kind="stable")
     by_word, by_mask = word[order], masks[order]
@@ -170,7 +171,7 @@ def grown(own: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, mask
                 if n > 1 and (n == size or n < size and n + 1 not in known):
                     good &= _held(bits, whole[:, size - n :])
             if size in levels and good.any():
-                yield whole[good], counts[good]
+                yield code[names[good]], counts[good]
             if not good.any():
                 break
             stay = good[phrase]
@@ -178,24 +179,97 @@ def grown(own: int, ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, mask
             names = names[good]
 
 
-def _counted(shards: DataFrame, levels: tuple[int, ...], known: dict[int, np.ndarray], least: int) -> DataFrame:
-    """ids (array), n of all phrases of these lengths with n >= least."""
+def _used(ids: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, masks: np.ndarray, frequent: np.ndarray | None, held: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A shard's bitmaps without those of words that are not frequent, and the code of each word: its place among the frequent ones, or its hash."""
+    if frequent is None:
+        used = _held(held, ids[:, None])
+        code = ids
+    else:
+        code = np.minimum(np.searchsorted(frequent, ids), max(len(frequent) - 1, 0))
+        used = frequent[code] == ids if len(frequent) else np.zeros(len(ids), dtype=bool)
+    inside = np.repeat(used, sizes)
+    return ids[used], sizes[used], blocks[inside], masks[inside], code[used].astype(np.int64 if frequent is None else np.uint32)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Equal rows once, with the sum of their counts, in order."""
+    rows, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort(rows.T[::-1])
+    rows, counts = rows[order], counts[order]
+    new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, dtype=np.int64)
+    return [(rows[new], np.add.reduceat(counts, new) if len(new) else counts)]
+
+
+def _counted(shards: DataFrame, levels: tuple[int, ...], known: dict[int, np.ndarray], least: int, frequent: np.ndarray | None, buckets: int) -> DataFrame:
+    """ids (array), n of all phrases of these lengths with n >= least.
+
+    A task sums the phrases of its shards and sends, for each bucket of phrases, columns of words and counts; each
+    bucket is summed in turn, a bounded number of phrases at a time.
+    """
     spark = shards.sparkSession
-    shipped = spark.sparkContext.broadcast(known)
-    names = [f"w{i}" for i in range(max(levels))]
+    shipped = spark.sparkContext.broadcast((known, frequent))
+    kind = "<u8" if frequent is None else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, order = shipped.value
+        held, room = {k: [] for k in levels}, dict.fromkeys(levels, 0)
+
+        def sent(k: int) -> Iterator[pa.RecordBatch]:
+            (rows, counts), = held[k]
+            at = (_hashes(rows.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(at, kind="stable")
+            for one in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
+                if len(one):
+                    cells = [np.ascontiguousarray(rows[one].T).astype(kind).tobytes(), counts[one].astype("<i8" if counts[one].max() > 2**31 - 1 else "<i4").tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([at[one[0]]], pa.int64()), pa.array([k], pa.int32()), pa.array([len(one)], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["bucket", "k", "rows", "words", "counts"])
+
         for batch in batches:
             for own, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, sizes, blocks, masks = (np.frombuffer(c, dtype=t) for c, t in zip(cells, ("<i8", "<i4", "<u4", "<u2"), strict=True))
-                for words, n in grown(own, ids, sizes.astype(np.int64), blocks, masks, levels, shipped.value):
-                    wide = np.full((len(words), len(names)), -1)
-                    wide[:, : words.shape[1]] = words
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in np.ascontiguousarray(wide.T)), pa.array(n)], names=[*names, "n"])
+                *shard, code = _used(ids, sizes.astype(np.int64), blocks, masks, order, sets[1])
+                for words, n in grown(own, *shard, levels, sets, code=code):
+                    k = words.shape[1]
+                    held[k].append((words, n))
+                    room[k] += len(words)
+                    if room[k] > 2 * GATHERED:
+                        held[k] = _summed(held[k])
+                        room[k] = len(held[k][0][0])
+                        if room[k] > GATHERED:
+                            yield from sent(k)
+                            held[k], room[k] = [], 0
+        for k in levels:
+            if held[k]:
+                held[k] = _summed(held[k])
+                yield from sent(k)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, key, held, room = shipped.value[1], None, [], 0
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            (rows, counts), = _summed(held)
+            rows, counts = rows[counts >= least], counts[counts >= least]
+            if len(rows):
+                ids = rows.astype(np.int64) if order is None else order[rows]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * ids.shape[1], pa.int32()), pa.array(ids.ravel()))
+                yield pa.RecordBatch.from_arrays([lists, pa.array(counts)], names=["ids", "n"])
 
-    counts = shards.select("own", "ids", "sizes", "blocks", "masks").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
-    sums = counts.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return sums.select(F.filter(F.array(*names), lambda w: w >= 0).alias("ids"), "n")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, k, n, words, counts = (c[i].as_py() for c in batch.columns)
+                if held and (bucket, k) != key:
+                    yield from ended()
+                    held, room = [], 0
+                key = (bucket, k)
+                held.append((np.frombuffer(words, dtype=kind).reshape(k, n).T, np.frombuffer(counts, dtype="<i8" if len(counts) == 8 * n else "<i4").astype(np.int64)))
+                room += n
+                if room > 2 * GATHERED:
+                    held = _summed(held)
+                    room = len(held[0][0])
+        if held:
+            yield from ended()
+
+    sent = shards.select("own", "ids", "sizes", "blocks", "masks").mapInArrow(run, "bucket long, k int, rows int, words binary, counts binary")
+    return sent.repartition("bucket", "k").sortWithinPartitions("bucket", "k").mapInArrow(merged, "ids array<long>, n long")
 
 
 def _as_set(frequent: DataFrame, size: int) -> np.ndarray:
@@ -214,7 +288,7 @@ def _as_set(frequent: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def collocations(docs: DataFrame, least: int = 100, covered: int = 100, top: int = 2000, lang: str = "lang", text: str = "text", places: int = SHARD) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, covered: int = 100, top: int = 2000, lang: str = "lang", text: str = "text", places: int = SHARD, dense: int = DENSE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to 5 words that occur `least` times or more.
 
     Texts are lower-cased (A-Z), cut at `. , ; : ! ?` and line ends into pieces and these at spaces and tabs into words;
@@ -241,10 +315,12 @@ def collocations(docs: DataFrame, least: int = 100, covered: int = 100, top: int
     words = shared.save(counts.filter(F.col("n") >= least), "phrase-frequent")
     totals = shared.save(counts.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     shared.drop(counts)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (totals.agg(F.sum("total")).first()[0] or 0) // (2 * GATHERED))
+    frequent = np.sort(words.select("id").toArrow()["id"].to_numpy()) if words.count() <= dense else None
     found = [words.select(F.array("id").alias("ids"), "n")]
     known = {1: _as_set(found[0], 1)}
     for levels in ((2,), (3,), (4, 5)):
-        found.append(shared.save(_counted(shards, levels, known, least), f"phrases-{levels[0]}"))
+        found.append(shared.save(_counted(shards, levels, known, least, frequent, buckets), f"phrases-{levels[0]}"))
         if len(levels) == 1:
             known[levels[0]] = _as_set(found[-1], levels[0])
     shared.drop(shards)
