@@ -59,16 +59,21 @@ def fit_model(df: DataFrame, key: list[str], order: str, r: str, x: str, y: str,
 
 
 def regression_sums(df: DataFrame, key: list[str], order: str, r: str, x: str, y: str, weight: str | None = None) -> DataFrame:
-    """p0, p1, pi2, n of y' = p0 y + p1 + e for each pair of regimes, by weighted least squares in closed form."""
-    columns = [r, x, y, *([weight] if weight else [])]
-    w = F.col(weight) if weight else F.lit(1.0)
-    a, b = F.col(y), F.col(f"{y}_next")
-    sums = pairs(df, key, order, columns).groupBy(F.col(r).alias("j"), F.col(f"{r}_next").alias("k")).agg(
-        F.count("*").alias("n"), F.sum(w).alias("_w"), F.sum(w * a).alias("_a"), F.sum(w * b).alias("_b"), F.sum(w * a * a).alias("_aa"), F.sum(w * a * b).alias("_ab"), F.sum(w * b * b).alias("_bb"),
+    """p0, p1, pi2, n of y' = p0 y + p1 + e for each pair of regimes, by weighted least squares.
+
+    The pairs' means, products of what is centred on them, and squares of residuals are three aggregates, so that
+    nothing small is the difference of large sums; what is joined back has a row for each pair.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    steps = pairs(df, key, order, [r, y, *([weight] if weight else [])]).select(F.col(r).alias("j"), F.col(f"{r}_next").alias("k"), w.alias("_w"), F.col(y).alias("_a"), F.col(f"{y}_next").alias("_b"))
+    mean = lambda c: F.sum(F.col("_w") * F.col(c)) / F.sum("_w")
+    means = steps.groupBy("j", "k").agg(mean("_a").alias("_ma"), mean("_b").alias("_mb"))
+    centred = steps.join(F.broadcast(means), ["j", "k"]).select("j", "k", "_w", (F.col("_a") - F.col("_ma")).alias("_a"), (F.col("_b") - F.col("_mb")).alias("_b"), "_ma", "_mb")
+    sums = centred.groupBy("j", "k").agg((F.sum(F.col("_w") * F.col("_a") * F.col("_b")) / F.sum(F.col("_w") * F.col("_a") * F.col("_a"))).alias("p0"))
+    rest = F.col("_b") - F.col("p0") * F.col("_a")
+    return centred.join(F.broadcast(sums), ["j", "k"]).groupBy("j", "k").agg(
+        F.count("*").alias("n"), F.first("p0").alias("p0"), F.first(F.col("_mb") - F.col("p0") * F.col("_ma")).alias("p1"), (F.sum(F.col("_w") * rest * rest) / F.sum("_w")).alias("pi2"),
     )
-    p0 = (F.col("_w") * F.col("_ab") - F.col("_a") * F.col("_b")) / (F.col("_w") * F.col("_aa") - F.col("_a") * F.col("_a"))
-    out = sums.withColumn("p0", p0).withColumn("p1", (F.col("_b") - F.col("p0") * F.col("_a")) / F.col("_w"))
-    return out.withColumn("pi2", (F.col("_bb") - F.col("p0") * F.col("_ab") - F.col("p1") * F.col("_b")) / F.col("_w")).select("j", "k", "n", "p0", "p1", "pi2")
 
 
 def kmeans_labels(df: DataFrame, columns: list[str], by: str, k: int, seed: int = 1) -> DataFrame:
@@ -83,7 +88,8 @@ def kmeans_labels(df: DataFrame, columns: list[str], by: str, k: int, seed: int
 def iterate_fit(df: DataFrame, key: list[str], order: str, x: str, y: str, regimes: int, rounds: int, seed: int = 1) -> tuple[RegimeModel, DataFrame]:
     """Stochastic learning without labels: k-means labels, then rounds of fit, smoothing on y alone and a draw of the posterior chain."""
     from ..functions.model import nearest_open_loop
-    from .recursions import by_series, path_sample, unknown_regimes, vectors
+    from . import scan
+    from .recursions import LONG, by_series, longest, path_sample, unknown_regimes, vectors
 
     labels = checkpointed(kmeans_labels(df, [x, y], y, regimes, seed).withColumnRenamed("label", "r").select(*key, order, x, y, "r"))
     model = nearest_open_loop(fit_model(labels, key, order, "r", x, y, regimes))
@@ -94,6 +100,11 @@ def iterate_fit(df: DataFrame, key: list[str], order: str, x: str, y: str, regim
             found = unknown_regimes(vectors(rows, y), sizes, model)
             return {"r": path_sample(found["link"], found["p_smooth"], found["beta"], sizes, rows["_u"].to_numpy())}
 
-        labels = checkpointed(by_series(labels.drop("r").withColumn("_u", u), key, order, "r int", draw).drop("_u"))
+        given = labels.drop("r").withColumn("_u", u)
+        if longest(given, key) > LONG:
+            drawn = scan.draw_paths(scan.Scan(given, key, order, scan.UnknownRegimes(model, y)), "_u", "", lambda *_: {})
+        else:
+            drawn = by_series(given, key, order, "r int", draw)
+        labels = checkpointed(drawn.drop("_u"))
         model = nearest_open_loop(fit_model(labels, key, order, "r", x, y, regimes))
     return model, labels
