@@ -72,18 +72,21 @@ class UnitEncoder:
         known = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
         self.units = re.compile(_UNITS) if split == known and [x["type"] for x in norms.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] else None
         probe = "One twO, 3's\t<a> \n\x0b b_c  d"
+        if self.units:
+            made["normalizer"] = None  # units are composed, lower-cased and without white space
+        self.plain = Tokenizer.from_str(json.dumps(made)) if self.units else self.tokenizer
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.words = self._ids([probe])[0] == [i for ids in self._ids(re.split("[\t-\r ]+", probe)) for i in ids]
         self.clear()
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], plain: bool = False) -> list[list[int]]:
+        return [e.ids for e in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _units_ids(self, units: list[str], line: int = 100) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units in one array, and how many each has: a line of units at once where each unit ends in an end of a word."""
         if self.units:
-            flat = np.fromiter(itertools.chain.from_iterable(self._ids([" ".join(units[a : a + line]) for a in range(0, len(units), line)])), dtype=np.int64)
+            flat = np.fromiter(itertools.chain.from_iterable(self._ids([" ".join(units[a : a + line]) for a in range(0, len(units), line)], plain=True)), dtype=np.int64)
             ends = np.flatnonzero(self.ends[flat])
             if len(ends) == len(units):
                 return flat, np.diff(ends, prepend=-1)
