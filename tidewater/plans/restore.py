@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import laws
+from ..functions import laws, tables
 from ..functions.model import example_model
-from ..operators import fuzzy, recursions, scan
-from .catalogue import EVENTS, LAWS, OPEN, QUERIES, SQL, event_series, fuzzy_series, query, read, rounded, _FUZZY
+from ..operators import fuzzy, recursions, scan, sem
+from .catalogue import _FUZZY, DAYS, EVENTS, LAWS, OPEN, PAIRS, QUERIES, SQL, day_series, event_series, fuzzy_series, query, read, rounded
 
 #: Few series that grow with the table, each of many rows; the regime of an event is its user's parity.
 TYPED = "SELECT event_type AS user_id, ts, event_id, value AS y, CAST(user_id % 2 AS DOUBLE) AS r, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n FROM events"
@@ -197,3 +197,121 @@ def fuzzy_transitions(spark, sf_dir):
     found = recursions.regime_transitions(event_series(spark, sf_dir).select("user_id", "n", "y"), own, ["user_id"]).filter("t_smooth IS NOT NULL")
     stay = lambda c: sum((F.col(c)[i * k + i] for i in range(1, k)), F.col(c)[0])
     return rounded(found.select("user_id", "n", stay("t_predict").alias("stay_predict"), stay("t_smooth").alias("stay_smooth"), F.col("t_smooth")[k * k - 1].alias("high_smooth")), 6, "stay_predict", "stay_smooth", "high_smooth")
+
+
+# Learning
+
+
+@query(f"""WITH s AS (SELECT r AS j, lead(r) OVER w AS k, x, y, lead(y) OVER w AS z, lead(x) OVER w AS t FROM ({DAYS}) WINDOW w AS (PARTITION BY flag ORDER BY day)),
+    c AS (SELECT j, k, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(t) AS mt, {', '.join(f'covar_pop({a}, {b}) AS {a}{b}' for a, b in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz', 'xt', 'yt', 'zt', 'tt'))} FROM s WHERE k IS NOT NULL GROUP BY 1, 2),
+    d AS (SELECT *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM c),
+    m AS (SELECT *, (xt * (yy * zz - yz * yz) - xy * (yt * zz - yz * zt) + xz * (yt * yz - yy * zt)) / det AS m0, (xx * (yt * zz - yz * zt) - xt * (xy * zz - yz * xz) + xz * (xy * zt - yt * xz)) / det AS m1,
+        (xx * (yy * zt - yt * yz) - xy * (xy * zt - yt * xz) + xt * (xy * yz - yy * xz)) / det AS m2, yz / yy AS p0 FROM d)
+    SELECT j, k, n, round(m0, 6) AS m0, round(m1, 3) AS m1, round(m2, 3) AS m2, round(mt - m0 * mx - m1 * my - m2 * mz, 1) AS m3, round(tt - m0 * xt - m1 * yt - m2 * zt, -1) AS lambda2, round(p0, 6) AS p0, round(mz - p0 * my, 5) AS p1, round(zz - p0 * yz, 5) AS pi2 FROM m""")
+def pair_regressions(spark, sf_dir):
+    """x' on x, y, y' and y' on y for each pair of labels, by aggregates without differences of large sums."""
+    steps = sem.weighted_steps(day_series(spark, sf_dir), ["flag"], "day", "x", "y", 2, "r")
+    found = sem.regressions(steps).withColumns({**{f"m{i}": F.col("m")[i] for i in range(4)}, **{f"p{i}": F.col("p")[i] for i in range(2)}}).withColumn("n", F.col("weight").cast("long"))
+    for digits, names in ((6, ("m0", "p0")), (3, ("m1", "m2")), (1, ("m3",)), (-1, ("lambda2",)), (5, ("p1", "pi2"))):
+        found = rounded(found, digits, *names)
+    return found.select("j", "k", "n", "m0", "m1", "m2", "m3", "lambda2", "p0", "p1", "pi2")
+
+
+#: Days with the entry of a grid of one cell: low, in between or high against their flag's own spread.
+ENTRIES = f"""SELECT flag, day, x, y, CASE WHEN y <= m - 0.5 * d THEN 0 WHEN y >= m + 0.5 * d THEN 2 ELSE 1 END AS r FROM ({DAYS}) JOIN (SELECT flag, avg(y) AS m, stddev_pop(y) AS d FROM ({DAYS}) GROUP BY 1) USING (flag)"""
+
+
+def entry_series(spark, sf_dir) -> DataFrame:
+    days = day_series(spark, sf_dir).drop("r")
+    spread = days.groupBy("flag").agg(F.avg("y").alias("_m"), F.stddev_pop("y").alias("_d"))
+    r = F.when(F.col("y") <= F.col("_m") - 0.5 * F.col("_d"), 0).when(F.col("y") >= F.col("_m") + 0.5 * F.col("_d"), 2).otherwise(1)
+    return days.join(F.broadcast(spread), "flag").select("flag", "day", "x", "y", r.alias("r"))
+
+
+def _table_sql() -> str:
+    """m of grid_sql() from a table of pairs learned from the entries."""
+    value = ["(x - mx)", "(y - my)", "(x2 - nx)", "(y2 - ny)"]
+    moments = ", ".join(f"avg({value[a]} * {value[b]}) AS c{a}{b}" for a, b in tables.ENTRIES)
+    names = ("t", "fxx", "fxy", "fyx", "fyy", "qyy", "g", "cx", "cy")
+    return f"""days AS MATERIALIZED ({ENTRIES}), mean AS (SELECT r, avg(x) AS mx, avg(y) AS my FROM days GROUP BY 1),
+    steps AS (SELECT r AS i, x, y, lead(r) OVER w AS k, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM days WINDOW w AS (PARTITION BY flag ORDER BY day)),
+    learned AS MATERIALIZED (SELECT i, k, mx, my, nx, ny, count(*) AS n, {moments} FROM steps JOIN mean ON mean.r = i JOIN (SELECT r AS r2, mx AS nx, my AS ny FROM mean) ON r2 = k GROUP BY ALL),
+    open AS (SELECT * REPLACE (c01 / c11 * c13 AS c03), c00 * c11 - c01 * c01 AS det FROM learned),
+    f AS (SELECT *, (c02 * c11 - c12 * c01) / det AS fxx, (c12 * c00 - c02 * c01) / det AS fxy, (c03 * c11 - c13 * c01) / det AS fyx, (c13 * c00 - c03 * c01) / det AS fyy FROM open),
+    q AS (SELECT *, n / sum(n) OVER (PARTITION BY i) AS t, c23 - (fxx * c03 + fxy * c13) AS qxy, c33 - (fyx * c03 + fyy * c13) AS qyy, nx - fxx * mx - fxy * my AS cx, ny - fyx * mx - fyy * my AS cy FROM f),
+    m AS MATERIALIZED (SELECT * FROM (SELECT {', '.join(f'list({n} ORDER BY i, k) AS {n}' for n in names)} FROM (SELECT *, qxy / qyy AS g FROM q)),
+        (SELECT {', '.join(f'list({n} ORDER BY i) AS {n}0' for n in ('marg', 'mx', 'my', 'gxy', 'gyy'))} FROM (SELECT i, sum(n) / (SELECT sum(n) FROM learned) AS marg, any_value(mx) AS mx, any_value(my) AS my, sum(n * c01) / sum(n) AS gxy, sum(n * c11) / sum(n) AS gyy FROM q GROUP BY 1)))"""
+
+
+@query(f"""WITH RECURSIVE {_table_sql().replace('f AS (', 'fq AS (').replace('FROM f)', 'FROM fq)')}, {lists_sql(f'SELECT flag AS user_id, row_number() OVER (PARTITION BY flag ORDER BY day) - 1 AS n, y, day FROM ({DAYS})', 3)}
+    SELECT user_id AS flag, CAST(day AS VARCHAR) AS day, round({dot('p', 'e')}, 3) AS filter, round({dot('ps', 'e')}, 3) AS smooth, round(p[3], 6) AS high_filter, round(ps[3], 6) AS high_smooth FROM smoothed JOIN (SELECT user_id, n, day FROM s) USING (user_id, n)""")
+def tabulated_filter(spark, sf_dir):
+    """Filter and smoother with parameters of each pair of grid entries, learned into a table and read from it by key."""
+    own = tables.model(tables.learned(entry_series(spark, sf_dir), ["flag"], "day", "r", "x", "y"), 3)
+    found = fuzzy.tabulated(day_series(spark, sf_dir).select("flag", "day", "y"), own, np.array([0.0, 0.5, 1.0]), 1, ["flag"], "day")
+    found = found.select("flag", F.col("day").cast("string").alias("day"), "filter", "smooth", F.col("p_filter")[2].alias("high_filter"), F.col("p_smooth")[2].alias("high_smooth"))
+    return rounded(rounded(found, 3, "filter", "smooth"), 6, "high_filter", "high_smooth")
+
+
+@query(f"WITH {_table_sql()} SELECT i AS j, k, n, round(mx, 4) AS mx, round(my, 6) AS my, round(c00, 1) AS c_00, round(c02, 1) AS c_02, round(c03, 3) AS c_03, round(c13, 6) AS c_13, round(c33, 6) AS c_33 FROM learned")
+def pair_table(spark, sf_dir):
+    """The table of pairs itself."""
+    found = tables.learned(entry_series(spark, sf_dir), ["flag"], "day", "r", "x", "y").select("j", "k", "n", "mx", "my", "c_00", "c_02", "c_03", "c_13", "c_33")
+    for digits, names in ((4, ("mx",)), (6, ("my", "c_13", "c_33")), (1, ("c_00", "c_02")), (3, ("c_03",))):
+        found = rounded(found, digits, *names)
+    return found
+
+
+def _posterior_sql(own: sem.PairRegression, law: str) -> str:
+    """Recursive tables of the chain with x and y known: laws p, beta and psi as lists. law: CTEs that end in t (list of K*K) and marg0 (K)."""
+    k = len(own.joint)
+    each, pair = f"range(1, {k} + 1)", f"range(1, {k * k} + 1)"
+    lists = lambda v: "[" + ", ".join(d(x) for x in np.asarray(v).ravel()) + "]"
+    m = "".join(f", {lists(own.m[:, :, i])} AS m{i}" for i in range(4)) + f", {lists(own.lambda2)} AS l2, {lists(own.p[:, :, 0])} AS p0, {lists(own.p[:, :, 1])} AS p1, {lists(own.pi2)} AS q2"
+    first = f", {lists(own.mean[:, 0])} AS ax, {lists(own.mean[:, 1])} AS ay, {lists(own.gamma[:, 0, 0])} AS vx, {lists(own.gamma[:, 1, 1])} AS vy"
+    return f"""{law}, m AS MATERIALIZED (SELECT *{m}{first} FROM law),
+    s AS MATERIALIZED (SELECT *, list_transform({pair}, lambda i: t[i] / (2 * pi() * sqrt(l2[i] * q2[i])) * exp(-0.5 * (pow(x - (m0[i] * x0 + m1[i] * y0 + m2[i] * y + m3[i]), 2) / l2[i] + pow(y - (p0[i] * y0 + p1[i]), 2) / q2[i]))) AS u,
+        list_transform({each}, lambda h: marg0[h] / sqrt(vx[h] * vy[h]) * exp(-0.5 * (pow(x - ax[h], 2) / vx[h] + pow(y - ay[h], 2) / vy[h]))) AS w
+        FROM (SELECT flag, day, x, y, lag(x) OVER o AS x0, lag(y) OVER o AS y0, row_number() OVER o - 1 AS n FROM ({DAYS}) WINDOW o AS (PARTITION BY flag ORDER BY day)), m),
+    f AS (SELECT flag, n, list_transform(w, lambda v: v / list_sum(w)) AS p FROM s WHERE n = 0 UNION ALL
+        SELECT flag, n, list_transform(col, lambda v: v / list_sum(col)) FROM (SELECT s.flag, s.n, list_transform({each}, lambda h: list_sum(list_transform({each}, lambda j: f.p[j] * s.u[(j - 1) * {k} + h]))) AS col FROM f JOIN s ON s.flag = f.flag AND s.n = f.n + 1)),
+    b AS (SELECT flag, max(n) AS n, list_transform({each}, lambda h: 1.0::DOUBLE) AS beta FROM s GROUP BY 1 UNION ALL
+        SELECT flag, n - 1, list_transform(col, lambda v: v / list_sum(col)) FROM (SELECT s.flag, s.n, list_transform({each}, lambda j: list_sum(list_transform({each}, lambda h: s.u[(j - 1) * {k} + h] * b.beta[h]))) AS col FROM b JOIN s ON s.flag = b.flag AND s.n = b.n WHERE b.n > 0)),
+    chain AS (SELECT s.flag, s.day, s.n, list_transform({each}, lambda h: f.p[h] * b.beta[h]) AS g, CASE WHEN s.n > 0 THEN list_transform({pair}, lambda i: e.p[(i - 1) // {k} + 1] * s.u[i] * b.beta[(i - 1) % {k} + 1]) END AS psi
+        FROM s JOIN f ON f.flag = s.flag AND f.n = s.n JOIN b ON b.flag = s.flag AND b.n = s.n LEFT JOIN f e ON e.flag = s.flag AND e.n = s.n - 1)"""
+
+
+_HARD = f"law AS (SELECT [{', '.join(d(x) for x in PAIRS.transition.ravel())}] AS t, [{', '.join(d(x) for x in PAIRS.joint.sum(axis=1))}] AS marg0)"
+
+
+@query(f"WITH RECURSIVE {_posterior_sql(PAIRS, _HARD)} SELECT flag, CAST(day AS VARCHAR) AS day, round(g[2] / list_sum(g), 6) AS gamma1, round(coalesce(psi[4] / list_sum(psi), 0), 6) AS psi11 FROM chain")
+def regime_posterior_law(spark, sf_dir):
+    """Posterior of regimes and of their pairs with x and y known."""
+    found = sem.posterior(day_series(spark, sf_dir).drop("r"), ["flag"], "day", "x", "y", PAIRS)
+    return found.select("flag", F.col("day").cast("string").alias("day"), F.round(F.col("gamma")[1], 6).alias("gamma1"), F.round(F.col("psi")[3], 6).alias("psi11"))
+
+
+def between(own: sem.PairRegression, r: np.ndarray) -> sem.PairRegression:
+    """The regressions of two regimes at points of a grid, bilinear between them."""
+    pair = lambda v: np.array([[(1 - a) * (1 - b) * v[0, 0] + (1 - a) * b * v[0, 1] + a * (1 - b) * v[1, 0] + a * b * v[1, 1] for b in r] for a in r])
+    one = lambda v: np.array([(1 - a) * v[0] + a * v[1] for a in r])
+    return sem.PairRegression(pair(own.m), pair(own.lambda2), pair(own.p), pair(own.pi2), pair(own.joint), one(own.mean), one(own.gamma))
+
+
+_POINTS = between(PAIRS, np.array([0.0, 0.25, 0.75, 1.0]))
+_FUZZY_LAW = f"{grid_sql(2, 1).split('m AS MATERIALIZED')[0].rstrip().rstrip(',')}, weights AS (SELECT i, sum(joint) AS marg FROM weighed GROUP BY 1), law AS (SELECT (SELECT list(t ORDER BY i, k) FROM weighed) AS t, (SELECT list(marg ORDER BY i) FROM weights) AS marg0)"
+
+
+@query(f"WITH RECURSIVE {_posterior_sql(_POINTS, _FUZZY_LAW)} SELECT flag, CAST(day AS VARCHAR) AS day, round((g[2] + g[3]) / list_sum(g), 6) AS inside, round(coalesce(psi[6] / list_sum(psi), 0), 6) AS psi11 FROM chain")
+def fuzzy_posterior(spark, sf_dir):
+    """The same on a grid of two atoms and two cells, with a fuzzy law's masses: the mass inside, and that of staying in the first cell."""
+    own = sem.on_grid(_POINTS, laws.law(LAW), 2)
+    found = sem.posterior(day_series(spark, sf_dir).drop("r"), ["flag"], "day", "x", "y", own)
+    return found.select("flag", F.col("day").cast("string").alias("day"), F.round(F.col("gamma")[1] + F.col("gamma")[2], 6).alias("inside"), F.round(F.col("psi")[5], 6).alias("psi11"))
+
+
+@query()
+def fuzzy_learning(spark, sf_dir):
+    """The law of a family, refitted from a drawn chain in each round of learning on a grid of two cells."""
+    _, _, _, trace = sem.learn_fuzzy(day_series(spark, sf_dir).drop("r"), ["flag"], "day", "x", "y", 2, 2)
+    return spark.createDataFrame([(t["round"], *(float(t["law"].p[c]) for c in ("alpha0", "alpha1", "beta"))) for t in trace], "round int, alpha0 double, alpha1 double, beta double")
