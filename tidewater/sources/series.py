@@ -17,52 +17,97 @@ def read_csv(spark: SparkSession, path: str, schema: str, ts: str | None = None,
     return rows.withColumn(ts, F.to_timestamp(ts, ts_format) if ts_format else F.to_timestamp(ts)) if ts else rows
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """_file, _n, _line of text files whose lines end in LF, CR LF or CR alone.
+def _offset(rows: DataFrame, place: str, across: bool) -> DataFrame:
+    """_file, _block, _first (least `place` of a split) and _base: how many rows of its file (or, across, of all files by name) stand in earlier splits."""
+    splits = rows.groupBy("_file", "_block").agg(F.min(place).alias("_first"), F.count("*").alias("_rows"))
+    w = Window.partitionBy() if across else Window.partitionBy("_file")
+    before = F.sum("_rows").over(w.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    return splits.select("_file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_base"))
 
-    A file is a row, as only its own start numbers its lines; for files of up to some hundred MB.
+
+def numbered(rows: DataFrame, place: str, name: str, across: bool = False) -> DataFrame:
+    """Adds `name`, the place of a row among the rows of its file, from `place`, which counts up within a split.
+
+    Only one row for each split is shuffled and joined; no task sees more than its own splits.
+    """
+    found = _offset(rows, place, across)
+    return rows.join(found, ["_file", "_block"]).withColumn(name, F.col(place) - F.col("_first") + F.col("_base")).drop("_first", "_base")
+
+
+def _lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """_file, _block, _line, _n and _kept of the lines that are not blank, of text files whose lines end in LF, CR LF or CR alone.
+
+    _n counts all lines of the file, _kept those that are not blank. A file is read in splits by as many tasks as it
+    has: lines are counted within splits, and the splits' counts are summed over the file. With `across` the files of
+    the path are one, in the order of their names.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), "value")
-    return rows.select("_file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("_n", "_line"))
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    every = read.withColumn("_all", F.monotonically_increasing_id())
+    kept = every.filter(F.trim("value") != "").withColumn("_some", F.monotonically_increasing_id())
+    lines = numbered(kept, "_some", "_kept", across)
+    lines = lines.join(_offset(every, "_all", across), ["_file", "_block"]).withColumn("_n", F.col("_all") - F.col("_first") + F.col("_base"))
+    return lines.select("_file", "_block", F.trim("value").alias("_line"), "_n", "_kept")
 
 
 def read_csv_after(spark: SparkSession, path: str, schema: str, preamble: int) -> DataFrame:
     """A CSV file with `preamble` lines and a header before its rows."""
-    rows = _lines(spark, path).filter((F.col("_n") > preamble) & (F.trim("_line") != ""))
+    rows = _lines(spark, path).filter(F.col("_n") > preamble)
     return rows.select(F.from_csv("_line", F.lit(schema), {"ignoreLeadingWhiteSpace": "true"}).alias("_row")).select("_row.*")
 
 
-def read_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """n, value of a file with one number on each line; blank lines don't count."""
-    w = Window.partitionBy("_file").orderBy("_n")
-    rows = _lines(spark, path).filter(F.trim("_line") != "")
-    return rows.select((F.row_number().over(w) - 1).alias("n"), F.trim("_line").cast("double").alias("value"))
+def read_numbers(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """n, value of a file with one number on each line; blank lines don't count. With `across`, of all files of a folder in the order of their names."""
+    return _lines(spark, path, across).select(F.col("_kept").alias("n"), F.col("_line").cast("double").alias("value"))
 
 
 def read_matrix(spark: SparkSession, path: str, skip: int = 1, sep: str = ",") -> DataFrame:
     """n, values (array) of a text matrix whose first `skip` lines are dropped."""
-    rows = _lines(spark, path).filter((F.col("_n") >= skip) & (F.trim("_line") != ""))
-    w = Window.partitionBy("_file").orderBy("_n")
-    values = F.transform(F.split(F.trim("_line"), f"\\s*{sep}\\s*" if sep.strip() else r"\s+"), lambda x: x.cast("double"))
-    return rows.select((F.row_number().over(w) - 1).alias("n"), values.alias("values"))
+    lines = _lines(spark, path)
+    above = lines.filter(F.col("_n") < skip).groupBy("_file").agg(F.count("*").alias("_above"))
+    rows = lines.filter(F.col("_n") >= skip).join(above, "_file", "left")
+    values = F.transform(F.split("_line", f"\\s*{sep}\\s*" if sep.strip() else r"\s+"), lambda x: x.cast("double"))
+    return rows.select((F.col("_kept") - F.coalesce("_above", F.lit(0))).alias("n"), values.alias("values"))
 
 
 def read_sections(spark: SparkSession, path: str, names: tuple[str, ...] = ("x", "r", "y")) -> DataFrame:
     """n and one column for each section of a dump: lines of numbers between # lines, a matrix with a row for each dimension.
 
     Sections of one row are doubles, others arrays; n is the place in a row. Works for hard and fuzzy regimes alike.
+    A line is a row of one task, as the form has a series in a line; its numbers are spread before they are joined.
     """
-    marked = _lines(spark, path).filter(F.trim("_line") != "").withColumn("_head", F.trim("_line").startswith("#"))
-    w = Window.partitionBy("_file").orderBy("_n")
-    opened = marked.withColumn("_new", (~F.col("_head") & F.coalesce(F.lag("_head").over(w), F.lit(True))).cast("int"))
-    body = opened.withColumn("_section", F.sum("_new").over(w)).filter("NOT _head")
-    values = body.select("_section", "_n", F.posexplode(F.split(F.trim("_line"), r"\s+")).alias("n", "_value"))
-    lists = values.groupBy("n", "_section").agg(F.sort_array(F.collect_list(F.struct("_n", F.col("_value").cast("double").alias("v")))).alias("_v"))
+    lines = _lines(spark, path).withColumn("_head", F.col("_line").startswith("#"))
+    heads = lines.filter("_head").select("_file", "_kept")
+    follow = heads.select("_file", (F.col("_kept") - 1).alias("_kept"))
+    ends = heads.join(follow, ["_file", "_kept"], "left_anti").groupBy("_file").agg(F.collect_list("_kept").alias("_ends"))
+    first = lines.filter("_kept = 0").select("_file", (~F.col("_head")).cast("int").alias("_open"))
+    body = lines.filter("NOT _head").join(first, "_file").join(ends, "_file", "left")
+    body = body.withColumn("_section", F.col("_open") + F.size(F.filter(F.coalesce("_ends", F.array().cast("array<long>")), lambda e: e < F.col("_kept"))))
+    values = body.select("_section", "_kept", F.posexplode(F.split("_line", r"\s+")).alias("n", "_value"))
+    lists = values.groupBy("n", "_section").agg(F.sort_array(F.collect_list(F.struct("_kept", F.col("_value").cast("double").alias("v")))).alias("_v"))
     wide = lists.groupBy("n").agg(*(F.first(F.when(F.col("_section") == i + 1, F.transform("_v", lambda z: z["v"])), ignorenulls=True).alias(c) for i, c in enumerate(names)))
     sizes = wide.agg(*(F.max(F.size(c)).alias(c) for c in names)).first()
     return wide.select("n", *((F.get(c, F.lit(0)) if sizes[c] == 1 else F.col(c)).alias(c) for c in names))
 
 
+def write_sections(df: DataFrame, path: str, order: str, sections: dict[str, str], title: str = "x r y", digits: int = 4) -> None:
+    """Writes a table as a dump that read_sections() reads: a section for each title and column, one line of its values by `order`.
+
+    Whole-numbered columns are written as such, others with `digits` decimals. Each line is made on an executor; the
+    form has a series in a line, so a line must fit there.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    shown = lambda c: F.col(c).cast("string") if kinds[c] in ("integer", "long", "short", "byte") else F.format_string(f"%.{digits}f", F.col(c).cast("double"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("_at"), F.lit(name).alias("_title"), shown(c).alias("_text")) for i, (name, c) in enumerate(sections.items())))).alias("_s")
+    lines = df.select(F.col(order).alias("_order"), each).groupBy("_s._at", "_s._title").agg(F.sort_array(F.collect_list(F.struct("_order", "_s._text"))).alias("_row"))
+    body = F.concat(F.when(F.col("_at") == 0, F.lit(f"# {title}\n#\n")).otherwise(F.lit("")), F.lit("# "), "_title", F.lit("\n"), F.array_join(F.transform("_row", lambda x: x["_text"]), " "), F.lit("\n"))
+    lines.orderBy("_at").select(body.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_numbers(df: DataFrame, path: str, order: str, column: str) -> None:
+    """One number on each line, in the order of a column, in as many files as tasks; read_numbers(across=True) reads them as one."""
+    df.orderBy(order).select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
 def sections_text(sections: dict[str, np.ndarray], title: str = "x r y", digits: int = 4) -> str:
     """The text form of a dump that read_sections() reads: whole numbers as such, others with `digits` decimals."""
     parts = [f"# {title}\n#\n"]
