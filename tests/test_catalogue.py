@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidewater.plans import catalogue, restore  # noqa: F401  restore adds to the catalogue
+from tidewater.plans import catalogue, files, restore  # noqa: F401  these add to the catalogue
 
 SF_DIR = "/root/testdata/sf0.001"
 
