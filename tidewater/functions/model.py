@@ -131,13 +131,14 @@ def repaired(gamma: np.ndarray, bound: float = 0.5) -> np.ndarray:
 
 
 def repaired_model(model: RegimeModel, bound: float = 0.5) -> RegimeModel:
-    """Correlations of each pair repaired, then the nearest open loop: what one pair's repair says of gamma must agree, so the first one stands."""
-    h = model.gamma.shape[-1]
-    gamma, sigma = model.gamma.copy(), model.sigma.copy()
+    """Correlations of each pair repaired, then the nearest open loop: each regime's covariance is the mean of what its pairs' repairs say of it."""
+    h, k_all = model.gamma.shape[-1], len(model.mean)
+    gamma, sigma = np.zeros_like(model.gamma), model.sigma.copy()
     for j, k in np.ndindex(model.joint.shape):
         cov = repaired(model.pair_cov(j, k), bound)
         sigma[j, k] = cov[:h, h:]
-        gamma[j] = cov[:h, :h] if k == 0 else gamma[j]
+        gamma[j] += cov[:h, :h] / (2 * k_all)
+        gamma[k] += cov[h:, h:] / (2 * k_all)
     return nearest_open_loop(RegimeModel(model.mean, gamma, sigma, model.joint, model.n_x))
 
 

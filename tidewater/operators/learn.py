@@ -58,6 +58,46 @@ def fit_model(df: DataFrame, key: list[str], order: str, r: str, x: str, y: str,
     return RegimeModel(mean, gamma, sigma, joint / joint.sum())
 
 
+def fit_vectors(df: DataFrame, key: list[str], order: str, r: str, x: list[str], y: list[str], regimes: int) -> RegimeModel:
+    """fit_model() for several hidden columns x and observed columns y; K^2 rows of moments come to the driver."""
+    z, n = [*x, *y], len(x) + len(y)
+    own = {row[r]: row for row in df.groupBy(r).agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(z)), *(F.covar_pop(a, b).alias(f"g{i}_{j}") for i, a in enumerate(z) for j, b in enumerate(z))).collect()}
+    mean = np.array([[own[k][f"m{i}"] for i in range(n)] for k in range(regimes)])
+    gamma = np.array([[[own[k][f"g{i}_{j}"] for j in range(n)] for i in range(n)] for k in range(regimes)])
+    means = df.groupBy(r).agg(*(F.avg(c).alias(f"_m{i}") for i, c in enumerate(z)))
+    near = F.broadcast(means.select(F.col(r).alias("j"), *(F.col(f"_m{i}").alias(f"_a{i}") for i in range(n))))
+    far = F.broadcast(means.select(F.col(r).alias("k"), *(F.col(f"_m{i}").alias(f"_b{i}") for i in range(n))))
+    steps = pairs(df, key, order, [r, *z]).withColumnsRenamed({r: "j", f"{r}_next": "k"}).join(near, "j").join(far, "k")
+    products = [F.avg((F.col(a) - F.col(f"_a{i}")) * (F.col(f"{b}_next") - F.col(f"_b{j}"))).alias(f"s{i}_{j}") for i, a in enumerate(z) for j, b in enumerate(z)]
+    sigma, joint = np.zeros((regimes, regimes, n, n)), np.zeros((regimes, regimes))
+    for row in steps.groupBy("j", "k").agg(F.count("*").alias("n"), *products).collect():
+        at = row["j"], row["k"]
+        sigma[at], joint[at] = [[row[f"s{i}_{j}"] for j in range(n)] for i in range(n)], row["n"]
+    return RegimeModel(mean, gamma, sigma, joint / joint.sum(), len(x))
+
+
+def fit_averaged(df: DataFrame, key: list[str], order: str, r: str, x: str, y: str, regimes: int) -> RegimeModel:
+    """A model from the covariances of steps: a regime's own one is the average of both diagonal blocks of its steps to itself.
+
+    Where a pair's covariance is then not positive, its steps say nothing of each other (sigma 0). The table of pairs
+    has K^2 rows at most. A regime that no step leads from itself to itself has the covariance of all its rows.
+    """
+    from ..functions.tables import learned
+
+    rows = {(row["j"], row["k"]): row for row in learned(df, key, order, r, x, y).collect()}
+    plain = fit_model(df, key, order, r, x, y, regimes)
+    block = lambda row, a, b: np.array([[row[f"c_{min(i, j)}{max(i, j)}"] for j in (b, b + 1)] for i in (a, a + 1)])
+    gamma, sigma = plain.gamma.copy(), np.zeros((regimes, regimes, 2, 2))
+    for k in range(regimes):
+        if (k, k) in rows:
+            gamma[k] = (block(rows[k, k], 0, 0) + block(rows[k, k], 2, 2)) / 2
+    for (j, k), row in rows.items():
+        own = block(row, 0, 2)
+        whole = np.block([[gamma[j], own], [own.T, gamma[k]]])
+        sigma[j, k] = own if np.linalg.eigvalsh(whole).min() > 0 else 0.0
+    return RegimeModel(plain.mean, gamma, sigma, plain.joint)
+
+
 def regression_sums(df: DataFrame, key: list[str], order: str, r: str, x: str, y: str, weight: str | None = None) -> DataFrame:
     """p0, p1, pi2, n of y' = p0 y + p1 + e for each pair of regimes, by weighted least squares.
 

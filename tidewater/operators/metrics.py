@@ -27,9 +27,9 @@ def mean_covariances(df: DataFrame, n: str, columns: list[str]) -> DataFrame:
 
 
 def report(df: DataFrame, key: list[str], truth: str, estimates: list[str], labels: tuple[str, str] | None = None, digits: int = 4) -> DataFrame:
-    """One rounded row for each key: mean square errors of estimates and, of a pair of label columns, the share of errors."""
-    columns = [F.round(mse(c, truth), digits).alias(f"mse_{c}") for c in estimates]
-    more = [F.round(error_ratio(*labels), digits).alias("label_errors")] if labels else []
+    """One row for each key, rounded half to even: mean square errors of estimates and, of a pair of label columns, the share of errors."""
+    columns = [F.bround(mse(c, truth), digits).alias(f"mse_{c}") for c in estimates]
+    more = [F.bround(error_ratio(*labels), digits).alias("label_errors")] if labels else []
     return df.groupBy(*key).agg(F.count("*").alias("n"), *columns, *more)
 
 

@@ -13,7 +13,7 @@ from ..functions import grid, laws
 from ..functions.model import (
     example_model, fq_to_cov, from_regression, is_open_loop, is_open_loop_from_cov, linear_state_space, nearest_open_loop, reversed_model, square_root, steady_state,
 )
-from ..operators import bounds, dense, fuzzy, learn, metrics, prepare, recursions, sem, simulate
+from ..operators import bounds, fuzzy, learn, metrics, prepare, recursions, sem, simulate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -454,7 +454,7 @@ def mse_by_place(spark, sf_dir):
     return rounded(metrics.mse_by_place(fuzzy_series(spark, sf_dir).withColumn("half", F.lit(0.5)), "n", "hard", ["r", "half"]), 8, "mse", "variance")
 
 
-@query(f"SELECT user_id, count(*) AS n, round(avg(pow(r - hard, 2)), 4) AS mse_r, round(avg(abs(round_even(r, 0) - hard)), 4) AS label_errors FROM ({_FUZZY}) GROUP BY 1")
+@query(f"SELECT user_id, count(*) AS n, round_even(avg(pow(r - hard, 2)), 4) AS mse_r, round_even(avg(abs(round_even(r, 0) - hard)), 4) AS label_errors FROM ({_FUZZY}) GROUP BY 1")
 def error_report(spark, sf_dir):
     rows = fuzzy_series(spark, sf_dir).withColumn("near", metrics.hardened("r"))
     return metrics.report(rows, ["user_id"], "hard", ["r"], ("near", "hard"))
@@ -703,13 +703,6 @@ def mean_state_variances(spark, sf_dir):
     return rounded(metrics.mean_covariances(found, "n", ["filter_var", "smooth_var"]), 6, "mean")
 
 
-@query()
-def dense_smoother(spark, sf_dir):
-    """Known regimes by whole covariance matrices, over the first 40 rows of each series (the operator is for short series)."""
-    rows = event_series(spark, sf_dir).select("user_id", "n", "y", "r").filter("n < 40")
-    return rounded(dense.dense_smoother(rows, example_model(), ["user_id"]).select("user_id", "n", "smooth", "smooth_var"), 6, "smooth", "smooth_var")
-
-
 @query()
 def experiments(spark, sf_dir):
     return simulate.experiments(spark, OPEN, 50, 100, seed=3)

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import laws, tables
-from ..functions.model import example_model
-from ..operators import fuzzy, recursions, scan, sem
+from ..functions.model import example_model, nearest_open_loop
+from ..operators import dense, fuzzy, learn, recursions, scan, sem
 from .catalogue import _FUZZY, DAYS, EVENTS, LAWS, OPEN, PAIRS, QUERIES, SQL, day_series, event_series, fuzzy_series, query, read, rounded
 
 #: Few series that grow with the table, each of many rows; the regime of an event is its user's parity.
@@ -315,3 +315,76 @@ def fuzzy_learning(spark, sf_dir):
     """The law of a family, refitted from a drawn chain in each round of learning on a grid of two cells."""
     _, _, _, trace = sem.learn_fuzzy(day_series(spark, sf_dir).drop("r"), ["flag"], "day", "x", "y", 2, 2)
     return spark.createDataFrame([(t["round"], *(float(t["law"].p[c]) for c in ("alpha0", "alpha1", "beta"))) for t in trace], "round int, alpha0 double, alpha1 double, beta double")
+
+
+@query(known_sql(EVENTS.replace("THEN 1 ELSE 0 END AS r", "THEN 1.0 ELSE 0.0 END AS r")) + " SELECT user_id, CAST(f.n AS INTEGER) AS n, round(sm, 6) AS smooth, round(sv, 6) AS smooth_var FROM fm f JOIN b USING (user_id, n)")
+def dense_smoother(spark, sf_dir):
+    """Known regimes by whole covariance matrices of each series."""
+    rows = event_series(spark, sf_dir).select("user_id", "n", "y", "r")
+    return rounded(dense.dense_smoother(rows, example_model(), ["user_id"]).select("user_id", "n", "smooth", "smooth_var"), 6, "smooth", "smooth_var")
+
+
+#: Days with two hidden and two observed columns; the regime is high quantity.
+WIDE = """SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice) / 1000 AS x1, 100 * avg(l_discount) AS x2, avg(l_quantity) AS y1, 100 * avg(l_tax) AS y2,
+    CASE WHEN avg(l_quantity) > 25.5 THEN 1 ELSE 0 END AS r FROM lineitem GROUP BY 1, 2"""
+
+
+def wide_series(spark, sf_dir) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("day"))
+    days = rows.agg((F.avg("l_extendedprice") / 1000).alias("x1"), (100 * F.avg("l_discount")).alias("x2"), F.avg("l_quantity").alias("y1"), (100 * F.avg("l_tax")).alias("y2"))
+    return days.withColumn("r", (F.col("y1") > 25.5).cast("int"))
+
+
+def _wide_sql() -> str:
+    """The estimate of both hidden columns from a day alone, by regime, with moments and the inverse of the 2 x 2 matrix in SQL."""
+    cov = ", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for a in ("x1", "x2", "y1", "y2") for b in ("y1", "y2"))
+    gain = lambda x: f"m{x} + (({x}y1 * y2y2 - {x}y2 * y1y2) * (y1 - my1) + ({x}y2 * y1y1 - {x}y1 * y1y2) * (y2 - my2)) / (y1y1 * y2y2 - y1y2 * y1y2)"
+    return f"""WITH s AS MATERIALIZED ({WIDE}), g AS (SELECT r, {', '.join(f'avg({c}) AS m{c}' for c in ('x1', 'x2', 'y1', 'y2'))}, {cov} FROM s GROUP BY 1)
+    SELECT flag, CAST(day AS VARCHAR) AS day, round({gain('x1')}, 6) AS x1, round({gain('x2')}, 6) AS x2 FROM s JOIN g USING (r)"""
+
+
+@query(_wide_sql())
+def vector_alone(spark, sf_dir):
+    """Two hidden columns from two observed ones, each day a series of its own: a learned vector model's filter on first rows."""
+    days = wide_series(spark, sf_dir)
+    own = learn.fit_vectors(days, ["flag"], "day", "r", ["x1", "x2"], ["y1", "y2"], 2)
+    rows = days.select("flag", "day", F.array("y1", "y2").alias("y"), "r")
+    found = recursions.kalman(rows, own, ["flag", "day"], "r", outputs=("filter",))
+    return found.select("flag", F.col("day").cast("string").alias("day"), *(F.round(F.col("filter")[i], 6).alias(f"x{i + 1}") for i in (0, 1)))
+
+
+@query()
+def vector_filter(spark, sf_dir):
+    """The same model over whole series, known and unknown regimes; tests hold vector models against dense conditioning and all paths."""
+    days = wide_series(spark, sf_dir)
+    own = learn.fit_vectors(days, ["flag"], "day", "r", ["x1", "x2"], ["y1", "y2"], 2)
+    rows = days.select("flag", "day", F.array("y1", "y2").alias("y"), "r")
+    known = recursions.kalman(rows, own, ["flag"], "day", outputs=("smooth",)).withColumnRenamed("smooth", "known")
+    found = recursions.switching(known, nearest_open_loop(own), ["flag"], "day", outputs=("smooth", "p_smooth"))
+    return found.select("flag", "day", *(F.col("known")[i].alias(f"known_x{i + 1}") for i in (0, 1)), *(F.col("smooth")[i].alias(f"x{i + 1}") for i in (0, 1)), F.col("p_smooth")[1].alias("p1"))
+
+
+@query(f"""WITH s AS MATERIALIZED ({DAYS}), g AS (SELECT r, covar_pop(x, y) / var_pop(y) AS gain, avg(x) AS mx, avg(y) AS my FROM s GROUP BY 1), p AS (SELECT r AS j, x, y, lead(r) OVER w AS k, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM s WINDOW w AS (PARTITION BY flag ORDER BY day))
+    SELECT j, k, round(any_value(a.gain) * avg((y - a.my) * (y2 - b.my)), 4) AS sxy, round(avg((y - a.my) * (y2 - b.my)), 5) AS syy, round(avg((y - a.my) * (x2 - b.mx)), 2) AS syx FROM p JOIN g a ON a.r = j JOIN g b ON b.r = k GROUP BY 1, 2""")
+def open_loop_fit(spark, sf_dir):
+    """The model without feedback that is nearest to the one that labels give."""
+    own = nearest_open_loop(learn.fit_model(day_series(spark, sf_dir), ["flag"], "day", "r", "x", "y", 2))
+    rows = [(j, k, *map(float, (own.sigma[j, k][0, 1], own.sigma[j, k][1, 1], own.sigma[j, k][1, 0]))) for j, k in np.ndindex(2, 2)]
+    found = spark.createDataFrame(rows, "j int, k int, sxy double, syy double, syx double")
+    return rounded(rounded(rounded(found, 4, "sxy"), 5, "syy"), 2, "syx")
+
+
+@query(f"""WITH days AS MATERIALIZED ({DAYS}), mean AS (SELECT r, avg(x) AS mx, avg(y) AS my FROM days GROUP BY 1), steps AS (SELECT r AS j, x, y, lead(r) OVER w AS k, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM days WINDOW w AS (PARTITION BY flag ORDER BY day)),
+    c AS (SELECT j, k, x - a.mx AS x, y - a.my AS y, x2 - b.mx AS x2, y2 - b.my AS y2 FROM steps JOIN mean a ON a.r = j JOIN mean b ON b.r = k),
+    g AS (SELECT j AS i, (avg(x * x) + avg(x2 * x2)) / 2 AS xx, (avg(x * y) + avg(x2 * y2)) / 2 AS xy, (avg(y * y) + avg(y2 * y2)) / 2 AS yy FROM c WHERE j = k GROUP BY 1),
+    s AS (SELECT j, k, avg(x * x2) AS a, avg(x * y2) AS b, avg(y * x2) AS c, avg(y * y2) AS d FROM c GROUP BY 1, 2),
+    f AS (SELECT s.*, h.xx, h.xy, h.yy, n.xx AS nxx, n.xy AS nxy, n.yy AS nyy, (s.a * h.yy - s.c * h.xy) / (h.xx * h.yy - h.xy * h.xy) AS fxx, (s.c * h.xx - s.a * h.xy) / (h.xx * h.yy - h.xy * h.xy) AS fxy,
+        (s.b * h.yy - s.d * h.xy) / (h.xx * h.yy - h.xy * h.xy) AS fyx, (s.d * h.xx - s.b * h.xy) / (h.xx * h.yy - h.xy * h.xy) AS fyy FROM s JOIN g h ON h.i = j JOIN g n ON n.i = k),
+    q AS (SELECT *, nxx - (fxx * a + fxy * c) > 0 AND (nxx - (fxx * a + fxy * c)) * (nyy - (fyx * b + fyy * d)) > pow(nxy - (fxx * b + fxy * d), 2) AND xx > 0 AND xx * yy > xy * xy AS ok FROM f)
+    SELECT j, k, round(xx, 2) AS gxx, round(xy, 4) AS gxy, round(yy, 6) AS gyy, round(CASE WHEN ok THEN a ELSE 0 END, 2) AS sxx, round(CASE WHEN ok THEN d ELSE 0 END, 6) AS syy FROM q""")
+def averaged_fit(spark, sf_dir):
+    """Own covariances as the average of both blocks of steps within a regime."""
+    own = learn.fit_averaged(day_series(spark, sf_dir), ["flag"], "day", "r", "x", "y", 2)
+    rows = [(j, k, *map(float, (own.gamma[j][0, 0], own.gamma[j][0, 1], own.gamma[j][1, 1], own.sigma[j, k][0, 0], own.sigma[j, k][1, 1]))) for j, k in np.ndindex(2, 2)]
+    found = spark.createDataFrame(rows, "j int, k int, gxx double, gxy double, gyy double, sxx double, syy double")
+    return rounded(rounded(rounded(found, 2, "gxx", "sxx"), 4, "gxy"), 6, "gyy", "syy")

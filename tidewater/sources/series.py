@@ -176,6 +176,26 @@ def read_model(spark: SparkSession, path: str) -> tuple[RegimeModel, str | None]
     return RegimeModel(mean, gamma, sigma, checked_joint(joint), means[0].shape[1]), law
 
 
+def law_of(spark: SparkSession, path: str, text: str = "-1") -> str:
+    """A law string as given, or for "-1" the one in a parameter file."""
+    if text != "-1":
+        return text
+    _, law = read_model(spark, path)
+    if law is None:
+        raise ValueError(f"{path} has no law")
+    return law
+
+
+def cells_of(spark: SparkSession, path: str, cells: int = -1) -> int:
+    """A number of cells as given, or for -1 the one in a parameter file."""
+    if cells != -1:
+        return cells
+    named = re.search(r"(?im)^#?\s*(?:cells|steps)\D*(\d+)", "\n".join(r[0] for r in spark.read.text(path).collect()))
+    if not named:
+        raise ValueError(f"{path} has no number of cells")
+    return int(named[1])
+
+
 def model_text(model: RegimeModel, law: str | None = None) -> str:
     """The text form of a model that read_model() reads."""
     show = lambda m: "\n".join(" ".join(repr(float(x)) for x in row) for row in np.atleast_2d(m))
