@@ -108,5 +108,48 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op3_lattice": op3_lattice, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark, "op9_huffman": op9_huffman, "op10_wrappers": op10_wrappers, "op11_phrases": op11_phrases, "op12_variants": op12_variants, "op13_packing": op13_packing}
-SQL: dict[str, str] = {"op11_phrases": phrases.SQL}
+def mixture_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's part that SQL has: sizes and targets."""
+    return op1_mixture(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's part that SQL has: counts and the base rules."""
+    return op5_quality(spark, sf_dir).drop("kept", "distance")
+
+
+def private_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's part that SQL has: how many spans of the base patterns."""
+    return op7_private(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+MIXTURE_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY 1)),
+r AS (SELECT *, 3.0::DOUBLE * source_size / w AS ratio FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - (sum(3 * source_size) OVER (ORDER BY ratio, i) - 3 * source_size))::DOUBLE / (sum(w) OVER () - (sum(w) OVER (ORDER BY ratio, i) - w)) AS level FROM r),
+t AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, i LIMIT 1) * w) AS target FROM s)
+SELECT doc_id, size, source_size, round(target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+windows AS (SELECT doc_id, i, ws[i:i + 2] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(3) t(k) GROUP BY 1),
+c AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    coalesce(l.n, 0) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN covered v USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+_DIGITS = "list_transform(regexp_extract_all(m, '[0-9]'), lambda x: CAST(x AS INTEGER))"
+PRIVATE_SQL = f"""
+SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda m: len(list_filter(string_split(m, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT) <= 255, false))) = 4)) AS BIGINT) AS n_ip,
+CAST(len(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]([\\x20-]?[0-9])+'), lambda m: list_reverse({_DIGITS})),
+    lambda b: len(b) BETWEEN 12 AND 19 AND list_sum(list_transform(b, lambda x, i: CASE WHEN i % 2 = 1 THEN x WHEN x > 4 THEN 2 * x - 9 ELSE 2 * x END)) % 10 = 0)) AS BIGINT) AS n_card,
+CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda m: len(regexp_extract_all(m, '[0-9]')) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM documents
+"""
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_jaccard": op2_jaccard, "op3_lattice": op3_lattice, "op4_sharding": op4_sharding, "op5_quality": op5_quality, "op6_repeats": op6_repeats, "op7_private": op7_private, "op8_benchmark": op8_benchmark, "op9_huffman": op9_huffman, "op10_wrappers": op10_wrappers, "op11_phrases": op11_phrases, "op12_variants": op12_variants, "op13_packing": op13_packing, "mixture_targets": mixture_targets, "quality_counts": quality_counts, "private_counts": private_counts}
+SQL: dict[str, str] = {"op11_phrases": phrases.SQL, "op12_variants": variants.SQL, "mixture_targets": MIXTURE_SQL, "quality_counts": QUALITY_SQL, "private_counts": PRIVATE_SQL}

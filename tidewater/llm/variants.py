@@ -243,3 +243,22 @@ def forms(words: DataFrame, ratio: int = 2, batch: int = BATCH) -> DataFrame:
         steps.saved_path = after.saved_path
     out = words.join(linked, "word", "left").join(steps.select("word", F.col("to").alias("_root")), "word", "left")
     return out.select("word", "form", F.coalesce("_root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("form_n").cast("long").alias("form_n"))
+
+
+#: The same with crc32 from its table, and words that are equal without one letter (at one place, or of one of both).
+SQL = r"""
+WITH RECURSIVE bits AS (SELECT i, CAST(i AS UBIGINT) AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+steps AS MATERIALIZED (SELECT list(c ORDER BY i) AS step FROM bits WHERE k = 8),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS key, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents WHERE text IS NOT NULL),
+each AS (SELECT key, run, count(*) AS n, hex(encode(key || ':' || run)) AS hexed FROM runs WHERE length(run) >= 5 GROUP BY 1, 2),
+bytes AS (SELECT run, n, list_transform(range(0, length(hexed) // 2), lambda i: CAST('0x' || substr(hexed, CAST(2 * i + 1 AS BIGINT), 2) AS UBIGINT)) AS b FROM each),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda c, x: xor(c >> 8, step[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295::UBIGINT) AS h FROM bytes, steps),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+shorter AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT DISTINCT * FROM (SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION ALL SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON b.word = a.rest UNION ALL SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON b.word = a.rest)),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM pairs QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+linked AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+roots AS (SELECT word, word AS root FROM linked WHERE form IS NULL UNION ALL SELECT l.word, r.root FROM roots r JOIN linked l ON l.form = r.word)
+SELECT word, form, root, n, n_near, form_n FROM linked JOIN roots USING (word)
+"""
