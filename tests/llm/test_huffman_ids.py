@@ -17,7 +17,9 @@ def test_large_keys_beside_null_and_a_hot_key(spark, tmp_path):
     path = f"file://{tmp_path}/large"
     from tidewater.llm import shared
 
-    huffman.write(shared.save(huffman.tokenize(docs, PATH), "large"), path)
+    kind = huffman.kind_of(PATH)
+    huffman.write(shared.save(huffman.tokenize(docs, PATH, kind=kind), "large"), path, kind=kind)
+    assert kind == "<u2"
     got = sorted(huffman.read(spark, path).collect(), key=lambda r: r.start)
     order = lambda k: (k is not None, k or 0)
     assert [r.doc_id for r in got] == sorted(keys, key=order)

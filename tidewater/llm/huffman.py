@@ -193,8 +193,13 @@ def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[pa.
         a = b
 
 
-def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
-    """key, ids (binary, little-endian unsigned 32-bit): the tokens of each whole text and the end id.
+def kind_of(path: str) -> str:
+    """The smallest kind of number that has a vocabulary's ids."""
+    return "<u2" if _encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 1, kind: str = "<u4") -> DataFrame:
+    """key, ids (binary, little-endian, unsigned of 32 bits or as `kind` says): the tokens of each whole text and the end id.
 
     A null text is empty; repeated rows are documents of their own; other columns of docs are not read, whatever their
     names; an empty table gives an empty result.
@@ -203,12 +208,20 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, ids in encoded(batch, path, end_id):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], names=[key, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=[key, "ids"])
 
     rows = docs.select(key, text)
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids binary")
 
 
+def numbers(ids: pa.BinaryArray, kind: str) -> np.ndarray:
+    """All numbers of a column of binary cells, one after the other, without a copy."""
+    if not len(ids):
+        return np.zeros(0, dtype=kind)
+    ends = np.frombuffer(ids.buffers()[1], dtype="<i8" if pa.types.is_large_binary(ids.type) else "<i4")[ids.offset : ids.offset + len(ids) + 1]
+    return np.frombuffer(ids.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind) if ends[-1] > ends[0] else np.zeros(0, dtype=kind)
+
+
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Optimal code lengths of at most `most` bits (0 for ids that don't occur), by package-merge."""
     used = np.flatnonzero(counts)
@@ -290,8 +303,8 @@ def unpack(bits: bytes, marks: np.ndarray, counts: np.ndarray, table: np.ndarray
     return out.T[back][np.arange(LANE) < n[:, None]]
 
 
-def write(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Writes key, ids (as tokenize() gives them) into `path`, in ascending order of key (null first; equal ones as they stand in the table).
+def write(tokens: DataFrame, path: str, key: str = "doc_id", kind: str = "<u4") -> None:
+    """Writes key, ids (as tokenize() gives them, of the same kind) into `path`, in ascending order of key (null first; equal ones as they stand in the table).
 
     path/code: id, bits, the lengths that define the canonical code. path/blocks: part, nr, start (ids of the part
     before the block), keys, sizes (ids of each document), marks (checkpoints: bit offset in the block of each
@@ -304,10 +317,9 @@ def write(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+            own = np.bincount(numbers(batch.column(0), kind), minlength=len(total))
+            own[: len(total)] += total
+            total = own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
@@ -324,17 +336,17 @@ def write(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
     ranged = placed.select("key", "tie").repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(F.col("key").isNotNull(), "key", "tie")).alias("least"))
     bounds = sorted((r.least[0], 0 if r.least[1] is None else r.least[1], r.least[2]) for r in ranged.collect())[1:]
     shipped = spark.sparkContext.broadcast((canonical(lengths)[0], lengths))
-    kind = to_arrow_schema(placed.schema).field("key").type
+    key_kind = to_arrow_schema(placed.schema).field("key").type
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, bits = shipped.value
         for batch in batches:
-            keys, ties, n = batch.column(0).to_pylist(), batch.column(2).to_pylist(), pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 4
+            keys, ties, n = batch.column(0).to_pylist(), batch.column(2).to_pylist(), pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
             for some in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // BLOCK, prepend=0))):
                 if not len(some):
                     continue
                 a, b = int(some[0]), int(some[-1]) + 1
-                ids = np.concatenate([np.frombuffer(x.as_buffer(), dtype="<u4") for x in batch.column(1)[a:b]])
+                ids = numbers(batch.column(1)[a:b], kind)
                 out, room, marks, lanes = pack(ids.astype(np.int64), n[a:b].astype(np.int64), codes, bits)
                 at = [bisect.bisect_right(bounds, (k is not None, 0 if k is None else k, tie)) for k, tie in zip(keys[a:b], ties[a:b], strict=True)]
                 cells = [pa.array(at, pa.int32()), batch.column(0)[a:b], batch.column(2)[a:b], pa.array(n[a:b].astype(np.int32))]
@@ -348,7 +360,7 @@ def write(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
             keys, sizes, marks, bits = zip(*held, strict=True)
             base = 8 * np.cumsum([0, *map(len, bits[:-1])])
             moved = np.concatenate([np.frombuffer(m, dtype="<u4") + b for m, b in zip(marks, base, strict=True)])
-            cells = [pa.array([at], pa.int32()), pa.array([nr], pa.int32()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int32()))]
+            cells = [pa.array([at], pa.int32()), pa.array([nr], pa.int32()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(key_kind)), pa.array([sizes], pa.list_(pa.int32()))]
             cells += [pa.array([x], pa.binary()) for x in (moved.astype("<u4").tobytes(), b"".join(bits))]
             return pa.RecordBatch.from_arrays(cells, names=["part", "nr", "start", "keys", "sizes", "marks", "bits"])
 

@@ -76,9 +76,10 @@ def op9_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{shared.shared_folder(spark)}/token-files/{uuid.uuid4().hex}"
-    tokens = huffman.tokenize(shared.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    held = shared.save(tokens, "tokens", compression="zstd")
-    huffman.write(held, path)
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    kind = huffman.kind_of(vocabulary)
+    held = shared.save(huffman.tokenize(shared.documents(spark, sf_dir), vocabulary, kind=kind), "tokens", compression="zstd")
+    huffman.write(held, path, kind=kind)
     shared.drop(held)
     return huffman.read(spark, path).select(
         "doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
