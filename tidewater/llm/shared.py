@@ -22,8 +22,9 @@ from tidewater.cluster import ship_package
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: So many small rows (ids and numbers, about 40 bytes each) are broadcast at most; more are joined by a shuffle.
+#: A table of so many rows and bytes is broadcast at most; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32_000_000
 
 _own_folder: list[str] = []
 _scratch: list[list[DataFrame]] = []
@@ -80,9 +81,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
+def fits(df: DataFrame, rows: int, size: int) -> bool:
+    """Whether a saved table has at most so many rows and about so many bytes: 40 a row and those of its strings and lists of strings."""
+    wide = [F.octet_length(f"`{c}`") for c, t in df.dtypes if t in ("string", "binary")] + [F.octet_length(F.array_join(f"`{c}`", "")) for c, t in df.dtypes if t == "array<string>"]
+    n, *more = df.agg(F.count("*"), *(F.coalesce(F.sum(w), F.lit(0)) for w in wide)).first()
+    return n <= rows and 40 * n + sum(more) <= size
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has BROADCAST_ROWS at most. df should be a saved table, as it is counted."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, to be broadcast if it has BROADCAST_ROWS and BROADCAST_BYTES at most. df should be a saved table, as it is counted."""
+    return F.broadcast(df) if fits(df, BROADCAST_ROWS, BROADCAST_BYTES) else df
 
 
 def packed(df: DataFrame, *replaced: str) -> DataFrame:
