@@ -60,3 +60,18 @@ def test_idle_series_begin_anew(spark, tmp_path):
     one = {r.n: r["filter"] for r in got if r.s == 1}
     fresh = recursions.known_regimes(np.array([[70.0]]), np.array([0.0]), np.array([1]), MODEL)["filter"][0, 0]
     assert one[2] == pytest.approx(fresh)
+
+
+def test_step_without_observation_begins_anew():
+    import pandas as pd
+
+    from tidewater.streaming.filters import filter_step
+
+    y = pd.DataFrame({"y": [40.0, 55.0, None, 60.0, 70.0]})
+    out, state = filter_step(y, "y", OPEN, None)
+    want = recursions.unknown_regimes(y["y"].to_numpy()[:, None], np.array([5]), OPEN)
+    assert out["filter"] == pytest.approx(want["filter"][:, 0], nan_ok=True) and out["p_filter"][2] is None and pd.isna(out["r_filter"][2])
+    more, _ = filter_step(pd.DataFrame({"y": [65.0]}), "y", OPEN, state)
+    whole = recursions.unknown_regimes(np.array([[60.0], [70.0], [65.0]]), np.array([3]), OPEN)
+    assert more["filter"][0] == pytest.approx(whole["filter"][2, 0])
+    assert filter_step(pd.DataFrame({"y": [1.0, None]}), "y", OPEN, None)[1] is None

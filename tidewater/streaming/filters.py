@@ -17,13 +17,25 @@ from ..operators.recursions import unknown_regimes
 ADDED = "filter double, filter_var double, p_filter array<double>, r_filter int"
 
 
-def filter_step(rows: pd.DataFrame, y: str, model: RegimeModel, before: tuple | None) -> tuple[dict, tuple]:
+def filter_step(rows: pd.DataFrame, y: str, model: RegimeModel, before: tuple | None) -> tuple[dict, tuple | None]:
     """Estimates of ordered rows of one series that follow a state (last y, regimes' weights, means, second moments), and the new state.
 
     A state is a model of the row before: regimes by their weights, with these moments, so that the recursion goes on
-    from it as from a series' first row.
+    from it as from a series' first row. A row without y has no estimates and leaves no state: the next one begins anew.
     """
     values = rows[y].to_numpy(dtype=float)[:, None]
+    none = np.isnan(values[:, 0])
+    if none.any():
+        out = {"filter": np.full(len(rows), np.nan), "filter_var": np.full(len(rows), np.nan), "p_filter": [None] * len(rows), "r_filter": pd.array([None] * len(rows), dtype="Int64")}
+        cuts = [0, *(np.flatnonzero(np.diff(none)) + 1).tolist(), len(rows)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if none[a]:
+                before = None
+                continue
+            found, before = filter_step(rows.iloc[a:b], y, model, before)
+            for name, value in found.items():
+                out[name][a:b] = value
+        return out, before
     if before is None:
         found = unknown_regimes(values, np.array([len(values)]), model, smooth=False)
         skip = 0
@@ -53,10 +65,11 @@ def switching_stream(df: DataFrame, model: RegimeModel, key: list[str], order: s
         at, before = None, None
         if state.exists:
             at, *before = state.get
+            before = None if before[0] is None else before
             rows = rows[rows[order] > at].reset_index(drop=True)
         if len(rows):
             out, after = filter_step(rows, y, model, tuple(before) if before else None)
-            state.update((rows[order].iloc[-1].item() if hasattr(rows[order].iloc[-1], "item") else rows[order].iloc[-1], *after))
+            state.update((rows[order].iloc[-1].item() if hasattr(rows[order].iloc[-1], "item") else rows[order].iloc[-1], *(after or (None, None, None, None))))
             yield rows.assign(**out)
 
     return df.groupBy(*key).applyInPandasWithState(run, schema, keeps, "append", GroupStateTimeout.NoTimeout)
