@@ -138,7 +138,7 @@ def iterate_fit(df: DataFrame, key: list[str], order: str, x: str, y: str, regim
 
         def draw(rows: pd.DataFrame, sizes: np.ndarray, model=model) -> dict:
             found = unknown_regimes(vectors(rows, y), sizes, model)
-            return {"r": path_sample(found["link"], found["p_smooth"], found["beta"], sizes, rows["_u"].to_numpy())}
+            return {"r": path_sample(found["onward"], found["p_smooth"], np.ones_like(found["beta"]), sizes, rows["_u"].to_numpy())}
 
         given = labels.drop("r").withColumn("_u", u)
         if longest(given, key) > LONG:

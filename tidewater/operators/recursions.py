@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 from . import scan
 from ..cluster import ship_package
 from ..functions.model import RegimeModel, reversed_model
-from .scan import beside, key_at, key_starts
+from .scan import beside, key_at, key_starts, log_sum, shares
 
 FLOOR = 1e-300
+#: Squared distances are told apart up to here.
+MOST = 1e300
 #: Rows of whole series that are worked on at once, if there are so many.
 ROWS = 50_000
 #: Rows of a series from which on it is cut into chunks.
@@ -140,7 +142,8 @@ def unknown_regimes(y: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth
     `start` has weights, means and second moments of the regimes at each first row, where these are known already.
     A row without y has no estimates (NaN), and the row after it begins anew, as what follows depends on it.
     link holds, for the step to a row, p(r', y' | r) over p(y' | past): its backward products are the smoother, and
-    its rows, reweighted, the regimes' posterior transition.
+    its rows, reweighted, the regimes' posterior transition (onward: p(r' | r, all y)). Weights are kept as logarithms,
+    so that a regime an outlier makes next to impossible keeps its moments and its share in later laws.
     """
     none = np.isnan(y).any(axis=1)
     if none.any() and start is None:
@@ -158,33 +161,44 @@ def unknown_regimes(y: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth
     own_cov = q[:, :, :x, :x] - g @ q[:, :, x:, :x]
     at = steps(sizes)
     after = np.concatenate(at[1:]) if len(at) > 1 else np.zeros(0, dtype=int)
-    d, u, h = np.zeros((len(y), k_all, k_all, y.shape[1])), np.zeros((len(y), k_all, k_all)), np.zeros((len(y), k_all, k_all, x))
+    with np.errstate(divide="ignore"):
+        log_transition = np.log(model.transition)
+    d, lu, h = np.zeros((len(y), k_all, k_all, y.shape[1])), np.zeros((len(y), k_all, k_all)), np.zeros((len(y), k_all, k_all, x))
     before = y[after - 1][:, None, None, :]
     d[after] = y[after][:, None, None, :] - _dot(fyy, before) - c[:, :, x:]
-    u[after] = model.transition * np.exp(-0.5 * (_quadratic(d[after], inverse) + np.linalg.slogdet(qyy)[1] + constant)) + FLOOR
+    lu[after] = log_transition - 0.5 * (np.minimum(_quadratic(d[after], inverse), MOST) + np.linalg.slogdet(qyy)[1] + constant)
     h[after] = _dot(g, d[after]) + _dot(fxy, before) + c[:, :, :x]
-    ps, es, vs = np.zeros((len(y), k_all)), np.zeros((len(y), k_all, x)), np.zeros((len(y), k_all, x, x))
-    ahead, link = np.full((len(y), x), np.nan), np.zeros((len(y), k_all, k_all))
+    ps, lp = np.zeros((len(y), k_all)), np.zeros((len(y), k_all))
+    es, vs = np.zeros((len(y), k_all, x)), np.zeros((len(y), k_all, x, x))
+    ahead, log_link = np.full((len(y), x), np.nan), np.full((len(y), k_all, k_all), -np.inf)
     for n, rows in enumerate(at):
         if n == 0 and start:
             ps[rows], es[rows], vs[rows] = start
+            with np.errstate(divide="ignore"):
+                lp[rows] = np.log(ps[rows])
             continue
         if n == 0:
             inv0 = np.linalg.inv(model.gamma[:, x:, x:])
             d0 = y[rows][:, None, :] - model.mean[:, x:]
-            p = model.marginal * np.exp(-0.5 * (_quadratic(d0, inv0) + np.linalg.slogdet(model.gamma[:, x:, x:])[1] + constant)) + FLOOR
-            ps[rows] = p / p.sum(axis=1, keepdims=True)
+            with np.errstate(divide="ignore"):
+                p = np.log(model.marginal) - 0.5 * (np.minimum(_quadratic(d0, inv0), MOST) + np.linalg.slogdet(model.gamma[:, x:, x:])[1] + constant)
+            p -= p.max(axis=1, keepdims=True)
+            lp[rows] = p - log_sum(p, 1)[:, None]
+            ps[rows] = np.exp(lp[rows])
             gain = model.gamma[:, :x, x:] @ inv0
             es[rows] = e = model.mean[:, :x] + _dot(gain, d0)
             vs[rows] = model.gamma[:, :x, :x] - gain @ model.gamma[:, x:, :x] + e[..., :, None] * e[..., None, :]
             continue
         b = rows - 1
         p, e, v = ps[b], es[b], vs[b]
-        joint = p[:, :, None] * u[rows]
-        column = joint.sum(axis=1)
-        total = column.sum(axis=1)
-        w, link[rows] = joint / column[:, None, :], u[rows] / total[:, None, None]
-        ps[rows] = column / total[:, None]
+        joint = lp[b][:, :, None] + lu[rows]
+        most = joint.max(axis=(1, 2))
+        joint -= most[:, None, None]
+        column = log_sum(joint, 1)
+        total = log_sum(column, 1)
+        w, log_link[rows] = shares(joint, 1), lu[rows] - (most + total)[:, None, None]
+        lp[rows] = column - total[:, None]
+        ps[rows] = np.exp(lp[rows])
         fe, hh = _dot(fxx, e[:, :, None, :]), h[rows]
         ahead[rows] = np.einsum("sj,jk,sjka->sa", p, model.transition, fe + _dot(fxy, y[b][:, None, None, :]) + c[:, :, :x])
         cross = fe[..., :, None] * hh[..., None, :]
@@ -196,15 +210,14 @@ def unknown_regimes(y: np.ndarray, sizes: np.ndarray, model: RegimeModel, smooth
         return m, np.einsum("nj,njab->nab", weights, vs) - m[:, :, None] * m[:, None, :]
 
     fe, fv = mixture(ps)
-    out = {"filter": fe, "filter_var": fv, "predict": ahead, "p_filter": ps, "e_regime": es, "v_regime": vs, "link": link}
+    out = {"filter": fe, "filter_var": fv, "predict": ahead, "p_filter": ps, "log_p": lp, "e_regime": es, "v_regime": vs, "link": np.exp(np.minimum(log_link, 700.0)), "log_link": log_link}
     if smooth:
-        beta = np.ones((len(y), k_all))
+        beta = np.zeros((len(y), k_all))
         for rows in at[:0:-1]:
-            beta[rows - 1] = (link[rows] * beta[rows][:, None, :]).sum(axis=2)
-        p = ps * beta
-        p /= p.sum(axis=1, keepdims=True)
+            beta[rows - 1] = log_sum(log_link[rows] + beta[rows][:, None, :], 2)
+        p = shares(lp + beta, 1)
         se, sv = mixture(p)
-        out |= {"smooth": se, "smooth_var": sv, "p_smooth": p, "beta": beta}
+        out |= {"smooth": se, "smooth_var": sv, "p_smooth": p, "beta": np.exp(np.minimum(beta, 700.0)), "log_beta": beta, "onward": shares(log_link + beta[:, None, :], 2)}
     return out
 
 
@@ -292,12 +305,10 @@ def double_filter_smoother(df: DataFrame, model: RegimeModel, key: list[str], or
 
 
 def _transitions(found: dict[str, np.ndarray], model: RegimeModel, before: np.ndarray, start: np.ndarray) -> dict:
+    """before: logarithms of the regimes' law in the row before."""
     p = before[:, :, None]
-    predict, joint, onward = p * model.transition, p * found["link"], found["link"] * found["beta"][:, None, :]
-    out = {
-        "t_predict": predict, "t_back": joint / np.maximum(joint.sum(axis=1, keepdims=True), FLOOR), "t_forward": onward / np.maximum(onward.sum(axis=2, keepdims=True), FLOOR),
-        "t_smooth": p * onward / np.maximum((p * onward).sum(axis=(1, 2), keepdims=True), FLOOR),
-    }
+    joint, onward = p + found["log_link"], found["log_link"] + found["log_beta"][:, None, :]
+    out = {"t_predict": np.exp(p) * model.transition, "t_back": shares(joint, 1), "t_forward": shares(onward, 2), "t_smooth": shares(p + onward, (1, 2))}
     none = start | np.isnan(found["p_filter"][:, 0]) | np.isnan(before[:, 0])
     return {name: [None if n else v for n, v in zip(none, value.reshape(len(value), -1), strict=True)] for name, value in out.items()}
 
@@ -309,11 +320,11 @@ def regime_transitions(df: DataFrame, model: RegimeModel, key: list[str], order:
     """
     kinds = ", ".join(f"{c} array<double>" for c in ("t_predict", "t_back", "t_forward", "t_smooth"))
     if longest(df, key) > long:
-        return scan.Scan(df, key, order, scan.UnknownRegimes(model, y), chunk).columns(kinds, lambda table, found, rows, at: _transitions(found, model, found["p_before"], rows["start"]))
+        return scan.Scan(df, key, order, scan.UnknownRegimes(model, y), chunk).columns(kinds, lambda table, found, rows, at: _transitions(found, model, found["log_before"], rows["start"]))
 
     def some(rows: pd.DataFrame, sizes: np.ndarray) -> dict:
         found = unknown_regimes(vectors(rows, y), sizes, model)
-        return _transitions(found, model, np.roll(found["p_filter"], 1, axis=0), _starts(sizes))
+        return _transitions(found, model, np.roll(found["log_p"], 1, axis=0), _starts(sizes))
 
     return by_series(df, key, order, kinds, some)
 

@@ -38,6 +38,22 @@ def _t(m: np.ndarray) -> np.ndarray:
     return np.swapaxes(m, -1, -2)
 
 
+def log_sum(a: np.ndarray, axis: int | tuple[int, ...]) -> np.ndarray:
+    """Logarithm of the sum of exponentials; of nothing but -inf it is -inf."""
+    most = a.max(axis=axis, keepdims=True)
+    most = np.where(np.isneginf(most), 0.0, most)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(a - most).sum(axis=axis)) + most.squeeze(axis)
+
+
+def shares(a: np.ndarray, axis: int | tuple[int, ...]) -> np.ndarray:
+    """Exponentials over their sum; zeros where all are -inf."""
+    most = a.max(axis=axis, keepdims=True)
+    out = np.exp(a - np.where(np.isneginf(most), 0.0, most))
+    total = out.sum(axis=axis, keepdims=True)
+    return out / np.where(total == 0, 1.0, total)
+
+
 def key_starts(table: pa.Table | pa.RecordBatch, key: list[str], before: tuple | None) -> np.ndarray:
     """Which rows begin a series, in rows sorted by key after a row with the key `before`; a null is a value of its own."""
     new = np.zeros(table.num_rows, dtype=bool)
@@ -309,10 +325,14 @@ class UnknownRegimes(Work):
                 y0[0], good0[0] = held, True
         start = start | ~good0 | ~good
         d = y[:, None, None, :] - _dot(self.fyy, y0[:, None, None, :]) - self.c[:, :, self.model.n_x :]
-        u = self.model.transition * np.exp(-0.5 * ((d * _dot(self.inverse, d)).sum(axis=-1) + self.logdet)) + FLOOR
+        with np.errstate(divide="ignore"):
+            lu = np.log(self.model.transition) - 0.5 * (np.minimum((d * _dot(self.inverse, d)).sum(axis=-1), 1e300) + self.logdet)
+        lu -= lu.max(axis=(1, 2), keepdims=True)
+        lu[start] = 0.0
+        u = np.exp(lu) + FLOOR
         base = _dot(self.fxy, y0[:, None, None, :]) + self.c[:, :, : self.model.n_x]
         u[start] = 1.0
-        return {"u": u, "h": _dot(self.g, d) + base, "base": base, "start": start, "good": good, "begun": self.begun(y), "y": y}
+        return {"u": u, "lu": lu, "h": _dot(self.g, d) + base, "base": base, "start": start, "good": good, "begun": self.begun(y), "y": y}
 
     def pushed(self, v: np.ndarray, rows: dict, of: np.ndarray) -> np.ndarray:
         """Vectors (m, B, width) moved over one row each, unscaled."""
@@ -391,6 +411,7 @@ class UnknownRegimes(Work):
 
         mean, var = mixture(p)
         out = {"filter": mean, "filter_var": var, "predict": np.where(rows["start"][:, None], np.nan, ahead), "p_filter": p, "e_regime": e, "v_regime": second, "link": link, "p_before": p0}
+        out |= {"log_before": np.log(np.maximum(p0, FLOOR)), "log_link": rows["lu"]}
         if smooth:
             beta, leave, go = np.ones((n, k)), np.asarray(said), []
             for one in total[::-1]:
@@ -405,7 +426,7 @@ class UnknownRegimes(Work):
             beta /= both.sum(axis=1)[:, None]
             ps = p * beta
             mean, var = mixture(ps)
-            out |= {"smooth": mean, "smooth_var": var, "p_smooth": ps, "beta": beta}
+            out |= {"smooth": mean, "smooth_var": var, "p_smooth": ps, "beta": beta, "log_beta": np.log(np.maximum(beta, FLOOR))}
         for name in ("filter", "filter_var", "predict", "p_filter", "smooth", "smooth_var", "p_smooth"):
             if name in out:
                 out[name][~rows["good"]] = np.nan

@@ -98,7 +98,7 @@ class KnownPairs(scan.UnknownRegimes):
             begun[:, k] = own.joint.sum(axis=1)[k] * np.exp(-0.5 * (gap @ np.linalg.inv(own.gamma[k]) * gap).sum(axis=1)) / np.sqrt(np.linalg.det(own.gamma[k]))
         begun += scan.FLOOR
         none = np.zeros((len(z), k_all, k_all, 0))
-        return {"u": kernel, "h": none, "base": none, "start": start, "good": good, "begun": begun / begun.sum(axis=1, keepdims=True), "y": z}
+        return {"u": kernel, "lu": np.log(kernel), "h": none, "base": none, "start": start, "good": good, "begun": begun / begun.sum(axis=1, keepdims=True), "y": z}
 
 
 def posterior(df: DataFrame, key: list[str], order: str, x: str, y: str, own: PairRegression, seed: int | None = None, long: int = LONG, chunk: int = scan.CHUNK) -> DataFrame:
