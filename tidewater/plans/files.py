@@ -62,12 +62,10 @@ def numbers_round_trip(spark, sf_dir):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS n, o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders")
 def matrix_round_trip(spark, sf_dir):
-    """A matrix with commas and a line of names, written in order into one file that is read in splits."""
+    """A matrix with commas and a line of names, written in order over several files that are read as one."""
     path = shared_path(spark, "matrix")
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(", ", F.col("o_totalprice").cast("string"), F.col("o_custkey").cast("string")).alias("value"))
-    head = spark.createDataFrame([(-1, "price, customer")], "o_orderkey long, value string")
-    rows.unionByName(head).repartition(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
-    return series.read_matrix(spark, path).select("n", F.col("values")[0].alias("o_totalprice"), F.col("values")[1].alias("o_custkey"))
+    series.write_matrix(read(spark, sf_dir, "orders"), path, "o_orderkey", {"price": "o_totalprice", "customer": "o_custkey"})
+    return series.read_matrix(spark, path, across=True).select("n", F.col("values")[0].alias("o_totalprice"), F.col("values")[1].alias("o_custkey"))
 
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY flag, day) - 1 AS BIGINT) AS n, round(x + 1e-7, 4) AS x, CAST(r AS DOUBLE) AS r, round(y + 1e-7, 4) AS y FROM ({DAYS})")

@@ -60,12 +60,15 @@ def read_numbers(spark: SparkSession, path: str, across: bool = False) -> DataFr
     return _lines(spark, path, across).select(F.col("_kept").alias("n"), F.col("_line").cast("double").alias("value"))
 
 
-def read_matrix(spark: SparkSession, path: str, skip: int = 1, sep: str = ",") -> DataFrame:
-    """n, values (array) of a text matrix whose first `skip` lines are dropped."""
-    lines = _lines(spark, path)
-    above = lines.filter(F.col("_n") < skip).groupBy("_file").agg(F.count("*").alias("_above"))
-    rows = lines.filter(F.col("_n") >= skip).join(above, "_file", "left")
-    values = F.transform(F.split("_line", f"\\s*{sep}\\s*" if sep.strip() else r"\s+"), lambda x: x.cast("double"))
+def read_matrix(spark: SparkSession, path: str, skip: int = 1, sep: str = ",", across: bool = False) -> DataFrame:
+    """n, values (array, an empty cell is null) of a text matrix whose first `skip` lines are dropped. With `across`, of one over all files of a folder in the order of their names."""
+    lines = _lines(spark, path, across)
+    head = lines.filter(F.col("_n") < skip)
+    if across:
+        rows = lines.filter(F.col("_n") >= skip).crossJoin(F.broadcast(head.agg(F.count("*").alias("_above"))))
+    else:
+        rows = lines.filter(F.col("_n") >= skip).join(head.groupBy("_file").agg(F.count("*").alias("_above")), "_file", "left")
+    values = F.transform(F.split("_line", f"\\s*{sep}\\s*" if sep.strip() else r"\s+"), lambda x: F.when(x != "", x).cast("double"))
     return rows.select((F.col("_kept") - F.coalesce("_above", F.lit(0))).alias("n"), values.alias("values"))
 
 
@@ -108,6 +111,13 @@ def write_numbers(df: DataFrame, path: str, order: str, column: str) -> None:
     df.orderBy(order).select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_matrix(df: DataFrame, path: str, order: str, columns: dict[str, str], sep: str = ", ") -> None:
+    """A line of names (titles of the columns), then a line for each row in the order of a column, in as many files as tasks; read_matrix(across=True) reads them as one."""
+    body = df.select(F.lit(1).alias("_part"), F.col(order).alias("_order"), F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns.values())).alias("value"))
+    head = body.sparkSession.createDataFrame([(sep.join(columns),)], "value string").select(F.lit(0).alias("_part"), F.lit(None).cast(body.schema["_order"].dataType).alias("_order"), "value")
+    body.unionByName(head).orderBy("_part", "_order").select("value").write.mode("overwrite").text(path)
+
+
 def sections_text(sections: dict[str, np.ndarray], title: str = "x r y", digits: int = 4) -> str:
     """The text form of a dump that read_sections() reads: whole numbers as such, others with `digits` decimals."""
     parts = [f"# {title}\n#\n"]
