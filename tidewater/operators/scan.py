@@ -27,7 +27,7 @@ from ..functions.model import RegimeModel
 
 FLOOR = 1e-300
 #: Rows of a chunk: what a task holds, with a few hundred bytes a row.
-CHUNK = 200_000
+CHUNK = 50_000
 
 
 def _dot(m: np.ndarray, v: np.ndarray) -> np.ndarray:
