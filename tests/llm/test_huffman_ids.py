@@ -40,3 +40,10 @@ def test_cache_within_a_text(monkeypatch):
         ids, counts = encoder.encode(texts)
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(encoder.place) < 200
+
+
+def test_words_beyond_latin_alone():
+    plain = Tokenizer.from_file(PATH)
+    for text in ["ΟΔΟΣ", "Привет МИР", "İstanbul", "E\u0301COLE — ÉCOLE", "ＡＢＣ", "Ⱥ Å", "<|endoftext|>ABC", "<|ENDOFTEXT|> 1İ Ab", "Ω " + " ".join(f"A{a}B{b}" for a in "CDEFGHIJ" for b in range(1000))]:
+        ids, _ = huffman.UnitEncoder(PATH).encode([text])
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text

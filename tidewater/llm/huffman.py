@@ -83,9 +83,13 @@ class UnitEncoder:
     def _ids(self, texts: list[str], plain: bool = False) -> list[list[int]]:
         return [e.ids for e in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _settled(self, text: str) -> bool:
+        """Whether _UNITS cuts a text: Latin only, also once lower-cased, and without special tokens."""
+        return self.units is not None and not any(x in text for x in self.special) and not _OTHER.search(text.lower())
+
     def _units_ids(self, units: list[str], line: int = 100) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of units in one array, and how many each has: a line of units at once where each unit ends in an end of a word."""
-        if self.units:
+        """The ids of units in one array, and how many each has: a line of units at once if all are settled (so lower-cased) and each ends in an end of a word."""
+        if self._settled(" ".join(units)):
             flat = np.fromiter(itertools.chain.from_iterable(self._ids([" ".join(units[a : a + line]) for a in range(0, len(units), line)], plain=True)), dtype=np.int64)
             ends = np.flatnonzero(self.ends[flat])
             if len(ends) == len(units):
@@ -124,9 +128,10 @@ class UnitEncoder:
             self.n += len(part)
 
     def _cut(self, text: str) -> list[str]:
-        if self.units and not any(x in text for x in self.special) and not _OTHER.search(low := text.lower()):
-            return self.units.findall(low)
-        return re.split("[\t-\r ]+", text) if self.words else [text]
+        if self._settled(text):
+            return self.units.findall(text.lower())
+        words = re.split("[\t-\r ]+", text) if self.words else [text]
+        return [u for w in words for u in (self.units.findall(w.lower()) if self._settled(w) else [w])]
 
     def _parts(self, text: str) -> Iterator[str]:
         """A text in parts of about PART letters, cut at white space, where that changes no id."""
