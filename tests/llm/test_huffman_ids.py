@@ -47,3 +47,23 @@ def test_words_beyond_latin_alone():
     for text in ["ΟΔΟΣ", "Привет МИР", "İstanbul", "E\u0301COLE — ÉCOLE", "ＡＢＣ", "Ⱥ Å", "<|endoftext|>ABC", "<|ENDOFTEXT|> 1İ Ab", "Ω " + " ".join(f"A{a}B{b}" for a in "CDEFGHIJ" for b in range(1000))]:
         ids, _ = huffman.UnitEncoder(PATH).encode([text])
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_are_cut_once(monkeypatch):
+    """Not once for each time they occur, which took most of the encoder's seconds."""
+    encoder, plain, cut = huffman.UnitEncoder(PATH), Tokenizer.from_file(PATH), []
+    whole = encoder.units
+
+    class Spy:
+        @staticmethod
+        def findall(text):
+            found = whole.findall(text)
+            cut.extend(found)
+            return found
+
+    encoder.units = Spy()
+    texts = ["One, two; it's three3 " * 50, "two; ONE, é\n" * 70]
+    for _ in range(3):
+        ids, counts = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(cut) <= 20

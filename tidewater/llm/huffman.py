@@ -7,7 +7,7 @@ import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,10 +23,12 @@ from . import shared
 MOST_BITS = 16
 LANE = 128
 BLOCK = 1 << 17
-#: Units of a generation of the cache: with the one before, about 60 MB in a worker.
-CACHED_UNITS = 150_000
-#: Letters of a text that are cut into units at once, and of texts that are encoded together.
+#: Words and units whose ids a worker keeps: about 40 bytes each.
+CACHED_WORDS = 200_000
+CACHED_UNITS = 400_000
+#: Letters of a piece of a text, and how many such pieces are encoded together.
 PART = 1 << 16
+TOGETHER = 64
 _SPACE = re.compile("[\t-\r ]")
 #: Where word_bpe_49k.json cuts lower-cased text. Below U+0250 characters have settled classes and are
 #: composed already; what lower-casing takes beyond is not cut by this pattern.
@@ -36,26 +38,49 @@ _UNITS = rf"'(?:s|t|re|ve|m|ll|d)|[{_KINDS['L']}]+|[{_KINDS['N']}]|[^{_KINDS['L'
 _OTHER = re.compile(f"[{chr(_LATIN)}-\U0010ffff]")
 
 
-class Places(dict):
-    """Numbers for units; a new one gets the next."""
+def _ends(cells: pa.BinaryArray) -> np.ndarray:
+    """Where the cells of a column begin and end in its data."""
+    return np.frombuffer(cells.buffers()[1], dtype="<i4")[cells.offset : cells.offset + len(cells) + 1] if len(cells) else np.zeros(1, dtype="<i4")
+
+
+def _cells(ends: np.ndarray, data: pa.Buffer | None) -> pa.BinaryArray:
+    """A column of cells that end there in the data."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("<i4").tobytes()), data])
 
-    def __missing__(self, unit: str) -> int:
-        found = self[unit] = len(self)
-        return found
 
+class Known:
+    """Ids of strings that were met, a cell (little-endian, of 32 bits) each."""
 
-def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places of the elements of spans, one after the other."""
-    ends = np.cumsum(size)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+    def __init__(self) -> None:
+        self.names, self.cells = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.used, self.now = np.zeros(0, dtype=np.int64), 0
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def ids(self, names: pa.StringArray, make: Callable[[pa.StringArray], pa.BinaryArray], most: int) -> pa.BinaryArray:
+        """The cells of distinct names; make() gives those of new ones. Beyond `most`, half of it is kept: what was used last."""
+        at = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = at < 0
+        at[new] = len(self) + np.arange(new.sum())
+        fresh = names.filter(pa.array(new))
+        self.names, self.cells = pa.concat_arrays([self.names, fresh]), pa.concat_arrays([self.cells, make(fresh)])
+        self.now += 1
+        self.used = np.append(self.used, np.zeros(len(fresh), dtype=np.int64))
+        self.used[at] = self.now
+        found = self.cells.take(pa.array(at))
+        if len(self) > most:
+            kept = np.argsort(-self.used, kind="stable")[: most // 2]
+            self.names, self.cells, self.used = self.names.take(pa.array(kept)), self.cells.take(pa.array(kept)), self.used[kept]
+        return found
 
 
 class UnitEncoder:
     """Encodes texts by the units that merges never cross, each unit once.
 
-    For the tokenizer that _UNITS describes, Latin texts without special tokens are cut by that pattern; all other
-    texts, and those of other tokenizers, are cut at ASCII white space if the tokenizer drops it (as it is tested on
-    start), and given to it whole if not.
+    Texts are cut at ASCII white space if the tokenizer drops it (as it is tested on start), and given to it whole if
+    not; the distinct words of some texts are looked up together. For the tokenizer that _UNITS describes, Latin words
+    without special tokens are cut by that pattern; all other words are units as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -78,7 +103,7 @@ class UnitEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.words = self._ids([probe])[0] == [i for ids in self._ids(re.split("[\t-\r ]+", probe)) for i in ids]
-        self.clear()
+        self.word, self.place = Known(), Known()
 
     def _ids(self, texts: list[str], plain: bool = False) -> list[list[int]]:
         return [e.ids for e in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,79 +122,65 @@ class UnitEncoder:
         lists = self._ids(units)
         return np.array([x for own in lists for x in own], dtype=np.int64), np.array([len(x) for x in lists], dtype=np.int64)
 
-    def clear(self) -> None:
-        """Starts a generation: units of the one before are taken over as they are met again, so frequent ones stay."""
-        self.before = (self.place, self.starts, self.pool) if hasattr(self, "place") else (Places(), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint32))
-        self.place = Places()
-        self.starts, self.pool, self.fill, self.n = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 18, dtype=np.uint32), 0, 0
-
-    def _learn(self) -> None:
-        """Ids of the units that got a number since the last time."""
-        old, old_starts, old_pool = self.before
-        units = list(itertools.islice(self.place, self.n, None))
+    def _unit_cells(self, names: pa.StringArray) -> pa.BinaryArray:
+        units, out, sizes = names.to_pylist(), [], [[0]]
         for a in range(0, len(units), 5000):
-            part = units[a : a + 5000]
-            met = np.array([dict.get(old, u, -1) for u in part])
-            known, new = np.flatnonzero(met >= 0), np.flatnonzero(met < 0)
-            fresh, fresh_size = self._units_ids([part[i] for i in new])
-            size = np.zeros(len(part), dtype=np.int64)
-            size[known], size[new] = old_starts[met[known] + 1] - old_starts[met[known]], fresh_size
-            begin = np.cumsum(size) - size
-            flat = np.zeros(int(size.sum()), dtype=np.uint32)
-            flat[_spans(begin[known], size[known])] = old_pool[_spans(old_starts[met[known]], size[known])]
-            flat[_spans(begin[new], size[new])] = fresh
-            while self.fill + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while self.n + len(part) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.pool[self.fill : self.fill + len(flat)] = flat
-            self.starts[self.n + 1 : self.n + len(part) + 1] = self.fill + begin + size
-            self.fill += len(flat)
-            self.n += len(part)
-
-    def _cut(self, text: str) -> list[str]:
-        if self._settled(text):
-            return self.units.findall(text.lower())
-        words = re.split("[\t-\r ]+", text) if self.words else [text]
-        return [u for w in words for u in (self.units.findall(w.lower()) if self._settled(w) else [w])]
+            ids, size = self._units_ids(units[a : a + 5000])
+            out.append(ids.astype("<u4").tobytes())
+            sizes.append(4 * size)
+        return _cells(np.cumsum(np.concatenate(sizes)), pa.py_buffer(b"".join(out)))
+
+    def _cut(self, words: list[str]) -> list[Sequence[str]]:
+        """The units of each word."""
+        together = "\n".join(words)
+        if words and self._settled(together):
+            return [(w,) if w.isalpha() else self.units.findall(w) for w in together.lower().split("\n")]
+        return [self.units.findall(w.lower()) if self._settled(w) else (w,) for w in words]
+
+    def _word_cells(self, names: pa.StringArray) -> pa.BinaryArray:
+        cut = self._cut(names.to_numpy(zero_copy_only=False).tolist())
+        units = pa.array(list(itertools.chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        cells = self.place.ids(units.dictionary, self._unit_cells, CACHED_UNITS).take(units.indices)
+        return _cells(_ends(cells)[np.cumsum([0, *map(len, cut)])], cells.buffers()[2])
 
     def _parts(self, text: str) -> Iterator[str]:
         """A text in parts of about PART letters, cut at white space, where that changes no id."""
         at = 0
         while at < len(text):
-            cut = _SPACE.search(text, at + PART) if (self.units or self.words) and len(text) - at > PART else None
+            cut = _SPACE.search(text, at + PART) if self.words and len(text) - at > PART else None
             end = cut.start() if cut else len(text)
             yield text[at:end]
             at = end
 
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts of texts in one array, and how many each has."""
+        texts = pa.array(parts, pa.string())
+        cut = pc.ascii_split_whitespace(texts) if self.words else pa.ListArray.from_arrays(np.arange(len(parts) + 1, dtype=np.int32), texts)
+        words = cut.flatten().dictionary_encode()
+        cells = self.word.ids(words.dictionary, self._word_cells, CACHED_WORDS).take(words.indices)
+        return numbers(cells, "<u4"), np.diff(_ends(cells)[cut.offsets.to_numpy()]) // 4
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each has."""
-        at, owner, out, waiting = [], [], [np.zeros(0, dtype=np.uint32)], 0
-        counts = np.zeros(len(texts), dtype=np.int64)
+        counts, out, held, owner, room = np.zeros(len(texts), dtype=np.int64), [np.zeros(0, dtype=np.uint32)], [], [], 0
 
         def settle() -> None:
-            self._learn()
-            flat = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
-            start = self.starts[flat]
-            size = self.starts[flat + 1] - start
-            out.append(self.pool[_spans(start, size)])
-            edges = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, at)])]
-            np.add.at(counts, owner, np.diff(edges))
-            at.clear()
+            ids, sizes = self._encode(held)
+            out.append(ids)
+            np.add.at(counts, owner, sizes)
+            held.clear()
             owner.clear()
-            if len(self.place) > CACHED_UNITS:
-                self.clear()
 
         for i, text in enumerate(texts):
             for part in self._parts(text):
-                units = self._cut(part)
-                at.append(np.fromiter(map(self.place.__getitem__, units), dtype=np.int64, count=len(units)))
+                held.append(part)
                 owner.append(i)
-                waiting += len(units)
-                if waiting > 8 * PART or len(self.place) > CACHED_UNITS:
+                room += len(part)
+                if room >= TOGETHER * PART:
                     settle()
-                    waiting = 0
-        settle()
+                    room = 0
+        if held:
+            settle()
         return np.concatenate(out), counts
 
 
@@ -189,7 +200,7 @@ def encoded(batch: pa.RecordBatch, path: str, end_id: int) -> Iterator[tuple[pa.
     texts = batch.column(1)
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     while a < batch.num_rows:
-        b = max(a + 1, min(a + 256, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 16 * PART, side="right"))))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOGETHER * PART, side="right")))
         part = batch.slice(a, b - a)
         ids, counts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
         stops = np.cumsum(counts)
