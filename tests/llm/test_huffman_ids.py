@@ -67,3 +67,16 @@ def test_words_are_cut_once(monkeypatch):
         ids, counts = encoder.encode(texts)
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(cut) <= 20
+
+
+def test_cache_of_long_words(monkeypatch):
+    """A word without white space may be a whole text: the caches are bounded by bytes too."""
+    monkeypatch.setattr(huffman, "CACHED_WORDS", 1000)
+    monkeypatch.setattr(huffman, "CACHED_UNITS", 1000)
+    encoder, plain = huffman.UnitEncoder(PATH), Tokenizer.from_file(PATH)
+    for i in range(12):
+        texts = [f"{i} " + "字" * 5000 + f"{i} short", "ab." * 3000 + f"{i}"]
+        ids, counts = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert max(known.names.nbytes + known.cells.nbytes for known in (encoder.word, encoder.place)) < 101_000
+    assert len(encoder.word) > 0

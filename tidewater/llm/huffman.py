@@ -23,9 +23,10 @@ from . import shared
 MOST_BITS = 16
 LANE = 128
 BLOCK = 1 << 17
-#: Words and units whose ids a worker keeps: about 40 bytes each.
+#: Words and units whose ids a worker keeps: about 40 bytes each, and CACHED_BYTES for each of them at most.
 CACHED_WORDS = 200_000
 CACHED_UNITS = 400_000
+CACHED_BYTES = 100
 #: Letters of a piece of a text, and how many such pieces are encoded together.
 PART = 1 << 16
 TOGETHER = 64
@@ -59,7 +60,7 @@ class Known:
         return len(self.names)
 
     def ids(self, names: pa.StringArray, make: Callable[[pa.StringArray], pa.BinaryArray], most: int) -> pa.BinaryArray:
-        """The cells of distinct names; make() gives those of new ones. Beyond `most`, half of it is kept: what was used last."""
+        """The cells of distinct names; make() gives those of new ones. Beyond `most`, or its bytes, half of it is kept: what was used last."""
         at = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = at < 0
         at[new] = len(self) + np.arange(new.sum())
@@ -69,8 +70,10 @@ class Known:
         self.used = np.append(self.used, np.zeros(len(fresh), dtype=np.int64))
         self.used[at] = self.now
         found = self.cells.take(pa.array(at))
-        if len(self) > most:
+        if len(self) > most or self.names.nbytes + self.cells.nbytes > CACHED_BYTES * most:
             kept = np.argsort(-self.used, kind="stable")[: most // 2]
+            size = pc.add(pc.binary_length(self.names), pc.binary_length(self.cells)).to_numpy(zero_copy_only=False)[kept] + 8
+            kept = kept[: np.searchsorted(np.cumsum(size), CACHED_BYTES * most // 2, side="right")]
             self.names, self.cells, self.used = self.names.take(pa.array(kept)), self.cells.take(pa.array(kept)), self.used[kept]
         return found
 
