@@ -24,8 +24,14 @@ MOST_BITS = 27
 SLICE = 1 << 18
 #: Frequent words up to which their places in order stand for them between tasks (32 MB of numbers); beyond, their hashes do.
 DENSE = 1 << 22
-#: Phrases that a task gathers before it sums equal ones, and occurrences of phrases in a bucket of the shuffle.
-GATHERED = 1 << 20
+#: Phrases that a task gathers before it sums equal ones.
+GATHERED = 1 << 18
+#: Occurrences of phrases of one length in a bucket of the shuffle, at most about this many.
+BUCKET = 1 << 20
+#: Rows sent to Python at once: documents; shards, which have several MB each, and cells of counts.
+DOCUMENTS, SHARDS = 1000, 8
+#: Shards in Parquet: bytes of a row group, which is as much as a task holds at once; a shard has several MB, so its size is looked at after each.
+SHARD_FILES = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 LONGEST = 5
 
 #: A piece ends at each of . , ; : ! ? and line feed to carriage return; words are parted by space and tab.
@@ -91,8 +97,9 @@ def bitmaps(docs: DataFrame, lang: str = "lang", text: str = "text", seed: int =
             return np.fromiter(map(own.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
         for batch in batches:
-            for one, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for part in _slices((whole or "").encode().lower().translate(_TABLE), step):
+            for one, whole in zip(*batch.columns, strict=True):
+                one = one.as_py()
+                for part in _slices(whole.as_buffer().to_pybytes().lower().translate(_TABLE), step):
                     seq = number(one, part.replace(b"\n", b" \n ").split(b" "))
                     held.append(seq[seq != _NONE])
                     n += len(held[-1])
@@ -218,14 +225,20 @@ def _counted(shards: DataFrame, levels: tuple[int, ...], known: dict[int, np.nda
             (rows, counts), = held[k]
             at = (_hashes(rows.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(at, kind="stable")
-            for one in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
-                if len(one):
-                    cells = [np.ascontiguousarray(rows[one].T).astype(kind).tobytes(), counts[one].astype("<i8" if counts[one].max() > 2**31 - 1 else "<i4").tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([at[one[0]]], pa.int64()), pa.array([k], pa.int32()), pa.array([len(one)], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["bucket", "k", "rows", "words", "counts"])
+            at, rows, counts = at[by], rows[by].astype(kind), counts[by]
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            each = list(zip(cuts[:-1], cuts[1:], strict=True))
+            cells = [
+                pa.array(at[cuts[:-1]], pa.int64()), pa.array([k] * len(each), pa.int32()), pa.array(np.diff(cuts), pa.int32()), pa.array([rows[a:b].T.tobytes() for a, b in each], pa.binary()),
+                pa.array([counts[a:b].astype("<i8" if counts[a:b].max() > 2**31 - 1 else "<i4").tobytes() for a, b in each], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cells, names=["bucket", "k", "rows", "words", "counts"])
 
         for batch in batches:
-            for own, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, sizes, blocks, masks = (np.frombuffer(c, dtype=t) for c, t in zip(cells, ("<i8", "<i4", "<u4", "<u2"), strict=True))
+            for i in range(batch.num_rows):
+                own, *cells = (c[i] for c in batch.columns)
+                own = own.as_py()
+                ids, sizes, blocks, masks = (np.frombuffer(c.as_buffer(), dtype=t) for c, t in zip(cells, ("<i8", "<i4", "<u4", "<u2"), strict=True))
                 *shard, code = _used(ids, sizes.astype(np.int64), blocks, masks, order, sets[1])
                 for words, n in grown(own, *shard, levels, sets, code=code):
                     k = words.shape[1]
@@ -243,7 +256,7 @@ def _counted(shards: DataFrame, levels: tuple[int, ...], known: dict[int, np.nda
                 yield from sent(k)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, key, held, room = shipped.value[1], None, [], 0
+        order, key, held, room, summed = shipped.value[1], None, [], 0, 0
 
         def ended() -> Iterator[pa.RecordBatch]:
             (rows, counts), = _summed(held)
@@ -258,13 +271,13 @@ def _counted(shards: DataFrame, levels: tuple[int, ...], known: dict[int, np.nda
                 bucket, k, n, words, counts = (c[i].as_py() for c in batch.columns)
                 if held and (bucket, k) != key:
                     yield from ended()
-                    held, room = [], 0
+                    held, room, summed = [], 0, 0
                 key = (bucket, k)
                 held.append((np.frombuffer(words, dtype=kind).reshape(k, n).T, np.frombuffer(counts, dtype="<i8" if len(counts) == 8 * n else "<i4").astype(np.int64)))
                 room += n
-                if room > 2 * GATHERED:
+                if room > 2 * max(GATHERED, summed):
                     held = _summed(held)
-                    room = len(held[0][0])
+                    room = summed = len(held[0][0])
         if held:
             yield from ended()
 
@@ -304,7 +317,8 @@ def collocations(docs: DataFrame, least: int = 100, covered: int = 100, top: int
     """
     seed = 0
     while True:
-        shards = shared.save(bitmaps(docs, lang, text, seed, places), "phrase-shards", compression="zstd")
+        with shared.arrow_rows(docs.sparkSession, DOCUMENTS):
+            shards = shared.save(bitmaps(docs, lang, text, seed, places), "phrase-shards", compression="zstd", **SHARD_FILES)
         each = shards.select(F.explode(F.arrays_zip("langs", "words", "numbers", "counts")).alias("_w")).groupBy(F.col("_w.langs").alias("lang"), F.col("_w.words").alias("word"), F.col("_w.numbers").alias("id"))
         counts = shared.save(each.agg(F.sum("_w.counts").alias("n")), "phrase-words")
         one = counts.agg(F.count("*"), F.count_distinct("id")).first()
@@ -315,12 +329,13 @@ def collocations(docs: DataFrame, least: int = 100, covered: int = 100, top: int
     words = shared.save(counts.filter(F.col("n") >= least), "phrase-frequent")
     totals = shared.save(counts.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     shared.drop(counts)
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (totals.agg(F.sum("total")).first()[0] or 0) // (2 * GATHERED))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (totals.agg(F.sum("total")).first()[0] or 0) // BUCKET)
     frequent = np.sort(words.select("id").toArrow()["id"].to_numpy()) if words.count() <= dense else None
     found = [words.select(F.array("id").alias("ids"), "n")]
     known = {1: _as_set(found[0], 1)}
     for levels in ((2,), (3,), (4, 5)):
-        found.append(shared.save(_counted(shards, levels, known, least, frequent, buckets), f"phrases-{levels[0]}"))
+        with shared.arrow_rows(docs.sparkSession, SHARDS):
+            found.append(shared.save(_counted(shards, levels, known, least, frequent, buckets), f"phrases-{levels[0]}"))
         if len(levels) == 1:
             known[levels[0]] = _as_set(found[-1], levels[0])
     shared.drop(shards)
